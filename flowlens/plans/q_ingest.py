@@ -1 +1,56 @@
-"""Queries (filled in below)."""
+"""Ingest queries: raw-line parsing, classification, acceptance, quarantine, layouts."""
+
+from __future__ import annotations
+
+from pyspark.sql import functions as F
+
+from flowlens.operators import normalize as N
+from flowlens.plans.registry import query
+from flowlens.plans.sqlbase import ACCEPT_SQL, RAW_MIXED_SQL, parsed_sql, with_flows
+from flowlens.session import scratch_path
+from flowlens.sources import io
+from flowlens.sources.tables import flows, raw_lines
+
+_MIXED = f"raw AS ({RAW_MIXED_SQL})"
+
+
+@query("parse_raw_lines", with_flows(parsed_sql("raw"), raw=True), headline=True)
+def q_parse_raw_lines(spark, sf):
+    return N.parse_raw(raw_lines(spark, sf), keep=("flow_id",))
+
+
+@query("line_classes", with_flows("SELECT parse_class, count(*) AS n FROM (" + parsed_sql("raw") + ") GROUP BY 1",
+                                  extra=_MIXED))
+def q_line_classes(spark, sf):
+    p = N.parse_raw(raw_lines(spark, sf, mixed=True))
+    return p.groupBy("parse_class").agg(F.count(F.lit(1)).alias("n"))
+
+
+@query("accepted_lines", with_flows(parsed_sql(f"(SELECT * FROM raw WHERE {ACCEPT_SQL})"), extra=_MIXED))
+def q_accepted_lines(spark, sf):
+    return N.parse_raw(N.accept(raw_lines(spark, sf, mixed=True)), keep=("flow_id",))
+
+
+@query("quarantine_counts", with_flows(f"""SELECT CASE WHEN NOT contains(value, 'action=') THEN 'not_firewall'
+ WHEN NOT contains(value, 'RULE=') THEN 'no_rule' ELSE 'other_action' END AS reason, count(*) AS n
+FROM raw WHERE NOT {ACCEPT_SQL} GROUP BY 1""", extra=_MIXED))
+def q_quarantine_counts(spark, sf):
+    q = N.quarantine(raw_lines(spark, sf, mixed=True))
+    return q.groupBy("reason").agg(F.count(F.lit(1)).alias("n"))
+
+
+@query("default_rule", with_flows("SELECT flow_id, rule_id, action, date FROM (" + parsed_sql("raw") + ")",
+                                  extra=_MIXED))
+def q_default_rule(spark, sf):
+    # Every line, accepted or not, gets a rule id: missing / empty RULE -> 999; date from the row.
+    return N.parse_raw(raw_lines(spark, sf, mixed=True), keep=("flow_id",)).select("flow_id", "rule_id", "action", "date")
+
+
+@query("export_summary", with_flows("""SELECT count(*) AS n_rows, min(d) AS date_min, max(d) AS date_max
+FROM (SELECT date_trunc('second', date) AS d FROM flows)
+WHERE d >= TIMESTAMP '2024-01-05 00:00:00' AND d < TIMESTAMP '2024-01-20 00:00:00'"""))
+def q_export_summary(spark, sf):
+    # Round trip through the ';' export layout in the shared work folder, then the range read.
+    path = scratch_path(spark, "export")
+    io.write_export(flows(spark, sf), path)
+    return io.export_stats(io.read_flows_export(spark, path, "2024-01-05", "2024-01-20"))

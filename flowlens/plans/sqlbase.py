@@ -43,3 +43,58 @@ def with_flows(body: str, raw: bool = False, extra: str = "") -> str:
 
 def pct_sql(n: str, total: str, digits: int = 2) -> str:
     return f"round(100.0 * CAST({n} AS DOUBLE) / CAST(NULLIF({total}, 0) AS DOUBLE), {digits})"
+
+RAW_MIXED_SQL = """SELECT flow_id, date, CASE WHEN dest_port = 22 AND action = 'Deny' THEN concat('fw ulog: action=LIMIT SSH IN=',
+ interface_in, ' OUT=', interface_out, ' SRC=', ip_source, ' DST=', ip_destination, ' PROTO=', protocol,
+ ' DPT=', CAST(dest_port AS VARCHAR)) ELSE concat('fw ulog: action=', upper(action), ' RULE=', CAST(rule_id AS VARCHAR),
+ ' IN=', interface_in, ' OUT=', interface_out, ' MAC=aa:bb SRC=', ip_source, ' DST=', ip_destination,
+ ' LEN=60 TOS=00 PREC=0x00 TTL=64 ID=', CAST(flow_id AS VARCHAR), CASE WHEN flow_id % 2 = 0 THEN ' DF' ELSE '' END,
+ ' PROTO=', protocol, ' SPT=', CAST(source_port AS VARCHAR), ' DPT=', CAST(dest_port AS VARCHAR),
+ CASE WHEN protocol = 'UDP' THEN ' LEN=40' ELSE ' WINDOW=1024 SYN' END) END AS value FROM flows"""
+
+
+def kv_sql(key: str, v: str = "value") -> str:
+    return (f"(CASE WHEN regexp_matches({v}, '(?:^|\\s){key}=') "
+            f"THEN regexp_extract({v}, '(?:^|\\s){key}=(\\S*)', 1) END)")
+
+
+def port_int_sql(expr: str) -> str:
+    return f"(CASE WHEN TRY_CAST({expr} AS INTEGER) BETWEEN 0 AND 65535 THEN TRY_CAST({expr} AS INTEGER) END)"
+
+
+def parsed_sql(src: str = "raw", extra_cols: str = "flow_id, ") -> str:
+    """Spark's ``parse_raw`` in SQL (date carried from the source row)."""
+    action = kv_sql("action")
+    df_flag = "regexp_matches(value, '\\sDF(\\s|$)')"
+    after = lambda k: f"regexp_matches(value, '\\sDPT=\\S*\\s{k}=')"
+    head = "(regexp_matches(value, 'action=') AND regexp_matches(value, '\\sRULE='))"
+    cls = (f"CASE WHEN NOT {head} THEN NULL WHEN {after('WINDOW')} AND NOT {df_flag} THEN 2222 "
+           f"WHEN {after('WINDOW')} AND {df_flag} THEN 2223 WHEN {after('LEN')} THEN 2224 "
+           f"WHEN {after('SEQ')} AND {df_flag} THEN 2226 WHEN {after('SEQ')} AND NOT {df_flag} THEN 2227 END")
+    return (f"SELECT {extra_cols}date, {kv_sql('SRC')} AS ip_source, {kv_sql('DST')} AS ip_destination,"
+            f" upper({kv_sql('PROTO')}) AS protocol, {port_int_sql(kv_sql('SPT'))} AS source_port,"
+            f" {port_int_sql(kv_sql('DPT'))} AS dest_port,"
+            f" coalesce(TRY_CAST(NULLIF({kv_sql('RULE')}, '') AS INTEGER), 999) AS rule_id,"
+            f" CASE WHEN {action} = 'PERMIT' THEN 'Permit' WHEN {action} = 'DENY' THEN 'Deny' ELSE {action} END AS action,"
+            f" {kv_sql('IN')} AS interface_in, {kv_sql('OUT')} AS interface_out,"
+            f" CAST({cls} AS INTEGER) AS parse_class, {kv_sql('MAC')} AS mac FROM {src}")
+
+
+ACCEPT_SQL = "(contains(value, 'RULE=') AND (contains(value, 'action=PERMIT') OR contains(value, 'action=DENY')))"
+
+
+def rules_sql() -> str:
+    from flowlens.operators.rules import RULES
+
+    def lit(v):
+        if v is None:
+            return "NULL"
+        if isinstance(v, list):
+            return "[" + ", ".join(str(x) for x in v) + "]"
+        if isinstance(v, str):
+            return f"'{v}'"
+        return str(v)
+    rows = ", ".join("(" + ", ".join(lit(x) for x in r) + ")" for r in RULES)
+    return (f"SELECT rule_id, proto, lo, hi, CAST(not_ports AS INTEGER[]) AS not_ports, CAST(src_eq AS VARCHAR) AS src_eq,"
+            f" CAST(src_ne AS VARCHAR) AS src_ne, action, per_sec FROM (VALUES {rows})"
+            f" AS t(rule_id, proto, lo, hi, not_ports, src_eq, src_ne, action, per_sec)")

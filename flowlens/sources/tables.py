@@ -7,7 +7,7 @@ work grows with the input.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 TABLES = ("region", "nation", "customer", "supplier", "part", "orders", "lineitem", "events",
@@ -52,10 +52,9 @@ def flows(spark: SparkSession, sf_dir: str) -> DataFrame:
     return flows_from_events(load(spark, sf_dir, "events"))
 
 
-def render_raw(fl: DataFrame) -> DataFrame:
-    """Render flows back to raw L0 log lines ``(flow_id, value)`` (inverse of ``parse_raw``)."""
+def _raw_value() -> Column:
     fid = F.col("flow_id")
-    value = F.concat(
+    return F.concat(
         F.lit("fw ulog: action="), F.upper("action"), F.lit(" RULE="), F.col("rule_id").cast("string"),
         F.lit(" IN="), F.col("interface_in"), F.lit(" OUT="), F.col("interface_out"),
         F.lit(" MAC=aa:bb SRC="), F.col("ip_source"), F.lit(" DST="), F.col("ip_destination"),
@@ -65,9 +64,27 @@ def render_raw(fl: DataFrame) -> DataFrame:
         F.lit(" DPT="), F.col("dest_port").cast("string"),
         F.when(F.col("protocol") == "UDP", F.lit(" LEN=40")).otherwise(F.lit(" WINDOW=1024 SYN")),
     )
-    return fl.select(fid.alias("flow_id"), F.col("date"), value.alias("value"))
 
 
-def raw_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+def _limit_ssh_value() -> Column:
+    return F.concat(
+        F.lit("fw ulog: action=LIMIT SSH IN="), F.col("interface_in"), F.lit(" OUT="), F.col("interface_out"),
+        F.lit(" SRC="), F.col("ip_source"), F.lit(" DST="), F.col("ip_destination"),
+        F.lit(" PROTO="), F.col("protocol"), F.lit(" DPT="), F.col("dest_port").cast("string"))
+
+
+def render_raw(fl: DataFrame, mixed: bool = False) -> DataFrame:
+    """Render flows back to raw L0 log lines ``(flow_id, date, value)`` (inverse of ``parse_raw``).
+
+    With ``mixed``, denied SSH lines are rendered as the rate-limited "LIMIT SSH" logging rule
+    writes them: without ``RULE=`` (so the forwarding filter drops them). Narrow projection only.
+    """
+    value = _raw_value()
+    if mixed:
+        value = F.when((F.col("dest_port") == 22) & (F.col("action") == "Deny"), _limit_ssh_value()).otherwise(value)
+    return fl.select(F.col("flow_id"), F.col("date"), value.alias("value"))
+
+
+def raw_lines(spark: SparkSession, sf_dir: str, mixed: bool = False) -> DataFrame:
     """Raw log lines derived from the flow view: ``(flow_id, date, value)``."""
-    return render_raw(flows(spark, sf_dir))
+    return render_raw(flows(spark, sf_dir), mixed)
