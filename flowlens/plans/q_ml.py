@@ -1 +1,41 @@
-"""Queries (filled in below)."""
+"""Profiles, scaling, anomaly detection, clustering and classifiers."""
+
+from __future__ import annotations
+
+from pyspark.sql import functions as F
+
+from flowlens.operators import lof as L
+from flowlens.operators.profiles import IFOREST_FEATURES, LOF_FEATURES, ip_profiles, standardize
+from flowlens.plans.registry import query
+from flowlens.plans.sqlbase import PROFILES_CTE, lof_ctes, scaled_cte, with_flows
+from flowlens.sources.tables import flows
+
+_R6 = ("duration_min", "mean_port", "tcp_ratio", "rate_per_min", "deny_ratio")
+
+
+@query("ip_profiles", with_flows("SELECT ip_source, n_distinct_ports, n_denies, n_connections, max_port, "
+                                 + ", ".join(f"round({c}, 6) AS {c}" for c in _R6) + " FROM prof",
+                                 extra=PROFILES_CTE), headline=True)
+def q_ip_profiles(spark, sf):
+    p = ip_profiles(flows(spark, sf))
+    return p.withColumns({c: F.round(c, 6) for c in _R6})
+
+
+@query("scaled_profiles", with_flows("SELECT ip_source, " + ", ".join(f"round({c}_z, 6) AS {c}_z" for c in IFOREST_FEATURES)
+                                     + " FROM z", extra=PROFILES_CTE + ",\n" + scaled_cte(IFOREST_FEATURES, "z")))
+def q_scaled_profiles(spark, sf):
+    z = standardize(ip_profiles(flows(spark, sf)), IFOREST_FEATURES)
+    return z.select("ip_source", *[F.round(c + "_z", 6).alias(c + "_z") for c in IFOREST_FEATURES])
+
+
+@query("lof_scores", with_flows("SELECT ip_source, round(lof, 6) AS lof, is_outlier FROM lof_flag",
+                                extra=lof_ctes(LOF_FEATURES)), headline=True)
+def q_lof_scores(spark, sf):
+    return L.lof_for_flows(flows(spark, sf)).withColumn("lof", F.round("lof", 6))
+
+
+@query("lof_summary", with_flows("""SELECT count(*) AS n, round(max(lof), 6) AS max_lof,
+ round(quantile_cont(lof, 0.5), 6) AS median_lof, round(quantile_cont(lof, 0.95), 6) AS p95_lof,
+ count(*) FILTER (WHERE is_outlier) AS n_outliers FROM lof_flag""", extra=lof_ctes(LOF_FEATURES)))
+def q_lof_summary(spark, sf):
+    return L.lof_summary(L.lof_for_flows(flows(spark, sf)))

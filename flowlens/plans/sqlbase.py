@@ -98,3 +98,43 @@ def rules_sql() -> str:
     return (f"SELECT rule_id, proto, lo, hi, CAST(not_ports AS INTEGER[]) AS not_ports, CAST(src_eq AS VARCHAR) AS src_eq,"
             f" CAST(src_ne AS VARCHAR) AS src_ne, action, per_sec FROM (VALUES {rows})"
             f" AS t(rule_id, proto, lo, hi, not_ports, src_eq, src_ne, action, per_sec)")
+
+
+PROFILES_CTE = """prof0 AS (SELECT ip_source, count(DISTINCT dest_port) AS n_distinct_ports,
+ count(*) FILTER (WHERE action = 'Deny') AS n_denies, count(date) AS n_connections,
+ greatest(CAST(epoch_us(max(date)) - epoch_us(min(date)) AS DOUBLE) / 60000000.0, 1.0) AS duration_min,
+ avg(dest_port) AS mean_port, max(dest_port) AS max_port,
+ avg(CASE WHEN protocol = 'TCP' THEN 1 ELSE 0 END) AS tcp_ratio FROM flows GROUP BY ip_source),
+prof AS (SELECT *, n_connections / duration_min AS rate_per_min,
+ n_denies / CAST(NULLIF(n_connections, 0) AS DOUBLE) AS deny_ratio FROM prof0)"""
+
+
+def scaled_cte(cols, name: str = "z", digits: int | None = None) -> str:
+    """``name`` CTE with ``ip_source`` and z-scores (population std; 0 where std is 0)."""
+    stats = ", ".join(f"avg({c}) AS m_{c}, stddev_pop({c}) AS s_{c}" for c in cols)
+    zs = []
+    for i, c in enumerate(cols):
+        e = f"CASE WHEN s_{c} > 0 THEN ({c} - m_{c}) / s_{c} ELSE 0.0 END"
+        zs.append(f"round({e}, {digits}) AS z{i}" if digits is not None else f"{e} AS {c}_z")
+    return (f"{name}_stats AS (SELECT {stats} FROM prof),\n"
+            f"{name} AS (SELECT ip_source, {', '.join(zs)} FROM prof, {name}_stats)")
+
+
+def lof_ctes(cols, k: int = 20, contamination: float = 0.05) -> str:
+    d = len(cols)
+    dist = " + ".join(f"(a.z{i} - b.z{i}) * (a.z{i} - b.z{i})" for i in range(d))
+    return ",\n".join([
+        PROFILES_CTE,
+        scaled_cte(cols, "z", 9),
+        f"""pairs AS (SELECT a.ip_source AS p, b.ip_source AS o, round(sqrt({dist}), 9) AS d
+ FROM z a JOIN z b ON a.ip_source <> b.ip_source)""",
+        f"""knn AS (SELECT p, o, d FROM (SELECT p, o, d, row_number() OVER (PARTITION BY p ORDER BY d, o) AS rn
+ FROM pairs) WHERE rn <= {k})""",
+        "kd AS (SELECT p, max(d) AS kdist FROM knn GROUP BY p)",
+        """lrd AS (SELECT knn.p, 1.0 / (avg(greatest(kd.kdist, knn.d)) + 1e-10) AS lrd FROM knn JOIN kd ON knn.o = kd.p
+ GROUP BY knn.p)""",
+        """lofs AS (SELECT knn.p AS ip_source, avg(l2.lrd) / l1.lrd AS lof FROM knn JOIN lrd l2 ON knn.o = l2.p
+ JOIN lrd l1 ON knn.p = l1.p GROUP BY knn.p, l1.lrd)""",
+        f"""lof_flag AS (SELECT ip_source, lof, lof > (SELECT quantile_cont(lof, {1.0 - contamination}) FROM lofs) AS is_outlier
+ FROM lofs)""",
+    ])
