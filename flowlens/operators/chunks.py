@@ -1,14 +1,145 @@
-"""Knowledge-base chunks (K1): small report tables rendered to one text row each."""
+"""Knowledge-base chunks (K1, F22): report tables rendered to one text row each.
+
+Each chunk is a small aggregate (a top-k or a one-row summary) whose pieces are combined with
+scalar subqueries, so no chunk ever needs a join and no raw rows reach the driver.
+"""
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from flowlens.functions.scalar import out_of_plan, service_name
+from flowlens.operators.retrieval import sample_rows
+
+# ---------------------------------------------------------------------------------------------
+# Chunk headings and labels as the assistant writes them.
+T_SUMMARY = "RESUME GLOBAL LOGS FIREWALL"
+T_TOP_IPS = "TOP IP SOURCES ACTIVES"
+T_TOP_DENIED_IPS = "TOP IP SOURCES BLOQUEES"
+T_PORTS = "PORTS CIBLES"
+T_DENIED_PORTS = "PORTS BLOQUES"
+T_RULES = "REGLES FIREWALL"
+T_DENY_RULES = "REGLES DENY"
+T_TIME = "ANALYSE TEMPORELLE"
+T_SUSPECTS = "IP SUSPECTES"
+T_OUT_OF_PLAN = "IP HORS PLAN"
+T_SENSITIVE = "CONNEXIONS SUSPECTES PORTS SENSIBLES"
+T_SAMPLE = "ECHANTILLON LOGS"
 SENSITIVE_PORTS = (21, 22, 23, 3306, 3389, 445, 137)
+UNKNOWN_SERVICE = "?"
+# ---------------------------------------------------------------------------------------------
+
+# Natural bound of a protocol list (IP protocol numbers), not a cap on data.
+_MAX_PROTOCOLS = 256
 
 
 def sensitive_denies(df: DataFrame, n: int = 50) -> DataFrame:
     """Denied lines on sensitive ports, first n in event order."""
     return (df.filter((F.col("action") == "Deny") & F.col("dest_port").isin(*SENSITIVE_PORTS))
             .orderBy("date", "flow_id").limit(n))
+
+
+def render_row(prefix: str = "") -> Column:
+    c = lambda n: F.col(prefix + n)
+    return F.concat_ws(" ", F.date_format(c("date"), "yyyy-MM-dd HH:mm:ss"), c("ip_source"), c("ip_destination"),
+                       c("protocol"), c("source_port").cast("string"), c("dest_port").cast("string"),
+                       c("rule_id").cast("string"), c("action"), c("interface_in"), c("interface_out"))
+
+
+def _joined(top: DataFrame, item: Column, sort: list[Column], sep: str) -> Column:
+    """Scalar subquery: the items of a (small, already limited) frame joined in ``sort`` order."""
+    agg = top.agg(F.array_join(F.transform(
+        F.array_sort(F.collect_list(F.struct(*[s.alias(f"s{i}") for i, s in enumerate(sort)], item.alias("item")))),
+        lambda s: s["item"]), sep))
+    return F.coalesce(agg.scalar(), F.lit(""))
+
+
+def _top(df: DataFrame, key: str, k: int, where: Column | None = None) -> DataFrame:
+    base = df if where is None else df.filter(where)
+    return (base.groupBy(key).agg(F.count(F.lit(1)).alias("n"))
+            .orderBy(F.col("n").desc(), F.col(key)).limit(k))
+
+
+def dict_text(df: DataFrame, key: str, k: int, where: Column | None = None, quote: bool = True) -> Column:
+    """``{key: n, ...}`` of the top-k keys, most frequent first (a Python dict's text form)."""
+    top = _top(df, key, k, where)
+    kt = F.concat(F.lit("'"), F.col(key), F.lit("'")) if quote else F.col(key).cast("string")
+    item = F.concat(kt, F.lit(": "), F.col("n").cast("string"))
+    return F.concat(F.lit("{"), _joined(top, item, [-F.col("n"), F.col(key)], ", "), F.lit("}"))
+
+
+def _pct1(num: str, den: str) -> Column:
+    v = F.round((F.lit(100.0) * F.col(num)) / F.nullif(F.col(den).cast("double"), F.lit(0.0)), 1)
+    return F.coalesce(F.format_string("%.1f", v), F.lit("n/a"))
+
+
+def _chunk(i: int, kind: str, text: Column, base: DataFrame) -> DataFrame:
+    return base.select(F.lit(i).alias("chunk_id"), F.lit(kind).alias("kind"), text.alias("text"))
+
+
+def build_chunks(df: DataFrame, sample_n: int = 300, seed: int = 42) -> DataFrame:
+    """The eight knowledge-base chunks of a flow table: ``chunk_id, kind, text``."""
+    a = F.col("action")
+    deny = a == "Deny"
+    nl = F.lit("\n")
+
+    head = df.agg(F.count(F.lit(1)).alias("total"), F.count_if(a == "Permit").alias("p"),
+                  F.count_if(deny).alias("d"), F.min("date").alias("dmin"), F.max("date").alias("dmax"))
+    c0 = _chunk(0, "summary", F.concat(
+        F.lit(T_SUMMARY + "\nTotal: "), F.format_number("total", 0), F.lit(" | Permit: "), F.format_number("p", 0),
+        F.lit(" ("), _pct1("p", "total"), F.lit("%) | Deny: "), F.format_number("d", 0), F.lit(" ("),
+        _pct1("d", "total"), F.lit("%)\nProtocoles: "), dict_text(df, "protocol", _MAX_PROTOCOLS)), head)
+
+    c1 = _chunk(1, "ips", F.concat(
+        F.lit(T_TOP_IPS + "\n"), dict_text(df, "ip_source", 20), F.lit("\n\n" + T_TOP_DENIED_IPS + "\n"),
+        dict_text(df, "ip_source", 20, deny)), head)
+
+    def port_lines(where):
+        top = _top(df, "dest_port", 20, where)
+        item = F.concat(F.lit("Port "), F.col("dest_port").cast("string"), F.lit("("),
+                        service_name("dest_port", UNKNOWN_SERVICE), F.lit("): "), F.col("n").cast("string"))
+        return _joined(top, item, [-F.col("n"), F.col("dest_port")], "\n")
+    c2 = _chunk(2, "ports", F.concat(F.lit(T_PORTS + "\n"), port_lines(None), F.lit("\n" + T_DENIED_PORTS + "\n"),
+                                     port_lines(deny)), head)
+
+    c3 = _chunk(3, "rules", F.concat(
+        F.lit(T_RULES + "\n"), dict_text(df, "rule_id", 15, quote=False), F.lit("\n\n" + T_DENY_RULES + "\n"),
+        dict_text(df, "rule_id", 10, deny, quote=False)), head)
+
+    hours = df.groupBy(F.hour("date").alias("h")).agg(F.count(F.lit(1)).alias("n"), F.count_if(deny).alias("nd"))
+    peak = hours.agg(F.max_by("h", F.struct(F.col("n"), -F.col("h")))).scalar()
+    peak_d = hours.filter(F.col("nd") > 0).agg(F.max_by("h", F.struct(F.col("nd"), -F.col("h")))).scalar()
+    hour_lines = _joined(hours, F.concat(F.lit("  "), F.col("h").cast("string"), F.lit("h: "), F.col("n").cast("string")),
+                         [F.col("h")], "\n")
+    ts = lambda c: F.date_format(c, "yyyy-MM-dd HH:mm:ss")
+    c4 = _chunk(4, "time", F.concat(
+        F.lit(T_TIME + "\nPeriode: "), ts(F.col("dmin")), F.lit(" -> "), ts(F.col("dmax")),
+        F.lit("\nPic total: "), peak.cast("string"), F.lit("h | Pic deny: "),
+        F.coalesce(peak_d.cast("string"), F.lit("N/A")), F.lit("h\n"), hour_lines), head)
+
+    dcounts = df.filter(deny).groupBy("ip_source").agg(F.count(F.lit(1)).alias("n"))
+    cut = dcounts.select(F.percentile(F.col("n").cast("double"), F.lit(0.95))).scalar()
+    sus = dcounts.filter(F.col("n") > cut).orderBy(F.col("n").desc(), "ip_source").limit(20)
+    sus_lines = _joined(sus, F.concat(F.col("ip_source"), F.lit(": "), F.col("n").cast("string"), F.lit(" blocages")),
+                        [-F.col("n"), F.col("ip_source")], "\n")
+    ext = (df.filter(out_of_plan("ip_source")).groupBy("ip_source").agg(F.min("date").alias("first"))
+           .orderBy("first", "ip_source").limit(20))
+    ext_lines = _joined(ext, F.col("ip_source"), [F.col("first"), F.col("ip_source")], "\n")
+    c5 = _chunk(5, "suspects", F.concat(F.lit(T_SUSPECTS + "\n"), sus_lines, F.lit("\n" + T_OUT_OF_PLAN + "\n"),
+                                        ext_lines), head)
+
+    sens = sensitive_denies(df, 50)
+    sens_head = sens.agg(F.count(F.lit(1)).alias("k"))
+    c6 = _chunk(6, "sensitive", F.concat(
+        F.lit(T_SENSITIVE + "\n"),
+        _joined(sens, render_row(), [F.col("date"), F.col("flow_id")], "\n")), sens_head.filter(F.col("k") > 0))
+
+    samp = sample_rows(df, "flow_id", sample_n, seed).withColumn(
+        "_h", F.md5(F.concat_ws("|", F.col("flow_id").cast("string"), F.lit(str(seed)))))
+    c7 = _chunk(7, "sample", F.concat(F.lit(T_SAMPLE + " 0:\n"),
+                                      _joined(samp, render_row(), [F.col("_h"), F.col("flow_id")], "\n")), head)
+    out = c0
+    for c in (c1, c2, c3, c4, c5, c6, c7):
+        out = out.unionByName(c)
+    return out
