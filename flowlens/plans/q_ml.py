@@ -39,3 +39,160 @@ def q_lof_scores(spark, sf):
  count(*) FILTER (WHERE is_outlier) AS n_outliers FROM lof_flag""", extra=lof_ctes(LOF_FEATURES)))
 def q_lof_summary(spark, sf):
     return L.lof_summary(L.lof_for_flows(flows(spark, sf)))
+
+
+# ---------------------------------------------------------------- isolation forest
+
+def _iforest(spark, sf, trees=100, contamination=0.05):
+    from flowlens.operators.iforest import isolation_forest
+    z = standardize(ip_profiles(flows(spark, sf)), IFOREST_FEATURES)
+    return isolation_forest(z, [c + "_z" for c in IFOREST_FEATURES], "ip_source", trees, contamination, 42)
+
+
+@query("isolation_forest")
+def q_isolation_forest(spark, sf):
+    return _iforest(spark, sf).withColumn("score", F.round("score", 6))
+
+
+@query("anomaly_summary")
+def q_anomaly_summary(spark, sf):
+    from flowlens.operators.iforest import anomaly_summary
+    return anomaly_summary(_iforest(spark, sf))
+
+
+@query("top_anomalies")
+def q_top_anomalies(spark, sf):
+    return _iforest(spark, sf).orderBy("score", "ip_source").limit(15)
+
+
+@query("score_histogram")
+def q_score_histogram(spark, sf):
+    from flowlens.operators.iforest import score_histogram
+    return score_histogram(_iforest(spark, sf), 40)
+
+
+# ---------------------------------------------------------------- PCA and K-Means
+
+_KM_FEATURES = LOF_FEATURES
+
+
+def _pca(spark, sf):
+    from flowlens.operators.clusters import pca
+    return pca(ip_profiles(flows(spark, sf)), IFOREST_FEATURES, 4)
+
+
+@query("pca_scores")
+def q_pca_scores(spark, sf):
+    return _pca(spark, sf)[0]
+
+
+@query("pca_variance")
+def q_pca_variance(spark, sf):
+    return _pca(spark, sf)[1]
+
+
+@query("pca_loadings")
+def q_pca_loadings(spark, sf):
+    return _pca(spark, sf)[2]
+
+
+@query("kmeans_scan")
+def q_kmeans_scan(spark, sf):
+    from flowlens.operators.clusters import kmeans_scan
+    return kmeans_scan(ip_profiles(flows(spark, sf)), _KM_FEATURES, 8, 10)[0]
+
+
+def _kmeans(spark, sf):
+    from flowlens.operators.clusters import kmeans_assign, kmeans_scan
+    prof = ip_profiles(flows(spark, sf)).cache()
+    _, k = kmeans_scan(prof, _KM_FEATURES, 8, 10)
+    return prof, kmeans_assign(prof, _KM_FEATURES, k, 10)
+
+
+@query("kmeans_assign")
+def q_kmeans_assign(spark, sf):
+    return _kmeans(spark, sf)[1]
+
+
+@query("cluster_profiles")
+def q_cluster_profiles(spark, sf):
+    from flowlens.operators.clusters import cluster_profiles
+    prof, assign = _kmeans(spark, sf)
+    return cluster_profiles(prof, assign, _KM_FEATURES)
+
+
+# ---------------------------------------------------------------- supervised models
+
+@query("classifier_features", with_flows("""SELECT flow_id, dest_port, CAST(protocol = 'TCP' AS INTEGER) AS is_tcp,
+ CAST(CASE WHEN dest_port IS NULL THEN NULL WHEN dest_port <= 1023 THEN 0 WHEN dest_port <= 49151 THEN 1 ELSE 2 END AS INTEGER)
+ AS port_bucket, CAST(hour(date) AS INTEGER) AS hour, CAST(isodow(date) - 1 AS INTEGER) AS weekday,
+ CAST(action = 'Deny' AS INTEGER) AS label FROM flows"""))
+def q_classifier_features(spark, sf):
+    from flowlens.operators.classify import classifier_features
+    return classifier_features(flows(spark, sf))
+
+
+def _feats(spark, sf):
+    from flowlens.operators.classify import classifier_features
+    return classifier_features(flows(spark, sf))
+
+
+@query("model_comparison")
+def q_model_comparison(spark, sf):
+    from flowlens.operators.classify import compare_models
+    return compare_models(_feats(spark, sf))
+
+
+@query("model_roc")
+def q_model_roc(spark, sf):
+    from flowlens.operators.classify import model_roc
+    return model_roc(_feats(spark, sf))
+
+
+@query("roc_curve", with_flows("""WITH per AS (SELECT CAST(dest_port AS DOUBLE) / 65535.0 AS score,
+ count(*) FILTER (WHERE action = 'Deny') AS tp, count(*) FILTER (WHERE action <> 'Deny') AS fp FROM flows GROUP BY 1),
+cum AS (SELECT score, tp, fp, sum(tp) OVER (ORDER BY score DESC ROWS UNBOUNDED PRECEDING) AS ctp,
+ sum(fp) OVER (ORDER BY score DESC ROWS UNBOUNDED PRECEDING) AS cfp FROM per),
+tot AS (SELECT sum(tp) AS P, sum(fp) AS N FROM per)
+SELECT round(score, 9) AS score, round(ctp / P, 9) AS tpr, round(cfp / N, 9) AS fpr,
+ round((SELECT sum((fp / N) * ((2.0 * ctp - tp) / (2.0 * P))) FROM cum, tot), 9) AS auc FROM cum, tot"""))
+def q_roc_curve(spark, sf):
+    from flowlens.operators.classify import auc_from_points, roc_points
+    fl = flows(spark, sf)
+    scored = fl.select((F.col("dest_port").cast("double") / F.lit(65535.0)).alias("p1"),
+                       (F.col("action") == "Deny").cast("int").alias("label"))
+    pts = roc_points(scored)
+    auc = auc_from_points(pts).scalar()
+    return pts.select(F.round("score", 9).alias("score"), F.round("tpr", 9).alias("tpr"),
+                      F.round("fpr", 9).alias("fpr"), F.round(auc, 9).alias("auc"))
+
+
+@query("confusion_matrix")
+def q_confusion_matrix(spark, sf):
+    from flowlens.operators.classify import cart, confusion
+    model, vec = cart(_feats(spark, sf))
+    return confusion(model.transform(vec))
+
+
+@query("cart_rules")
+def q_cart_rules(spark, sf):
+    from flowlens.operators.classify import cart_rules
+    return cart_rules(_feats(spark, sf))
+
+
+@query("cart_summary")
+def q_cart_summary(spark, sf):
+    from flowlens.operators.classify import cart_summary
+    return cart_summary(_feats(spark, sf))
+
+
+@query("cart_importance")
+def q_cart_importance(spark, sf):
+    from flowlens.operators.classify import cart_importance
+    return cart_importance(_feats(spark, sf))
+
+
+@query("cart_rules_apply")
+def q_cart_rules_apply(spark, sf):
+    from flowlens.operators.classify import cart_rules_apply
+    return cart_rules_apply(_feats(spark, sf))
