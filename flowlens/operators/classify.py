@@ -61,7 +61,9 @@ def roc_points(scored: DataFrame, score: str = "p1", label: str = "label", parts
     """
     per = scored.groupBy(F.col(score).alias("score")).agg(
         F.count_if(F.col(label) == 1).alias("tp"), F.count_if(F.col(label) != 1).alias("fp"))
-    per = per.repartitionByRange(parts, F.col("score").desc()).withColumn("pid", F.spark_partition_id())
+    # Partition ids must be the same in every subtree below, so the partitioned table is
+    # materialised once (checkpoint) instead of re-running the range shuffle per use.
+    per = per.repartitionByRange(parts, F.col("score").desc()).withColumn("pid", F.spark_partition_id()).checkpoint()
     tot = per.groupBy("pid").agg(F.sum("tp").alias("ptp"), F.sum("fp").alias("pfp"))
     wo = Window.orderBy("pid").rowsBetween(Window.unboundedPreceding, -1)
     off = tot.select("pid", F.coalesce(F.sum("ptp").over(wo), F.lit(0)).alias("otp"),

@@ -149,13 +149,13 @@ def q_model_roc(spark, sf):
     return model_roc(_feats(spark, sf))
 
 
-@query("roc_curve", with_flows("""WITH per AS (SELECT CAST(dest_port AS DOUBLE) / 65535.0 AS score,
+@query("roc_curve", with_flows("""SELECT round(score, 9) AS score, round(ctp / P, 9) AS tpr, round(cfp / N, 9) AS fpr,
+ round((SELECT sum((fp / N) * ((2.0 * ctp - tp) / (2.0 * P))) FROM cum, tot), 9) AS auc FROM cum, tot""",
+    extra="""per AS (SELECT CAST(dest_port AS DOUBLE) / 65535.0 AS score,
  count(*) FILTER (WHERE action = 'Deny') AS tp, count(*) FILTER (WHERE action <> 'Deny') AS fp FROM flows GROUP BY 1),
 cum AS (SELECT score, tp, fp, sum(tp) OVER (ORDER BY score DESC ROWS UNBOUNDED PRECEDING) AS ctp,
  sum(fp) OVER (ORDER BY score DESC ROWS UNBOUNDED PRECEDING) AS cfp FROM per),
-tot AS (SELECT sum(tp) AS P, sum(fp) AS N FROM per)
-SELECT round(score, 9) AS score, round(ctp / P, 9) AS tpr, round(cfp / N, 9) AS fpr,
- round((SELECT sum((fp / N) * ((2.0 * ctp - tp) / (2.0 * P))) FROM cum, tot), 9) AS auc FROM cum, tot"""))
+tot AS (SELECT sum(tp) AS P, sum(fp) AS N FROM per)"""))
 def q_roc_curve(spark, sf):
     from flowlens.operators.classify import auc_from_points, roc_points
     fl = flows(spark, sf)

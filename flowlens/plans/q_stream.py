@@ -1 +1,123 @@
-"""Queries (filled in below)."""
+"""Streaming queries: each writes its input files from the driver tables into the shared work
+folder, runs the stream to completion with ``availableNow`` and returns the sink read back."""
+
+from __future__ import annotations
+
+from pyspark.sql import functions as F
+
+from flowlens.plans.registry import query
+from flowlens.plans.sqlbase import ACCEPT_SQL, RAW_MIXED_SQL, parsed_sql, with_flows
+from flowlens.session import scratch_path
+from flowlens.sources import io
+from flowlens.sources.tables import flows, raw_lines
+from flowlens.streaming import jobs as S
+
+
+def _raw_files(spark, sf, parts: int = 8) -> str:
+    """Raw mixed lines with a leading ISO timestamp, as ``parts`` text files."""
+    path = scratch_path(spark, "stream-raw")
+    lines = raw_lines(spark, sf, mixed=True).select(
+        F.concat(F.date_format("date", "yyyy-MM-dd'T'HH:mm:ss"), F.lit(" "), F.col("value")).alias("value"))
+    lines.repartition(parts).write.text(path)
+    return path
+
+
+def _json_files(spark, sf, copies: int = 1, heartbeat: bool = False) -> str:
+    """Flows as L5 JSON lines (``copies`` deliveries). With ``heartbeat``, one extra record a day
+    after the last event (no source) follows, so the watermark closes every real session."""
+    path = scratch_path(spark, "stream-json")
+    fl = flows(spark, sf)
+    for i in range(copies):
+        io.write_flows_json(fl, f"{path}/copy={i}", mode="overwrite")
+    if heartbeat:
+        hb = fl.agg((F.max("date") + F.expr("INTERVAL 1 DAY")).alias("date"))
+        hb = hb.select("date", *[F.lit(None).cast(t).alias(c) for c, t in
+                                 [("ip_source", "string"), ("ip_destination", "string"), ("protocol", "string"),
+                                  ("dest_port", "int"), ("rule_id", "int"), ("action", "string"),
+                                  ("interface_in", "string"), ("interface_out", "string")]])
+        io.write_flows_json(hb, f"{path}/copy=heartbeat", mode="overwrite")
+    return path
+
+
+_STREAM_PARSED = parsed_sql(f"(SELECT flow_id, date_trunc('second', date) AS date, value FROM raw WHERE {ACCEPT_SQL})", "")
+
+
+@query("stream_ingest", with_flows(_STREAM_PARSED, extra=f"raw AS ({RAW_MIXED_SQL})"), headline=True)
+def q_stream_ingest(spark, sf):
+    src = _raw_files(spark, sf)
+    out, ck = scratch_path(spark, "ingest-out"), scratch_path(spark, "ingest-ck")
+    S.run_append(S.ingest(S.stream_lines(spark, src, max_files=2)), out, ck)
+    return spark.read.parquet(out)
+
+
+@query("stream_fanout")
+def q_stream_fanout(spark, sf):
+    src = _raw_files(spark, sf)
+    out, ck = scratch_path(spark, "fanout-out"), scratch_path(spark, "fanout-ck")
+    S.fan_out(S.stream_lines(spark, src, max_files=2), out, ck)
+    counts = [spark.read.text(f"{out}/raw").select(F.lit("raw").alias("sink"), F.count(F.lit(1)).alias("n")),
+              spark.read.csv(f"{out}/firewall_log", sep=";").select(F.lit("firewall_log").alias("sink"), F.count(F.lit(1)).alias("n")),
+              spark.read.parquet(f"{out}/fw_table").select(F.lit("fw_table").alias("sink"), F.count(F.lit(1)).alias("n")),
+              spark.read.parquet(f"{out}/daily_index").select(F.lit("daily_index").alias("sink"), F.count(F.lit(1)).alias("n"))]
+    res = counts[0]
+    for c in counts[1:]:
+        res = res.unionByName(c)
+    return res
+
+
+def _ntz(c):
+    return F.col(c).cast("timestamp_ntz").alias(c)
+
+
+@query("stream_timeline", with_flows("""SELECT time_bucket(INTERVAL 5 MINUTE, d) AS window_start,
+ time_bucket(INTERVAL 5 MINUTE, d) + INTERVAL 5 MINUTE AS window_end,
+ count(*) FILTER (WHERE action = 'Permit') AS Permit, count(*) FILTER (WHERE action = 'Deny') AS Deny
+FROM (SELECT date_trunc('second', date) AS d, action FROM flows) GROUP BY 1, 2"""))
+def q_stream_timeline(spark, sf):
+    src = _json_files(spark, sf)
+    out, ck = scratch_path(spark, "timeline-out"), scratch_path(spark, "timeline-ck")
+    S.run_update(S.timeline(S.stream_json(spark, src)), out, ck)
+    res = S.latest(spark, out, ["window_start", "window_end"])
+    return res.select(_ntz("window_start"), _ntz("window_end"), "Permit", "Deny")
+
+
+@query("stream_deny_rate", with_flows("""SELECT ws AS window_start, ip_source, count(*) AS n,
+ count(*) FILTER (WHERE action = 'Deny') AS n_deny,
+ round(count(*) FILTER (WHERE action = 'Deny') / CAST(count(*) AS DOUBLE), 6) AS deny_rate
+FROM (SELECT time_bucket(INTERVAL 1 MINUTE, date_trunc('second', date)) - to_minutes(k) AS ws, ip_source, action
+      FROM flows, range(0, 10) AS r(k)) GROUP BY 1, 2"""))
+def q_stream_deny_rate(spark, sf):
+    src = _json_files(spark, sf)
+    out, ck = scratch_path(spark, "denyrate-out"), scratch_path(spark, "denyrate-ck")
+    S.run_update(S.deny_rate(S.stream_json(spark, src)), out, ck)
+    res = S.latest(spark, out, ["window_start", "ip_source"])
+    return res.select(_ntz("window_start"), "ip_source", "n", "n_deny", "deny_rate")
+
+
+@query("stream_sessions", with_flows("""SELECT ip_source, min(d) AS session_start, max(d) + INTERVAL 3 MINUTE AS session_end,
+ count(*) AS n, count(*) FILTER (WHERE action = 'Deny') AS n_deny FROM (
+ SELECT *, sum(CASE WHEN prev IS NULL OR d - prev >= INTERVAL 3 MINUTE THEN 1 ELSE 0 END)
+   OVER (PARTITION BY ip_source ORDER BY d ROWS UNBOUNDED PRECEDING) AS sid FROM (
+  SELECT ip_source, action, date_trunc('second', date) AS d,
+   lag(date_trunc('second', date)) OVER (PARTITION BY ip_source ORDER BY date_trunc('second', date)) AS prev FROM flows))
+GROUP BY ip_source, sid"""))
+def q_stream_sessions(spark, sf):
+    # Session windows support append mode only: sessions are emitted once the watermark passes
+    # their end, and the heartbeat record closes the last ones of this finite input.
+    src = _json_files(spark, sf, heartbeat=True)
+    out, ck = scratch_path(spark, "sessions-out"), scratch_path(spark, "sessions-ck")
+    S.run_append(S.sessions(S.stream_json(spark, src)), out, ck)
+    res = spark.read.parquet(out).filter(F.col("ip_source").isNotNull())
+    return res.select("ip_source", _ntz("session_start"), _ntz("session_end"), "n", "n_deny")
+
+
+@query("stream_dedup", with_flows("""SELECT DISTINCT date_trunc('second', date) AS date, ip_source, ip_destination,
+ protocol, dest_port, rule_id, action FROM flows"""))
+def q_stream_dedup(spark, sf):
+    # Every line delivered twice (at-least-once forwarding); dedup within the watermark.
+    src = _json_files(spark, sf, copies=2)
+    out, ck = scratch_path(spark, "dedup-out"), scratch_path(spark, "dedup-ck")
+    keys = ["date", "ip_source", "ip_destination", "protocol", "dest_port", "rule_id", "action"]
+    st = S.stream_json(spark, src).select(*keys)
+    S.run_append(S.dedup(st, keys), out, ck)
+    return spark.read.parquet(out).select(_ntz("date"), *keys[1:])
