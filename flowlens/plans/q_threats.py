@@ -1 +1,63 @@
-"""Queries (filled in below)."""
+"""Attack-pattern queries and the SQL function surface."""
+
+from __future__ import annotations
+
+from flowlens.functions.sql import register_functions
+from flowlens.operators import detect as D
+from flowlens.plans.registry import query
+from flowlens.plans.sqlbase import with_flows
+from flowlens.sources.tables import flows
+
+_PORTS = "21, 22, 23, 3306, 3389, 445, 137"
+
+
+@query("port_scan", with_flows("""SELECT ip_source, time_bucket(INTERVAL 1 DAY, date) AS window_start,
+ count(DISTINCT dest_port) AS n_ports, count(*) AS n FROM flows GROUP BY 1, 2 HAVING count(DISTINCT dest_port) >= 3"""))
+def q_port_scan(spark, sf):
+    return D.port_scan(flows(spark, sf), "1 day", 3)
+
+
+@query("brute_force", with_flows("""SELECT ip_source, time_bucket(INTERVAL 1 HOUR, date) AS window_start,
+ count(*) AS n_hits, count(*) FILTER (WHERE action = 'Deny') AS n_denied FROM flows WHERE dest_port IN (21, 22)
+ GROUP BY 1, 2 HAVING count(*) >= 2 OR count(*) FILTER (WHERE action = 'Deny') >= 2"""))
+def q_brute_force(spark, sf):
+    return D.brute_force(flows(spark, sf), (21, 22), "1 hour", 2)
+
+
+@query("ddos_spike", with_flows("""SELECT bucket, n, round(mean, 6) AS mean, round(std, 6) AS std FROM (
+ SELECT bucket, n, avg(n) OVER w AS mean, stddev_pop(n) OVER w AS std, count(n) OVER w AS k FROM (
+  SELECT time_bucket(INTERVAL 1 HOUR, date) AS bucket, count(*) AS n FROM flows GROUP BY 1)
+ WINDOW w AS (ORDER BY bucket ROWS BETWEEN 24 PRECEDING AND 1 PRECEDING))
+WHERE k >= 24 AND n > mean + 3.0 * std"""))
+def q_ddos_spike(spark, sf):
+    return D.ddos_spike(flows(spark, sf), "1 hour", 24, 3.0)
+
+
+@query("decoy_scan", with_flows("""SELECT time_bucket(INTERVAL 1 HOUR, date) AS window_start, dest_port,
+ count(DISTINCT ip_source) AS n_sources, count(*) AS n FROM flows GROUP BY 1, 2 HAVING count(DISTINCT ip_source) >= 3"""))
+def q_decoy_scan(spark, sf):
+    return D.decoy_scan(flows(spark, sf), "1 hour", 3)
+
+
+@query("tcp_udp_risk", with_flows(f"""SELECT protocol, count(*) AS n, count(*) FILTER (WHERE action = 'Deny') AS n_deny,
+ count(DISTINCT ip_source) AS n_sources, count(DISTINCT dest_port) AS n_ports,
+ count(*) FILTER (WHERE dest_port IN ({_PORTS})) AS n_sensitive,
+ count(*) FILTER (WHERE dest_port IN ({_PORTS}) AND action = 'Deny') AS n_sensitive_deny,
+ round(count(*) FILTER (WHERE action = 'Deny') / CAST(count(*) AS DOUBLE), 6) AS deny_rate,
+ round(count(*) FILTER (WHERE dest_port IN ({_PORTS})) / CAST(count(*) AS DOUBLE), 6) AS sensitive_share
+FROM flows GROUP BY protocol"""))
+def q_tcp_udp_risk(spark, sf):
+    return D.tcp_udp_risk(flows(spark, sf))
+
+
+@query("sql_functions", with_flows("""SELECT CASE WHEN dest_port IS NULL THEN NULL WHEN dest_port < 1024
+ THEN 'System Ports (0-1023)' WHEN dest_port < 49152 THEN 'User Ports (1024-49151)' ELSE 'Dynamic Ports (49152-65535)' END
+ AS port_category, CASE WHEN dest_port IS NULL THEN NULL WHEN dest_port <= 1023 THEN 0 WHEN dest_port <= 49151 THEN 1
+ ELSE 2 END AS port_bucket, CAST(CAST('0x' || right(md5(protocol), 3) AS INTEGER) % 512 AS INTEGER) AS proto_bucket,
+ count(*) AS n FROM flows GROUP BY 1, 2, 3"""))
+def q_sql_functions(spark, sf):
+    # The registered SQL functions used from plain Spark SQL over a temp view of the flows.
+    register_functions(spark)
+    flows(spark, sf).createOrReplaceTempView("flowlens_flows")
+    return spark.sql("""SELECT port_category(dest_port) AS port_category, port_bucket(dest_port) AS port_bucket,
+        word_bucket(protocol) AS proto_bucket, count(*) AS n FROM flowlens_flows GROUP BY 1, 2, 3""")
