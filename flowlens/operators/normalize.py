@@ -23,15 +23,19 @@ LINE_CLASSES = (2222, 2223, 2224, 2226, 2227)
 
 
 def kv(value, key: str) -> Column:
-    """Value of ``KEY=`` (first occurrence); null when the key is absent, '' when empty."""
+    """Value of ``KEY=`` (first occurrence); null when the key is absent, '' when empty.
+
+    ``regexp_substr`` on the line with a leading space finds `` KEY=...`` in one pass (a literal
+    prefix, so the regex engine skips ahead) and yields NULL when the key is absent.
+    """
     v = F.col(value) if isinstance(value, str) else value
-    pat = r"(?:^|\s)" + key + r"=(\S*)"
-    return F.when(v.rlike(r"(?:^|\s)" + key + "="), F.regexp_extract(v, pat, 1))
+    hit = F.regexp_substr(F.concat(F.lit(" "), v), F.lit(" " + key + r"=\S*"))
+    return F.substring(hit, len(key) + 3, 1 << 30)
 
 
 def to_int(c: Column, lo: int | None = None, hi: int | None = None) -> Column:
     """Lenient int cast: '' or garbage -> null; out of [lo, hi] -> null."""
-    x = F.expr("try_cast(NULL AS INT)") if c is None else c.try_cast("int")
+    x = c.try_cast("int")
     if lo is not None:
         x = F.when((x >= lo) & (x <= hi), x)
     return x
@@ -80,29 +84,33 @@ def parse_raw(lines: DataFrame, value: str = "value", ingest_col: str | None = N
     an empty or missing rule id becomes 999 and the action is normalised.
     """
     v = F.col(value)
-    ts = F.try_to_timestamp(F.regexp_extract(v, _TS_PREFIX, 1), F.lit("yyyy-MM-dd'T'HH:mm:ss"))
-    ts = F.coalesce(ts, F.try_to_timestamp(F.regexp_extract(v, _TS_PREFIX, 1), F.lit("yyyy-MM-dd HH:mm:ss")))
-    date = ts.cast("timestamp_ntz")
-    fallbacks = [date]
+    fallbacks = []
     if ingest_col:
         fallbacks.append(F.col(ingest_col).cast("timestamp_ntz"))
     if "date" in lines.columns:
         fallbacks.append(F.col("date").cast("timestamp_ntz"))
-    cols = {
-        "date": F.coalesce(*fallbacks) if len(fallbacks) > 1 else date,
-        "ip_source": kv(v, "SRC"),
-        "ip_destination": kv(v, "DST"),
-        "protocol": F.upper(kv(v, "PROTO")),
-        "source_port": to_int(kv(v, "SPT"), 0, 65535),
-        "dest_port": to_int(kv(v, "DPT"), 0, 65535),
-        "rule_id": default_rule(kv(v, "RULE")),
-        "action": normalize_action(kv(v, "action")),
-        "interface_in": kv(v, "IN"),
-        "interface_out": kv(v, "OUT"),
+    raw = {
+        "ip_source": kv(v, "SRC"), "ip_destination": kv(v, "DST"), "_proto": kv(v, "PROTO"),
+        "_spt": kv(v, "SPT"), "_dpt": kv(v, "DPT"), "_rule": kv(v, "RULE"), "_action": kv(v, "action"),
+        "interface_in": kv(v, "IN"), "interface_out": kv(v, "OUT"), "mac": kv(v, "MAC"),
     }
     extra = [F.col(c) for c in keep]
-    return lines.select(*extra, *[c.alias(n) for n, c in cols.items()],
-                        line_class(v).alias("parse_class"), kv(v, "MAC").alias("mac"))
+    # Two projections: extract each key once, then cast / range-check the extracted strings
+    # (Catalyst does not merge them back because the extractions are not cheap to repeat).
+    step = lines.select(*extra, F.regexp_extract(v, _TS_PREFIX, 1).alias("_ts"),
+                        *[f.alias(f"_fb{i}") for i, f in enumerate(fallbacks)],
+                        *[c.alias(n) for n, c in raw.items()], line_class(v).alias("parse_class"))
+    ts = F.coalesce(F.try_to_timestamp(F.col("_ts"), F.lit("yyyy-MM-dd'T'HH:mm:ss")),
+                    F.try_to_timestamp(F.col("_ts"), F.lit("yyyy-MM-dd HH:mm:ss"))).cast("timestamp_ntz")
+    date = F.coalesce(ts, *[F.col(f"_fb{i}") for i in range(len(fallbacks))])
+    return step.select(
+        *[F.col(c) for c in keep], date.alias("date"), "ip_source", "ip_destination",
+        F.upper("_proto").alias("protocol"),
+        to_int(F.col("_spt"), 0, 65535).alias("source_port"),
+        to_int(F.col("_dpt"), 0, 65535).alias("dest_port"),
+        default_rule(F.col("_rule")).alias("rule_id"),
+        normalize_action(F.col("_action")).alias("action"),
+        "interface_in", "interface_out", "parse_class", "mac")
 
 
 def accept(lines: DataFrame, value: str = "value") -> DataFrame:
