@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 from flowlens.functions.scalar import port_bucket
 from flowlens.operators.profiles import standardize
 from flowlens.operators.retrieval import folds, split_label
+from flowlens.session import materialize
 
 CLF_FEATURES = ("dest_port", "is_tcp", "port_bucket", "hour", "weekday")
 CART_FEATURES = ("dest_port", "is_tcp", "port_bucket", "hour")
@@ -52,6 +53,12 @@ def _p1(pred: DataFrame) -> DataFrame:
     return pred.withColumn("p1", vector_to_array("probability")[1])
 
 
+def roc(scored: DataFrame, score: str = "p1", label: str = "label"):
+    """``(points, auc)`` for a scored table."""
+    pts = roc_points(scored, score, label)
+    return pts, auc_from_points(pts)
+
+
 def roc_points(scored: DataFrame, score: str = "p1", label: str = "label", parts: int = 8) -> DataFrame:
     """ROC points (one per distinct score, descending) with cumulative TP/FP rates.
 
@@ -62,8 +69,9 @@ def roc_points(scored: DataFrame, score: str = "p1", label: str = "label", parts
     per = scored.groupBy(F.col(score).alias("score")).agg(
         F.count_if(F.col(label) == 1).alias("tp"), F.count_if(F.col(label) != 1).alias("fp"))
     # Partition ids must be the same in every subtree below, so the partitioned table is
-    # materialised once (checkpoint) instead of re-running the range shuffle per use.
-    per = per.repartitionByRange(parts, F.col("score").desc()).withColumn("pid", F.spark_partition_id()).checkpoint()
+    # materialised once (a written table) instead of re-running the range shuffle per use.
+    per = materialize(per.repartitionByRange(parts, F.col("score").desc()).withColumn("pid", F.spark_partition_id()),
+                      "roc-per-score")
     tot = per.groupBy("pid").agg(F.sum("tp").alias("ptp"), F.sum("fp").alias("pfp"))
     wo = Window.orderBy("pid").rowsBetween(Window.unboundedPreceding, -1)
     off = tot.select("pid", F.coalesce(F.sum("ptp").over(wo), F.lit(0)).alias("otp"),
@@ -95,13 +103,21 @@ def _parallel(tasks, workers: int = 8):
         return list(ex.map(lambda t: t(), tasks))
 
 
+def require_two_classes(feats: DataFrame, label: str = "label") -> None:
+    """Guard: supervised models need both classes (raises ValueError otherwise)."""
+    if feats.select(label).distinct().limit(2).count() < 2:
+        raise ValueError("the target has fewer than two classes; no model can be trained")
+
+
 def compare_models(feats: DataFrame, k: int = 5, seed: int = 42, parallelism: int = 8) -> DataFrame:
     """k-fold CV (hash-stratified folds) of the four models: mean/std of accuracy and AUC.
 
     One fit per (model, fold) gives both metrics; the 4 x k fits are independent and run
     concurrently.
     """
-    data = folds(_vectors(feats), "flow_id", k, seed).select("flow_id", "features", "label", "fold").checkpoint()
+    require_two_classes(feats)
+    data = materialize(folds(_vectors(feats), "flow_id", k, seed).select("flow_id", "features", "label", "fold"),
+                       "cv-input")
     spark = feats.sparkSession
     sizes = {r["fold"]: r["n"] for r in data.groupBy("fold").agg(F.count(F.lit(1)).alias("n")).collect()}
     total = sum(sizes.values())
@@ -128,7 +144,9 @@ def compare_models(feats: DataFrame, k: int = 5, seed: int = 42, parallelism: in
 
 def model_roc(feats: DataFrame, seed: int = 42) -> DataFrame:
     """Per model: ROC points on the 30% hold-out after fitting on the 70% split."""
-    data = split_label(_vectors(feats), "flow_id", 70, seed).select("features", "label", "split").checkpoint()
+    require_two_classes(feats)
+    data = materialize(split_label(_vectors(feats), "flow_id", 70, seed).select("features", "label", "split"),
+                       "roc-input")
     train, test = data.filter(F.col("split") == "train"), data.filter(F.col("split") == "test")
     n_train = train.count()
 
@@ -184,7 +202,7 @@ def rule_predicate(conds, cols=CART_FEATURES) -> Column:
 
 def cart(feats: DataFrame, depth: int = 4, min_leaf: int = 20, seed: int = 42):
     """Fit the rule tree on raw features; returns ``(model, vectors)``."""
-    vec = _vectors(feats, CART_FEATURES, scaled=False).checkpoint()
+    vec = materialize(_vectors(feats, CART_FEATURES, scaled=False), "cart-input")
     est = DecisionTreeClassifier(maxDepth=depth, minInstancesPerNode=min_leaf, seed=seed, maxBins=64,
                                  featuresCol="features", labelCol="label")
     return est.fit(vec), vec

@@ -15,6 +15,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from flowlens.operators.profiles import standardize
+from flowlens.session import materialize
 
 
 def assemble(df: DataFrame, cols, out: str = "features", scaled: bool = True) -> DataFrame:
@@ -34,7 +35,7 @@ def pca(df: DataFrame, cols, k: int = 4, key: str = "ip_source"):
     """
     cols = list(cols)
     k = min(k, len(cols))
-    vec = assemble(df, cols).select(key, "features").checkpoint()
+    vec = materialize(assemble(df, cols).select(key, "features"), "pca-input")
     model = PCA(k=k, inputCol="features", outputCol="pc").fit(vec)
     pcm = model.pc.toArray()  # d x k, bounded by the parameters
     signs = np.where(pcm[np.abs(pcm).argmax(axis=0), np.arange(k)] < 0, -1.0, 1.0)
@@ -70,7 +71,7 @@ def kmeans_scan(df: DataFrame, cols, kmax: int = 8, n_init: int = 10, seed: int
     from concurrent.futures import ThreadPoolExecutor
     # Iterative fits re-plan their input on every pass: cut the lineage once (reliable checkpoint
     # in the shared folder named by spark.checkpoint.dir).
-    vec = assemble(df, cols).select(key, "features").checkpoint()
+    vec = materialize(assemble(df, cols).select(key, "features"), "kmeans-input")
     ev = ClusteringEvaluator(featuresCol="features", predictionCol="cluster", distanceMeasure="squaredEuclidean")
     tasks = [(k, r) for k in range(2, kmax + 1) for r in range(n_init)]
     with ThreadPoolExecutor(max_workers=workers) as ex:
@@ -86,7 +87,7 @@ def kmeans_scan(df: DataFrame, cols, kmax: int = 8, n_init: int = 10, seed: int
 
 def kmeans_assign(df: DataFrame, cols, k: int, n_init: int = 10, seed: int = 42, key: str = "ip_source") -> DataFrame:
     """Cluster id per key from the best of ``n_init`` fits."""
-    vec = assemble(df, cols).select(key, "features").checkpoint()
+    vec = materialize(assemble(df, cols).select(key, "features"), "kmeans-input")
     m, _ = _best_kmeans(vec, k, n_init, seed)
     return m.transform(vec).select(key, "cluster")
 
@@ -95,3 +96,9 @@ def cluster_profiles(df: DataFrame, assign: DataFrame, cols, key: str = "ip_sour
     """Mean raw feature values per cluster, 3 decimals."""
     return (df.join(assign, key).groupBy("cluster")
             .agg(F.count(F.lit(1)).alias("n"), *[F.round(F.avg(c), 3).alias(c) for c in cols]))
+
+
+def cluster_projection(df: DataFrame, assign: DataFrame, cols, key: str = "ip_source") -> DataFrame:
+    """Clusters on the first two principal axes (the cluster scatter): ``key, cluster, axis1, axis2``."""
+    scores, _, _ = pca(df, cols, 2, key)
+    return assign.join(scores, key).select(key, "cluster", F.col("pc1").alias("axis1"), F.col("pc2").alias("axis2"))

@@ -86,3 +86,9 @@ def require_rows(df: DataFrame, what: str = "input") -> DataFrame:
     if df.isEmpty():
         raise ValueError(f"{what} is empty")
     return df
+
+
+def last_n_days(df: DataFrame, n: int, col: str = "date") -> DataFrame:
+    """Rows of the last ``n`` days before the newest event (the timeline's look-back presets)."""
+    newest = df.agg(F.max(col)).scalar()
+    return df.filter(F.col(col) >= newest - F.make_interval(days=F.lit(n)))

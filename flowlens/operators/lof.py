@@ -24,6 +24,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from flowlens.operators.profiles import LOF_FEATURES, ip_profiles, standardize
+from flowlens.session import materialize
 
 _DIGITS = 9
 
@@ -43,7 +44,8 @@ def _dist(d: int, a: str, b: str):
 
 
 def knn(points: DataFrame, k: int, key: str = "ip_source", d: int | None = None,
-        w0: float | None = None, max_levels: int = 40) -> tuple[DataFrame, DataFrame]:
+        w0: float | None = None, max_levels: int = 40, growth: float = 2.0,
+        stats: list | None = None) -> tuple[DataFrame, DataFrame]:
     """Exact multiplicity-aware k-NN over distinct vectors.
 
     Returns ``(vectors, neighbours)``: vectors ``vid, z*, mult, tie`` and neighbour rows
@@ -54,7 +56,7 @@ def knn(points: DataFrame, k: int, key: str = "ip_source", d: int | None = None,
     d = d or len(zc)
     vec = (points.groupBy(*zc).agg(F.count(F.lit(1)).alias("mult"), F.min(key).alias("tie"))
            .withColumn("vid", F.xxhash64(*zc)))
-    vec = vec.checkpoint()  # cut lineage: reused by every level
+    vec = materialize(vec, "lof-vectors")  # cut lineage: reused by every level
     n = vec.agg(F.sum("mult")).first()[0] or 0
     k = min(k, max(n - 1, 0))
     if k == 0:
@@ -62,7 +64,8 @@ def knn(points: DataFrame, k: int, key: str = "ip_source", d: int | None = None,
     ranges = vec.agg(*[(F.max(c) - F.min(c)).alias(c) for c in zc]).first()
     span = max([ranges[c] or 0.0 for c in zc] + [1e-9])
     if w0 is None:
-        w0 = max(4.0 * (k / max(n, 1)) ** (1.0 / d) / 8.0, 1e-6)
+        # Start fine (a dense region resolves with few candidates), grow geometrically.
+        w0 = max(4.0 * (k / max(n, 1)) ** (1.0 / d) / 4.0, 1e-6)
     offsets = [list(o) for o in itertools.product((-1, 0, 1), repeat=d)]
     off_col = F.array(*[F.array(*[F.lit(x) for x in o]) for o in offsets])
 
@@ -70,8 +73,10 @@ def knn(points: DataFrame, k: int, key: str = "ip_source", d: int | None = None,
     data = vec.select(F.col("vid").alias("nid"), *[F.col(c).alias("n" + c) for c in zc],
                       F.col("mult").alias("nmult"), F.col("tie").alias("ntie"))
     done = None
+    import time as _time
     for level in range(max_levels):
-        w = w0 * (2 ** level)
+        t0 = _time.perf_counter()
+        w = w0 * (growth ** level)
         final = w >= span * 1.0000001 or level == max_levels - 1
         cell = lambda pref: F.array(*[F.floor(F.col(pref + c) / F.lit(w)).cast("long") for c in zc])
         qd = q.withColumn("cell", cell("")).withColumn("off", F.explode(off_col)) \
@@ -82,17 +87,23 @@ def knn(points: DataFrame, k: int, key: str = "ip_source", d: int | None = None,
             .withColumn("avail", F.when(F.col("vid") == F.col("nid"), F.col("nmult") - 1).otherwise(F.col("nmult"))) \
             .filter(F.col("avail") > 0)
         w_ord = Window.partitionBy("vid").orderBy("dist", "ntie")
+        # Materialise this level's candidates once; both the resolution test and the result read it.
         cand = (cand.withColumn("cum", F.sum("avail").over(w_ord.rowsBetween(Window.unboundedPreceding, 0)))
                 .withColumn("before", F.col("cum") - F.col("avail"))
                 .filter(F.col("before") < k)
                 .withColumn("take", F.least(F.col("avail"), F.lit(k) - F.col("before")))
                 .select("vid", "nid", "dist", "take", "cum"))
+        cand = materialize(cand, f"lof-level{level}")
         summ = cand.groupBy("vid").agg(F.max("cum").alias("got"), F.max("dist").alias("kd"))
         ok = summ.filter((F.col("got") >= k) & ((F.col("kd") <= F.lit(w)) | F.lit(final))).select("vid")
-        res = cand.join(ok, "vid", "left_semi").select("vid", "nid", "dist", "take").checkpoint()
+        res = cand.join(ok, "vid", "left_semi").select("vid", "nid", "dist", "take")
         done = res if done is None else done.unionByName(res)
-        q = q.join(res.select("vid").distinct(), "vid", "left_anti").checkpoint()
-        if final or q.isEmpty():
+        if stats is not None:
+            stats.append((level, w, _time.perf_counter() - t0))
+        if final:
+            break
+        q = q.join(ok, "vid", "left_anti")
+        if q.isEmpty():
             break
     return vec, done
 
@@ -100,7 +111,7 @@ def knn(points: DataFrame, k: int, key: str = "ip_source", d: int | None = None,
 def lof(profiles: DataFrame, cols=LOF_FEATURES, k: int = 20, contamination: float = 0.05,
         key: str = "ip_source", exact_quantile: bool = True) -> DataFrame:
     """LOF score and outlier flag per key: ``key, lof, is_outlier``."""
-    pts = scaled_features(profiles, cols, key)
+    pts = materialize(scaled_features(profiles, cols, key), "lof-points")
     vec, nb = knn(pts, k, key)
     kd = nb.groupBy("vid").agg(F.max("dist").alias("kdist"))
     # reach distance uses the neighbour's k-distance

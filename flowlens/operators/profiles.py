@@ -64,14 +64,15 @@ def ip_profiles(df: DataFrame) -> DataFrame:
 def standardize(df: DataFrame, cols, suffix: str = "_z") -> DataFrame:
     """(x - mean) / population std, 0 where the std is 0 (scikit's StandardScaler convention).
 
-    The statistics are one global aggregate evaluated as scalar subqueries (one job, one row),
-    so no join or single-partition window touches the data.
+    All means and standard deviations come from one global aggregate, used as a single
+    struct-valued scalar subquery (evaluated once per query; no join and no single-partition
+    window touches the data).
     """
     cols = list(cols)
-    stats = df.agg(*[F.avg(c).alias(f"m_{c}") for c in cols], *[F.stddev_pop(c).alias(f"s_{c}") for c in cols])
+    stats = df.agg(F.struct(*[F.avg(c).alias(f"m_{c}") for c in cols],
+                            *[F.stddev_pop(c).alias(f"s_{c}") for c in cols]).alias("st")).scalar()
     out = df
     for c in cols:
-        m = stats.select(f"m_{c}").scalar()
-        s = stats.select(f"s_{c}").scalar()
-        out = out.withColumn(c + suffix, F.when(s > 0, (F.col(c) - m) / s).otherwise(F.lit(0.0)))
+        m, sd = stats[f"m_{c}"], stats[f"s_{c}"]
+        out = out.withColumn(c + suffix, F.when(sd > 0, (F.col(c) - m) / sd).otherwise(F.lit(0.0)))
     return out

@@ -70,14 +70,19 @@ def retrieve(queries: DataFrame, index: DataFrame, n: int = 4, id_col: str = "id
         scores = parts[0]
         for p in parts[1:]:
             scores = scores.unionByName(p)
-    if ids is not None:
-        first = ids.select(id_col).distinct().orderBy(id_col).limit(n)
-        first_ids = first.agg(F.sort_array(F.collect_list(id_col))).scalar()
-        fill = (queries.select("qid").distinct()
-                .select("qid", F.explode(first_ids).alias(id_col), F.lit(0.0).alias("score")))
-        scores = scores.unionByName(fill).groupBy("qid", id_col).agg(F.max("score").alias("score"))
     w = Window.partitionBy("qid").orderBy(F.round("score", _RANK_DIGITS).desc(), F.col(id_col))
-    return (scores.withColumn("rank", F.row_number().over(w)).filter(F.col("rank") <= F.lit(n))
+    top = (scores.withColumn("rank", F.row_number().over(w)).filter(F.col("rank") <= F.lit(n))
+           .select("qid", "rank", id_col, "score"))
+    if ids is None:
+        return top
+    # Zero-score fill for queries with fewer than n positive hits, applied after the top-n so
+    # it touches at most queries x n rows (never the full score table).
+    first = ids.select(id_col).distinct().orderBy(id_col).limit(n)
+    first_ids = first.agg(F.sort_array(F.collect_list(id_col))).scalar()
+    fill = (queries.select("qid").distinct()
+            .select("qid", F.explode(first_ids).alias(id_col), F.lit(0.0).alias("score")))
+    both = (top.drop("rank").unionByName(fill).groupBy("qid", id_col).agg(F.max("score").alias("score")))
+    return (both.withColumn("rank", F.row_number().over(w)).filter(F.col("rank") <= F.lit(n))
             .select("qid", "rank", id_col, "score"))
 
 
@@ -134,3 +139,41 @@ def fingerprint(df: DataFrame, cols=None) -> DataFrame:
     return df.agg(F.count(F.lit(1)).alias("n_rows"),
                   F.bit_xor(F.conv(F.substring(F.md5(row), 1, 15), 16, 10).cast("long")).alias("fp_md5"),
                   F.bit_xor(F.xxhash64(*[F.col(c) for c in cols])).alias("fp_xx"))
+
+
+def build_index(df: DataFrame, id_col: str, text_col: str, path: str, dims: int = EMBED_DIMS) -> DataFrame:
+    """Persist the embedding index at ``path`` with the fingerprint of its source beside it, and
+    reuse it when the source has not changed (fingerprint over all rows, order-insensitive)."""
+    import json
+    spark = df.sparkSession
+    fp = fingerprint(df.select(id_col, text_col)).first().asDict()
+    fp_path = f"{path.rstrip('/')}/_fingerprint"
+    try:
+        old = spark.read.json(fp_path).first()
+        if old is not None and {k: old[k] for k in fp} == fp:
+            return spark.read.parquet(f"{path.rstrip('/')}/index")
+    except Exception:  # no index yet
+        pass
+    embed(df, id_col, text_col, dims).write.mode("overwrite").parquet(f"{path.rstrip('/')}/index")
+    spark.createDataFrame([fp]).coalesce(1).write.mode("overwrite").json(fp_path)
+    del json
+    return spark.read.parquet(f"{path.rstrip('/')}/index")
+
+
+# The five themed questions the report generator retrieves context for.
+REPORT_QUERIES = ("resume global statistiques logs", "IP suspectes attaques", "ports cibles blocages deny",
+                  "regles firewall", "analyse temporelle pics")
+
+
+def report_context(chunks: DataFrame, per_query: int = 3, cap: int = 12, cut: int = 600,
+                   questions=REPORT_QUERIES) -> DataFrame:
+    """Context for the generated report: top chunks of the themed questions, first-seen order,
+    at most ``cap`` chunks, each cut to ``cut`` characters: ``first_pos, chunk_id, kind, piece``."""
+    spark = chunks.sparkSession
+    qdf = spark.createDataFrame(list(enumerate(questions)), "qid int, text string")
+    index = embed(chunks, "chunk_id", "text")
+    hits = retrieve(embed(qdf, "qid", "text"), index, per_query, id_col="chunk_id", ids=chunks)
+    first = hits.groupBy("chunk_id").agg(F.min(F.col("qid") * 1000 + F.col("rank")).alias("first_pos"))
+    top = first.orderBy("first_pos", "chunk_id").limit(cap)
+    return (chunks.join(F.broadcast(top), "chunk_id")
+            .select("first_pos", "chunk_id", "kind", F.substring("text", 1, cut).alias("piece")))

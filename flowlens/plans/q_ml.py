@@ -121,6 +121,13 @@ def q_cluster_profiles(spark, sf):
     return cluster_profiles(prof, assign, _KM_FEATURES)
 
 
+@query("kmeans_projection")
+def q_kmeans_projection(spark, sf):
+    from flowlens.operators.clusters import cluster_projection
+    prof, assign = _kmeans(spark, sf)
+    return cluster_projection(prof, assign, _KM_FEATURES)
+
+
 # ---------------------------------------------------------------- supervised models
 
 @query("classifier_features", with_flows("""SELECT flow_id, dest_port, CAST(protocol = 'TCP' AS INTEGER) AS is_tcp,

@@ -11,11 +11,7 @@ from flowlens.plans.sql_text import embed_cte, kb_cte, topn_cte
 from flowlens.plans.sqlbase import with_flows
 from flowlens.sources.tables import flows, load
 
-# ---------------------------------------------------------------------------------------------
-# The five themed questions the report generator retrieves context for.
-REPORT_QUERIES = ("resume global statistiques logs", "IP suspectes attaques", "ports cibles blocages deny",
-                  "regles firewall", "analyse temporelle pics")
-# ---------------------------------------------------------------------------------------------
+REPORT_QUERIES = RT.REPORT_QUERIES
 
 
 @query("kb_chunks", with_flows("SELECT chunk_id, kind, text FROM kb", extra=kb_cte()))
@@ -61,17 +57,6 @@ def q_recent_turns(spark, sf):
     return RT.recent_turns(load(spark, sf, "conversations"), 6)
 
 
-def report_context(spark, chunks, per_query: int = 3, cap: int = 12, cut: int = 600):
-    """Context for the generated report: top chunks of five themed questions, first-seen order."""
-    qdf = spark.createDataFrame(list(enumerate(REPORT_QUERIES)), "qid int, text string")
-    index = RT.embed(chunks, "chunk_id", "text")
-    hits = RT.retrieve(RT.embed(qdf, "qid", "text"), index, per_query, id_col="chunk_id", ids=chunks)
-    first = hits.groupBy("chunk_id").agg(F.min(F.col("qid") * 1000 + F.col("rank")).alias("first_pos"))
-    top = first.orderBy("first_pos", "chunk_id").limit(cap)
-    return (chunks.join(F.broadcast(top), "chunk_id")
-            .select("first_pos", "chunk_id", "kind", F.substring("text", 1, cut).alias("piece")))
-
-
 def _report_ctx_sql():
     qs = ", ".join(f"({i}, '{t}')" for i, t in enumerate(REPORT_QUERIES))
     return with_flows(
@@ -85,7 +70,7 @@ def _report_ctx_sql():
 
 @query("report_context", _report_ctx_sql())
 def q_report_context(spark, sf):
-    return report_context(spark, build_chunks(flows(spark, sf)))
+    return RT.report_context(build_chunks(flows(spark, sf)))
 
 
 @query("sample_rows", with_flows("""SELECT * FROM flows ORDER BY md5(CAST(flow_id AS VARCHAR) || '|42'), flow_id

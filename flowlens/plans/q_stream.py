@@ -50,7 +50,8 @@ def q_stream_ingest(spark, sf):
     return spark.read.parquet(out)
 
 
-@query("stream_fanout")
+@query("stream_fanout", with_flows(f"""SELECT sink, (SELECT count(*) FROM raw WHERE {ACCEPT_SQL}) AS n
+ FROM (VALUES ('raw'), ('firewall_log'), ('fw_table'), ('daily_index')) AS t(sink)""", extra=f"raw AS ({RAW_MIXED_SQL})"))
 def q_stream_fanout(spark, sf):
     src = _raw_files(spark, sf)
     out, ck = scratch_path(spark, "fanout-out"), scratch_path(spark, "fanout-ck")

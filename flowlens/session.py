@@ -71,3 +71,13 @@ def ensure_dir(p: str) -> str:
     if is_local_path(p):
         os.makedirs(p.replace("file:", ""), exist_ok=True)
     return p
+
+
+def materialize(df, name: str = "stage"):
+    """Cut lineage by writing ``df`` as a parquet table in the shared work folder and reading it
+    back: one job (a reliable ``checkpoint()`` computes its plan twice), and the table survives
+    the loss of any executor."""
+    spark = df.sparkSession
+    path = scratch_path(spark, name)
+    df.write.mode("overwrite").parquet(path)
+    return spark.read.parquet(path)
