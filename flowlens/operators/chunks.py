@@ -55,9 +55,9 @@ def _joined(top: DataFrame, item: Column, sort: list[Column], sep: str) -> Colum
     return F.coalesce(agg.scalar(), F.lit(""))
 
 
-def _top(df: DataFrame, key: str, k: int, where: Column | None = None) -> DataFrame:
-    base = df if where is None else df.filter(where)
-    return (base.groupBy(key).agg(F.count(F.lit(1)).alias("n"))
+def _top(cube: DataFrame, key: str, k: int, where: Column | None = None) -> DataFrame:
+    base = cube if where is None else cube.filter(where)
+    return (base.groupBy(key).agg(F.sum("n").alias("n"))
             .orderBy(F.col("n").desc(), F.col(key)).limit(k))
 
 
@@ -78,14 +78,23 @@ def _chunk(i: int, kind: str, text: Column, base: DataFrame) -> DataFrame:
     return base.select(F.lit(i).alias("chunk_id"), F.lit(kind).alias("kind"), text.alias("text"))
 
 
-def build_chunks(df: DataFrame, sample_n: int = 300, seed: int = 42) -> DataFrame:
-    """The eight knowledge-base chunks of a flow table: ``chunk_id, kind, text``."""
+def build_chunks(df: DataFrame, sample_n: int = 300, seed: int = 42, cube: DataFrame | None = None) -> DataFrame:
+    """The eight knowledge-base chunks of a flow table: ``chunk_id, kind, text``.
+
+    All counts come from the materialised ``flow_cube`` (one scan and shuffle of the raw lines);
+    only the sensitive-port lines and the sample read raw rows (each a per-task top-k).
+    """
+    from flowlens.operators.kpi import flow_cube
+    from flowlens.session import materialize
+    raw = df
+    df = cube if cube is not None else materialize(flow_cube(raw), "flow-cube")
     a = F.col("action")
     deny = a == "Deny"
-    nl = F.lit("\n")
+    n = F.col("n")
 
-    head = df.agg(F.count(F.lit(1)).alias("total"), F.count_if(a == "Permit").alias("p"),
-                  F.count_if(deny).alias("d"), F.min("date").alias("dmin"), F.max("date").alias("dmax"))
+    head = df.agg(F.sum(n).alias("total"), F.sum(F.when(a == "Permit", n).otherwise(0)).alias("p"),
+                  F.sum(F.when(deny, n).otherwise(0)).alias("d"), F.min("first_seen").alias("dmin"),
+                  F.max("last_seen").alias("dmax"))
     c0 = _chunk(0, "summary", F.concat(
         F.lit(T_SUMMARY + "\nTotal: "), F.format_number("total", 0), F.lit(" | Permit: "), F.format_number("p", 0),
         F.lit(" ("), _pct1("p", "total"), F.lit("%) | Deny: "), F.format_number("d", 0), F.lit(" ("),
@@ -107,7 +116,7 @@ def build_chunks(df: DataFrame, sample_n: int = 300, seed: int = 42) -> DataFram
         F.lit(T_RULES + "\n"), dict_text(df, "rule_id", 15, quote=False), F.lit("\n\n" + T_DENY_RULES + "\n"),
         dict_text(df, "rule_id", 10, deny, quote=False)), head)
 
-    hours = df.groupBy(F.hour("date").alias("h")).agg(F.count(F.lit(1)).alias("n"), F.count_if(deny).alias("nd"))
+    hours = df.groupBy(F.col("hour").alias("h")).agg(F.sum(n).alias("n"), F.sum(F.when(deny, n).otherwise(0)).alias("nd"))
     peak = hours.agg(F.max_by("h", F.struct(F.col("n"), -F.col("h")))).scalar()
     peak_d = hours.filter(F.col("nd") > 0).agg(F.max_by("h", F.struct(F.col("nd"), -F.col("h")))).scalar()
     hour_lines = _joined(hours, F.concat(F.lit("  "), F.col("h").cast("string"), F.lit("h: "), F.col("n").cast("string")),
@@ -118,24 +127,24 @@ def build_chunks(df: DataFrame, sample_n: int = 300, seed: int = 42) -> DataFram
         F.lit("\nPic total: "), peak.cast("string"), F.lit("h | Pic deny: "),
         F.coalesce(peak_d.cast("string"), F.lit("N/A")), F.lit("h\n"), hour_lines), head)
 
-    dcounts = df.filter(deny).groupBy("ip_source").agg(F.count(F.lit(1)).alias("n"))
+    dcounts = df.filter(deny).groupBy("ip_source").agg(F.sum(n).alias("n"))
     cut = dcounts.select(F.percentile(F.col("n").cast("double"), F.lit(0.95))).scalar()
     sus = dcounts.filter(F.col("n") > cut).orderBy(F.col("n").desc(), "ip_source").limit(20)
     sus_lines = _joined(sus, F.concat(F.col("ip_source"), F.lit(": "), F.col("n").cast("string"), F.lit(" blocages")),
                         [-F.col("n"), F.col("ip_source")], "\n")
-    ext = (df.filter(out_of_plan("ip_source")).groupBy("ip_source").agg(F.min("date").alias("first"))
+    ext = (df.filter(out_of_plan("ip_source")).groupBy("ip_source").agg(F.min("first_seen").alias("first"))
            .orderBy("first", "ip_source").limit(20))
     ext_lines = _joined(ext, F.col("ip_source"), [F.col("first"), F.col("ip_source")], "\n")
     c5 = _chunk(5, "suspects", F.concat(F.lit(T_SUSPECTS + "\n"), sus_lines, F.lit("\n" + T_OUT_OF_PLAN + "\n"),
                                         ext_lines), head)
 
-    sens = sensitive_denies(df, 50)
+    sens = sensitive_denies(raw, 50)
     sens_head = sens.agg(F.count(F.lit(1)).alias("k"))
     c6 = _chunk(6, "sensitive", F.concat(
         F.lit(T_SENSITIVE + "\n"),
         _joined(sens, render_row(), [F.col("date"), F.col("flow_id")], "\n")), sens_head.filter(F.col("k") > 0))
 
-    samp = sample_rows(df, "flow_id", sample_n, seed).withColumn(
+    samp = sample_rows(raw, "flow_id", sample_n, seed).withColumn(
         "_h", F.md5(F.concat_ws("|", F.col("flow_id").cast("string"), F.lit(str(seed)))))
     c7 = _chunk(7, "sample", F.concat(F.lit(T_SAMPLE + " 0:\n"),
                                       _joined(samp, render_row(), [F.col("_h"), F.col("flow_id")], "\n")), head)

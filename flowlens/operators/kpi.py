@@ -123,3 +123,18 @@ def protocol_rollup(df: DataFrame) -> DataFrame:
             .agg(F.count(F.lit(1)).alias("n"), F.count_if(a == "Permit").alias("Permit"),
                  F.count_if(a == "Deny").alias("Deny"),
                  F.grouping_id().alias("level")))
+
+
+CUBE_KEYS = ("day", "hour", "protocol", "dest_port", "rule_id", "action", "ip_source")
+
+
+def flow_cube(df: DataFrame) -> DataFrame:
+    """Pre-aggregate of the flow table: one row per (day, hour, protocol, port, rule, action, source)
+    with the line count and first / last time seen.
+
+    Report chapters and knowledge-base chunks are roll-ups of this table, so the raw lines are
+    scanned and shuffled once (with map-side partial aggregation) instead of once per figure.
+    """
+    return (df.groupBy(F.to_date("date").alias("day"), F.hour("date").alias("hour"), "protocol", "dest_port",
+                       "rule_id", "action", "ip_source")
+            .agg(F.count(F.lit(1)).alias("n"), F.min("date").alias("first_seen"), F.max("date").alias("last_seen")))

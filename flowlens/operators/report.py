@@ -21,13 +21,18 @@ def _ranked(df: DataFrame, section: str, label, n: str = "n", pct: str | None =
     return out.select("section", F.row_number().over(w).alias("rank"), F.col("_label").alias("label"), "n", "pct")
 
 
-def report_sections(df: DataFrame) -> DataFrame:
+def report_sections(df: DataFrame, cube: DataFrame | None = None) -> DataFrame:
+    """All report chapters as ``(section, rank, label, n, pct)``, rolled up from ``flow_cube``."""
+    from flowlens.operators.kpi import flow_cube
+    from flowlens.session import materialize
+    c = cube if cube is not None else materialize(flow_cube(df), "flow-cube")
     a = F.col("action")
-    total = df.select(F.count(F.lit(1)).cast("double")).scalar()
-    head = df.agg(F.count(F.lit(1)).alias("total"), F.count_distinct("ip_source").alias("ips"),
-                  F.count_distinct("rule_id").alias("rules"), F.count_if(a == "Permit").alias("permit"),
-                  F.count_if(a == "Deny").alias("deny"), F.min("date").alias("dmin"), F.max("date").alias("dmax"))
-    p2 = lambda c: F.round((F.lit(100.0) * F.col(c)) / F.nullif(F.col("total").cast("double"), F.lit(0.0)), 2)
+    n = F.col("n")
+    head = c.agg(F.sum(n).alias("total"), F.count_distinct("ip_source").alias("ips"),
+                 F.count_distinct("rule_id").alias("rules"), F.sum(F.when(a == "Permit", n).otherwise(0)).alias("permit"),
+                 F.sum(F.when(a == "Deny", n).otherwise(0)).alias("deny"), F.min("first_seen").alias("dmin"),
+                 F.max("last_seen").alias("dmax"))
+    p2 = lambda c_: F.round((F.lit(100.0) * F.col(c_)) / F.nullif(F.col("total").cast("double"), F.lit(0.0)), 2)
     def row(rank, label, n, pct=None):
         return F.struct(F.lit(rank).alias("rank"), F.lit(label).alias("label") if isinstance(label, str) else label.alias("label"),
                         (F.lit(None) if n is None else n).cast("long").alias("n"),
@@ -40,35 +45,37 @@ def report_sections(df: DataFrame) -> DataFrame:
     summary = summary.select(F.lit("summary").alias("section"), F.col("s.rank").cast("int").alias("rank"),
                              F.col("s.label").alias("label"), F.col("s.n").cast("long").alias("n"), F.col("s.pct").alias("pct"))
     tcp, udp = F.col("protocol") == "TCP", F.col("protocol") == "UDP"
+    tk = lambda *a_, **k_: top_k(c, *a_, weight="n", **k_)
     parts = [
         summary,
-        _ranked(top_k(df, "rule_id", 10, share=True), "rules", F.col("rule_id"), keys=["rule_id"]),
-        _ranked(top_k(df, "protocol", 256, share=True), "protocols", F.col("protocol"), keys=["protocol"]),
-        _ranked(top_k(df, "rule_id", 10, where=udp, share=True), "udp_rules", F.col("rule_id"), keys=["rule_id"]),
-        _ranked(top_k(df, "rule_id", 5, where=tcp, share=True), "tcp_rules", F.col("rule_id"), keys=["rule_id"]),
-        _ranked(top_k(df, ["rule_id", "dest_port", "action"], 20, where=tcp), "tcp_rule_port_action",
+        _ranked(tk("rule_id", 10, share=True), "rules", F.col("rule_id"), keys=["rule_id"]),
+        _ranked(tk("protocol", 256, share=True), "protocols", F.col("protocol"), keys=["protocol"]),
+        _ranked(tk("rule_id", 10, where=udp, share=True), "udp_rules", F.col("rule_id"), keys=["rule_id"]),
+        _ranked(tk("rule_id", 5, where=tcp, share=True), "tcp_rules", F.col("rule_id"), keys=["rule_id"]),
+        _ranked(tk(["rule_id", "dest_port", "action"], 20, where=tcp), "tcp_rule_port_action",
                 F.concat_ws("/", F.col("rule_id").cast("string"), F.col("dest_port").cast("string"), F.col("action")),
                 pct=None, keys=["rule_id", "dest_port", "action"]),
-        _ranked(df.groupBy(F.to_date("date").alias("day"), "action").agg(F.count(F.lit(1)).alias("n")), "daily",
+        _ranked(c.groupBy("day", "action").agg(F.sum(n).alias("n")), "daily",
                 F.concat_ws(" ", F.col("day").cast("string"), F.col("action")), pct=None),
-        _ranked(top_k(df, "ip_source", 10, where=a == "Deny"), "denied_ips", F.col("ip_source"), pct=None,
+        _ranked(tk("ip_source", 10, where=a == "Deny"), "denied_ips", F.col("ip_source"), pct=None,
                 keys=["ip_source"]),
-        _ranked(df.groupBy(F.hour("date").alias("hour")).agg(F.count(F.lit(1)).alias("n")), "hourly",
+        _ranked(c.groupBy("hour").agg(F.sum(n).alias("n")), "hourly",
                 F.lpad(F.col("hour").cast("string"), 2, "0"), pct=None),
-        _ranked(top_k(df, "dest_port", 15), "ports", F.col("dest_port"), pct=None, keys=["dest_port"]),
+        _ranked(tk("dest_port", 15), "ports", F.col("dest_port"), pct=None, keys=["dest_port"]),
     ]
     out = parts[0]
     for p in parts[1:]:
         out = out.unionByName(p)
-    del total
     return out
 
 
-def report_conclusion(df: DataFrame) -> DataFrame:
+def report_conclusion(df: DataFrame, cube: DataFrame | None = None) -> DataFrame:
     """Top rule and protocol with their shares, and the deny percentage (conclusion figures)."""
-    rule = top_k(df, "rule_id", 1, share=True)
-    proto = top_k(df, "protocol", 1, share=True)
-    head = df.agg(F.count(F.lit(1)).alias("total"), F.count_if(F.col("action") == "Deny").alias("deny"))
+    from flowlens.operators.kpi import flow_cube
+    c = cube if cube is not None else flow_cube(df)
+    rule = top_k(c, "rule_id", 1, share=True, weight="n")
+    proto = top_k(c, "protocol", 1, share=True, weight="n")
+    head = c.agg(F.sum("n").alias("total"), F.sum(F.when(F.col("action") == "Deny", F.col("n")).otherwise(0)).alias("deny"))
     return head.select(
         "total",
         rule.select("rule_id").scalar().alias("top_rule"), rule.select("pct").scalar().alias("top_rule_pct"),
@@ -76,6 +83,14 @@ def report_conclusion(df: DataFrame) -> DataFrame:
         F.round((F.lit(100.0) * F.col("deny")) / F.nullif(F.col("total").cast("double"), F.lit(0.0)), 1).alias("deny_pct"))
 
 
+def publish_report(df: DataFrame, out_dir: str, fmt: str = "parquet") -> dict[str, str]:
+    """Write the report tables (sections + conclusion) under ``out_dir``; one shared cube."""
+    from flowlens.operators.kpi import flow_cube
+    from flowlens.session import materialize
+    from flowlens.sources.io import publish_tables
+    cube = materialize(flow_cube(df), "flow-cube")
+    return publish_tables({"sections": report_sections(df, cube), "conclusion": report_conclusion(df, cube)},
+                          out_dir, fmt)
 def publish_report(df: DataFrame, out_dir: str, fmt: str = "parquet") -> dict[str, str]:
     """Write the report tables (sections + conclusion) under ``out_dir``."""
     from flowlens.sources.io import publish_tables

@@ -16,13 +16,17 @@ def _keys(key) -> list[str]:
 
 
 def top_k(df: DataFrame, key, k: int, where: Column | None = None, share: bool = False,
-          name: str = "n") -> DataFrame:
-    """Most frequent values of ``key`` (optionally under ``where``), with percent of that total."""
+          name: str = "n", weight: str | None = None) -> DataFrame:
+    """Most frequent values of ``key`` (optionally under ``where``), with percent of that total.
+
+    With ``weight`` the rows are pre-aggregated counts (e.g. ``flow_cube``) and are summed.
+    """
     base = df if where is None else df.filter(where)
     keys = _keys(key)
-    counts = base.groupBy(*keys).agg(F.count(F.lit(1)).alias(name))
+    cnt = F.sum(weight) if weight else F.count(F.lit(1))
+    counts = base.groupBy(*keys).agg(cnt.alias(name))
     if share:
-        total = base.select(F.count(F.lit(1)).cast("double")).scalar()
+        total = base.select(cnt.cast("double")).scalar()
         counts = counts.withColumn("pct", F.round(F.lit(100.0) * F.col(name) / F.nullif(total, F.lit(0.0)), 2))
     return counts.orderBy(F.col(name).desc(), *[F.col(c).asc_nulls_last() for c in keys]).limit(k)
 
