@@ -152,3 +152,76 @@ def build_chunks(df: DataFrame, sample_n: int = 300, seed: int = 42, cube: DataF
     for c in (c1, c2, c3, c4, c5, c6, c7):
         out = out.unionByName(c)
     return out
+
+
+# ------------------------------------------------------------------------------ per-day chunks
+
+def _day_items(cube: DataFrame, key: str, k: int, item_fn, where: Column | None = None, sep: str = ", ") -> DataFrame:
+    """Per day: the top-k keys by line count rendered with ``item_fn`` and joined in rank order."""
+    from pyspark.sql import Window
+    base = cube if where is None else cube.filter(where)
+    c = base.groupBy("day", key).agg(F.sum("n").alias("n"))
+    w = Window.partitionBy("day").orderBy(F.col("n").desc(), F.col(key))
+    top = c.withColumn("rk", F.row_number().over(w)).filter(F.col("rk") <= F.lit(k))
+    return top.groupBy("day").agg(F.array_join(F.transform(
+        F.array_sort(F.collect_list(F.struct(F.col("rk"), item_fn().alias("item")))), lambda s: s["item"]), sep).alias("t"))
+
+
+def build_daily_chunks(df: DataFrame, cube: DataFrame | None = None) -> DataFrame:
+    """One chunk set per event day (summary, sources, ports, rules, time profile):
+    ``day, chunk_id, kind, text``. Every piece is a grouped roll-up of the cube; the per-day
+    top-k windows are pre-limited per task, so a hot day never ships all its keys to one task."""
+    from flowlens.operators.kpi import flow_cube
+    from flowlens.session import materialize
+    c = cube if cube is not None else materialize(flow_cube(df), "flow-cube")
+    a, n = F.col("action"), F.col("n")
+    deny = a == "Deny"
+    head = c.groupBy("day").agg(F.sum(n).alias("total"), F.sum(F.when(a == "Permit", n).otherwise(0)).alias("p"),
+                                F.sum(F.when(deny, n).otherwise(0)).alias("d"), F.min("first_seen").alias("dmin"),
+                                F.max("last_seen").alias("dmax"))
+    quoted = lambda key: (lambda: F.concat(F.lit("'"), F.col(key), F.lit("': "), F.col("n").cast("string")))
+    plain = lambda key: (lambda: F.concat(F.col(key).cast("string"), F.lit(": "), F.col("n").cast("string")))
+    port_item = lambda: F.concat(F.lit("Port "), F.col("dest_port").cast("string"), F.lit("("),
+                                 service_name("dest_port", UNKNOWN_SERVICE), F.lit("): "), F.col("n").cast("string"))
+    pieces = {
+        "proto": _day_items(c, "protocol", _MAX_PROTOCOLS, quoted("protocol")),
+        "ips": _day_items(c, "ip_source", 20, quoted("ip_source")),
+        "ips_d": _day_items(c, "ip_source", 20, quoted("ip_source"), deny),
+        "ports": _day_items(c, "dest_port", 20, port_item, sep="\n"),
+        "ports_d": _day_items(c, "dest_port", 20, port_item, deny, sep="\n"),
+        "rules": _day_items(c, "rule_id", 15, plain("rule_id")),
+        "rules_d": _day_items(c, "rule_id", 10, plain("rule_id"), deny),
+    }
+    hours = c.groupBy("day", "hour").agg(F.sum(n).alias("n"), F.sum(F.when(deny, n).otherwise(0)).alias("nd"))
+    hp = hours.groupBy("day").agg(
+        F.max_by("hour", F.struct(F.col("n"), -F.col("hour"))).alias("peak"),
+        F.max_by(F.when(F.col("nd") > 0, F.col("hour")), F.struct(F.col("nd"), -F.col("hour"))).alias("peak_d"),
+        F.array_join(F.transform(F.array_sort(F.collect_list(F.struct(F.col("hour"), F.concat(
+            F.lit("  "), F.col("hour").cast("string"), F.lit("h: "), F.col("n").cast("string")).alias("item")))),
+            lambda s: s["item"]), "\n").alias("hour_lines"))
+    t = head
+    for name, p in pieces.items():
+        t = t.join(p.withColumnRenamed("t", name), "day", "left")
+    t = t.join(hp, "day", "left")
+    g = lambda name: F.coalesce(F.col(name), F.lit(""))
+    day = F.col("day").cast("string")
+    ts = lambda col: F.date_format(col, "yyyy-MM-dd HH:mm:ss")
+    texts = [
+        (0, "summary", F.concat(F.lit(T_SUMMARY + " "), day, F.lit("\nTotal: "), F.format_number("total", 0),
+                                F.lit(" | Permit: "), F.format_number("p", 0), F.lit(" ("), _pct1("p", "total"),
+                                F.lit("%) | Deny: "), F.format_number("d", 0), F.lit(" ("), _pct1("d", "total"),
+                                F.lit("%)\nProtocoles: {"), g("proto"), F.lit("}"))),
+        (1, "ips", F.concat(F.lit(T_TOP_IPS + " "), day, F.lit("\n{"), g("ips"),
+                            F.lit("}\n\n" + T_TOP_DENIED_IPS + "\n{"), g("ips_d"), F.lit("}"))),
+        (2, "ports", F.concat(F.lit(T_PORTS + " "), day, F.lit("\n"), g("ports"), F.lit("\n" + T_DENIED_PORTS + "\n"),
+                              g("ports_d"))),
+        (3, "rules", F.concat(F.lit(T_RULES + " "), day, F.lit("\n{"), g("rules"), F.lit("}\n\n" + T_DENY_RULES + "\n{"),
+                              g("rules_d"), F.lit("}"))),
+        (4, "time", F.concat(F.lit(T_TIME + " "), day, F.lit("\nPeriode: "), ts(F.col("dmin")), F.lit(" -> "),
+                             ts(F.col("dmax")), F.lit("\nPic total: "), F.col("peak").cast("string"),
+                             F.lit("h | Pic deny: "), F.coalesce(F.col("peak_d").cast("string"), F.lit("N/A")),
+                             F.lit("h\n"), g("hour_lines"))),
+    ]
+    arr = F.array(*[F.struct(F.lit(i).alias("chunk_id"), F.lit(kind).alias("kind"), txt.alias("text"))
+                    for i, kind, txt in texts])
+    return t.select("day", F.explode(arr).alias("c")).select("day", "c.chunk_id", "c.kind", "c.text")

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from flowlens.operators import retrieval as RT
 from flowlens.operators.chunks import build_chunks
 from flowlens.plans.registry import query
-from flowlens.plans.sql_text import embed_cte, kb_cte, topn_cte
+from flowlens.plans.sql_text import daily_kb_sql, embed_cte, kb_cte, topn_cte
 from flowlens.plans.sqlbase import with_flows
 from flowlens.sources.tables import flows, load
 
@@ -19,6 +19,12 @@ def q_kb_chunks(spark, sf):
     return build_chunks(flows(spark, sf))
 
 
+@query("kb_chunks_daily", with_flows(daily_kb_sql()))
+def q_kb_chunks_daily(spark, sf):
+    from flowlens.operators.chunks import build_daily_chunks
+    return build_daily_chunks(flows(spark, sf))
+
+
 @query("chunk_embedding", "WITH " + embed_cte("e", "documents", "doc_id")
        + "\nSELECT id AS doc_id, dim, round(weight, 9) AS weight FROM e", headline=True)
 def q_chunk_embedding(spark, sf):

@@ -98,3 +98,68 @@ def topn_cte(name: str, qemb: str, iemb: str, ids_sql: str, qids_sql: str, n: in
             f" LEFT JOIN {name}_s s ON s.qid = a.qid AND s.id = b.id),\n"
             f"{name} AS (SELECT * FROM (SELECT qid, id, score, CAST(row_number() OVER (PARTITION BY qid ORDER BY"
             f" round(score, 9) DESC, id) AS INTEGER) AS rank FROM {name}_all) WHERE rank <= {n})")
+
+
+def _day_items_sql(key: str, k: int, item: str, where: str = "", sep: str = "', '") -> str:
+    w = f"WHERE {where}" if where else ""
+    return (f"(SELECT day, string_agg(item, {sep} ORDER BY rk) AS t FROM (SELECT day, {item} AS item,"
+            f" row_number() OVER (PARTITION BY day ORDER BY n DESC, {key}) AS rk FROM (SELECT CAST(date AS DATE) AS day,"
+            f" {key}, count(*) AS n FROM flows {w} GROUP BY 1, 2)) WHERE rk <= {k} GROUP BY day)")
+
+
+def daily_kb_sql() -> str:
+    deny = "action = 'Deny'"
+    quote = "''''"
+
+    def q(key):
+        return f"{quote} || {key} || {quote} || ': ' || CAST(n AS VARCHAR)"
+
+    def p(key):
+        return f"CAST({key} AS VARCHAR) || ': ' || CAST(n AS VARCHAR)"
+
+    port = (f"'Port ' || CAST(dest_port AS VARCHAR) || '(' || {_service('dest_port', C.UNKNOWN_SERVICE)} || '): '"
+            f" || CAST(n AS VARCHAR)")
+    pieces = {
+        "proto": _day_items_sql("protocol", 256, q("protocol")),
+        "ips": _day_items_sql("ip_source", 20, q("ip_source")),
+        "ips_d": _day_items_sql("ip_source", 20, q("ip_source"), deny),
+        "ports": _day_items_sql("dest_port", 20, port, sep="chr(10)"),
+        "ports_d": _day_items_sql("dest_port", 20, port, deny, sep="chr(10)"),
+        "rules": _day_items_sql("rule_id", 15, p("rule_id")),
+        "rules_d": _day_items_sql("rule_id", 10, p("rule_id"), deny),
+    }
+    head = ("(SELECT CAST(date AS DATE) AS day, count(*) AS total, count(*) FILTER (WHERE action = 'Permit') AS p,"
+            " count(*) FILTER (WHERE action = 'Deny') AS d, min(date) AS dmin, max(date) AS dmax FROM flows GROUP BY 1)")
+    hours = ("(SELECT CAST(date AS DATE) AS day, hour(date) AS h, count(*) AS n,"
+             " count(*) FILTER (WHERE action = 'Deny') AS nd FROM flows GROUP BY 1, 2)")
+    hp = (f"(SELECT day, arg_max(h, n * 100 - h) AS peak, arg_max(h, nd * 100 - h) FILTER (WHERE nd > 0) AS peak_d,"
+          f" string_agg('  ' || CAST(h AS VARCHAR) || 'h: ' || CAST(n AS VARCHAR), chr(10) ORDER BY h) AS hour_lines"
+          f" FROM {hours} GROUP BY day)")
+    joins = " ".join(f"LEFT JOIN {sql} {name} ON {name}.day = h.day" for name, sql in pieces.items())
+
+    def g(name):
+        return f"coalesce({name}.t, '')"
+
+    def ts(c):
+        return f"strftime({c}, '%Y-%m-%d %H:%M:%S')"
+
+    day = "CAST(h.day AS VARCHAR)"
+    lb, rb = "'{'", "'}'"
+    texts = [
+        (0, "summary", f"{s(C.T_SUMMARY + ' ')} || {day} || chr(10) || 'Total: ' || format('{{:,}}', total) || ' | Permit: '"
+                       f" || format('{{:,}}', p) || ' (' || {pct1_sql('p', 'total')} || '%) | Deny: ' || format('{{:,}}', d)"
+                       f" || ' (' || {pct1_sql('d', 'total')} || '%)' || chr(10) || 'Protocoles: ' || {lb} || {g('proto')}"
+                       f" || {rb}"),
+        (1, "ips", f"{s(C.T_TOP_IPS + ' ')} || {day} || chr(10) || {lb} || {g('ips')} || {rb} || chr(10) || chr(10)"
+                   f" || {s(C.T_TOP_DENIED_IPS)} || chr(10) || {lb} || {g('ips_d')} || {rb}"),
+        (2, "ports", f"{s(C.T_PORTS + ' ')} || {day} || chr(10) || {g('ports')} || chr(10) || {s(C.T_DENIED_PORTS)}"
+                     f" || chr(10) || {g('ports_d')}"),
+        (3, "rules", f"{s(C.T_RULES + ' ')} || {day} || chr(10) || {lb} || {g('rules')} || {rb} || chr(10) || chr(10)"
+                     f" || {s(C.T_DENY_RULES)} || chr(10) || {lb} || {g('rules_d')} || {rb}"),
+        (4, "time", f"{s(C.T_TIME + ' ')} || {day} || chr(10) || 'Periode: ' || {ts('dmin')} || ' -> ' || {ts('dmax')}"
+                    f" || chr(10) || 'Pic total: ' || CAST(peak AS VARCHAR) || 'h | Pic deny: '"
+                    f" || coalesce(CAST(peak_d AS VARCHAR), 'N/A') || 'h' || chr(10) || coalesce(hour_lines, '')"),
+    ]
+    base = f"FROM {head} h {joins} LEFT JOIN {hp} hp ON hp.day = h.day"
+    return "\nUNION ALL ".join(f"SELECT h.day AS day, {i} AS chunk_id, '{kind}' AS kind, {txt} AS text {base}"
+                              for i, kind, txt in texts)
