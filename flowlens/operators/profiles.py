@@ -47,12 +47,12 @@ def ip_profiles(df: DataFrame) -> DataFrame:
     Duration is (last - first) in minutes with a floor of 1 minute.
     """
     a = F.col("action")
-    us = F.unix_micros(F.col("date").cast("timestamp"))
     prof = df.groupBy("ip_source").agg(
         F.count_distinct("dest_port").alias("n_distinct_ports"),
         F.count_if(a == "Deny").alias("n_denies"),
         F.count("date").alias("n_connections"),
-        F.greatest((F.max(us) - F.min(us)) / F.lit(60_000_000.0), F.lit(1.0)).alias("duration_min"),
+        F.greatest(F.timestamp_diff("MICROSECOND", F.min("date"), F.max("date")) / F.lit(60_000_000.0),
+                   F.lit(1.0)).alias("duration_min"),
         F.avg("dest_port").alias("mean_port"),
         F.max("dest_port").alias("max_port"),
         F.avg((F.col("protocol") == "TCP").cast("int")).alias("tcp_ratio"),

@@ -132,7 +132,9 @@ def fingerprint(df: DataFrame, cols=None) -> DataFrame:
     for c in cols:
         t = dict(df.dtypes)[c]
         if t.startswith("timestamp"):
-            parts.append(F.unix_micros(F.col(c).cast("timestamp")).cast("string"))
+            # epoch microseconds of the wall-clock value, independent of the session time zone
+            epoch = F.lit("1970-01-01 00:00:00").cast("timestamp_ntz")
+            parts.append(F.timestamp_diff("MICROSECOND", epoch, F.col(c).cast("timestamp_ntz")).cast("string"))
         else:
             parts.append(F.col(c).cast("string"))
     row = F.concat_ws("|", *[F.coalesce(p, F.lit("\\N")) for p in parts])
