@@ -282,3 +282,22 @@ def q_filter_options(spark, sf):
     fl = flows(spark, sf)
     return (fl.select(F.lit("protocol").alias("kind"), F.col("protocol").alias("value")).distinct()
             .unionByName(fl.select(F.lit("action").alias("kind"), F.col("action").alias("value")).distinct()))
+
+
+@query("dash_filtered_block_rate", with_flows(f"""SELECT protocol, count(*) AS total,
+ count(*) FILTER (WHERE action = 'Deny') AS denied,
+ {pct_sql("count(*) FILTER (WHERE action = 'Deny')", "count(*)")} AS deny_rate
+FROM flows WHERE protocol IN ('TCP', 'UDP') AND dest_port >= 1024 AND dest_port < 49152 GROUP BY protocol"""))
+def q_dash_filtered_block_rate(spark, sf):
+    from flowlens.operators.dashboard import dashboard_panels
+    spec = FilterSpec(protocols=("TCP", "UDP"), port_range="user")
+    return dashboard_panels(flows(spark, sf), spec)["block_rate"]
+
+
+@query("dash_filtered_privileged_ports", with_flows(f"""SELECT t.dest_port, t.n, coalesce(s.service, 'Autre') AS service
+FROM (SELECT dest_port, count(*) AS n FROM flows WHERE protocol IN ('TCP') AND action IN ('Deny') AND dest_port < 1024
+      GROUP BY dest_port ORDER BY n DESC, dest_port LIMIT 10) t LEFT JOIN ({SERVICES_SQL}) s ON t.dest_port = s.port"""))
+def q_dash_filtered_privileged_ports(spark, sf):
+    from flowlens.operators.dashboard import dashboard_panels
+    spec = FilterSpec(protocols=("TCP",), actions=("Deny",))
+    return dashboard_panels(flows(spark, sf), spec)["privileged_ports"]

@@ -203,3 +203,14 @@ def q_cart_importance(spark, sf):
 def q_cart_rules_apply(spark, sf):
     from flowlens.operators.classify import cart_rules_apply
     return cart_rules_apply(_feats(spark, sf))
+
+
+@query("lof_rank_curve", with_flows("""SELECT CAST(row_number() OVER (ORDER BY lof DESC, ip_source) AS INTEGER) AS rank,
+ ip_source, round(lof, 6) AS lof FROM (SELECT * FROM lof_flag ORDER BY lof DESC, ip_source LIMIT 100)""",
+                                    extra=lof_ctes(LOF_FEATURES)))
+def q_lof_rank_curve(spark, sf):
+    from pyspark.sql import Window
+    top = L.lof_for_flows(flows(spark, sf)).orderBy(F.col("lof").desc(), "ip_source").limit(100)
+    # rank within the 100-row slice (bounded), the head of the sorted-score curve
+    w = Window.orderBy(F.col("lof").desc(), "ip_source")
+    return top.select(F.row_number().over(w).alias("rank"), "ip_source", F.round("lof", 6).alias("lof"))
