@@ -1,8 +1,9 @@
 """Isolation Forest (J2, J3, F26, H13) — not in MLlib, so built from Spark pieces.
 
-* Sampling: each row draws a hash-uniform number per tree; rows under a small rate are exploded
-  into (tree, row) pairs and the psi smallest per tree are kept (a window with a literal bound,
-  so each task pre-limits before the shuffle). The sample is ~psi * trees rows whatever n is.
+* Sampling: one hash per row draws a uniform pool of ~4 * trees * psi rows; pool rows draw a
+  hash-uniform number per tree, rows under a small rate are exploded into (tree, row) pairs and
+  the psi smallest per tree are kept (a window with a literal bound, so each task pre-limits
+  before the shuffle). The sample is ~psi * trees rows whatever n is.
 * Building: ``groupBy(tree).applyInPandas`` grows one isolation tree per group (numpy, <= psi rows).
 * Scoring: the trees (trees x <= 2 psi nodes, bounded by the parameters) are shipped to the tasks and
   every partition is scored with ``mapInPandas`` — no shuffle of the scored data.
@@ -89,9 +90,15 @@ def fit_trees(df: DataFrame, cols, key: str, trees: int = 100, psi: int = 256, s
     cols = list(cols)
     n = df.count()
     psi = int(min(psi, n))
-    rate = min(1.0, 4.0 * psi / max(n, 1) + 1e-9)
+    # One hash per row draws a uniform pool of ~4 * trees * psi rows; only pool rows are hashed
+    # per tree. Each tree's psi rows are then a uniform subset of the data (by symmetry), and the
+    # per-tree work no longer grows with n. Small inputs are their own pool.
+    pool_rate = min(1.0, 4.0 * trees * psi / max(n, 1))
+    pool = df if pool_rate >= 1.0 else df.filter(_u01([key], F.lit(-1 - seed)) < F.lit(pool_rate))
+    m = min(n, int(math.ceil(4.0 * trees * psi)))
+    rate = min(1.0, 4.0 * psi / max(m, 1) + 1e-9)
     pick = F.filter(F.sequence(F.lit(0), F.lit(trees - 1)), lambda t: _u01([key], t + F.lit(seed * 1000003)) < F.lit(rate))
-    ex = df.select(key, *cols, F.explode(pick).alias("tree"))
+    ex = pool.select(key, *cols, F.explode(pick).alias("tree"))
     ex = ex.withColumn("u", _u01([key], F.col("tree") + F.lit(seed * 1000003)))
     w = Window.partitionBy("tree").orderBy("u", key)
     sample = ex.withColumn("rn", F.row_number().over(w)).filter(F.col("rn") <= F.lit(psi)).drop("rn", "u")

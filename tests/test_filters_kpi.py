@@ -73,3 +73,25 @@ def test_last_n_days(spark):
     rows = [(dt.datetime(2026, 1, d, 12, 0),) for d in range(1, 31)]
     df = spark.createDataFrame(rows, "date timestamp_ntz")
     assert last_n_days(df, 7).count() == 8          # Jan 23 12:00 .. Jan 30 12:00 inclusive
+
+
+def test_dashboard_panels_share_one_filter(spark):
+    from flowlens.operators.dashboard import dashboard_panels
+    fl = flows(spark, SF01)
+    spec = FilterSpec(protocols=("TCP",), port_range="system")
+    panels = dashboard_panels(fl, spec)
+    kept = selectivity(fl, spec).first().kept
+    pa = panels["protocol_action"].collect()
+    assert [r.protocol for r in pa] == ["TCP"]
+    assert sum(r.Permit + r.Deny for r in pa) == kept
+    assert panels["ip_behaviour"].agg(F.sum("total")).first()[0] == kept
+    assert all(r.dest_port < 1024 for r in panels["privileged_ports"].collect())
+
+
+def test_daily_chunks_one_set_per_day(spark):
+    from flowlens.operators.chunks import build_daily_chunks
+    fl = flows(spark, SF01)
+    ch = build_daily_chunks(fl)
+    days = fl.select(F.to_date("date")).distinct().count()
+    assert ch.count() == 5 * days
+    assert ch.filter(F.col("text").isNull()).count() == 0
