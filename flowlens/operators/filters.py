@@ -70,7 +70,17 @@ def predicate(spec: FilterSpec) -> Column:
 
 
 def apply_filter(df: DataFrame, spec: FilterSpec) -> DataFrame:
-    return df.filter(predicate(spec))
+    """Filter by the spec. On a day-partitioned flow table (a ``day`` column, as written by
+    ``write_daily_index``) the date range is also applied to ``day``, so whole day folders are
+    pruned at planning time."""
+    out = df.filter(predicate(spec))
+    if "day" in df.columns and (spec.start is not None or spec.end is not None):
+        d = F.col("day")
+        if spec.start is not None:
+            out = out.filter(d >= F.to_date(_ts(spec.start)))
+        if spec.end is not None:
+            out = out.filter(d <= F.to_date(_ts(spec.end)))
+    return out
 
 
 def selectivity(df: DataFrame, spec: FilterSpec) -> DataFrame:

@@ -138,3 +138,9 @@ def publish_tables(tables: dict[str, DataFrame], out_dir: str, fmt: str = "parqu
         df.write.mode("overwrite").format(fmt).option("header", True).save(p)
         paths[name] = p
     return paths
+
+
+def read_flow_table(spark: SparkSession, path: str) -> DataFrame:
+    """A day-partitioned flow table written by ``write_daily_index`` (parquet); ``day`` is the
+    partition column, so date filters through ``apply_filter`` prune folders."""
+    return spark.read.parquet(path)

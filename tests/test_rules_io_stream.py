@@ -74,3 +74,16 @@ def test_stream_late_row_is_dropped(spark):
     res = S.latest(spark, out, ["window_start", "window_end"])
     first = res.filter(F.col("window_start") == F.lit(t).cast("timestamp")).first()
     assert first.Permit == 1 and first.Deny == 0      # the late Deny did not reopen the closed window
+
+
+def test_day_partition_pruning(spark):
+    from flowlens.operators.filters import FilterSpec, apply_filter
+    fl = flows(spark, SF001)
+    base = tempfile.mkdtemp(prefix="flowlens-prune-")
+    io.write_daily_index(fl, f"{base}/t")
+    t = io.read_flow_table(spark, f"{base}/t")
+    f = apply_filter(t, FilterSpec(start="2024-01-05", end="2024-01-07"))
+    plan = f._jdf.queryExecution().executedPlan().toString()
+    assert "PartitionFilters: [isnotnull(day" in plan
+    want = apply_filter(fl, FilterSpec(start="2024-01-05", end="2024-01-07")).count()
+    assert f.count() == want
