@@ -52,14 +52,16 @@ def default_rule(c: Column) -> Column:
 
 
 def line_class(value="value") -> Column:
+    """Template id of a raw line: one regex finds what follows ``DPT=`` (WINDOW / LEN / SEQ);
+    the ``DF`` flag and the header are plain substring tests."""
     v = F.col(value) if isinstance(value, str) else value
-    df_flag = v.rlike(r"\sDF(\s|$)")
-    after = lambda k: v.rlike(r"\sDPT=\S*\s" + k + "=")
-    head = v.rlike(r"action=") & v.rlike(r"\sRULE=")
+    trailer = F.regexp_extract(v, r" DPT=\S* (WINDOW|LEN|SEQ)=", 1)
+    df_flag = v.contains(" DF ") | v.endswith(" DF")
+    head = v.contains("action=") & v.contains(" RULE=")
     return (F.when(~head, F.lit(None).cast("int"))
-            .when(after("WINDOW") & ~df_flag, 2222).when(after("WINDOW") & df_flag, 2223)
-            .when(after("LEN"), 2224)
-            .when(after("SEQ") & df_flag, 2226).when(after("SEQ") & ~df_flag, 2227))
+            .when((trailer == "WINDOW") & ~df_flag, 2222).when((trailer == "WINDOW") & df_flag, 2223)
+            .when(trailer == "LEN", 2224)
+            .when((trailer == "SEQ") & df_flag, 2226).when((trailer == "SEQ") & ~df_flag, 2227))
 
 
 def accepted(value="value") -> Column:
