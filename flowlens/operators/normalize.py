@@ -22,14 +22,16 @@ _TS_PREFIX = r"^(\d{4}-\d{2}-\d{2}[T ]\d{2}:\d{2}:\d{2})"
 LINE_CLASSES = (2222, 2223, 2224, 2226, 2227)
 
 
-def kv(value, key: str) -> Column:
+def kv(value, key: str, padded: bool = False) -> Column:
     """Value of ``KEY=`` (first occurrence); null when the key is absent, '' when empty.
 
     ``regexp_substr`` on the line with a leading space finds `` KEY=...`` in one pass (a literal
-    prefix, so the regex engine skips ahead) and yields NULL when the key is absent.
+    prefix, so the regex engine skips ahead) and yields NULL when the key is absent. With
+    ``padded`` the column already starts with that space.
     """
     v = F.col(value) if isinstance(value, str) else value
-    hit = F.regexp_substr(F.concat(F.lit(" "), v), F.lit(" " + key + r"=\S*"))
+    line = v if padded else F.concat(F.lit(" "), v)
+    hit = F.regexp_substr(line, F.lit(" " + key + r"=\S*"))
     return F.substring(hit, len(key) + 3, 1 << 30)
 
 
@@ -51,19 +53,28 @@ def default_rule(c: Column) -> Column:
     return F.coalesce(to_int(F.nullif(c, F.lit(""))), F.lit(DEFAULT_RULE))
 
 
-def line_class(value="value") -> Column:
-    """Template id of a raw line: one regex finds what follows ``DPT=`` (WINDOW / LEN / SEQ);
-    the ``DF`` flag and the header are plain substring tests."""
-    v = F.col(value) if isinstance(value, str) else value
-    trailer = F.regexp_extract(v, r" DPT=\S* (WINDOW|LEN|SEQ)=", 1)
-    df_flag = v.contains(" DF ") | v.endswith(" DF")
-    head = v.contains("action=") & v.contains(" RULE=")
+def _class_parts(v: Column) -> dict:
+    """What follows ``DPT=`` (WINDOW / LEN / SEQ), the ``DF`` flag and the header test."""
+    return {"_trailer": F.regexp_extract(v, r" DPT=\S* (WINDOW|LEN|SEQ)=", 1),
+            "_df": v.contains(" DF ") | v.endswith(" DF"),
+            "_head": v.contains("action=") & v.contains(" RULE=")}
+
+
+def _class_from(trailer: Column, df_flag: Column, head: Column) -> Column:
     return (F.when(~head, F.lit(None).cast("int"))
             .when((trailer == "WINDOW") & ~df_flag, 2222).when((trailer == "WINDOW") & df_flag, 2223)
             .when(trailer == "LEN", 2224)
             .when((trailer == "SEQ") & df_flag, 2226).when((trailer == "SEQ") & ~df_flag, 2227))
 
 
+def line_class(value="value") -> Column:
+    """Template id of a raw line (2222/2223/2224/2226/2227 or null): one regex finds what follows
+    ``DPT=``; the ``DF`` flag and the header are plain substring tests."""
+    v = F.col(value) if isinstance(value, str) else value
+    p = _class_parts(v)
+    return _class_from(p["_trailer"], p["_df"], p["_head"])
+
+
 def accepted(value="value") -> Column:
     """Forwarding filter: contains ``RULE=`` and ``action=PERMIT`` or ``action=DENY``."""
     v = F.col(value) if isinstance(value, str) else value
@@ -91,17 +102,22 @@ def parse_raw(lines: DataFrame, value: str = "value", ingest_col: str | None = N
         fallbacks.append(F.col(ingest_col).cast("timestamp_ntz"))
     if "date" in lines.columns:
         fallbacks.append(F.col("date").cast("timestamp_ntz"))
+    # the padded line is built once (a column), not once per key: smaller generated code
+    lines = lines.withColumn("_line", F.concat(F.lit(" "), v))
+    ln = F.col("_line")
     raw = {
-        "ip_source": kv(v, "SRC"), "ip_destination": kv(v, "DST"), "_proto": kv(v, "PROTO"),
-        "_spt": kv(v, "SPT"), "_dpt": kv(v, "DPT"), "_rule": kv(v, "RULE"), "_action": kv(v, "action"),
-        "interface_in": kv(v, "IN"), "interface_out": kv(v, "OUT"), "mac": kv(v, "MAC"),
+        "ip_source": kv(ln, "SRC", True), "ip_destination": kv(ln, "DST", True), "_proto": kv(ln, "PROTO", True),
+        "_spt": kv(ln, "SPT", True), "_dpt": kv(ln, "DPT", True), "_rule": kv(ln, "RULE", True),
+        "_action": kv(ln, "action", True), "interface_in": kv(ln, "IN", True), "interface_out": kv(ln, "OUT", True),
+        "mac": kv(ln, "MAC", True),
     }
     extra = [F.col(c) for c in keep]
     # Two projections: extract each key once, then cast / range-check the extracted strings
     # (Catalyst does not merge them back because the extractions are not cheap to repeat).
     step = lines.select(*extra, F.regexp_extract(v, _TS_PREFIX, 1).alias("_ts"),
                         *[f.alias(f"_fb{i}") for i, f in enumerate(fallbacks)],
-                        *[c.alias(n) for n, c in raw.items()], line_class(v).alias("parse_class"))
+                        *[c.alias(n) for n, c in raw.items()],
+                        *[c.alias(n) for n, c in _class_parts(v).items()])
     ts = F.coalesce(F.try_to_timestamp(F.col("_ts"), F.lit("yyyy-MM-dd'T'HH:mm:ss")),
                     F.try_to_timestamp(F.col("_ts"), F.lit("yyyy-MM-dd HH:mm:ss"))).cast("timestamp_ntz")
     date = F.coalesce(ts, *[F.col(f"_fb{i}") for i in range(len(fallbacks))])
@@ -112,7 +128,8 @@ def parse_raw(lines: DataFrame, value: str = "value", ingest_col: str | None = N
         to_int(F.col("_dpt"), 0, 65535).alias("dest_port"),
         default_rule(F.col("_rule")).alias("rule_id"),
         normalize_action(F.col("_action")).alias("action"),
-        "interface_in", "interface_out", "parse_class", "mac")
+        "interface_in", "interface_out",
+        _class_from(F.col("_trailer"), F.col("_df"), F.col("_head")).alias("parse_class"), "mac")
 
 
 def accept(lines: DataFrame, value: str = "value") -> DataFrame:
