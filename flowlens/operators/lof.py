@@ -62,11 +62,11 @@ def knn(points: DataFrame, k: int, key: str = "ip_source", d: int | None = None,
     vec = (points.groupBy(*zc).agg(F.count(F.lit(1)).alias("mult"), F.min(key).alias("tie"))
            .withColumn("vid", F.xxhash64(*zc)))
     vec = materialize(vec, "lof-vectors")  # cut lineage: reused by every level
-    n = vec.agg(F.sum("mult")).first()[0] or 0
+    ranges = vec.agg(F.sum("mult").alias("_n"), *[(F.max(c) - F.min(c)).alias(c) for c in zc]).first()
+    n = ranges["_n"] or 0
     k = min(k, max(n - 1, 0))
     if k == 0:
         return vec, spark.createDataFrame([], "vid long, nid long, dist double, take long")
-    ranges = vec.agg(*[(F.max(c) - F.min(c)).alias(c) for c in zc]).first()
     span = max([ranges[c] or 0.0 for c in zc] + [1e-9])
     if w0 is None:
         # Start fine (a dense region resolves with few candidates), grow geometrically.
@@ -146,6 +146,7 @@ def lof(profiles: DataFrame, cols=LOF_FEATURES, k: int = 20, contamination: floa
     """LOF score and outlier flag per key: ``key, lof, is_outlier``."""
     pts = materialize(scaled_features(profiles, cols, key), "lof-points")
     vec, nb = knn(pts, k, key)
+    nb = materialize(nb, "lof-neighbours")  # read three times below
     kd = nb.groupBy("vid").agg(F.max("dist").alias("kdist"))
     # reach distance uses the neighbour's k-distance
     r = (nb.join(kd.select(F.col("vid").alias("nid"), F.col("kdist").alias("nkd")), "nid")
