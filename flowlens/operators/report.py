@@ -76,10 +76,12 @@ def report_conclusion(df: DataFrame, cube: DataFrame | None = None) -> DataFrame
     rule = top_k(c, "rule_id", 1, share=True, weight="n")
     proto = top_k(c, "protocol", 1, share=True, weight="n")
     head = c.agg(F.sum("n").alias("total"), F.sum(F.when(F.col("action") == "Deny", F.col("n")).otherwise(0)).alias("deny"))
+    r = rule.select(F.struct("rule_id", "pct")).scalar()      # one subquery per top-1 table
+    p = proto.select(F.struct("protocol", "pct")).scalar()
     return head.select(
         "total",
-        rule.select("rule_id").scalar().alias("top_rule"), rule.select("pct").scalar().alias("top_rule_pct"),
-        proto.select("protocol").scalar().alias("top_protocol"), proto.select("pct").scalar().alias("top_protocol_pct"),
+        r["rule_id"].alias("top_rule"), r["pct"].alias("top_rule_pct"),
+        p["protocol"].alias("top_protocol"), p["pct"].alias("top_protocol_pct"),
         F.round((F.lit(100.0) * F.col("deny")) / F.nullif(F.col("total").cast("double"), F.lit(0.0)), 1).alias("deny_pct"))
 
 

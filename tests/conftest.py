@@ -11,6 +11,7 @@ SF01 = "/root/testdata/sf0.01"
 
 @pytest.fixture(scope="session")
 def spark():
+    import tempfile
     from flowlens.session import get_spark
-    s = get_spark("local[*]", 8)
+    s = get_spark("local[*]", 8, extra={"spark.sql.warehouse.dir": tempfile.mkdtemp(prefix="flowlens-wh-")})
     yield s

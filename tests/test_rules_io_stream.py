@@ -87,3 +87,14 @@ def test_day_partition_pruning(spark):
     assert "PartitionFilters: [isnotnull(day" in plan
     want = apply_filter(fl, FilterSpec(start="2024-01-05", end="2024-01-07")).count()
     assert f.count() == want
+
+
+def test_fw_table_append_is_idempotent_per_batch(spark):
+    fl = flows(spark, SF001).limit(50)
+    name = "fw_test_" + os.urandom(4).hex()
+    io.append_fw_table(fl, name, batch_id=0)
+    io.append_fw_table(fl, name, batch_id=0)          # replayed batch: overwrites its own partition
+    io.append_fw_table(fl.limit(10), name, batch_id=1)
+    assert spark.read.table(name).count() == 60
+    back = io.read_fw_table(spark, name)
+    assert back.filter(F.col("rule_id").isNull()).count() == 0 and back.count() == 60
