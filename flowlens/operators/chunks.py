@@ -78,14 +78,21 @@ def _chunk(i: int, kind: str, text: Column, base: DataFrame) -> DataFrame:
     return base.select(F.lit(i).alias("chunk_id"), F.lit(kind).alias("kind"), text.alias("text"))
 
 
-def build_chunks(df: DataFrame, sample_n: int = 300, seed: int = 42, cube: DataFrame | None = None) -> DataFrame:
+def build_chunks(df: DataFrame, sample_n: int = 300, seed: int = 42, cube: DataFrame | None = None,
+                 per: str | None = None) -> DataFrame:
     """The eight knowledge-base chunks of a flow table: ``chunk_id, kind, text``.
 
+    With ``per="day"`` one chunk set per event day is built instead (``build_daily_chunks``).
+
     All counts come from the materialised ``flow_cube`` (one scan and shuffle of the raw lines);
     only the sensitive-port lines and the sample read raw rows (each a per-task top-k).
     """
     from flowlens.operators.kpi import flow_cube
     from flowlens.session import materialize
+    if per == "day":
+        return build_daily_chunks(df, cube)
+    if per is not None:
+        raise ValueError(f"unsupported chunk grouping {per!r}")
     raw = df
     df = cube if cube is not None else materialize(flow_cube(raw), "flow-cube")
     a = F.col("action")

@@ -26,6 +26,8 @@ class FilterSpec:
     start: str | date | datetime | None = None
     end: str | date | datetime | None = None
     inclusive_midnight: bool = False
+    rules: tuple | None = None
+    ips: tuple | None = None
 
 
 def port_predicate(preset: str, port: Column | None = None, lo: int = 0, hi: int = 65535) -> Column:
@@ -64,6 +66,10 @@ def predicate(spec: FilterSpec) -> Column:
         cond = cond & F.col("protocol").isin(list(spec.protocols))
     if spec.actions is not None:
         cond = cond & F.col("action").isin(list(spec.actions))
+    if spec.rules is not None:
+        cond = cond & F.col("rule_id").isin(list(spec.rules))
+    if spec.ips is not None:
+        cond = cond & F.col("ip_source").isin(list(spec.ips))
     if spec.start is not None or spec.end is not None:
         cond = cond & date_predicate(spec.start, spec.end, spec.inclusive_midnight)
     return F.coalesce(cond, F.lit(False))

@@ -301,3 +301,24 @@ def q_dash_filtered_privileged_ports(spark, sf):
     from flowlens.operators.dashboard import dashboard_panels
     spec = FilterSpec(protocols=("TCP",), actions=("Deny",))
     return dashboard_panels(flows(spark, sf), spec)["privileged_ports"]
+
+
+@query("recent_events_filtered", with_flows("""SELECT * FROM flows WHERE protocol IN ('TCP') AND action IN ('Deny')
+ AND rule_id IN (999) ORDER BY date DESC, flow_id DESC LIMIT 20"""))
+def q_recent_events_filtered(spark, sf):
+    # The saved panel's controls (action / protocol / policy / source) applied to the newest events.
+    spec = FilterSpec(protocols=("TCP",), actions=("Deny",), rules=(999,))
+    return topk.recent(apply_filter(flows(spark, sf), spec), 20)
+
+
+@query("recent_events_by_ip", with_flows("""SELECT * FROM flows WHERE ip_source IN ('203.0.113.5', '159.84.1.8')
+ ORDER BY date DESC, flow_id DESC LIMIT 20"""))
+def q_recent_events_by_ip(spark, sf):
+    spec = FilterSpec(ips=("203.0.113.5", "159.84.1.8"))
+    return topk.recent(apply_filter(flows(spark, sf), spec), 20)
+
+
+@query("daily_actions_long", with_flows("""SELECT CAST(date AS DATE) AS day, action, count(*) AS n
+FROM flows GROUP BY 1, 2"""))
+def q_daily_actions_long(spark, sf):
+    return kpi.counts_over(flows(spark, sf).withColumn("day", F.to_date("date")), ["day", "action"])
