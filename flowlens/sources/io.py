@@ -118,10 +118,11 @@ def append_fw_table(df: DataFrame, name: str, batch_id: int | None = None) -> No
 def write_daily_index(df: DataFrame, path: str, fmt: str = "parquet", mode: str = "overwrite") -> None:
     """One folder per event day (the day-named index); readers get partition pruning on ``day``.
 
-    Rows are clustered by day before the write so each task writes few files per day.
+    Rows are clustered by day with a ``REBALANCE`` hint: each task writes few files per day, and
+    AQE splits a hot day (say a third of all rows) over several tasks instead of one.
     """
     out = df.withColumn("day", F.to_date("date"))
-    (out.repartition("day").write.mode(mode).partitionBy("day").format(fmt).save(path))
+    (out.hint("rebalance", "day").write.mode(mode).partitionBy("day").format(fmt).save(path))
 
 
 def export_csv(df: DataFrame, path: str, n: int, order=("date", "flow_id")) -> None:
