@@ -146,7 +146,6 @@ def fingerprint(df: DataFrame, cols=None) -> DataFrame:
 def build_index(df: DataFrame, id_col: str, text_col: str, path: str, dims: int = EMBED_DIMS) -> DataFrame:
     """Persist the embedding index at ``path`` with the fingerprint of its source beside it, and
     reuse it when the source has not changed (fingerprint over all rows, order-insensitive)."""
-    import json
     spark = df.sparkSession
     fp = fingerprint(df.select(id_col, text_col)).first().asDict()
     fp_path = f"{path.rstrip('/')}/_fingerprint"
@@ -158,7 +157,6 @@ def build_index(df: DataFrame, id_col: str, text_col: str, path: str, dims: int
         pass
     embed(df, id_col, text_col, dims).write.mode("overwrite").parquet(f"{path.rstrip('/')}/index")
     spark.createDataFrame([fp]).coalesce(1).write.mode("overwrite").json(fp_path)
-    del json
     return spark.read.parquet(f"{path.rstrip('/')}/index")
 
 

@@ -95,14 +95,12 @@ def rate_cap(flows: DataFrame, rules: DataFrame) -> DataFrame:
     The literal bound ``rn <= max(per_sec)`` lets Spark insert a per-task group limit before
     the shuffle, so even a (rule, second) holding millions of lines ships at most k rows per task.
     """
-    spark = flows.sparkSession
     caps = rules.select("rule_id", "per_sec")
     max_k = int(caps.agg(F.max("per_sec")).first()[0] or 0)  # rule table: a few rows
     sec = F.date_trunc("second", F.col("date"))
     w = Window.partitionBy("rule_id", "sec").orderBy("date", "flow_id")
     ranked = (flows.withColumn("sec", sec).withColumn("rn", F.row_number().over(w))
               .filter(F.col("rn") <= F.lit(max_k)))
-    del spark
     return (ranked.join(F.broadcast(caps), "rule_id", "inner")
             .filter(F.col("rn") <= F.col("per_sec")).drop("sec"))
 
