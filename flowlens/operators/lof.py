@@ -69,8 +69,9 @@ def knn(points: DataFrame, k: int, key: str = "ip_source", d: int | None = None,
         return vec, spark.createDataFrame([], "vid long, nid long, dist double, take long")
     span = max([ranges[c] or 0.0 for c in zc] + [1e-9])
     if w0 is None:
-        # Start fine (a dense region resolves with few candidates), grow geometrically.
-        w0 = max(4.0 * (k / max(n, 1)) ** (1.0 / d) / 4.0, 1e-6)
+        # Start at the density heuristic (about k neighbours per cell on average); the occupancy
+        # check below shrinks it where a dense region would put too many vectors in one cell.
+        w0 = max(4.0 * (k / max(n, 1)) ** (1.0 / d), 1e-6)
     w_heur = w0
     # A dense cluster of distinct-but-close vectors must not land in one starting cell (its
     # queries would each see the whole cluster): shrink the first width until no cell holds more
