@@ -65,13 +65,13 @@ def replay_counts(flows: DataFrame, rules: DataFrame) -> DataFrame:
     flow's matching rules are found in the same row with an array filter: one narrow pass and a
     tiny final aggregate, no shuffle by flow.
     """
-    n_rules = rules.count()
-    if n_rules > MAX_INLINE_RULES:
+    cols = ["rule_id", "proto", "lo", "hi", "not_ports", "src_eq", "src_ne", "action"]
+    rs = rules.select(*cols).limit(MAX_INLINE_RULES + 1).collect()   # bounded read of the config
+    if len(rs) > MAX_INLINE_RULES:
         m = replay(flows, rules)
         per_flow = m.groupBy("flow_id").agg(F.count(F.lit(1)).alias("k"))
         return (m.join(per_flow, "flow_id").groupBy("matched_rule", "matched_action")
                 .agg(F.count(F.lit(1)).alias("n"), F.count_if(F.col("k") > 1).alias("n_multi")))
-    rs = rules.select("rule_id", "proto", "lo", "hi", "not_ports", "src_eq", "src_ne", "action").collect()
     lit_rules = F.array(*[F.struct(
         F.lit(r.rule_id).alias("rule_id"), F.lit(r.proto).alias("proto"), F.lit(r.lo).alias("lo"), F.lit(r.hi).alias("hi"),
         F.lit(r.not_ports).cast("array<int>").alias("not_ports"), F.lit(r.src_eq).cast("string").alias("src_eq"),
