@@ -65,23 +65,35 @@ def _best_kmeans(vec: DataFrame, k: int, n_init: int, seed: int, workers: int =
     return min(fits, key=lambda mc: mc[1])
 
 
-def kmeans_scan(df: DataFrame, cols, kmax: int = 8, n_init: int = 10, seed: int = 42, key: str = "ip_source",
-                workers: int = 8):
-    """Inertia and silhouette (squared Euclidean) for k = 2..kmax; ``(scan, k_best)``."""
+def kmeans_fit_scan(df: DataFrame, cols, kmax: int = 8, n_init: int = 10, seed: int = 42, key: str = "ip_source",
+                    workers: int = 8):
+    """Scan k = 2..kmax (best of ``n_init`` seeded fits each, run concurrently) and keep the models.
+
+    Returns ``(scan, k_best, models, vectors)``: inertia / silhouette per k, the k with the best
+    silhouette, the best model per k and the (materialised) feature vectors.
+    """
     from concurrent.futures import ThreadPoolExecutor
-    # Iterative fits re-plan their input on every pass: cut the lineage once (reliable checkpoint
-    # in the shared folder named by spark.checkpoint.dir).
+    # Iterative fits re-plan their input on every pass: cut the lineage once (a written table in
+    # the shared folder named by spark.checkpoint.dir).
     vec = materialize(assemble(df, cols).select(key, "features"), "kmeans-input")
     ev = ClusteringEvaluator(featuresCol="features", predictionCol="cluster", distanceMeasure="squaredEuclidean")
     tasks = [(k, r) for k in range(2, kmax + 1) for r in range(n_init)]
     with ThreadPoolExecutor(max_workers=workers) as ex:
         fits = list(ex.map(lambda t: (t[0],) + _fit(vec, t[0], seed + t[1]), tasks))
-    rows = []
+    rows, models = [], {}
     for k in range(2, kmax + 1):
         m, cost = min(((m, c) for kk, m, c in fits if kk == k), key=lambda mc: mc[1])
+        models[k] = m
         rows.append((k, float(cost), float(ev.evaluate(m.transform(vec)))))
     scan = df.sparkSession.createDataFrame(rows, "k int, inertia double, silhouette double")
     k_best = max(rows, key=lambda r: (r[2], -r[0]))[0]
+    return scan, k_best, models, vec
+
+
+def kmeans_scan(df: DataFrame, cols, kmax: int = 8, n_init: int = 10, seed: int = 42, key: str = "ip_source",
+                workers: int = 8):
+    """Inertia and silhouette (squared Euclidean) for k = 2..kmax; ``(scan, k_best)``."""
+    scan, k_best, _, _ = kmeans_fit_scan(df, cols, kmax, n_init, seed, key, workers)
     return scan, k_best
 
 

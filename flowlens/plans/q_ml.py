@@ -103,10 +103,12 @@ def q_kmeans_scan(spark, sf):
 
 
 def _kmeans(spark, sf):
-    from flowlens.operators.clusters import kmeans_assign, kmeans_scan
-    prof = ip_profiles(flows(spark, sf)).cache()
-    _, k = kmeans_scan(prof, _KM_FEATURES, 8, 10)
-    return prof, kmeans_assign(prof, _KM_FEATURES, k, 10)
+    # The scan already holds the best of the 10 seeded fits for every k, so the chosen k's model is
+    # reused instead of refitted (same seeds, same model).
+    from flowlens.operators.clusters import kmeans_fit_scan
+    prof = ip_profiles(flows(spark, sf))
+    _, k, models, vec = kmeans_fit_scan(prof, _KM_FEATURES, 8, 10)
+    return prof, models[k].transform(vec).select("ip_source", "cluster")
 
 
 @query("kmeans_assign")
