@@ -45,7 +45,8 @@ def work_dir(spark: SparkSession) -> str:
     """The shared folder for checkpoints and intermediate tables.
 
     Read from ``spark.checkpoint.dir`` (set by the cluster); only when unset, create a private
-    temp folder and register it as the checkpoint dir (local runs and tests).
+    temp folder and register it as the checkpoint dir (local runs and tests). Also makes sure the
+    package is importable by the Python workers (``ship_package``).
     """
     d = spark.conf.get(_CKPT_KEY, None)
     if not d:
@@ -54,9 +55,42 @@ def work_dir(spark: SparkSession) -> str:
     sc = spark.sparkContext
     if sc.getCheckpointDir() is None:
         sc.setCheckpointDir(d)
+    ship_package(spark, d)
     return d
 
 
+_SHIPPED: set = set()
+
+
+def ship_package(spark: SparkSession, folder: str | None = None) -> None:
+    """Send this package to the executors once per application (``SparkContext.addPyFile``).
+
+    The grouped / mapped pandas stages (isolation forest) run functions of this package inside
+    Python workers, which must be able to import it wherever the driver was started from. The zip
+    goes to the shared work folder when that is a local path; Spark then serves it to every
+    executor (including ones started later).
+    """
+    import os
+    import zipfile
+    sc = spark.sparkContext
+    app = sc.applicationId
+    if app in _SHIPPED:
+        return
+    pkg = os.path.dirname(os.path.abspath(__file__))
+    base = folder if folder and is_local_path(folder) else tempfile.mkdtemp(prefix="flowlens-pkg-")
+    base = base.replace("file:", "")
+    os.makedirs(base, exist_ok=True)
+    target = os.path.join(base, f"flowlens-{uuid.uuid4().hex[:8]}.zip")
+    with zipfile.ZipFile(target, "w", zipfile.ZIP_DEFLATED) as z:
+        for root, _, files in os.walk(pkg):
+            for f in files:
+                if f.endswith(".py"):
+                    full = os.path.join(root, f)
+                    z.write(full, os.path.relpath(full, os.path.dirname(pkg)))
+    sc.addPyFile(target)
+    _SHIPPED.add(app)
+
+
 def scratch_path(spark: SparkSession, name: str) -> str:
     """A fresh, unique path under the shared work folder."""
     base = work_dir(spark).rstrip("/")
