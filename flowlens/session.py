@@ -20,7 +20,8 @@ def get_spark(master: str | None = None, shuffle_partitions: int = 8, app: str =
     """Build (or reuse) a session with the settings this library assumes.
 
     UTC session time zone (batch flows are ``timestamp_ntz`` anyway), AQE on with partition
-    coalescing and skew-join splitting, Arrow for the few pandas paths, UI off.
+    coalescing and skew-join splitting, Arrow for the few pandas paths, RocksDB streaming state
+    store, UI off.
     """
     b = (SparkSession.builder.appName(app)
          .config("spark.sql.session.timeZone", "UTC")
@@ -29,6 +30,9 @@ def get_spark(master: str | None = None, shuffle_partitions: int = 8, app: str =
          .config("spark.sql.adaptive.coalescePartitions.enabled", "true")
          .config("spark.sql.adaptive.skewJoin.enabled", "true")
          .config("spark.sql.execution.arrow.pyspark.enabled", "true")
+         # streaming state (windows, sessions, dedup keys) in RocksDB, off the JVM heap
+         .config("spark.sql.streaming.stateStore.providerClass",
+                 "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider")
          .config("spark.ui.enabled", "false")
          .config("spark.ui.showConsoleProgress", "false"))
     if master:
