@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from flowlens.llm import quality_rules
+from flowlens.llm import quality_rules, substring_dedup, suffix_dedup
 from flowlens.session import work_dir
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -27,6 +27,16 @@ def _query(name: str, sql: str | None = None):
     return register
 
 
+@_query("op2_suffix_dedup")
+def op2(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return suffix_dedup.op2_suffix_dedup(_table(spark, sf_dir, "documents"))
+
+
+@_query("op7_substring_dedup")
+def op7(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return substring_dedup.op7_substring_dedup(_table(spark, sf_dir, "documents"))
+
+
 @_query("op8_quality_rules", quality_rules.oracle())
 def op8(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_rules.op8_quality_rules(_table(spark, sf_dir, "documents"))
