@@ -42,8 +42,13 @@ _PACKED = "kind int, part int, blob binary"
 
 def sync_runs(codes: np.ndarray, off: np.ndarray, length: int, gram: int,
               table: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """Cut all windows into runs: (first window, windows - 1, gram hash, content hash)."""
-    found = [(np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, U), np.zeros(0, U))]
+    """Cut all windows into runs: (first window, windows - 1, gram hash, content hash, left and right digit).
+
+    The digits hash the gram with as many units before (after) it as every second window has at least; a window has one of
+    the two in full, so a run that shares neither with another document has no repeated window.
+    """
+    found = [(*np.zeros((2, 0), np.int64), *np.zeros((2, 0), U), *np.zeros((2, 0), np.uint16))]
+    side = -(-(length - gram) // 2)
     windows = len(codes) - length + 1
     short_from = np.maximum(off[1:] - length + 1, off[:-1])  # starts from here to the document's end don't fit
     for c0 in range(0, max(windows, 0), tc.CHUNK):
@@ -74,7 +79,12 @@ def sync_runs(codes: np.ndarray, off: np.ndarray, length: int, gram: int,
         at = (m[lo] & _POS).astype(np.int64)
         content = (total[lo + n + length] - total[lo]) * down[lo]
         content = tc.mix(content ^ ((at - lo).astype(U) << U(32)) ^ n.astype(U))
-        found.append((lo + c0, n, tc.mix(g[at], 1), content))
+        digits = []
+        for a, b in ((np.maximum(at - side, 0), at + gram), (at, np.minimum(at + gram + side, len(x)))):
+            fits = (b - a == gram + side) & (a >= lo) & (b <= lo + n + length)
+            digit = tc.mix((total[b] - total[a]) * down[a], 2)
+            digits.append((np.where(fits, digit, content) >> U(48)).astype(np.uint16))
+        found.append((lo + c0, n, tc.mix(g[at], 1), content, *digits))
     return tuple(np.concatenate(x) for x in zip(*found, strict=True))
 
 
@@ -153,6 +163,17 @@ def _groups(key: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return order, np.flatnonzero(np.concatenate([[True], k[1:] != k[:-1]])) if len(k) else np.zeros(0, np.int64)
 
 
+def _several(key: np.ndarray, values: np.ndarray) -> np.ndarray:
+    """Which rows have an equal key on a row with another value."""
+    order, first = _groups(key)
+    out = np.zeros(len(key), bool)
+    if len(order):
+        v = values[order]
+        out[order] = np.repeat(np.minimum.reduceat(v, first) < np.maximum.reduceat(v, first),
+                               np.diff(np.concatenate([first, [len(order)]])))
+    return out
+
+
 def _settle(ids: np.ndarray, key: np.ndarray) -> np.ndarray:
     """Which rows have an equal key in a document with a smaller id."""
     order, first = _groups(key)
@@ -169,7 +190,7 @@ def _scan(unit, length: int, gram: int, parts: int) -> Callable:
         for rows, data, off in tc.slices(batches, "__text", SLICE):
             ids, keys = tc.ints(rows.column(0), NULL_ID), tc.ints(rows.column(1), 0)
             codes, uoff, table = unit.codes(data, off)
-            lo, n, g, content = sync_runs(codes, uoff, length, gram, table)
+            lo, n, g, content, left, right = sync_runs(codes, uoff, length, gram, table)
             own = np.searchsorted(uoff, lo, "right") - 1
             lo = lo - uoff[own]
             later = _settle(ids[own], g + content * U(0x9FB21C651E98DF25))
@@ -181,9 +202,9 @@ def _scan(unit, length: int, gram: int, parts: int) -> Callable:
                 o = a // wide
                 out = _spans_out(ids[o], keys[o], a - o * wide, b - o * wide, parts)
             keep = ~later
-            own, lo, n, g, content = own[keep], lo[keep], n[keep], g[keep], content[keep]
+            own, lo, n, g, content, left, right = (x[keep] for x in (own, lo, n, g, content, left, right))
             out += _split(2, _part_of(g, parts), parts, ids[own], keys[own], g, content, lo.astype(np.int32),
-                          n.astype(np.uint16))
+                          n.astype(np.uint16), left, right)
             yield _record(out)
     return run
 
@@ -194,28 +215,20 @@ def _meet(length: int, parts: int) -> Callable:
         rows, got = [], []
         for kind, part, blob in zip(table["kind"].to_pylist(), table["part"].to_pylist(), table["blob"], strict=True):
             if kind == 2:
-                got.append(unpack(blob.as_buffer(), U, U, np.int32, np.uint16))
+                got.append(unpack(blob.as_buffer(), U, U, np.int32, np.uint16, np.uint16, np.uint16))
             else:
                 rows.append((kind, part, blob.as_py()))
         if got:
-            ids, keys, g, content, lo, n = (np.concatenate(x) for x in zip(*got, strict=True))
+            ids, keys, g, content, lo, n, left, right = (np.concatenate(x) for x in zip(*got, strict=True))
             del got
-            order, first = _groups(g)
-            size = np.diff(np.concatenate([first, [len(order)]]))
-            several = np.zeros(len(g), bool)
-            several[order] = np.repeat((np.minimum.reduceat(ids[order], first) < np.maximum.reduceat(ids[order], first)), size)
-            ids, keys, g, content, lo, n = (x[several] for x in (ids, keys, g, content, lo, n))
-            if len(ids):
-                later = _settle(ids, g + content * U(0x9FB21C651E98DF25))
-                lo, n = lo.astype(np.int64), n.astype(np.int64)
-                rows += _spans_out(ids[later], keys[later], lo[later], (lo + n + length)[later], parts)
-                ids, keys, g, content, lo, n = (x[~later] for x in (ids, keys, g, content, lo, n))
-                order, first = _groups(g)
-                size = np.diff(np.concatenate([first, [len(order)]]))
-                mixed = np.zeros(len(g), bool)
-                mixed[order] = np.repeat((np.minimum.reduceat(content[order], first)
-                                          < np.maximum.reduceat(content[order], first)), size)
-                rows += _spans_out(ids[mixed], keys[mixed], lo[mixed], (lo + n + 1)[mixed], parts, kind=1)
+            keep = _several(g, ids)
+            ids, keys, g, content, lo, n, left, right = (x[keep] for x in (ids, keys, g, content, lo, n, left, right))
+            later = _settle(ids, g + content * U(0x9FB21C651E98DF25))
+            lo, n = lo.astype(np.int64), n.astype(np.int64)
+            rows += _spans_out(ids[later], keys[later], lo[later], (lo + n + length)[later], parts)
+            ids, keys, g, content, lo, n, left, right = (x[~later] for x in (ids, keys, g, content, lo, n, left, right))
+            mixed = _several(g, content) & (_several(tc.mix(g ^ left, 3), ids) | _several(tc.mix(g ^ right, 4), ids))
+            rows += _spans_out(ids[mixed], keys[mixed], lo[mixed], (lo + n + 1)[mixed], parts, kind=1)
         return pa.Table.from_batches([_record(rows)])
     return run
 
@@ -314,8 +327,9 @@ def find(docs: DataFrame, unit, length: int, gram: int) -> DataFrame:
     runs = rows.mapInArrow(_scan(unit, length, gram, parts), _PACKED)
     settled = materialize(runs.groupBy("part").applyInArrow(_meet(length, parts), _PACKED), "repeats-settled")
     first = materialize(settled.groupBy("part").applyInArrow(_gather, _GATHERED), "repeats-open")
-    todo = rows.dropDuplicates(["id", "key"]) if unit.once else rows
-    todo = todo.join(first.where("open is not null").select("id", "key", "open"), ["id", "key"]).select("id", "key", "open", "__text")
+    # one join strategy at every size: texts are never broadcast, nor is what grows with them
+    opened = first.where("open is not null").select("id", "key", "open").hint("merge")
+    todo = rows.join(opened, ["id", "key"]).select("id", "key", "open", "__text")
     windows = todo.mapInArrow(_single(unit, length, parts), _PACKED)
     more = windows.groupBy("part").applyInArrow(_meet_single(length, parts, unit.n_digits(length)), _PACKED)
     again = settled.where("kind = 0").unionByName(more)
@@ -324,4 +338,4 @@ def find(docs: DataFrame, unit, length: int, gram: int) -> DataFrame:
 
 def with_intervals(docs: DataFrame, found: DataFrame, keep: tuple[str, ...] = ()) -> DataFrame:
     """(id, key, kept columns as c0.., __text, removed) of every row, ``removed`` null where nothing goes."""
-    return keyed(docs, keep).join(found, ["id", "key"], "left")
+    return keyed(docs, keep).join(found.hint("merge"), ["id", "key"], "left")

@@ -30,7 +30,6 @@ class Words:
     """Units are words, unchanged, as 64-bit hashes."""
 
     range_bytes = 128 << 20
-    once = True
 
     @staticmethod
     def codes(data: np.ndarray, off: np.ndarray):

@@ -30,7 +30,6 @@ class Bytes:
     """Units are the bytes of the UTF-8 text."""
 
     range_bytes = 32 << 20
-    once = True
 
     @staticmethod
     def codes(data: np.ndarray, off: np.ndarray):

@@ -85,7 +85,7 @@ def test_runs_hold_every_window(monkeypatch):
     rng = np.random.default_rng(1)
     data = rng.integers(97, 99, 1000).astype(np.uint8)
     off = np.array([0, 30, 80, 80, 500, 1000])
-    lo, n, _, _ = repeats.sync_runs(data, off, 50, 20, tc._BYTE)
+    lo, n, *_ = repeats.sync_runs(data, off, 50, 20, tc._BYTE)
     seen = np.concatenate([np.arange(a, a + b + 1) for a, b in zip(lo, n)])
     assert sorted(seen) == sorted(tc.doc_starts(off, 50)[0])
 
