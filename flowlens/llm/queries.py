@@ -6,7 +6,11 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from flowlens.llm import quality_rules, substring_dedup, suffix_dedup
+import public_tokenizers
+
+from flowlens.llm import (
+    byte_cnn, mixing, near_dup, packing, quality_rules, substring_dedup, suffix_dedup, toxicity,
+)
 from flowlens.session import work_dir
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -27,11 +31,31 @@ def _query(name: str, sql: str | None = None):
     return register
 
 
+@_query("op1_quality_cnn")
+def op1(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return byte_cnn.op1_quality(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels"))
+
+
 @_query("op2_suffix_dedup")
 def op2(spark: SparkSession, sf_dir: str) -> DataFrame:
     return suffix_dedup.op2_suffix_dedup(_table(spark, sf_dir, "documents"))
 
 
+@_query("op3_packing")
+def op3(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return packing.op3_packing(_table(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"))
+
+
+@_query("op4_mixing", mixing.oracle())
+def op4(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mixing.op4_mixing(_table(spark, sf_dir, "documents"))
+
+
+@_query("op6_near_dup")
+def op6(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near_dup.op6_near_dup(_table(spark, sf_dir, "documents"))
+
+
 @_query("op7_substring_dedup")
 def op7(spark: SparkSession, sf_dir: str) -> DataFrame:
     return substring_dedup.op7_substring_dedup(_table(spark, sf_dir, "documents"))
@@ -40,3 +64,8 @@ def op7(spark: SparkSession, sf_dir: str) -> DataFrame:
 @_query("op8_quality_rules", quality_rules.oracle())
 def op8(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_rules.op8_quality_rules(_table(spark, sf_dir, "documents"))
+
+
+@_query("op9_toxicity_fm")
+def op9(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return toxicity.op9_toxicity(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels"))
