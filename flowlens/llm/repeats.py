@@ -8,7 +8,8 @@ whatever surrounds them; nothing is sampled away. Then
 1. gram groups seen in one document only are dropped; within the others, runs of equal content are settled as a whole
    (all their windows repeat, those in the smallest document stay);
 2. gram groups with different contents (the borders of a passage, an edited word) keep one run for each content, and their
-   windows are compared one by one over exactly ``length`` units.
+   windows are compared one by one over exactly ``length`` units, but for those whose part before (after) the gram occurs
+   in no other document.
 
 Rows travel as packed arrays, one row for a slice of documents and a hash range. Equal runs of a slice are settled before the
 shuffle, so a passage that a third of all documents share arrives once a slice, not once a document. Range and part numbers
@@ -42,12 +43,13 @@ _PACKED = "kind int, part int, blob binary"
 
 def sync_runs(codes: np.ndarray, off: np.ndarray, length: int, gram: int,
               table: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """Cut all windows into runs: (first window, windows - 1, gram hash, content hash, left and right digit).
+    """Cut all windows into runs: (first window, windows - 1, sync point after the first window, gram hash, content hash,
+    left and right digit).
 
     The digits hash the gram with as many units before (after) it as every second window has at least; a window has one of
     the two in full, so a run that shares neither with another document has no repeated window.
     """
-    found = [(*np.zeros((2, 0), np.int64), *np.zeros((2, 0), U), *np.zeros((2, 0), np.uint16))]
+    found = [(*np.zeros((3, 0), np.int64), *np.zeros((2, 0), U), *np.zeros((2, 0), np.uint16))]
     side = -(-(length - gram) // 2)
     windows = len(codes) - length + 1
     short_from = np.maximum(off[1:] - length + 1, off[:-1])  # starts from here to the document's end don't fit
@@ -84,7 +86,7 @@ def sync_runs(codes: np.ndarray, off: np.ndarray, length: int, gram: int,
             fits = (b - a == gram + side) & (a >= lo) & (b <= lo + n + length)
             digit = tc.mix((total[b] - total[a]) * down[a], 2)
             digits.append((np.where(fits, digit, content) >> U(48)).astype(np.uint16))
-        found.append((lo + c0, n, tc.mix(g[at], 1), content, *digits))
+        found.append((lo + c0, n, at - lo, tc.mix(g[at], 1), content, *digits))
     return tuple(np.concatenate(x) for x in zip(*found, strict=True))
 
 
@@ -190,7 +192,7 @@ def _scan(unit, length: int, gram: int, parts: int) -> Callable:
         for rows, data, off in tc.slices(batches, "__text", SLICE):
             ids, keys = tc.ints(rows.column(0), NULL_ID), tc.ints(rows.column(1), 0)
             codes, uoff, table = unit.codes(data, off)
-            lo, n, g, content, left, right = sync_runs(codes, uoff, length, gram, table)
+            lo, n, sync, g, content, left, right = sync_runs(codes, uoff, length, gram, table)
             own = np.searchsorted(uoff, lo, "right") - 1
             lo = lo - uoff[own]
             later = _settle(ids[own], g + content * U(0x9FB21C651E98DF25))
@@ -202,33 +204,44 @@ def _scan(unit, length: int, gram: int, parts: int) -> Callable:
                 o = a // wide
                 out = _spans_out(ids[o], keys[o], a - o * wide, b - o * wide, parts)
             keep = ~later
-            own, lo, n, g, content, left, right = (x[keep] for x in (own, lo, n, g, content, left, right))
+            own, lo, n, sync, g, content, left, right = (x[keep] for x in (own, lo, n, sync, g, content, left, right))
             out += _split(2, _part_of(g, parts), parts, ids[own], keys[own], g, content, lo.astype(np.int32),
-                          n.astype(np.uint16), left, right)
+                          n.astype(_small(length)), sync.astype(_small(length)), left, right)
             yield _record(out)
     return run
 
 
-def _meet(length: int, parts: int) -> Callable:
+def _small(length: int) -> type:
+    return np.uint8 if length < 256 else np.uint16
+
+
+def _meet(length: int, gram: int, parts: int) -> Callable:
     """Settle the runs of one hash range; pass on intervals settled before."""
+    small, side = _small(length), -(-(length - gram) // 2)
+
     def run(table: pa.Table) -> pa.Table:
         rows, got = [], []
         for kind, part, blob in zip(table["kind"].to_pylist(), table["part"].to_pylist(), table["blob"], strict=True):
             if kind == 2:
-                got.append(unpack(blob.as_buffer(), U, U, np.int32, np.uint16, np.uint16, np.uint16))
+                got.append(unpack(blob.as_buffer(), U, U, np.int32, small, small, np.uint16, np.uint16))
             else:
                 rows.append((kind, part, blob.as_py()))
         if got:
-            ids, keys, g, content, lo, n, left, right = (np.concatenate(x) for x in zip(*got, strict=True))
+            cols = tuple(np.concatenate(x) for x in zip(*got, strict=True))
             del got
-            keep = _several(g, ids)
-            ids, keys, g, content, lo, n, left, right = (x[keep] for x in (ids, keys, g, content, lo, n, left, right))
+            keep = _several(cols[2], cols[0])
+            ids, keys, g, content, lo, n, sync, left, right = (x[keep] for x in cols)
             later = _settle(ids, g + content * U(0x9FB21C651E98DF25))
-            lo, n = lo.astype(np.int64), n.astype(np.int64)
+            lo, n, sync = (x.astype(np.int64) for x in (lo, n, sync))
             rows += _spans_out(ids[later], keys[later], lo[later], (lo + n + length)[later], parts)
-            ids, keys, g, content, lo, n, left, right = (x[~later] for x in (ids, keys, g, content, lo, n, left, right))
-            mixed = _several(g, content) & (_several(tc.mix(g ^ left, 3), ids) | _several(tc.mix(g ^ right, 4), ids))
-            rows += _spans_out(ids[mixed], keys[mixed], lo[mixed], (lo + n + 1)[mixed], parts, kind=1)
+            ids, keys, g, content, lo, n, sync, left, right = (x[~later] for x in (ids, keys, g, content, lo, n, sync, left, right))
+            mixed = _several(g, content)
+            before, after = (_several(tc.mix(g ^ x, i), ids) & mixed for i, x in ((3, left), (4, right)))
+            # the windows that hold the whole left part, and those that hold the whole right part
+            for pick, a, b in ((before, lo, np.minimum(lo + sync - side, lo + n) + 1),
+                               (after, np.maximum(lo, lo + sync - (length - gram - side)), lo + n + 1)):
+                pick = pick & (a < b)
+                rows += _spans_out(ids[pick], keys[pick], a[pick], b[pick], parts, kind=1)
         return pa.Table.from_batches([_record(rows)])
     return run
 
@@ -275,8 +288,11 @@ def _single(unit, length: int, parts: int) -> Callable:
                 h = digits[0].copy()
                 for x in digits[1:]:
                     h = tc.mix(h ^ x, 5)
-                yield _record(_split(2, _part_of(tc.mix(h, 6), parts), parts, ids[own], keys[own],
-                                     (at - uoff[own]).astype(np.int32), *digits))
+                lo, later = at - uoff[own], _settle(ids[own], h)
+                o = own[later]
+                out = _spans_out(ids[o], keys[o], lo[later], lo[later] + length, parts)
+                own, lo, h, *digits = (x[~later] for x in (own, lo, h, *digits))
+                yield _record(out + _split(2, _part_of(tc.mix(h, 6), parts), parts, ids[own], keys[own], lo.astype(np.int32), *digits))
     return run
 
 
@@ -304,11 +320,15 @@ def _equal_groups(ids: np.ndarray, digits: list[np.ndarray]) -> np.ndarray:
 
 def _meet_single(length: int, parts: int, n_digits: int) -> Callable:
     def run(table: pa.Table) -> pa.Table:
-        got = [unpack(b.as_buffer(), np.int32, *[U] * n_digits) for b in table["blob"]]
-        ids, keys, lo, *digits = (np.concatenate(x) for x in zip(*got, strict=True))
-        later = _equal_groups(ids, digits)
-        lo = lo[later].astype(np.int64)
-        return pa.Table.from_batches([_record(_spans_out(ids[later], keys[later], lo, lo + length, parts))])
+        rows = [(k, p, b.as_py()) for k, p, b in zip(table["kind"].to_pylist(), table["part"].to_pylist(), table["blob"], strict=True)
+                if k == 0]
+        got = [unpack(b.as_buffer(), np.int32, *[U] * n_digits) for k, b in zip(table["kind"].to_pylist(), table["blob"], strict=True) if k]
+        if got:
+            ids, keys, lo, *digits = (np.concatenate(x) for x in zip(*got, strict=True))
+            later = _equal_groups(ids, digits)
+            lo = lo[later].astype(np.int64)
+            rows += _spans_out(ids[later], keys[later], lo, lo + length, parts)
+        return pa.Table.from_batches([_record(rows)])
     return run
 
 
@@ -325,13 +345,13 @@ def find(docs: DataFrame, unit, length: int, gram: int) -> DataFrame:
     parts = max(48, -(-size // unit.range_bytes))
     rows = keyed(docs).select("id", "key", "__text")
     runs = rows.mapInArrow(_scan(unit, length, gram, parts), _PACKED)
-    settled = materialize(runs.groupBy("part").applyInArrow(_meet(length, parts), _PACKED), "repeats-settled")
+    settled = materialize(runs.groupBy("part").applyInArrow(_meet(length, gram, parts), _PACKED), "repeats-settled")
     first = materialize(settled.groupBy("part").applyInArrow(_gather, _GATHERED), "repeats-open")
     # one join strategy at every size: texts are never broadcast, nor is what grows with them
     opened = first.where("open is not null").select("id", "key", "open").hint("merge")
     todo = rows.join(opened, ["id", "key"]).select("id", "key", "open", "__text")
     windows = todo.mapInArrow(_single(unit, length, parts), _PACKED)
-    more = windows.groupBy("part").applyInArrow(_meet_single(length, parts, unit.n_digits(length)), _PACKED)
+    more = windows.groupBy("part").applyInArrow(_meet_single(length, parts, unit.n_digits), _PACKED)
     again = settled.where("kind = 0").unionByName(more)
     return materialize(again.groupBy("part").applyInArrow(_gather, _GATHERED).select("id", "key", "removed"), "repeats-found")
 

@@ -36,9 +36,7 @@ class Words:
         starts, ends, wo = tc.words(data, off)
         return tc.span_hash(data, starts, ends), wo, None
 
-    @staticmethod
-    def n_digits(length: int) -> int:
-        return 2
+    n_digits = 2
 
     @staticmethod
     def digits(codes: np.ndarray, table, at: np.ndarray, length: int) -> list[np.ndarray]:

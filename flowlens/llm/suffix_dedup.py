@@ -2,8 +2,8 @@
 
 Suffixes are ordered only through ``length`` bytes, by most-significant-digit passes: the first pass takes the bytes around
 each suffix's sync point (see ``repeats``), the second the bytes of a whole run, and what these leave open is ordered by its
-first ``length`` bytes as 8-byte digits, dropping suffixes that are alone after any pass. The groups that stay equal are
-exactly the repeated windows.
+first ``length`` bytes in two digits of half that size, dropping suffixes that are alone after any pass. Digits are compared as
+64-bit hashes of their bytes. The groups that stay equal are exactly the repeated windows.
 
 Defined cases: a null or empty text has no bytes and the hash of nothing; texts shorter than ``length`` are kept whole;
 rows sharing a doc_id don't remove each other's bytes; a null doc_id counts as the largest; an empty table gives no rows;
@@ -35,20 +35,13 @@ class Bytes:
     def codes(data: np.ndarray, off: np.ndarray):
         return data, off, tc._BYTE
 
-    @staticmethod
-    def n_digits(length: int) -> int:
-        return -(-length // 8)
+    n_digits = 2
 
     @staticmethod
     def digits(codes: np.ndarray, table, at: np.ndarray, length: int) -> list[np.ndarray]:
-        """The window's bytes as big-endian 8-byte digits (the last one shorter)."""
-        out = []
-        for a in range(0, length, 8):
-            x = np.zeros(len(at), np.uint64)
-            for i in range(a, min(a + 8, length)):
-                x = (x << np.uint64(8)) | codes[at + i]
-            out.append(x)
-        return out
+        """The window's first and second half as 64-bit digits."""
+        half, x = length // 2, table[codes]
+        return [tc.mix(tc.window_hash(x, half)[at], 7), tc.mix(tc.window_hash(x, length - half)[at + half], 8)]
 
 
 def find(docs: DataFrame, length: int = LENGTH) -> DataFrame:
