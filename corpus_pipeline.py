@@ -1,10 +1,16 @@
-"""Corpus preparation as stages over ``documents``: each takes what its predecessor kept."""
+"""Corpus preparation as stages over ``documents``: each takes what its predecessor kept.
+
+Quality rules, MinHash near-duplicates, substring dedup, mixing to target weights, packing. Every stage but the last returns
+the columns of ``documents``; the last returns the packed pieces.
+"""
 
 from __future__ import annotations
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from flowlens.llm import quality_rules
+from flowlens.llm import mixing, near_dup, packing, quality_rules, substring_dedup
 from flowlens.session import scratch_path, work_dir
 
 COLUMNS = ("doc_id", "text", "lang", "source", "n_chars")
@@ -15,7 +21,30 @@ def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return quality_rules.keep(docs.select(*COLUMNS))
 
 
-STAGES = [("quality_rules", quality)]
+def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """MinHash near-duplicates: one document of each group stays, the smallest doc_id."""
+    return near_dup.keep_one(docs.select(*COLUMNS))
+
+
+def substrings(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Substring dedup: words covered by a window of a smaller document go; documents left without words go."""
+    out = substring_dedup.strip(docs.select(*COLUMNS))
+    return out.withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType))
+
+
+def mixture(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Mixing: documents as often as the mix takes them, the last copy of a source cut at its target."""
+    return mixing.mix(docs.select(*COLUMNS))
+
+
+def sequences(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Packing: pieces with their ids and their place in sequences."""
+    return packing.pack(docs.select(*COLUMNS), public_tokenizers.path("word_bpe_49k.json"))
+
+
+STAGES = [("quality_rules", quality), ("near_duplicates", near_duplicates), ("substring_dedup", substrings),
+          ("mixing", mixture), ("packing", sequences)]
+#: SQL can't express packing; the stages are tested against brute force.
 ORACLE_SQL = None
 
 

@@ -10,6 +10,7 @@ import public_tokenizers
 
 from flowlens.llm import (
     byte_cnn, mixing, near_dup, packing, quality_rules, substring_dedup, suffix_dedup, toxicity,
+    warc_revisit,
 )
 from flowlens.session import work_dir
 
@@ -51,6 +52,11 @@ def op4(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.op4_mixing(_table(spark, sf_dir, "documents"))
 
 
+@_query("op5_warc_revisit", warc_revisit.oracle())
+def op5(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return warc_revisit.op5_warc_revisit(_table(spark, sf_dir, "pages"))
+
+
 @_query("op6_near_dup")
 def op6(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_dup.op6_near_dup(_table(spark, sf_dir, "documents"))
