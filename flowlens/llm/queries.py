@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 import public_tokenizers
 
 from flowlens.llm import (
-    byte_cnn, mixing, near_dup, packing, quality_rules, substring_dedup, suffix_dedup, toxicity,
+    byte_cnn, mixing, near_dup, neighbours, packing, quality_rules, substring_dedup, suffix_dedup, toxicity,
     warc_revisit,
 )
 from flowlens.session import work_dir
@@ -75,3 +75,8 @@ def op8(spark: SparkSession, sf_dir: str) -> DataFrame:
 @_query("op9_toxicity_fm")
 def op9(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity.op9_toxicity(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels"))
+
+
+@_query("op10_neighbours")
+def op10(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return neighbours.op10_neighbours(_table(spark, sf_dir, "embeddings"))
