@@ -75,8 +75,9 @@ def shingles(data: np.ndarray, off: np.ndarray) -> tuple[np.ndarray, np.ndarray]
 
 def _node(h: np.ndarray, so: np.ndarray) -> np.ndarray:
     """One hash of each set."""
-    a = np.concatenate([[0], np.cumsum(tc.mix(h, 11))]).astype(np.uint64)
-    b = np.concatenate([[0], np.cumsum(tc.mix(h, 12))]).astype(np.uint64)
+    zero = np.zeros(1, np.uint64)  # typed: joined with a plain 0 the sums would turn into floats
+    a = np.concatenate([zero, np.cumsum(tc.mix(h, 11))])
+    b = np.concatenate([zero, np.cumsum(tc.mix(h, 12))])
     a, b = a[so[1:]] - a[so[:-1]], b[so[1:]] - b[so[:-1]]
     return tc.mix(tc.mix(a, 13) ^ tc.mix(b, 14) + np.diff(so).astype(np.uint64), 15).view(np.int64)
 
