@@ -30,10 +30,6 @@ SENSITIVE_PORTS = (21, 22, 23, 3306, 3389, 445, 137)
 UNKNOWN_SERVICE = "?"
 # ---------------------------------------------------------------------------------------------
 
-# Natural bound of a protocol list (IP protocol numbers), not a cap on data.
-_MAX_PROTOCOLS = 256
-
-
 def sensitive_denies(df: DataFrame, n: int = 50) -> DataFrame:
     """Denied lines on sensitive ports, first n in event order."""
     return (df.filter((F.col("action") == "Deny") & F.col("dest_port").isin(*SENSITIVE_PORTS))
@@ -55,14 +51,14 @@ def _joined(top: DataFrame, item: Column, sort: list[Column], sep: str) -> Colum
     return F.coalesce(agg.scalar(), F.lit(""))
 
 
-def _top(cube: DataFrame, key: str, k: int, where: Column | None = None) -> DataFrame:
-    base = cube if where is None else cube.filter(where)
-    return (base.groupBy(key).agg(F.sum("n").alias("n"))
-            .orderBy(F.col("n").desc(), F.col(key)).limit(k))
+def _top(counts: DataFrame, key: str, k: int | None, where: Column | None = None) -> DataFrame:
+    base = counts if where is None else counts.filter(where)
+    every = base.groupBy(key).agg(F.sum("n").alias("n"))
+    return every if k is None else every.orderBy(F.col("n").desc(), F.col(key)).limit(k)
 
 
-def dict_text(df: DataFrame, key: str, k: int, where: Column | None = None, quote: bool = True) -> Column:
-    """``{key: n, ...}`` of the top-k keys, most frequent first (a Python dict's text form)."""
+def dict_text(df: DataFrame, key: str, k: int | None, where: Column | None = None, quote: bool = True) -> Column:
+    """``{key: n, ...}`` of the top-k (or all) keys, most frequent first (a Python dict's text form)."""
     top = _top(df, key, k, where)
     kt = F.concat(F.lit("'"), F.col(key), F.lit("'")) if quote else F.col(key).cast("string")
     item = F.concat(kt, F.lit(": "), F.col("n").cast("string"))
@@ -78,41 +74,40 @@ def _chunk(i: int, kind: str, text: Column, base: DataFrame) -> DataFrame:
     return base.select(F.lit(i).alias("chunk_id"), F.lit(kind).alias("kind"), text.alias("text"))
 
 
-def build_chunks(df: DataFrame, sample_n: int = 300, seed: int = 42, cube: DataFrame | None = None,
-                 per: str | None = None) -> DataFrame:
+def build_chunks(df: DataFrame, sample_n: int = 300, seed: int = 42,
+                 rollups: dict[str, DataFrame] | None = None, per: str | None = None) -> DataFrame:
     """The eight knowledge-base chunks of a flow table: ``chunk_id, kind, text``.
 
     With ``per="day"`` one chunk set per event day is built instead (``build_daily_chunks``).
 
-    All counts come from the materialised ``flow_cube`` (one scan and shuffle of the raw lines);
-    only the sensitive-port lines and the sample read raw rows (each a per-task top-k).
+    All counts come from the narrow ``flow_rollups``; only the sensitive-port lines and the sample
+    read raw rows (each a per-task top-k).
     """
-    from flowlens.operators.kpi import flow_cube
-    from flowlens.session import materialize
+    from flowlens.operators.kpi import flow_rollups
     if per == "day":
-        return build_daily_chunks(df, cube)
+        return build_daily_chunks(df)
     if per is not None:
         raise ValueError(f"unsupported chunk grouping {per!r}")
-    raw = df
-    df = cube if cube is not None else materialize(flow_cube(raw), "flow-cube")
+    r = rollups if rollups is not None else flow_rollups(df)
+    time, service, source, raw = r["time"], r["service"], r["source"], df
     a = F.col("action")
     deny = a == "Deny"
     n = F.col("n")
 
-    head = df.agg(F.sum(n).alias("total"), F.sum(F.when(a == "Permit", n).otherwise(0)).alias("p"),
+    head = time.agg(F.sum(n).alias("total"), F.sum(F.when(a == "Permit", n).otherwise(0)).alias("p"),
                   F.sum(F.when(deny, n).otherwise(0)).alias("d"), F.min("first_seen").alias("dmin"),
                   F.max("last_seen").alias("dmax"))
     c0 = _chunk(0, "summary", F.concat(
         F.lit(T_SUMMARY + "\nTotal: "), F.format_number("total", 0), F.lit(" | Permit: "), F.format_number("p", 0),
         F.lit(" ("), _pct1("p", "total"), F.lit("%) | Deny: "), F.format_number("d", 0), F.lit(" ("),
-        _pct1("d", "total"), F.lit("%)\nProtocoles: "), dict_text(df, "protocol", _MAX_PROTOCOLS)), head)
+        _pct1("d", "total"), F.lit("%)\nProtocoles: "), dict_text(service, "protocol", None)), head)
 
     c1 = _chunk(1, "ips", F.concat(
-        F.lit(T_TOP_IPS + "\n"), dict_text(df, "ip_source", 20), F.lit("\n\n" + T_TOP_DENIED_IPS + "\n"),
-        dict_text(df, "ip_source", 20, deny)), head)
+        F.lit(T_TOP_IPS + "\n"), dict_text(source, "ip_source", 20), F.lit("\n\n" + T_TOP_DENIED_IPS + "\n"),
+        dict_text(source, "ip_source", 20, deny)), head)
 
     def port_lines(where):
-        top = _top(df, "dest_port", 20, where)
+        top = _top(service, "dest_port", 20, where)
         item = F.concat(F.lit("Port "), F.col("dest_port").cast("string"), F.lit("("),
                         service_name("dest_port", UNKNOWN_SERVICE), F.lit("): "), F.col("n").cast("string"))
         return _joined(top, item, [-F.col("n"), F.col("dest_port")], "\n")
@@ -120,10 +115,10 @@ def build_chunks(df: DataFrame, sample_n: int = 300, seed: int = 42, cube: DataF
                                      port_lines(deny)), head)
 
     c3 = _chunk(3, "rules", F.concat(
-        F.lit(T_RULES + "\n"), dict_text(df, "rule_id", 15, quote=False), F.lit("\n\n" + T_DENY_RULES + "\n"),
-        dict_text(df, "rule_id", 10, deny, quote=False)), head)
+        F.lit(T_RULES + "\n"), dict_text(service, "rule_id", 15, quote=False), F.lit("\n\n" + T_DENY_RULES + "\n"),
+        dict_text(service, "rule_id", 10, deny, quote=False)), head)
 
-    hours = df.groupBy(F.col("hour").alias("h")).agg(F.sum(n).alias("n"), F.sum(F.when(deny, n).otherwise(0)).alias("nd"))
+    hours = time.groupBy(F.col("hour").alias("h")).agg(F.sum(n).alias("n"), F.sum(F.when(deny, n).otherwise(0)).alias("nd"))
     peak = hours.agg(F.max_by("h", F.struct(F.col("n"), -F.col("h")))).scalar()
     peak_d = hours.filter(F.col("nd") > 0).agg(F.max_by("h", F.struct(F.col("nd"), -F.col("h")))).scalar()
     hour_lines = _joined(hours, F.concat(F.lit("  "), F.col("h").cast("string"), F.lit("h: "), F.col("n").cast("string")),
@@ -134,12 +129,12 @@ def build_chunks(df: DataFrame, sample_n: int = 300, seed: int = 42, cube: DataF
         F.lit("\nPic total: "), peak.cast("string"), F.lit("h | Pic deny: "),
         F.coalesce(peak_d.cast("string"), F.lit("N/A")), F.lit("h\n"), hour_lines), head)
 
-    dcounts = df.filter(deny).groupBy("ip_source").agg(F.sum(n).alias("n"))
+    dcounts = source.filter(deny).groupBy("ip_source").agg(F.sum(n).alias("n"))
     cut = dcounts.select(F.percentile(F.col("n").cast("double"), F.lit(0.95))).scalar()
     sus = dcounts.filter(F.col("n") > cut).orderBy(F.col("n").desc(), "ip_source").limit(20)
     sus_lines = _joined(sus, F.concat(F.col("ip_source"), F.lit(": "), F.col("n").cast("string"), F.lit(" blocages")),
                         [-F.col("n"), F.col("ip_source")], "\n")
-    ext = (df.filter(out_of_plan("ip_source")).groupBy("ip_source").agg(F.min("first_seen").alias("first"))
+    ext = (source.filter(out_of_plan("ip_source")).groupBy("ip_source").agg(F.min("first_seen").alias("first"))
            .orderBy("first", "ip_source").limit(20))
     ext_lines = _joined(ext, F.col("ip_source"), [F.col("first"), F.col("ip_source")], "\n")
     c5 = _chunk(5, "suspects", F.concat(F.lit(T_SUSPECTS + "\n"), sus_lines, F.lit("\n" + T_OUT_OF_PLAN + "\n"),
@@ -163,26 +158,28 @@ def build_chunks(df: DataFrame, sample_n: int = 300, seed: int = 42, cube: DataF
 
 # ------------------------------------------------------------------------------ per-day chunks
 
-def _day_items(cube: DataFrame, key: str, k: int, item_fn, where: Column | None = None, sep: str = ", ") -> DataFrame:
-    """Per day: the top-k keys by line count rendered with ``item_fn`` and joined in rank order."""
+def _day_items(df: DataFrame, key: str, k: int | None, item_fn, where: Column | None = None, sep: str = ", ") -> DataFrame:
+    """Per day: the top-k (or all) keys by line count rendered with ``item_fn`` and joined in rank order.
+
+    Lines are counted per (day, key) before the shuffle; the window sees these counts only, and a
+    bounded rank is pre-limited per task."""
     from pyspark.sql import Window
-    base = cube if where is None else cube.filter(where)
-    c = base.groupBy("day", key).agg(F.sum("n").alias("n"))
+    base = df if where is None else df.filter(where)
+    c = base.groupBy(F.to_date("date").alias("day"), key).agg(F.count(F.lit(1)).alias("n"))
     w = Window.partitionBy("day").orderBy(F.col("n").desc(), F.col(key))
-    top = c.withColumn("rk", F.row_number().over(w)).filter(F.col("rk") <= F.lit(k))
+    top = c.withColumn("rk", F.row_number().over(w))
+    top = top if k is None else top.filter(F.col("rk") <= F.lit(k))
     return top.groupBy("day").agg(F.array_join(F.transform(
         F.array_sort(F.collect_list(F.struct(F.col("rk"), item_fn().alias("item")))), lambda s: s["item"]), sep).alias("t"))
 
 
-def build_daily_chunks(df: DataFrame, cube: DataFrame | None = None) -> DataFrame:
+def build_daily_chunks(df: DataFrame) -> DataFrame:
     """One chunk set per event day (summary, sources, ports, rules, time profile):
-    ``day, chunk_id, kind, text``. Every piece is a grouped roll-up of the cube; the per-day
-    top-k windows are pre-limited per task, so a hot day never ships all its keys to one task."""
-    from flowlens.operators.kpi import flow_cube
-    from flowlens.session import materialize
-    c = cube if cube is not None else materialize(flow_cube(df), "flow-cube")
+    ``day, chunk_id, kind, text``. Every piece is its own narrow count per (day, key)."""
     a, n = F.col("action"), F.col("n")
     deny = a == "Deny"
+    c = df.groupBy(F.to_date("date").alias("day"), F.hour("date").alias("hour"), "action").agg(
+        F.count(F.lit(1)).alias("n"), F.min("date").alias("first_seen"), F.max("date").alias("last_seen"))
     head = c.groupBy("day").agg(F.sum(n).alias("total"), F.sum(F.when(a == "Permit", n).otherwise(0)).alias("p"),
                                 F.sum(F.when(deny, n).otherwise(0)).alias("d"), F.min("first_seen").alias("dmin"),
                                 F.max("last_seen").alias("dmax"))
@@ -191,13 +188,13 @@ def build_daily_chunks(df: DataFrame, cube: DataFrame | None = None) -> DataFram
     port_item = lambda: F.concat(F.lit("Port "), F.col("dest_port").cast("string"), F.lit("("),
                                  service_name("dest_port", UNKNOWN_SERVICE), F.lit("): "), F.col("n").cast("string"))
     pieces = {
-        "proto": _day_items(c, "protocol", _MAX_PROTOCOLS, quoted("protocol")),
-        "ips": _day_items(c, "ip_source", 20, quoted("ip_source")),
-        "ips_d": _day_items(c, "ip_source", 20, quoted("ip_source"), deny),
-        "ports": _day_items(c, "dest_port", 20, port_item, sep="\n"),
-        "ports_d": _day_items(c, "dest_port", 20, port_item, deny, sep="\n"),
-        "rules": _day_items(c, "rule_id", 15, plain("rule_id")),
-        "rules_d": _day_items(c, "rule_id", 10, plain("rule_id"), deny),
+        "proto": _day_items(df, "protocol", None, quoted("protocol")),
+        "ips": _day_items(df, "ip_source", 20, quoted("ip_source")),
+        "ips_d": _day_items(df, "ip_source", 20, quoted("ip_source"), deny),
+        "ports": _day_items(df, "dest_port", 20, port_item, sep="\n"),
+        "ports_d": _day_items(df, "dest_port", 20, port_item, deny, sep="\n"),
+        "rules": _day_items(df, "rule_id", 15, plain("rule_id")),
+        "rules_d": _day_items(df, "rule_id", 10, plain("rule_id"), deny),
     }
     hours = c.groupBy("day", "hour").agg(F.sum(n).alias("n"), F.sum(F.when(deny, n).otherwise(0)).alias("nd"))
     hp = hours.groupBy("day").agg(

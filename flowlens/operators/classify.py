@@ -16,6 +16,8 @@ from flowlens.operators.profiles import standardize
 from flowlens.operators.retrieval import folds, split_label
 from flowlens.session import materialize
 
+#: Port and port bucket of a flow without a port (the parser yields null for an empty field).
+NO_PORT = -1
 CLF_FEATURES = ("dest_port", "is_tcp", "port_bucket", "hour", "weekday")
 CART_FEATURES = ("dest_port", "is_tcp", "port_bucket", "hour")
 # Readable names of the rule-tree features.
@@ -24,8 +26,8 @@ CART_FEATURE_NAMES = ("Port de destination", "Protocole TCP", "Tranche de port",
 
 def classifier_features(df: DataFrame) -> DataFrame:
     """``flow_id, dest_port, is_tcp, port_bucket, hour, weekday, label`` (label = is_deny)."""
-    return df.select("flow_id", F.col("dest_port"), (F.col("protocol") == "TCP").cast("int").alias("is_tcp"),
-                     port_bucket("dest_port").alias("port_bucket"), F.hour("date").alias("hour"),
+    return df.select("flow_id", F.coalesce("dest_port", F.lit(NO_PORT)).alias("dest_port"), (F.col("protocol") == "TCP").cast("int").alias("is_tcp"),
+                     F.coalesce(port_bucket("dest_port"), F.lit(NO_PORT)).alias("port_bucket"), F.hour("date").alias("hour"),
                      F.weekday("date").alias("weekday"), (F.col("action") == "Deny").cast("int").alias("label"))
 
 
@@ -59,7 +61,7 @@ def roc(scored: DataFrame, score: str = "p1", label: str = "label"):
     return pts, auc_from_points(pts)
 
 
-def roc_points(scored: DataFrame, score: str = "p1", label: str = "label", parts: int = 8) -> DataFrame:
+def roc_points(scored: DataFrame, score: str = "p1", label: str = "label", parts: int | None = None) -> DataFrame:
     """ROC points (one per distinct score, descending) with cumulative TP/FP rates.
 
     Exact distributed prefix sums: counts per distinct score, range-partitioned by score; each
@@ -70,6 +72,7 @@ def roc_points(scored: DataFrame, score: str = "p1", label: str = "label", parts
         F.count_if(F.col(label) == 1).alias("tp"), F.count_if(F.col(label) != 1).alias("fp"))
     # Partition ids must be the same in every subtree below, so the partitioned table is
     # materialised once (a written table) instead of re-running the range shuffle per use.
+    parts = parts or int(scored.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     per = materialize(per.repartitionByRange(parts, F.col("score").desc()).withColumn("pid", F.spark_partition_id()),
                       "roc-per-score")
     tot = per.groupBy("pid").agg(F.sum("tp").alias("ptp"), F.sum("fp").alias("pfp"))
@@ -131,7 +134,7 @@ def compare_models(feats: DataFrame, k: int = 5, seed: int = 42, parallelism: in
             acc = pred.agg(F.avg((F.col("prediction") == F.col("label")).cast("double"))).first()[0]
             auc = auc_from_points(roc_points(pred)).first()[0]
             pred.unpersist()
-            return (name, f, float(acc or 0.0), float(auc or 0.0))
+            return (name, f, acc, auc)  # a fold with one class has no AUC; it stays null
         return run
 
     rows = _parallel([task(name, f) for f in range(k) for name in models(1)], parallelism)
@@ -139,7 +142,8 @@ def compare_models(feats: DataFrame, k: int = 5, seed: int = 42, parallelism: in
     return (per_fold.groupBy("model").agg(F.round(F.avg("accuracy"), 6).alias("acc_mean"),
                                           F.round(F.stddev_pop("accuracy"), 6).alias("acc_std"),
                                           F.round(F.avg("auc"), 6).alias("auc_mean"),
-                                          F.round(F.stddev_pop("auc"), 6).alias("auc_std")))
+                                          F.round(F.stddev_pop("auc"), 6).alias("auc_std"))
+            .orderBy(F.desc_nulls_last("auc_mean"), "model"))
 
 
 def model_roc(feats: DataFrame, seed: int = 42) -> DataFrame:
@@ -154,7 +158,7 @@ def model_roc(feats: DataFrame, seed: int = 42) -> DataFrame:
         def run():
             pts = roc_points(_p1(est.fit(train).transform(test))).cache()
             auc = auc_from_points(pts).first()[0]
-            return pts.select(F.lit(name).alias("model"), "score", "fpr", "tpr", F.lit(float(auc or 0.0)).alias("auc"))
+            return pts.select(F.lit(name).alias("model"), "score", "fpr", "tpr", F.lit(auc).cast("double").alias("auc"))
         return run
 
     parts = _parallel([task(n, e) for n, e in models(n_train).items()])

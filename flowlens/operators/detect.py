@@ -31,8 +31,12 @@ def brute_force(df: DataFrame, ports=(21, 22), width: str = "1 hour", min_hits:
 
 
 def ddos_spike(df: DataFrame, width: str = "1 hour", trailing: int = 24, z: float = 3.0) -> DataFrame:
-    """Buckets whose line count exceeds mean + z * std of the previous ``trailing`` buckets."""
-    per = df.groupBy(_bucket(width).alias("bucket")).agg(F.count(F.lit(1)).alias("n"))
+    """Buckets whose line count exceeds mean + z * std of the previous ``trailing`` buckets; buckets
+    without lines between the first and the last count as 0. The window sees one row per bucket."""
+    per = df.where("date is not null").groupBy(_bucket(width).alias("bucket")).agg(F.count(F.lit(1)).alias("n"))
+    span = per.agg(F.min("bucket").alias("lo"), F.max("bucket").alias("hi")).where("lo is not null")
+    every = span.select(F.explode(F.sequence("lo", "hi", F.expr(f"INTERVAL {width}"))).alias("bucket"))
+    per = every.join(per, "bucket", "left").na.fill(0, ["n"])
     w = Window.orderBy("bucket").rowsBetween(-trailing, -1)
     base = per.select("bucket", "n", F.avg("n").over(w).alias("mean"), F.stddev_pop("n").over(w).alias("std"),
                       F.count("n").over(w).alias("k"))

@@ -108,3 +108,16 @@ def last_n_days(df: DataFrame, n: int, col: str = "date") -> DataFrame:
     """Rows of the last ``n`` days before the newest event (the timeline's look-back presets)."""
     newest = df.agg(F.max(col)).scalar()
     return df.filter(F.col(col) >= newest - F.make_interval(days=F.lit(n)))
+
+
+def look_back(df: DataFrame, span: str, col: str = "date") -> DataFrame:
+    """Rows of a look-back: ``all``, ``<n> days`` or ``<n> months`` (calendar months) before the newest event."""
+    if span == "all":
+        return df
+    n, unit = span.split()
+    if unit == "days":
+        return last_n_days(df, int(n), col)
+    if unit != "months":
+        raise ValueError(f"unknown look-back {span!r}")
+    newest = df.agg(F.max(col)).scalar()
+    return df.filter(F.col(col) >= newest - F.make_ym_interval(months=F.lit(int(n))))

@@ -1,9 +1,8 @@
 """Isolation Forest (J2, J3, F26, H13) — not in MLlib, so built from Spark pieces.
 
-* Sampling: one hash per row draws a uniform pool of ~4 * trees * psi rows; pool rows draw a
-  hash-uniform number per tree, rows under a small rate are exploded into (tree, row) pairs and
-  the psi smallest per tree are kept (a window with a literal bound, so each task pre-limits
-  before the shuffle). The sample is ~psi * trees rows whatever n is.
+* Sampling: every row draws a hash-uniform number per tree; rows under a small rate are exploded
+  into (tree, row) pairs and the psi smallest per tree are kept (a window with a literal bound, so
+  each task pre-limits before the shuffle). Trees sample independently, by one formula at every n.
 * Building: ``groupBy(tree).applyInPandas`` grows one isolation tree per group (numpy, <= psi rows).
 * Scoring: the trees (trees x <= 2 psi nodes, bounded by the parameters) are shipped to the tasks and
   every partition is scored with ``mapInPandas`` — no shuffle of the scored data.
@@ -22,6 +21,9 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from flowlens.operators.topk import order_statistic
+from flowlens.session import materialize
+
 _EULER = 0.5772156649015329
 NODE_SCHEMA = ("tree int, node int, feature int, threshold double, left int, right int, size long, depth int")
 
@@ -90,15 +92,9 @@ def fit_trees(df: DataFrame, cols, key: str, trees: int = 100, psi: int = 256, s
     cols = list(cols)
     n = df.count()
     psi = int(min(psi, n))
-    # One hash per row draws a uniform pool of ~4 * trees * psi rows; only pool rows are hashed
-    # per tree. Each tree's psi rows are then a uniform subset of the data (by symmetry), and the
-    # per-tree work no longer grows with n. Small inputs are their own pool.
-    pool_rate = min(1.0, 4.0 * trees * psi / max(n, 1))
-    pool = df if pool_rate >= 1.0 else df.filter(_u01([key], F.lit(-1 - seed)) < F.lit(pool_rate))
-    m = min(n, int(math.ceil(4.0 * trees * psi)))
-    rate = min(1.0, 4.0 * psi / max(m, 1) + 1e-9)
+    rate = min(1.0, 4.0 * psi / max(n, 1))  # four times the rows needed: too few are out of the question
     pick = F.filter(F.sequence(F.lit(0), F.lit(trees - 1)), lambda t: _u01([key], t + F.lit(seed * 1000003)) < F.lit(rate))
-    ex = pool.select(key, *cols, F.explode(pick).alias("tree"))
+    ex = df.select(key, *cols, F.explode(pick).alias("tree"))
     ex = ex.withColumn("u", _u01([key], F.col("tree") + F.lit(seed * 1000003)))
     w = Window.partitionBy("tree").orderBy("u", key)
     sample = ex.withColumn("rn", F.row_number().over(w)).filter(F.col("rn") <= F.lit(psi)).drop("rn", "u")
@@ -141,7 +137,9 @@ def isolation_forest(df: DataFrame, cols, key: str = "ip_source", trees: int = 1
     key_type = dict(df.dtypes)[key]
     schema = T.StructType([T.StructField(key, T._parse_datatype_string(key_type)), T.StructField("score", T.DoubleType())])
     scored = df.select(key, *cols).mapInPandas(_scorer(nodes, cols, psi_eff, key), schema)
-    cut = scored.select(F.percentile_approx("score", F.lit(contamination), F.lit(1_000_000))).scalar()
+    scored = materialize(scored, "forest-scores")  # scored once, read for the cut-off and by the caller
+    cut = order_statistic(scored, "score", contamination)
+    cut = F.lit(cut).cast("double")
     return scored.withColumn("status", F.when(F.col("score") < cut, "Suspect").otherwise("Normal"))
 
 
@@ -153,7 +151,7 @@ def anomaly_summary(scored: DataFrame) -> DataFrame:
 
 def score_histogram(scored: DataFrame, bins: int = 40) -> DataFrame:
     """Counts of scores per status in ``bins`` equal-width bins between the min and max score."""
-    lo = scored.agg(F.min("score")).scalar()
-    hi = scored.agg(F.max("score")).scalar()
+    ends = scored.agg(F.struct(F.min("score").alias("lo"), F.max("score").alias("hi"))).scalar()
+    lo, hi = ends["lo"], ends["hi"]
     b = F.least(F.width_bucket(F.col("score"), lo, hi + F.lit(1e-12), F.lit(bins)), F.lit(bins))
     return scored.groupBy("status", b.alias("bin")).agg(F.count(F.lit(1)).alias("n"))

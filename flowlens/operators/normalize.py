@@ -10,7 +10,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from flowlens.schema import FLOW_COLUMNS, LAYOUT_RENAMES
+from flowlens.schema import FLOW_COLUMNS, FLOW_SCHEMA, LAYOUT_RENAMES
 
 DEFAULT_RULE = 999
 # Leading ISO timestamp of a syslog line, when present.
@@ -146,7 +146,7 @@ def to_canonical(df: DataFrame, layout: str) -> DataFrame:
     """Rename a layout's columns to canonical names (missing columns are added as nulls)."""
     ren = LAYOUT_RENAMES[layout]
     out = df.withColumnsRenamed(ren) if ren else df
-    return out.select(*[F.col(c) if c in out.columns else F.lit(None).alias(c) for c in FLOW_COLUMNS],
+    return out.select(*[F.col(f.name) if f.name in out.columns else F.lit(None).cast(f.dataType).alias(f.name) for f in FLOW_SCHEMA],
                       *[c for c in out.columns if c not in FLOW_COLUMNS])
 
 
@@ -166,10 +166,21 @@ def cast_types(df: DataFrame, date_fmt: str | None = None) -> DataFrame:
     return df.withColumns({k: v for k, v in casts.items() if k in df.columns})
 
 
-def with_defaults(df: DataFrame, ingest_col: str | None = None) -> DataFrame:
-    """Missing rule -> 999, missing event time -> arrival time, action normalised."""
+def with_defaults(df: DataFrame, ingest_col: str | None = None, arrival: bool = False) -> DataFrame:
+    """Missing rule -> 999, missing event time -> arrival time (``ingest_col``, or with ``arrival``
+    the time of the read), action normalised."""
     out = df.withColumn("rule_id", default_rule(F.col("rule_id").cast("string")))
     out = out.withColumn("action", normalize_action(F.col("action")))
     if ingest_col:
         out = out.withColumn("date", F.coalesce(F.col("date"), F.col(ingest_col).cast("timestamp_ntz")))
+    if arrival:
+        out = out.withColumn("date", F.coalesce(F.col("date"), F.current_timestamp().cast("timestamp_ntz")))
     return out
+
+
+def to_flows(df: DataFrame, layout: str) -> DataFrame:
+    """A layout's text columns as exactly ``FLOW_SCHEMA``: canonical names, types, defaults (an empty
+    interface is '')."""
+    out = with_defaults(cast_types(to_canonical(df, layout)), arrival=True)
+    out = out.withColumns({c: F.coalesce(F.col(c), F.lit("")) for c in ("interface_in", "interface_out")})
+    return out.select(*[F.col(f.name).cast(f.dataType).alias(f.name) for f in FLOW_SCHEMA])

@@ -21,17 +21,18 @@ def _ranked(df: DataFrame, section: str, label, n: str = "n", pct: str | None =
     return out.select("section", F.row_number().over(w).alias("rank"), F.col("_label").alias("label"), "n", "pct")
 
 
-def report_sections(df: DataFrame, cube: DataFrame | None = None) -> DataFrame:
-    """All report chapters as ``(section, rank, label, n, pct)``, rolled up from ``flow_cube``."""
-    from flowlens.operators.kpi import flow_cube
-    from flowlens.session import materialize
-    c = cube if cube is not None else materialize(flow_cube(df), "flow-cube")
+def report_sections(df: DataFrame, rollups: dict[str, DataFrame] | None = None) -> DataFrame:
+    """All report chapters as ``(section, rank, label, n, pct)``, from the narrow ``flow_rollups``."""
+    from flowlens.operators.kpi import flow_rollups
+    r = rollups if rollups is not None else flow_rollups(df)
+    time, c, source = r["time"], r["service"], r["source"]
     a = F.col("action")
     n = F.col("n")
-    head = c.agg(F.sum(n).alias("total"), F.count_distinct("ip_source").alias("ips"),
-                 F.count_distinct("rule_id").alias("rules"), F.sum(F.when(a == "Permit", n).otherwise(0)).alias("permit"),
-                 F.sum(F.when(a == "Deny", n).otherwise(0)).alias("deny"), F.min("first_seen").alias("dmin"),
-                 F.max("last_seen").alias("dmax"))
+    head = time.agg(F.sum(n).alias("total"), F.sum(F.when(a == "Permit", n).otherwise(0)).alias("permit"),
+                    F.sum(F.when(a == "Deny", n).otherwise(0)).alias("deny"), F.min("first_seen").alias("dmin"),
+                    F.max("last_seen").alias("dmax"))
+    head = head.withColumn("ips", source.agg(F.count_distinct("ip_source")).scalar()).withColumn(
+        "rules", c.agg(F.count_distinct("rule_id")).scalar())
     p2 = lambda c_: F.round((F.lit(100.0) * F.col(c_)) / F.nullif(F.col("total").cast("double"), F.lit(0.0)), 2)
     def row(rank, label, n, pct=None):
         return F.struct(F.lit(rank).alias("rank"), F.lit(label).alias("label") if isinstance(label, str) else label.alias("label"),
@@ -45,21 +46,21 @@ def report_sections(df: DataFrame, cube: DataFrame | None = None) -> DataFrame:
     summary = summary.select(F.lit("summary").alias("section"), F.col("s.rank").cast("int").alias("rank"),
                              F.col("s.label").alias("label"), F.col("s.n").cast("long").alias("n"), F.col("s.pct").alias("pct"))
     tcp, udp = F.col("protocol") == "TCP", F.col("protocol") == "UDP"
-    tk = lambda *a_, **k_: top_k(c, *a_, weight="n", **k_)
+    tk = lambda *a_, frame=c, **k_: top_k(frame, *a_, weight="n", **k_)
     parts = [
         summary,
         _ranked(tk("rule_id", 10, share=True), "rules", F.col("rule_id"), keys=["rule_id"]),
-        _ranked(tk("protocol", 256, share=True), "protocols", F.col("protocol"), keys=["protocol"]),
+        _ranked(tk("protocol", None, share=True), "protocols", F.col("protocol"), keys=["protocol"]),
         _ranked(tk("rule_id", 10, where=udp, share=True), "udp_rules", F.col("rule_id"), keys=["rule_id"]),
         _ranked(tk("rule_id", 5, where=tcp, share=True), "tcp_rules", F.col("rule_id"), keys=["rule_id"]),
         _ranked(tk(["rule_id", "dest_port", "action"], 20, where=tcp), "tcp_rule_port_action",
                 F.concat_ws("/", F.col("rule_id").cast("string"), F.col("dest_port").cast("string"), F.col("action")),
                 pct=None, keys=["rule_id", "dest_port", "action"]),
-        _ranked(c.groupBy("day", "action").agg(F.sum(n).alias("n")), "daily",
+        _ranked(time.groupBy("day", "action").agg(F.sum(n).alias("n")), "daily",
                 F.concat_ws(" ", F.col("day").cast("string"), F.col("action")), pct=None),
-        _ranked(tk("ip_source", 10, where=a == "Deny"), "denied_ips", F.col("ip_source"), pct=None,
+        _ranked(tk("ip_source", 10, frame=source, where=a == "Deny"), "denied_ips", F.col("ip_source"), pct=None,
                 keys=["ip_source"]),
-        _ranked(c.groupBy("hour").agg(F.sum(n).alias("n")), "hourly",
+        _ranked(time.groupBy("hour").agg(F.sum(n).alias("n")), "hourly",
                 F.lpad(F.col("hour").cast("string"), 2, "0"), pct=None),
         _ranked(tk("dest_port", 15), "ports", F.col("dest_port"), pct=None, keys=["dest_port"]),
     ]
@@ -69,10 +70,14 @@ def report_sections(df: DataFrame, cube: DataFrame | None = None) -> DataFrame:
     return out
 
 
-def report_conclusion(df: DataFrame, cube: DataFrame | None = None) -> DataFrame:
-    """Top rule and protocol with their shares, and the deny percentage (conclusion figures)."""
-    from flowlens.operators.kpi import flow_cube
-    c = cube if cube is not None else flow_cube(df)
+def report_conclusion(df: DataFrame, rollups: dict[str, DataFrame] | None = None) -> DataFrame:
+    """Top rule and protocol with their shares, and the deny percentage (conclusion figures).
+
+    Without shared roll-ups, one materialised count per protocol, rule and action serves all figures: one scan of the lines.
+    """
+    from flowlens.session import materialize
+    c = rollups["service"] if rollups is not None else materialize(
+        df.groupBy("protocol", "rule_id", "action").agg(F.count(F.lit(1)).alias("n")), "rollup-conclusion")
     rule = top_k(c, "rule_id", 1, share=True, weight="n")
     proto = top_k(c, "protocol", 1, share=True, weight="n")
     head = c.agg(F.sum("n").alias("total"), F.sum(F.when(F.col("action") == "Deny", F.col("n")).otherwise(0)).alias("deny"))
@@ -86,14 +91,8 @@ def report_conclusion(df: DataFrame, cube: DataFrame | None = None) -> DataFrame
 
 
 def publish_report(df: DataFrame, out_dir: str, fmt: str = "parquet") -> dict[str, str]:
-    """Write the report tables (sections + conclusion) under ``out_dir``; one shared cube."""
-    from flowlens.operators.kpi import flow_cube
-    from flowlens.session import materialize
-    from flowlens.sources.io import publish_tables
-    cube = materialize(flow_cube(df), "flow-cube")
-    return publish_tables({"sections": report_sections(df, cube), "conclusion": report_conclusion(df, cube)},
-                          out_dir, fmt)
-def publish_report(df: DataFrame, out_dir: str, fmt: str = "parquet") -> dict[str, str]:
-    """Write the report tables (sections + conclusion) under ``out_dir``."""
+    """Write the report tables (sections + conclusion) under ``out_dir``; both use the same roll-ups."""
+    from flowlens.operators.kpi import flow_rollups
     from flowlens.sources.io import publish_tables
-    return publish_tables({"sections": report_sections(df), "conclusion": report_conclusion(df)}, out_dir, fmt)
+    r = flow_rollups(df)
+    return publish_tables({"sections": report_sections(df, r), "conclusion": report_conclusion(df, r)}, out_dir, fmt)

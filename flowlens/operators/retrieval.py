@@ -15,6 +15,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.errors import AnalysisException
 
 from flowlens.functions.scalar import EMBED_DIMS, word_bucket, words
 
@@ -90,9 +91,9 @@ def context(hits: DataFrame, texts: DataFrame, id_col: str, text_col: str = "tex
             sep: str = "\n\n---\n\n") -> DataFrame:
     """Per query: the hit texts in rank order, each cut to ``cut`` characters, joined by ``sep``.
 
-    ``hits`` is bounded (queries x n), so it is the side that gets broadcast.
+    ``hits`` grows with the queries; Spark broadcasts it only below its own size threshold.
     """
-    j = texts.select(id_col, F.substring(text_col, 1, cut).alias("piece")).join(F.broadcast(hits), id_col)
+    j = texts.select(id_col, F.substring(text_col, 1, cut).alias("piece")).join(hits, id_col)
     return j.groupBy("qid").agg(F.array_join(F.transform(
         F.array_sort(F.collect_list(F.struct("rank", "piece"))), lambda s: s["piece"]), sep).alias("context"))
 
@@ -126,7 +127,8 @@ def folds(df: DataFrame, key: str, k: int = 5, seed: int = 42) -> DataFrame:
 
 
 def fingerprint(df: DataFrame, cols=None) -> DataFrame:
-    """Order-insensitive fingerprint of all rows: count, XOR of a 60-bit MD5 prefix, XOR of xxhash64."""
+    """Order-insensitive fingerprint of all rows, repeats included: count, sum of a 60-bit MD5 prefix, sum of xxhash64 (both
+    sums as decimal text)."""
     cols = cols or df.columns
     parts = []
     for c in cols:
@@ -139,13 +141,14 @@ def fingerprint(df: DataFrame, cols=None) -> DataFrame:
             parts.append(F.col(c).cast("string"))
     row = F.concat_ws("|", *[F.coalesce(p, F.lit("\\N")) for p in parts])
     return df.agg(F.count(F.lit(1)).alias("n_rows"),
-                  F.bit_xor(F.conv(F.substring(F.md5(row), 1, 15), 16, 10).cast("long")).alias("fp_md5"),
-                  F.bit_xor(F.xxhash64(*[F.col(c) for c in cols])).alias("fp_xx"))
+                  F.sum(F.conv(F.substring(F.md5(row), 1, 15), 16, 10).cast("decimal(38,0)")).cast("string").alias("fp_md5"),
+                  F.sum(F.xxhash64(*[F.col(c) for c in cols]).cast("decimal(38,0)")).cast("string").alias("fp_xx"))
 
 
 def build_index(df: DataFrame, id_col: str, text_col: str, path: str, dims: int = EMBED_DIMS) -> DataFrame:
     """Persist the embedding index at ``path`` with the fingerprint of its source beside it, and
-    reuse it when the source has not changed (fingerprint over all rows, order-insensitive)."""
+    reuse it when the source has not changed (fingerprint over all rows, order-insensitive). The
+    index is partitioned by ``dim``, so a query reads the folders of its own words only."""
     spark = df.sparkSession
     fp = fingerprint(df.select(id_col, text_col)).first().asDict()
     fp_path = f"{path.rstrip('/')}/_fingerprint"
@@ -153,9 +156,10 @@ def build_index(df: DataFrame, id_col: str, text_col: str, path: str, dims: int
         old = spark.read.json(fp_path).first()
         if old is not None and {k: old[k] for k in fp} == fp:
             return spark.read.parquet(f"{path.rstrip('/')}/index")
-    except Exception:  # no index yet
-        pass
-    embed(df, id_col, text_col, dims).write.mode("overwrite").parquet(f"{path.rstrip('/')}/index")
+    except AnalysisException as e:
+        if e.getCondition() != "PATH_NOT_FOUND":  # anything but "no index yet" is an error
+            raise
+    embed(df, id_col, text_col, dims).hint("rebalance", "dim").write.mode("overwrite").partitionBy("dim").parquet(f"{path.rstrip('/')}/index")
     spark.createDataFrame([fp]).coalesce(1).write.mode("overwrite").json(fp_path)
     return spark.read.parquet(f"{path.rstrip('/')}/index")
 
@@ -173,7 +177,7 @@ def report_context(chunks: DataFrame, per_query: int = 3, cap: int = 12, cut: in
     qdf = spark.createDataFrame(list(enumerate(questions)), "qid int, text string")
     index = embed(chunks, "chunk_id", "text")
     hits = retrieve(embed(qdf, "qid", "text"), index, per_query, id_col="chunk_id", ids=chunks)
-    first = hits.groupBy("chunk_id").agg(F.min(F.col("qid") * 1000 + F.col("rank")).alias("first_pos"))
+    first = hits.groupBy("chunk_id").agg(F.min(F.col("qid").cast("long") * (per_query + 1) + F.col("rank")).alias("first_pos"))
     top = first.orderBy("first_pos", "chunk_id").limit(cap)
     return (chunks.join(F.broadcast(top), "chunk_id")
             .select("first_pos", "chunk_id", "kind", F.substring("text", 1, cut).alias("piece")))

@@ -7,6 +7,8 @@ only its own k best rows, so no global sort of the data happens.
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -15,11 +17,11 @@ def _keys(key) -> list[str]:
     return [key] if isinstance(key, str) else list(key)
 
 
-def top_k(df: DataFrame, key, k: int, where: Column | None = None, share: bool = False,
+def top_k(df: DataFrame, key, k: int | None, where: Column | None = None, share: bool = False,
           name: str = "n", weight: str | None = None) -> DataFrame:
     """Most frequent values of ``key`` (optionally under ``where``), with percent of that total.
 
-    With ``weight`` the rows are pre-aggregated counts (e.g. ``flow_cube``) and are summed.
+    With ``weight`` the rows are pre-aggregated counts (e.g. a frame of ``flow_rollups``) and are summed.
     """
     base = df if where is None else df.filter(where)
     keys = _keys(key)
@@ -28,6 +30,8 @@ def top_k(df: DataFrame, key, k: int, where: Column | None = None, share: bool =
     if share:
         total = base.select(cnt.cast("double")).scalar()
         counts = counts.withColumn("pct", F.round(F.lit(100.0) * F.col(name) / F.nullif(total, F.lit(0.0)), 2))
+    if k is None:  # every value
+        return counts
     return counts.orderBy(F.col(name).desc(), *[F.col(c).asc_nulls_last() for c in keys]).limit(k)
 
 
@@ -64,3 +68,22 @@ def recent(df: DataFrame, n: int, order=("date", "flow_id")) -> DataFrame:
 def first_rows(df: DataFrame, n: int, order=("date", "flow_id")) -> DataFrame:
     """First n rows in event order (the reference's ``head(n)`` on a time-ordered file)."""
     return df.orderBy(*[F.col(c).asc() for c in order]).limit(n)
+
+
+def order_statistic(df: DataFrame, col: str, q: float) -> float | None:
+    """The exact value of rank ``ceil(q * n)`` (1-based) of a column; null when there is no value.
+
+    The column is range-partitioned once; the counts of the partitions (one number each) name the one that holds the rank,
+    and only that one is ordered.
+    """
+    from flowlens.session import materialize
+    parts = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    x = df.where(F.col(col).isNotNull()).select(F.col(col).alias("v"))
+    x = materialize(x.repartitionByRange(parts, "v").withColumn("pid", F.spark_partition_id()), "ranked")
+    sizes = sorted((r.pid, r.n) for r in x.groupBy("pid").agg(F.count(F.lit(1)).alias("n")).collect())
+    rank = max(1, math.ceil(q * sum(n for _, n in sizes)))
+    for pid, n in sizes:
+        if rank <= n:
+            return x.where(F.col("pid") == pid).orderBy("v").offset(rank - 1).limit(1).first()["v"]
+        rank -= n
+    return None

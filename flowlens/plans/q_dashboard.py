@@ -322,3 +322,52 @@ def q_recent_events_by_ip(spark, sf):
 FROM flows GROUP BY 1, 2"""))
 def q_daily_actions_long(spark, sf):
     return kpi.counts_over(flows(spark, sf).withColumn("day", F.to_date("date")), ["day", "action"])
+
+
+@query("privileged_ports_permit", with_flows(f"""SELECT t.dest_port, t.n, coalesce(s.service, 'Autre') AS service
+FROM (SELECT dest_port, count(*) AS n FROM flows WHERE dest_port < 1024 AND action = 'Permit' GROUP BY dest_port
+      ORDER BY n DESC, dest_port LIMIT 10) t LEFT JOIN ({SERVICES_SQL}) s ON t.dest_port = s.port"""))
+def q_privileged_ports_permit(spark, sf):
+    top = topk.top_k(flows(spark, sf), "dest_port", 10, where=(F.col("dest_port") < 1024) & (F.col("action") == "Permit"))
+    return with_service(top, default="Autre")
+
+
+@query("look_back_counts", with_flows("""SELECT span, count(*) AS n, count(*) FILTER (WHERE action = 'Deny') AS n_deny FROM (
+ SELECT 'all' AS span, action FROM flows
+ UNION ALL SELECT '7 days', action FROM flows WHERE date >= (SELECT max(date) FROM flows) - INTERVAL 7 DAY
+ UNION ALL SELECT '1 months', action FROM flows WHERE date >= (SELECT max(date) FROM flows) - INTERVAL 1 MONTH
+ UNION ALL SELECT '3 months', action FROM flows WHERE date >= (SELECT max(date) FROM flows) - INTERVAL 3 MONTH)
+GROUP BY span"""))
+def q_look_back_counts(spark, sf):
+    from flowlens.operators.filters import look_back
+    fl, out = flows(spark, sf), None
+    for span in ("all", "7 days", "1 months", "3 months"):
+        part = look_back(fl, span).agg(F.count(F.lit(1)).alias("n"), F.count_if(F.col("action") == "Deny").alias("n_deny")).select(
+            F.lit(span).alias("span"), "n", "n_deny")
+        out = part if out is None else out.unionByName(part)
+    return out
+
+
+@query("layout_kpis", with_flows("""SELECT layout, count(*) AS total, count(*) FILTER (WHERE action = 'Permit') AS permit,
+ count(*) FILTER (WHERE action = 'Deny') AS deny, count(*) FILTER (WHERE action NOT IN ('Permit', 'Deny')) AS other
+FROM flows, (VALUES ('L1'), ('L2'), ('L3'), ('L5')) AS t(layout) GROUP BY layout"""))
+def q_layout_kpis(spark, sf):
+    """Flows written to each file layout with the device's upper-case actions and read back."""
+    from flowlens.session import scratch_path
+    from flowlens.sources import io
+    a = F.col("action")
+    fl = flows(spark, sf).withColumn("action", F.when(a == "Permit", "PERMIT").when(a == "Deny", "DENY").otherwise(a))
+    at = {k: scratch_path(spark, f"layout-{k}") for k in ("L1", "L2", "L3", "L5")}
+    io.write_firewall_log(fl, at["L1"])
+    io.write_export(fl, at["L2"])
+    fl.select("date", "ip_source", "ip_destination", "protocol", "source_port", "dest_port", "rule_id", "action", "interface_in",
+              "interface_out").write.option("header", True).csv(at["L3"])
+    io.write_flows_json(fl, at["L5"])
+    read = {"L1": io.read_firewall_log, "L2": io.read_flows_export, "L3": io.read_flows_csv, "L5": io.read_flows_json}
+    out = None
+    for layout, path in at.items():
+        x = read[layout](spark, path).agg(
+            F.count(F.lit(1)).alias("total"), F.count_if(a == "Permit").alias("permit"), F.count_if(a == "Deny").alias("deny"),
+            F.count_if(~a.isin("Permit", "Deny")).alias("other")).select(F.lit(layout).alias("layout"), "*")
+        out = x if out is None else out.unionByName(x)
+    return out

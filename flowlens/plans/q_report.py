@@ -19,7 +19,7 @@ def _sec_topk(section, key, k, where="", label=None, pct=True):
     p = pct_sql("n", f"(SELECT count(*) FROM flows {w})") if pct else "CAST(NULL AS DOUBLE)"
     return (f"SELECT '{section}' AS section, CAST(row_number() OVER (ORDER BY n DESC, {key}) AS INTEGER) AS rank,"
             f" {lab} AS label, n, {p} AS pct FROM (SELECT {key}, count(*) AS n FROM flows {w} GROUP BY {key}"
-            f" ORDER BY n DESC, {key} LIMIT {k})")
+            f" ORDER BY n DESC, {key}{'' if k is None else f' LIMIT {k}'})")
 
 
 _SECTIONS_SQL = with_flows("\nUNION ALL ".join([
@@ -32,7 +32,7 @@ _SECTIONS_SQL = with_flows("\nUNION ALL ".join([
    unnest([NULL, NULL, NULL, NULL, {pct_sql("count(*) FILTER (WHERE action = 'Permit')", "count(*)")},
            {pct_sql("count(*) FILTER (WHERE action = 'Deny')", "count(*)")}]) AS pct FROM flows))""",
     "SELECT * FROM (" + _sec_topk("rules", "rule_id", 10) + ")",
-    "SELECT * FROM (" + _sec_topk("protocols", "protocol", 256, label="protocol") + ")",
+    "SELECT * FROM (" + _sec_topk("protocols", "protocol", None, label="protocol") + ")",
     "SELECT * FROM (" + _sec_topk("udp_rules", "rule_id", 10, "protocol = 'UDP'") + ")",
     "SELECT * FROM (" + _sec_topk("tcp_rules", "rule_id", 5, "protocol = 'TCP'") + ")",
     """SELECT * FROM (SELECT 'tcp_rule_port_action' AS section, CAST(row_number() OVER (ORDER BY n DESC, rule_id, dest_port,

@@ -67,7 +67,7 @@ def _report_ctx_sql():
     qs = ", ".join(f"({i}, '{t}')" for i, t in enumerate(REPORT_QUERIES))
     return with_flows(
         "SELECT f.first_pos, f.chunk_id, kb.kind, substring(kb.text, 1, 600) AS piece FROM (SELECT id AS chunk_id,"
-        " min(qid * 1000 + rank) AS first_pos FROM top GROUP BY id ORDER BY first_pos, chunk_id LIMIT 12) f"
+        " min(qid * 4 + rank) AS first_pos FROM top GROUP BY id ORDER BY first_pos, chunk_id LIMIT 12) f"
         " JOIN kb ON kb.chunk_id = f.chunk_id",
         extra=kb_cte() + f",\nrq AS (SELECT * FROM (VALUES {qs}) AS t(qid, text)),\n" + embed_cte("ei", "kb", "chunk_id")
         + ",\n" + embed_cte("eq", "rq", "qid") + ",\n"
@@ -112,7 +112,7 @@ def _fp_sql():
         e = "CAST(epoch_us(date) AS VARCHAR)" if c == "date" else f"CAST({c} AS VARCHAR)"
         parts.append(f"coalesce({e}, '\\N')")
     row = "concat_ws('|', " + ", ".join(parts) + ")"
-    return with_flows(f"SELECT count(*) AS n_rows, bit_xor(CAST('0x' || substr(md5({row}), 1, 15) AS BIGINT)) AS fp_md5"
+    return with_flows(f"SELECT count(*) AS n_rows, CAST(sum(CAST(CAST('0x' || substr(md5({row}), 1, 15) AS BIGINT) AS HUGEINT)) AS VARCHAR) AS fp_md5"
                       " FROM flows")
 
 

@@ -33,6 +33,6 @@ def q_rate_cap(spark, sf):
 
 
 @query("unused_rules", with_flows("""SELECT rule_id, proto, lo, hi, action FROM rules
- WHERE rule_id NOT IN (SELECT DISTINCT rule_id FROM flows WHERE rule_id IS NOT NULL)""", extra=_RULES))
+ WHERE rule_id IS NOT NULL AND rule_id NOT IN (SELECT DISTINCT rule_id FROM flows WHERE rule_id IS NOT NULL)""", extra=_RULES))
 def q_unused_rules(spark, sf):
     return R.unused_rules(flows(spark, sf), R.rules_df(spark))

@@ -13,26 +13,30 @@ from flowlens.sources.tables import flows, raw_lines
 from flowlens.streaming import jobs as S
 
 
-def _raw_files(spark, sf, parts: int = 8) -> str:
-    """Raw mixed lines with a leading ISO timestamp, as ``parts`` text files."""
+#: Source of the record that closes the last sessions; no real source has it.
+HEARTBEAT = "(heartbeat)"
+
+
+def _raw_files(spark, sf) -> str:
+    """Raw mixed lines with a leading ISO timestamp, as text files (as many as Spark's shuffle width)."""
     path = scratch_path(spark, "stream-raw")
     lines = raw_lines(spark, sf, mixed=True).select(
         F.concat(F.date_format("date", "yyyy-MM-dd'T'HH:mm:ss"), F.lit(" "), F.col("value")).alias("value"))
-    lines.repartition(parts).write.text(path)
+    lines.repartition(int(spark.conf.get("spark.sql.shuffle.partitions")), "value").write.text(path)
     return path
 
 
 def _json_files(spark, sf, copies: int = 1, heartbeat: bool = False) -> str:
     """Flows as L5 JSON lines (``copies`` deliveries). With ``heartbeat``, one extra record a day
-    after the last event (no source) follows, so the watermark closes every real session."""
+    after the last event, marked by its source ``HEARTBEAT``, follows, so the watermark closes every real session."""
     path = scratch_path(spark, "stream-json")
     fl = flows(spark, sf)
     for i in range(copies):
         io.write_flows_json(fl, f"{path}/copy={i}", mode="overwrite")
     if heartbeat:
         hb = fl.agg((F.max("date") + F.expr("INTERVAL 1 DAY")).alias("date"))
-        hb = hb.select("date", *[F.lit(None).cast(t).alias(c) for c, t in
-                                 [("ip_source", "string"), ("ip_destination", "string"), ("protocol", "string"),
+        hb = hb.select("date", F.lit(HEARTBEAT).alias("ip_source"), *[F.lit(None).cast(t).alias(c) for c, t in
+                                 [("ip_destination", "string"), ("protocol", "string"),
                                   ("dest_port", "int"), ("rule_id", "int"), ("action", "string"),
                                   ("interface_in", "string"), ("interface_out", "string")]])
         io.write_flows_json(hb, f"{path}/copy=heartbeat", mode="overwrite")
@@ -108,7 +112,7 @@ def q_stream_sessions(spark, sf):
     src = _json_files(spark, sf, heartbeat=True)
     out, ck = scratch_path(spark, "sessions-out"), scratch_path(spark, "sessions-ck")
     S.run_append(S.sessions(S.stream_json(spark, src)), out, ck)
-    res = spark.read.parquet(out).filter(F.col("ip_source").isNotNull())
+    res = spark.read.parquet(out).filter(~F.col("ip_source").eqNullSafe(HEARTBEAT))
     return res.select("ip_source", _ntz("session_start"), _ntz("session_end"), "n", "n_deny")
 
 

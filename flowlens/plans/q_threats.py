@@ -26,7 +26,9 @@ def q_brute_force(spark, sf):
 
 @query("ddos_spike", with_flows("""SELECT bucket, n, round(mean, 6) AS mean, round(std, 6) AS std FROM (
  SELECT bucket, n, avg(n) OVER w AS mean, stddev_pop(n) OVER w AS std, count(n) OVER w AS k FROM (
-  SELECT time_bucket(INTERVAL 1 HOUR, date) AS bucket, count(*) AS n FROM flows GROUP BY 1)
+  SELECT bucket, coalesce(n, 0) AS n FROM (SELECT unnest(generate_series(min(b), max(b), INTERVAL 1 HOUR)) AS bucket
+    FROM (SELECT time_bucket(INTERVAL 1 HOUR, date) AS b FROM flows)) LEFT JOIN
+   (SELECT time_bucket(INTERVAL 1 HOUR, date) AS bucket, count(*) AS n FROM flows GROUP BY 1) USING (bucket))
  WINDOW w AS (ORDER BY bucket ROWS BETWEEN 24 PRECEDING AND 1 PRECEDING))
 WHERE k >= 24 AND n > mean + 3.0 * std"""))
 def q_ddos_spike(spark, sf):

@@ -17,12 +17,12 @@ def _service(col: str, default: str) -> str:
     return f"(CASE {whens} ELSE '{default}' END)"
 
 
-def dict_sql(key: str, k: int, where: str = "", quote: bool = True) -> str:
+def dict_sql(key: str, k: int | None, where: str = "", quote: bool = True) -> str:
     w = f"WHERE {where}" if where else ""
     kt = f"'''' || {key} || ''''" if quote else f"CAST({key} AS VARCHAR)"
     return (f"('{{' || coalesce((SELECT string_agg(item, ', ' ORDER BY n DESC, {key}) FROM (SELECT {key}, count(*) AS n,"
             f" {kt} || ': ' || CAST(count(*) AS VARCHAR) AS item FROM flows {w} GROUP BY {key}"
-            f" ORDER BY n DESC, {key} LIMIT {k})), '') || '}}')")
+            f" ORDER BY n DESC, {key}{'' if k is None else f' LIMIT {k}'})), '') || '}}')")
 
 
 def port_lines_sql(where: str = "") -> str:
@@ -49,7 +49,7 @@ def kb_cte(sample_n: int = 300, seed: int = 42) -> str:
     c0 = (f"SELECT 0 AS chunk_id, 'summary' AS kind, {s(C.T_SUMMARY + chr(10) + 'Total: ')} || format('{{:,}}', total)"
           f" || ' | Permit: ' || format('{{:,}}', p) || ' (' || {pct1_sql('p', 'total')} || '%) | Deny: '"
           f" || format('{{:,}}', d) || ' (' || {pct1_sql('d', 'total')} || '%)' || chr(10) || 'Protocoles: '"
-          f" || {dict_sql('protocol', 256)} AS text FROM {head}")
+          f" || {dict_sql('protocol', None)} AS text FROM {head}")
     c1 = (f"SELECT 1, 'ips', {s(C.T_TOP_IPS + chr(10))} || {dict_sql('ip_source', 20)} || "
           f"{s(chr(10) + chr(10) + C.T_TOP_DENIED_IPS + chr(10))} || {dict_sql('ip_source', 20, deny)}")
     c2 = (f"SELECT 2, 'ports', {s(C.T_PORTS + chr(10))} || {port_lines_sql()} || {s(chr(10) + C.T_DENIED_PORTS + chr(10))}"
@@ -100,11 +100,11 @@ def topn_cte(name: str, qemb: str, iemb: str, ids_sql: str, qids_sql: str, n: in
             f" round(score, 9) DESC, id) AS INTEGER) AS rank FROM {name}_all) WHERE rank <= {n})")
 
 
-def _day_items_sql(key: str, k: int, item: str, where: str = "", sep: str = "', '") -> str:
+def _day_items_sql(key: str, k: int | None, item: str, where: str = "", sep: str = "', '") -> str:
     w = f"WHERE {where}" if where else ""
     return (f"(SELECT day, string_agg(item, {sep} ORDER BY rk) AS t FROM (SELECT day, {item} AS item,"
             f" row_number() OVER (PARTITION BY day ORDER BY n DESC, {key}) AS rk FROM (SELECT CAST(date AS DATE) AS day,"
-            f" {key}, count(*) AS n FROM flows {w} GROUP BY 1, 2)) WHERE rk <= {k} GROUP BY day)")
+            f" {key}, count(*) AS n FROM flows {w} GROUP BY 1, 2)){'' if k is None else f' WHERE rk <= {k}'} GROUP BY day)")
 
 
 def daily_kb_sql() -> str:
@@ -120,7 +120,7 @@ def daily_kb_sql() -> str:
     port = (f"'Port ' || CAST(dest_port AS VARCHAR) || '(' || {_service('dest_port', C.UNKNOWN_SERVICE)} || '): '"
             f" || CAST(n AS VARCHAR)")
     pieces = {
-        "proto": _day_items_sql("protocol", 256, q("protocol")),
+        "proto": _day_items_sql("protocol", None, q("protocol")),
         "ips": _day_items_sql("ip_source", 20, q("ip_source")),
         "ips_d": _day_items_sql("ip_source", 20, q("ip_source"), deny),
         "ports": _day_items_sql("dest_port", 20, port, sep="chr(10)"),

@@ -48,15 +48,19 @@ def get_spark(master: str | None = None, shuffle_partitions: int = 8, app: str =
 def work_dir(spark: SparkSession) -> str:
     """The shared folder for checkpoints and intermediate tables.
 
-    Read from ``spark.checkpoint.dir`` (set by the cluster); only when unset, create a private
-    temp folder and register it as the checkpoint dir (local runs and tests). Also makes sure the
-    package is importable by the Python workers (``ship_package``).
+    Read from ``spark.checkpoint.dir`` (set by the cluster), else the folder given to
+    ``SparkContext.setCheckpointDir``. Only when both are unset and the master is local, a private
+    temp folder becomes the checkpoint dir (local runs and tests); on a cluster that is an error,
+    since executors would each write to a disk of their own. Also makes sure the package is
+    importable by the Python workers (``ship_package``).
     """
-    d = spark.conf.get(_CKPT_KEY, None)
+    sc = spark.sparkContext
+    d = spark.conf.get(_CKPT_KEY, None) or sc.getCheckpointDir()
     if not d:
+        if not (sc.master == "local" or sc.master.startswith("local[")):
+            raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
         d = tempfile.mkdtemp(prefix="flowlens-ckpt-")
         spark.conf.set(_CKPT_KEY, d)
-    sc = spark.sparkContext
     if sc.getCheckpointDir() is None:
         sc.setCheckpointDir(d)
     ship_package(spark, d)

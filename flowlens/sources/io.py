@@ -6,8 +6,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from flowlens.operators.filters import date_predicate
-from flowlens.operators.normalize import cast_types, to_canonical, with_defaults
-from flowlens.schema import FLOW_COLUMNS, L1_SCHEMA, L2_SCHEMA, L45_SCHEMA
+from flowlens.operators.normalize import to_flows
+from flowlens.schema import L1_SCHEMA, L2_SCHEMA, L45_SCHEMA
 
 _TS_FMT = "yyyy-MM-dd HH:mm:ss"
 
@@ -15,7 +15,7 @@ _TS_FMT = "yyyy-MM-dd HH:mm:ss"
 def read_flows_csv(spark: SparkSession, path: str) -> DataFrame:
     """L3: comma CSV with a header, columns read by name (order is not fixed)."""
     raw = spark.read.option("header", True).option("inferSchema", False).csv(path)
-    return cast_types(to_canonical(raw, "L3"))
+    return to_flows(raw, "L3")
 
 
 def read_flows_export(spark: SparkSession, path: str, start=None, end=None,
@@ -26,10 +26,10 @@ def read_flows_export(spark: SparkSession, path: str, start=None, end=None,
     report's ``<= end`` (which keeps only the midnight instant of the last day).
     """
     raw = spark.read.schema(L2_SCHEMA).option("sep", ";").option("header", False).csv(path)
-    df = cast_types(raw).drop("firewall_num")
+    df = to_flows(raw, "L2")
     if start is not None or end is not None:
         df = df.filter(date_predicate(start, end, inclusive_midnight))
-    return df.select(*FLOW_COLUMNS)
+    return df
 
 
 def export_stats(df: DataFrame) -> DataFrame:
@@ -40,21 +40,22 @@ def export_stats(df: DataFrame) -> DataFrame:
 def read_firewall_log(spark: SparkSession, path: str) -> DataFrame:
     """L1: the 9-column ';' firewall log written by the ingest chain."""
     raw = spark.read.schema(L1_SCHEMA).option("sep", ";").option("header", False).csv(path)
-    return to_canonical(cast_types(raw), "L1").select(*FLOW_COLUMNS)
+    return to_flows(raw, "L1")
 
 
 def read_flows_json(spark: SparkSession, path: str, stream: bool = False) -> DataFrame:
-    """JSON lines with the SQL-table field names; policyid '' or missing -> 999."""
+    """JSON lines with the SQL-table field names; policyid '' or missing -> 999, missing
+    datetime -> time of arrival."""
     reader = spark.readStream if stream else spark.read
     raw = reader.schema(L45_SCHEMA).json(path)
-    return with_defaults(cast_types(to_canonical(raw, "L5"))).select(*FLOW_COLUMNS)
+    return to_flows(raw, "L5")
 
 
 def read_fw_table(spark: SparkSession, name: str, jdbc_options: dict | None = None) -> DataFrame:
     """L4: the ``FW`` table, from the catalog or (with options) over JDBC."""
     raw = (spark.read.format("jdbc").options(**jdbc_options).load() if jdbc_options
            else spark.read.table(name))
-    return with_defaults(cast_types(to_canonical(raw, "L4"))).select(*FLOW_COLUMNS)
+    return to_flows(raw, "L4")
 
 
 # ------------------------------------------------------------------------------- writers
@@ -105,12 +106,7 @@ def append_fw_table(df: DataFrame, name: str, batch_id: int | None = None) -> No
         return
     out = out.withColumn("batch_id", F.lit(int(batch_id)))
     if spark.catalog.tableExists(name):
-        with_conf = spark.conf.get("spark.sql.sources.partitionOverwriteMode")
-        spark.conf.set("spark.sql.sources.partitionOverwriteMode", "dynamic")
-        try:
-            out.write.mode("overwrite").insertInto(name)
-        finally:
-            spark.conf.set("spark.sql.sources.partitionOverwriteMode", with_conf)
+        out.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").insertInto(name)
     else:
         out.write.partitionBy("batch_id").saveAsTable(name)
 

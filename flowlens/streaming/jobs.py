@@ -24,12 +24,13 @@ def stream_lines(spark: SparkSession, path: str, max_files: int | None = None) -
 
 
 def stream_json(spark: SparkSession, path: str, max_files: int | None = None) -> DataFrame:
-    """L5 JSON-lines stream with the canonical columns; ``date`` as a (UTC) timestamp."""
-    from flowlens.operators.normalize import cast_types, to_canonical, with_defaults
+    """L5 JSON-lines stream with the canonical columns; ``date`` as a (UTC) timestamp, the time of
+    arrival where a line has none."""
+    from flowlens.operators.normalize import to_flows
     r = spark.readStream.schema(L45_SCHEMA)
     if max_files:
         r = r.option("maxFilesPerTrigger", max_files)
-    df = with_defaults(cast_types(to_canonical(r.json(path), "L5")))
+    df = to_flows(r.json(path), "L5")
     return df.withColumn("date", F.col("date").cast("timestamp"))
 
 
