@@ -139,6 +139,11 @@ def compare_models(feats: DataFrame, k: int = 5, seed: int = 42, parallelism: in
 
     rows = _parallel([task(name, f) for f in range(k) for name in models(1)], parallelism)
     per_fold = spark.createDataFrame(rows, "model string, fold int, accuracy double, auc double")
+    return fold_summary(per_fold)
+
+
+def fold_summary(per_fold: DataFrame) -> DataFrame:
+    """Mean and population std of ``accuracy`` and ``auc`` over each model's folds (nulls left out), best mean AUC first."""
     return (per_fold.groupBy("model").agg(F.round(F.avg("accuracy"), 6).alias("acc_mean"),
                                           F.round(F.stddev_pop("accuracy"), 6).alias("acc_std"),
                                           F.round(F.avg("auc"), 6).alias("auc_mean"),
@@ -215,7 +220,11 @@ def cart(feats: DataFrame, depth: int = 4, min_leaf: int = 20, seed: int = 42):
 def cart_rules(feats: DataFrame, depth: int = 4, min_leaf: int = 20) -> DataFrame:
     """One row per leaf: rule text, predicted class, support and deny share (one pass of count_ifs)."""
     model, _ = cart(feats, depth, min_leaf)
-    rules = tree_rules(model)
+    return rule_stats(feats, tree_rules(model))
+
+
+def rule_stats(feats: DataFrame, rules: list[dict]) -> DataFrame:
+    """Support and deny share of given rules (``rule_id``, ``text``, ``prediction``, ``conds``): one pass of count_ifs."""
     aggs = []
     for r in rules:
         p = rule_predicate(r["conds"])

@@ -114,3 +114,16 @@ def cluster_projection(df: DataFrame, assign: DataFrame, cols, key: str = "ip_so
     """Clusters on the first two principal axes (the cluster scatter): ``key, cluster, axis1, axis2``."""
     scores, _, _ = pca(df, cols, 2, key)
     return assign.join(scores, key).select(key, "cluster", F.col("pc1").alias("axis1"), F.col("pc2").alias("axis2"))
+
+
+def project(z: DataFrame, cols, loadings: DataFrame, k: int, key: str = "ip_source") -> DataFrame:
+    """Scores ``pc1..pck`` of standardised columns under given loadings (``feature, component, loading``; d x k rows)."""
+    weight = {(r["feature"], r["component"]): r["loading"] for r in loadings.collect()}
+    return z.select(key, *[sum((F.col(c + "_z") * F.lit(weight[c, j]) for c in cols), F.lit(0.0)).alias(f"pc{j}")
+                           for j in range(1, k + 1)])
+
+
+def assign_to(z: DataFrame, cols, centres: list[list[float]], key: str = "ip_source") -> DataFrame:
+    """Cluster id per key: the nearest of the given centres (squared distance; ties to the smaller id), in the row."""
+    far = [sum(((F.col(c + "_z") - F.lit(x)) ** 2 for c, x in zip(cols, centre, strict=True)), F.lit(0.0)) for centre in centres]
+    return z.select(key, (F.array_position(F.array(*far), F.array_min(F.array(*far))) - 1).cast("int").alias("cluster"))

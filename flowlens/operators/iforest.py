@@ -137,9 +137,13 @@ def isolation_forest(df: DataFrame, cols, key: str = "ip_source", trees: int = 1
     key_type = dict(df.dtypes)[key]
     schema = T.StructType([T.StructField(key, T._parse_datatype_string(key_type)), T.StructField("score", T.DoubleType())])
     scored = df.select(key, *cols).mapInPandas(_scorer(nodes, cols, psi_eff, key), schema)
-    scored = materialize(scored, "forest-scores")  # scored once, read for the cut-off and by the caller
-    cut = order_statistic(scored, "score", contamination)
-    cut = F.lit(cut).cast("double")
+    # scored once, read for the cut-off and by the caller
+    return flag_suspects(materialize(scored, "forest-scores"), contamination)
+
+
+def flag_suspects(scored: DataFrame, contamination: float = 0.05) -> DataFrame:
+    """``status`` of scored rows: ``Suspect`` strictly below the exact contamination quantile of ``score``."""
+    cut = F.lit(order_statistic(scored, "score", contamination)).cast("double")
     return scored.withColumn("status", F.when(F.col("score") < cut, "Suspect").otherwise("Normal"))
 
 

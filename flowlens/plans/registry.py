@@ -44,5 +44,5 @@ def headline() -> list[str]:
 def _load_all() -> None:
     # Importing the catalogue modules registers their queries.
     from flowlens.plans import (  # noqa: F401
-        q_dashboard, q_ingest, q_ml, q_report, q_retrieval, q_rules, q_stream, q_threats,
+        q_dashboard, q_given, q_ingest, q_ml, q_report, q_retrieval, q_rules, q_stream, q_threats,
     )
