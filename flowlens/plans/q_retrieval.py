@@ -67,7 +67,7 @@ def _report_ctx_sql():
     qs = ", ".join(f"({i}, '{t}')" for i, t in enumerate(REPORT_QUERIES))
     return with_flows(
         "SELECT f.first_pos, f.chunk_id, kb.kind, substring(kb.text, 1, 600) AS piece FROM (SELECT id AS chunk_id,"
-        " min(qid * 4 + rank) AS first_pos FROM top GROUP BY id ORDER BY first_pos, chunk_id LIMIT 12) f"
+        " CAST(min(qid * 4 + rank) AS BIGINT) AS first_pos FROM top GROUP BY id ORDER BY first_pos, chunk_id LIMIT 12) f"
         " JOIN kb ON kb.chunk_id = f.chunk_id",
         extra=kb_cte() + f",\nrq AS (SELECT * FROM (VALUES {qs}) AS t(qid, text)),\n" + embed_cte("ei", "kb", "chunk_id")
         + ",\n" + embed_cte("eq", "rq", "qid") + ",\n"
