@@ -29,6 +29,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from flowlens.operators.profiles import LOF_FEATURES, ip_profiles, standardize
+from flowlens.operators.topk import linear_quantiles
 from flowlens.session import materialize
 
 _DIGITS = 9
@@ -82,7 +83,6 @@ def knn(points: DataFrame, k: int, key: str = "ip_source", d: int | None = None,
             break
         w0 /= 4.0
     max_levels = max(max_levels, int(math.ceil(math.log(span / w0, growth))) + 2)
-    import time as _time
     offsets = [list(o) for o in itertools.product((-1, 0, 1), repeat=d)]
     off_col = F.array(*[F.array(*[F.lit(x) for x in o]) for o in offsets])
     final_lvl = max(0, int(math.ceil(math.log(span / w0, growth))))
@@ -100,7 +100,6 @@ def knn(points: DataFrame, k: int, key: str = "ip_source", d: int | None = None,
                       F.col("mult").alias("nmult"), F.col("tie").alias("ntie"))
     done = None
     for it in range(max_levels):
-        t0 = _time.perf_counter()
         levels = sorted(r[0] for r in q.select("lvl").distinct().collect())  # a few small ints
         if not levels:
             break
@@ -138,12 +137,15 @@ def knn(points: DataFrame, k: int, key: str = "ip_source", d: int | None = None,
                .select("vid", "lvl"))
         q = vec.select("vid", *zc, "mult").join(materialize(nxt, f"lof-next{it}"), "vid")
         if stats is not None:
-            stats.append((it, levels, _time.perf_counter() - t0))
+            stats.append((it, levels))
+    else:
+        if not q.isEmpty():
+            raise RuntimeError(f"k nearest neighbours unresolved after {max_levels} rounds")
     return vec, done
 
 
 def lof(profiles: DataFrame, cols=LOF_FEATURES, k: int = 20, contamination: float = 0.05,
-        key: str = "ip_source", exact_quantile: bool = True) -> DataFrame:
+        key: str = "ip_source") -> DataFrame:
     """LOF score and outlier flag per key: ``key, lof, is_outlier``."""
     pts = materialize(scaled_features(profiles, cols, key), "lof-points")
     vec, nb = knn(pts, k, key)
@@ -158,17 +160,16 @@ def lof(profiles: DataFrame, cols=LOF_FEATURES, k: int = 20, contamination: floa
              .join(lrd, "vid").select("vid", (F.col("mlrd") / F.col("lrd")).alias("lof")))
     zc = [c for c in pts.columns if c.startswith("z")]
     per_key = pts.withColumn("vid", F.xxhash64(*zc)).join(ratio, "vid").select(key, "lof")
-    q = 1.0 - contamination
-    cut = (per_key.select(F.percentile("lof", F.lit(q))) if exact_quantile
-           else per_key.select(F.percentile_approx("lof", F.lit(q), F.lit(100000)))).scalar()
+    per_key = materialize(per_key, "lof-scores")  # read for the cut-off and by the caller
+    cut = F.lit(linear_quantiles(per_key, "lof", [1.0 - contamination])[0]).cast("double")
     return per_key.withColumn("is_outlier", F.col("lof") > cut)
 
 
 def lof_summary(scores: DataFrame) -> DataFrame:
     """Rank-curve figures: count, max, median, p95 (linear) and number of outliers."""
+    median, p95 = (F.lit(x).cast("double") for x in linear_quantiles(scores, "lof", [0.5, 0.95]))
     return scores.agg(F.count(F.lit(1)).alias("n"), F.round(F.max("lof"), 6).alias("max_lof"),
-                      F.round(F.percentile("lof", F.lit(0.5)), 6).alias("median_lof"),
-                      F.round(F.percentile("lof", F.lit(0.95)), 6).alias("p95_lof"),
+                      F.round(median, 6).alias("median_lof"), F.round(p95, 6).alias("p95_lof"),
                       F.count_if("is_outlier").alias("n_outliers"))
 
 

@@ -19,23 +19,25 @@ from pyspark.errors import AnalysisException
 
 from flowlens.functions.scalar import EMBED_DIMS, word_bucket, words
 
-# Largest query-vector table broadcast in one batch (rows of (qid, dim, weight): ~24 bytes each).
-BROADCAST_MAX_ROWS = 2_000_000
+# Parts of the ids that each dim is joined in.
+SALTS = 16
 _RANK_DIGITS = 9
 
 
 def embed(df: DataFrame, id_col: str, text_col: str, dims: int = EMBED_DIMS) -> DataFrame:
     """``(id_col, dim, weight)``: lower-case whitespace tokens, MD5 bucket, count, L2 norm.
 
-    The texts are hash-partitioned by id once; the (id, dim) count and the per-id norm window
-    then run in that partitioning with no further exchange. Shuffling the raw text once is
-    cheaper than shuffling the sparse vectors twice (up to 512 rows per document).
+    One row is one text, so buckets, counts and norm are array functions of the row: nothing is shuffled.
     """
-    toks = (df.select(id_col, text_col).repartition(id_col)
-            .select(F.col(id_col), F.explode(words(text_col)).alias("word")))
-    counts = toks.groupBy(id_col, word_bucket("word", dims).alias("dim")).agg(F.count(F.lit(1)).alias("cnt"))
-    norm = F.sqrt(F.sum(F.col("cnt") * F.col("cnt")).over(Window.partitionBy(id_col)))
-    return counts.select(id_col, "dim", (F.col("cnt") / norm).alias("weight"))
+    x = df.select(id_col, F.array_sort(F.transform(words(text_col), lambda w: word_bucket(w, dims))).alias("b"))
+    x = x.select(id_col, "b", F.array_distinct("b").alias("d"))
+    # in the sorted buckets, a count is the way from one distinct bucket's first place to the next one's
+    first = F.transform("d", lambda v: F.array_position("b", v))
+    x = x.select(id_col, "d", F.concat(first, F.array((F.size("b") + 1).cast("long"))).alias("p"))
+    x = x.select(id_col, "d", F.transform("d", lambda v, i: (F.get("p", i + 1) - F.get("p", i)).cast("long")).alias("n"))
+    norm = F.sqrt(F.aggregate("n", F.lit(0).cast("long"), lambda s, n: s + n * n))
+    x = x.select(id_col, norm.alias("norm"), F.explode(F.arrays_zip("d", "n")).alias("e"))
+    return x.select(id_col, F.col("e.d").alias("dim"), (F.col("e.n") / F.col("norm")).alias("weight"))
 
 
 def embed_dense(sparse: DataFrame, id_col: str, dims: int = EMBED_DIMS) -> DataFrame:
@@ -46,7 +48,11 @@ def embed_dense(sparse: DataFrame, id_col: str, dims: int = EMBED_DIMS) -> DataF
 
 
 def _score(index: DataFrame, qv: DataFrame, id_col: str) -> DataFrame:
-    j = index.join(F.broadcast(qv), "dim")
+    """Dot products by a join on (dim, salt): the few dims are spread over ``SALTS`` parts of the ids, so the join is the same at
+    any number of queries; Spark broadcasts the query side by itself where it is small."""
+    salted = index.withColumn("salt", F.pmod(F.xxhash64(id_col), F.lit(SALTS)).cast("int"))
+    every = qv.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+    j = salted.join(every, ["dim", "salt"])
     return j.groupBy("qid", id_col).agg(F.sum(F.col("weight") * F.col("qweight")).alias("score"))
 
 
@@ -59,18 +65,7 @@ def retrieve(queries: DataFrame, index: DataFrame, n: int = 4, id_col: str = "id
     zero-score ids in id order, as a full ranking would.
     """
     qv = queries.select("qid", "dim", F.col("weight").alias("qweight"))
-    n_rows = qv.count()
-    if n_rows <= BROADCAST_MAX_ROWS:
-        scores = _score(index, qv, id_col)
-    else:
-        batches = -(-n_rows // BROADCAST_MAX_ROWS)
-        parts = []
-        for b in range(batches):
-            part = qv.filter(F.pmod(F.xxhash64("qid"), F.lit(batches)) == b)
-            parts.append(_score(index, part, id_col))
-        scores = parts[0]
-        for p in parts[1:]:
-            scores = scores.unionByName(p)
+    scores = _score(index, qv, id_col)
     w = Window.partitionBy("qid").orderBy(F.round("score", _RANK_DIGITS).desc(), F.col(id_col))
     top = (scores.withColumn("rank", F.row_number().over(w)).filter(F.col("rank") <= F.lit(n))
            .select("qid", "rank", id_col, "score"))

@@ -70,20 +70,40 @@ def first_rows(df: DataFrame, n: int, order=("date", "flow_id")) -> DataFrame:
     return df.orderBy(*[F.col(c).asc() for c in order]).limit(n)
 
 
-def order_statistic(df: DataFrame, col: str, q: float) -> float | None:
-    """The exact value of rank ``ceil(q * n)`` (1-based) of a column; null when there is no value.
+def _at_ranks(df: DataFrame, col: str, ranks) -> list:
+    """The exact values of a column at the 1-based ranks that ``ranks(n)`` asks for.
 
-    The column is range-partitioned once; the counts of the partitions (one number each) name the one that holds the rank,
-    and only that one is ordered.
+    The column is range-partitioned once; the counts of the partitions (one number each) name the ones that hold the ranks,
+    and only those are ordered.
     """
     from flowlens.session import materialize
     parts = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     x = df.where(F.col(col).isNotNull()).select(F.col(col).alias("v"))
     x = materialize(x.repartitionByRange(parts, "v").withColumn("pid", F.spark_partition_id()), "ranked")
     sizes = sorted((r.pid, r.n) for r in x.groupBy("pid").agg(F.count(F.lit(1)).alias("n")).collect())
-    rank = max(1, math.ceil(q * sum(n for _, n in sizes)))
-    for pid, n in sizes:
-        if rank <= n:
-            return x.where(F.col("pid") == pid).orderBy("v").offset(rank - 1).limit(1).first()["v"]
-        rank -= n
-    return None
+    out = []
+    for rank in ranks(sum(n for _, n in sizes)) if sizes else []:
+        for pid, n in sizes:
+            if rank <= n:
+                out.append(x.where(F.col("pid") == pid).orderBy("v").offset(rank - 1).limit(1).first()["v"])
+                break
+            rank -= n
+    return out
+
+
+def order_statistic(df: DataFrame, col: str, q: float) -> float | None:
+    """The exact value of rank ``ceil(q * n)`` (1-based) of a column; null when there is no value."""
+    got = _at_ranks(df, col, lambda n: [max(1, math.ceil(q * n))])
+    return got[0] if got else None
+
+
+def linear_quantiles(df: DataFrame, col: str, qs: list[float]) -> list[float | None]:
+    """Exact quantiles with linear interpolation between neighbouring ranks; nulls when there is no value."""
+    at: list[float] = []
+
+    def ranks(n: int) -> list[int]:
+        at.extend(q * (n - 1) for q in qs)
+        return [r for p in at for r in (math.floor(p) + 1, math.ceil(p) + 1)]
+
+    got = _at_ranks(df, col, ranks)
+    return [lo + (hi - lo) * (p - math.floor(p)) for p, lo, hi in zip(at, got[::2], got[1::2], strict=True)] or [None] * len(qs)

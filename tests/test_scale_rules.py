@@ -7,7 +7,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from flowlens import session
-from flowlens.operators import chunks, classify, iforest, report, retrieval, rules, topk
+from flowlens.operators import chunks, classify, iforest, lof, report, retrieval, rules, topk
 from flowlens.operators.kpi import flow_rollups
 from flowlens.schema import FLOW_SCHEMA, RULE_SCHEMA
 from flowlens.sources import io
@@ -148,3 +148,23 @@ def test_shared_folder_rule(monkeypatch):
     for master in ("yarn", "spark://h:7077", "local-cluster[2,1,1024]"):
         with pytest.raises(ValueError, match="spark.checkpoint.dir"):
             session.work_dir(_FakeSession(master))
+
+
+def test_embedding_needs_no_exchange(spark):
+    df = spark.createDataFrame([(1, "b a b  B"), (2, None), (3, "")], "id long, text string")
+    e = retrieval.embed(df, "id", "text")
+    assert "Exchange" not in e._jdf.queryExecution().executedPlan().toString()
+    assert sorted(round(r.weight, 6) for r in e.collect()) == [0.316228, 0.948683]
+
+
+def test_lof_leaves_no_vector_out(spark):
+    df = spark.range(1200).select(F.concat(F.lit("k"), "id").alias("ip_source"), F.exp(2 * F.randn(1)).alias("z0"), F.exp(2 * F.randn(2)).alias("z1"))
+    vec, nb = lof.knn(df, 7, "ip_source")
+    per = nb.groupBy("vid").agg(F.sum("take").alias("k"))
+    assert per.where("k = 7").count() == vec.count() == 1200
+
+
+def test_linear_quantiles(spark):
+    df = spark.createDataFrame([(float(x),) for x in [4, 1, 3, 2]], "v double")
+    assert topk.linear_quantiles(df, "v", [0.0, 0.5, 0.95, 1.0]) == pytest.approx([1.0, 2.5, 3.85, 4.0])
+    assert topk.linear_quantiles(df.limit(0), "v", [0.5]) == [None]
