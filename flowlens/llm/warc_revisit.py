@@ -22,8 +22,8 @@ from pyspark.sql import functions as F
 PERMITTED = ("cache-control", "content-location", "date", "etag", "expires", "vary")
 #: Query parameters that don't tell resources apart.
 TRACKING = "^(utm_[a-z]+|ref|fbclid|gclid)(=.*)?$"
-#: Records of a time bucket, about.
-BUCKET_ROWS = 16384
+#: Records of a time bucket, about, and the most buckets (their edges are literals of the plan; beyond it they grow).
+BUCKET_ROWS, MOST_BUCKETS = 16384, 4096
 
 
 def canonical(url: Column) -> Column:
@@ -47,9 +47,9 @@ def resolve(records: DataFrame) -> DataFrame:
     slim = records.where(F.col("kind").isin("response", "revisit")).select(
         "record_id", "time", "url", canonical(F.col("url")).alias("c"), (F.col("kind") == "response").alias("full"),
         _lower_keys(F.col("headers")).alias("h"))
-    rows = slim.count()
-    edges = slim.agg(F.percentile_approx("time", [i / max(1, rows // BUCKET_ROWS + 1) for i in range(1, rows // BUCKET_ROWS + 1)]
-                                         or [0.5], 10000)).first()[0] or []
+    buckets = min(MOST_BUCKETS, slim.count() // BUCKET_ROWS + 1)
+    cuts = [i / buckets for i in range(1, buckets)]
+    edges = (slim.agg(F.percentile_approx("time", cuts, 10000)).first()[0] or []) if cuts else []
     slim = slim.withColumn("bucket", F.size(F.filter(F.array(*[F.lit(e) for e in edges]).cast("array<long>"), lambda e: e < F.col("time"))))
     usable = slim.where("c is not null and time is not null")
     # a response at the revisit's own time is not earlier: revisits stand first among equals
