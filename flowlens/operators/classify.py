@@ -113,7 +113,7 @@ def require_two_classes(feats: DataFrame, label: str = "label") -> None:
 
 
 def compare_models(feats: DataFrame, k: int = 5, seed: int = 42, parallelism: int = 8) -> DataFrame:
-    """k-fold CV (hash-stratified folds) of the four models: mean/std of accuracy and AUC.
+    """k-fold CV (folds stratified by label) of the four models: mean/std of accuracy and AUC.
 
     One fit per (model, fold) gives both metrics; the 4 x k fits are independent and run
     concurrently.

@@ -99,26 +99,37 @@ def recent_turns(conv: DataFrame, n: int = 6) -> DataFrame:
     return conv.withColumn("pos", F.row_number().over(w)).filter(F.col("pos") <= F.lit(n)).drop("pos")
 
 
-def md5_bucket(cols, seed: int, mod: int):
-    """Deterministic bucket of a row from MD5 of its key and a seed (same in any SQL engine)."""
-    key = F.concat_ws("|", *[F.col(c).cast("string") for c in cols], F.lit(str(seed)))
-    return (F.conv(F.substring(F.md5(key), 1, 15), 16, 10).cast("long") % F.lit(mod)).cast("int")
-
-
 def sample_rows(df: DataFrame, key: str, n: int = 300, seed: int = 42) -> DataFrame:
     """Deterministic sample of n rows: the n smallest MD5(key|seed) (a top-k, no full sort)."""
     h = F.md5(F.concat_ws("|", F.col(key).cast("string"), F.lit(str(seed))))
     return df.withColumn("_h", h).orderBy("_h", key).limit(n).drop("_h")
 
 
-def split_label(df: DataFrame, key: str, train_pct: int = 70, seed: int = 42) -> DataFrame:
-    """``split`` = train / test by MD5 bucket of (key, seed) mod 100."""
-    return df.withColumn("split", F.when(md5_bucket([key], seed, 100) < train_pct, "train").otherwise("test"))
+def _stratum_rank(df: DataFrame, key: str, label: str, seed: int) -> DataFrame:
+    """Adds ``_rank`` (from 0, in MD5 order of key and seed) and ``_n`` within each label.
+
+    Ranks are taken within 4,096 hash buckets a label and offset by the buckets before, so a label is never one task.
+    """
+    h = F.md5(F.concat_ws("|", F.col(key).cast("string"), F.lit(str(seed))))
+    x = df.withColumn("_h", h).withColumn("_b", F.substring("_h", 1, 3))
+    counts = x.groupBy(F.col(label).alias("_l"), "_b").agg(F.count(F.lit(1)).alias("_c"))
+    w = Window.partitionBy("_l")
+    base = counts.select("_l", F.col("_b").alias("_bb"), F.sum("_c").over(w).alias("_n"), F.coalesce(
+        F.sum("_c").over(w.orderBy("_b").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("_base"))
+    x = x.withColumn("_in", F.row_number().over(Window.partitionBy(label, "_b").orderBy("_h", key)))
+    x = x.join(base, x[label].eqNullSafe(base["_l"]) & (x["_b"] == base["_bb"]))
+    return x.withColumn("_rank", F.col("_base") + F.col("_in") - 1).drop("_h", "_b", "_bb", "_l", "_in", "_base")
+
+
+def split_label(df: DataFrame, key: str, train_pct: int = 70, seed: int = 42, label: str = "label") -> DataFrame:
+    """``split`` = train / test, stratified: the first ``train_pct`` percent of each label in MD5 order are train."""
+    x = _stratum_rank(df, key, label, seed)
+    return x.withColumn("split", F.when(F.col("_rank") * 100 < F.col("_n") * train_pct, "train").otherwise("test")).drop("_rank", "_n")
 
 
-def folds(df: DataFrame, key: str, k: int = 5, seed: int = 42) -> DataFrame:
-    """``fold`` in 0..k-1 by MD5 bucket of (key, seed)."""
-    return df.withColumn("fold", md5_bucket([key], seed, k))
+def folds(df: DataFrame, key: str, k: int = 5, seed: int = 42, label: str = "label") -> DataFrame:
+    """``fold`` in 0..k-1, stratified: each label's rows in MD5 order take the folds in turn."""
+    return _stratum_rank(df, key, label, seed).withColumn("fold", (F.col("_rank") % k).cast("int")).drop("_rank", "_n")
 
 
 def fingerprint(df: DataFrame, cols=None) -> DataFrame:

@@ -55,16 +55,15 @@ def q_given_confusion(spark, sf):
     return classify.confusion(feats.withColumn("prediction", (F.col("dest_port") < 1024).cast("double")))
 
 
-_FOLD = "CAST(CAST('0x' || substr(md5(CAST(flow_id AS VARCHAR) || '|42'), 1, 15) AS BIGINT) % 5 AS INTEGER)"
-
-
 @query("given_models_by_fold", with_flows("""SELECT model, round(avg(acc), 6) AS acc_mean, round(stddev_pop(acc), 6) AS acc_std,
  round(avg(auc), 6) AS auc_mean, round(stddev_pop(auc), 6) AS auc_std FROM (
  SELECT model, fold, sum(right_n) / CAST(sum(n) AS DOUBLE) AS acc,
   sum(fp * (2.0 * ctp - tp)) / (2.0 * nullif(CAST(sum(tp) AS DOUBLE) * sum(fp), 0)) AS auc FROM (
   SELECT *, sum(tp) OVER (PARTITION BY model, fold ORDER BY score DESC ROWS UNBOUNDED PRECEDING) AS ctp FROM per)
- GROUP BY model, fold) GROUP BY model""", extra=f"""s AS (SELECT flow_id, action = 'Deny' AS y, {_FOLD} AS fold,
-  unnest(['port', 'hour']) AS model, unnest([dest_port / 65535.0, hour(date) / 23.0]) AS score FROM flows),
+ GROUP BY model, fold) GROUP BY model""", extra="""s AS (SELECT flow_id, y, fold,
+  unnest(['port', 'hour']) AS model, unnest([dest_port / 65535.0, hour(date) / 23.0]) AS score
+  FROM (SELECT *, action = 'Deny' AS y, (row_number() OVER (PARTITION BY action = 'Deny'
+    ORDER BY md5(CAST(flow_id AS VARCHAR) || '|42'), flow_id) - 1) % 5 AS fold FROM flows)),
 per AS (SELECT model, fold, score, count(*) FILTER (WHERE y) AS tp, count(*) FILTER (WHERE NOT y) AS fp, count(*) AS n,
   count(*) FILTER (WHERE y = (score > 0.5)) AS right_n FROM s GROUP BY 1, 2, 3)"""))
 def q_given_models_by_fold(spark, sf):

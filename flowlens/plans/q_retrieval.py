@@ -85,21 +85,28 @@ def q_sample_rows(spark, sf):
     return RT.sample_rows(flows(spark, sf), "flow_id", 300, 42)
 
 
-_BUCKET = "CAST(CAST('0x' || substr(md5(CAST(flow_id AS VARCHAR) || '|42'), 1, 15) AS BIGINT) % {m} AS INTEGER)"
+# Stratified by label: rank in MD5 order within the label.
+_RANKED = """ranked AS (SELECT *, row_number() OVER (PARTITION BY is_deny ORDER BY md5(CAST(flow_id AS VARCHAR) || '|42'), flow_id) - 1 AS rk,
+ count(*) OVER (PARTITION BY is_deny) AS n_label FROM (SELECT *, CAST(action = 'Deny' AS INTEGER) AS is_deny FROM flows))"""
 
 
-@query("train_test_split", with_flows(f"""SELECT CASE WHEN {_BUCKET.format(m=100)} < 70 THEN 'train' ELSE 'test' END
- AS split, CAST(action = 'Deny' AS INTEGER) AS is_deny, count(*) AS n FROM flows GROUP BY 1, 2"""))
+def _labelled(spark, sf):
+    return flows(spark, sf).withColumn("is_deny", (F.col("action") == "Deny").cast("int"))
+
+
+@query("train_test_split", with_flows("""SELECT CASE WHEN rk * 100 < n_label * 70 THEN 'train' ELSE 'test' END AS split, is_deny,
+ count(*) AS n, CAST(sum(flow_id) AS BIGINT) AS id_sum FROM ranked GROUP BY 1, 2""", extra=_RANKED))
 def q_train_test_split(spark, sf):
-    s = RT.split_label(flows(spark, sf), "flow_id", 70, 42)
-    return s.groupBy("split", (F.col("action") == "Deny").cast("int").alias("is_deny")).agg(F.count(F.lit(1)).alias("n"))
+    s = RT.split_label(_labelled(spark, sf), "flow_id", 70, 42, label="is_deny")
+    return s.groupBy("split", "is_deny").agg(F.count(F.lit(1)).alias("n"), F.sum("flow_id").alias("id_sum"))
 
 
-@query("cv_folds", with_flows(f"""SELECT {_BUCKET.format(m=5)} AS fold, CAST(action = 'Deny' AS INTEGER) AS is_deny,
- count(*) AS n FROM flows GROUP BY 1, 2"""))
+@query("cv_folds", with_flows("""SELECT CAST(rk % 5 AS INTEGER) AS fold, is_deny, count(*) AS n, CAST(sum(flow_id) AS BIGINT) AS id_sum
+ FROM ranked GROUP BY 1, 2""", extra=_RANKED))
 def q_cv_folds(spark, sf):
-    f = RT.folds(flows(spark, sf), "flow_id", 5, 42)
-    return f.groupBy("fold", (F.col("action") == "Deny").cast("int").alias("is_deny")).agg(F.count(F.lit(1)).alias("n"))
+    f = RT.folds(_labelled(spark, sf), "flow_id", 5, 42, label="is_deny")
+    return f.groupBy("fold", "is_deny").agg(F.count(F.lit(1)).alias("n"), F.sum("flow_id").alias("id_sum"))
+
 
 
 _FP_COLS = ("flow_id", "date", "ip_source", "ip_destination", "protocol", "source_port", "dest_port", "rule_id",
