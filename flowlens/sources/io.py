@@ -106,7 +106,9 @@ def append_fw_table(df: DataFrame, name: str, batch_id: int | None = None) -> No
         return
     out = out.withColumn("batch_id", F.lit(int(batch_id)))
     if spark.catalog.tableExists(name):
-        out.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").insertInto(name)
+        # the batch's own partition goes first; no session setting is touched
+        spark.sql(f"ALTER TABLE {name} DROP IF EXISTS PARTITION (batch_id = {int(batch_id)})")
+        out.write.mode("append").insertInto(name)
     else:
         out.write.partitionBy("batch_id").saveAsTable(name)
 
