@@ -14,6 +14,8 @@ from flowlens.llm import mixing, near_dup, packing, quality_rules, substring_ded
 from flowlens.session import scratch_path, work_dir
 
 COLUMNS = ("doc_id", "text", "lang", "source", "n_chars")
+#: Similarity of the five-word shingle sets, in percent, from which documents are near duplicates here (op6's contract has 85).
+NEAR_PERCENT = 80
 
 
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -23,7 +25,7 @@ def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """MinHash near-duplicates: one document of each group stays, the smallest doc_id."""
-    return near_dup.keep_one(docs.select(*COLUMNS))
+    return near_dup.keep_one(docs.select(*COLUMNS), NEAR_PERCENT)
 
 
 def substrings(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -3,7 +3,7 @@
 A document's set is its distinct shingles of five lower-cased words. ``SAMPLES`` MinHash values per set give
 ``BANDS`` x ``ROWS`` band hashes for candidate search and an odd sketch: every (sample, value) pair flips one bit of a parity
 bitmap, so the XOR of two bitmaps has a set bit count that estimates a high similarity closely. A pair at the threshold is
-missed by all bands with a chance of about (1 - 0.85**6)**40 = 6e-9.
+missed by all bands with a chance of about (1 - 0.85**6)**40 = 6e-9, at a threshold of 0.80 of (1 - 0.80**6)**40 = 5e-6.
 
 Equal sets are one class from the start (a hot text costs one row). Work on pairs never expands a bucket:
 
@@ -21,7 +21,7 @@ returned as null; an empty table gives no rows; other input columns are not read
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -36,10 +36,11 @@ from flowlens.llm.stages import materialize
 SHINGLE = 5
 BANDS, ROWS, SAMPLES = 40, 6, 256
 SKETCH_LONGS = 16
-#: Links need 100 * intersection >= PERCENT * union.
+#: Links need 100 * intersection >= percent * union; op6's contract names this one.
 PERCENT = 85
-#: Estimated similarity below which full sets aren't compared: more than five standard deviations under the threshold.
-LOOSE = 0.72
+#: Full sets aren't compared when the estimated similarity is more than so many percent under the threshold: 5.6 standard
+#: deviations at 85, 4.9 at 80.
+MARGIN = 13
 BLOCK = 512
 
 _rng = np.random.default_rng(6)
@@ -146,63 +147,70 @@ def estimate(a: Column, b: Column) -> Column:
     return F.when(flips * 2 >= bits, F.lit(0.0)).otherwise(1 + F.log(1 - 2 * flips / bits) * (bits / 2) / (2 * SAMPLES))
 
 
-def _near(na: Column, nb: Column) -> Column:
-    return 100 * F.least(na, nb) >= PERCENT * F.greatest(na, nb)
+def loose(percent: int) -> float:
+    """Estimated similarity below which full sets aren't compared."""
+    return (percent - MARGIN) / 100
 
 
-def _verified(pairs: DataFrame, classes: DataFrame, sets: DataFrame) -> DataFrame:
+def _near(na: Column, nb: Column, percent: int) -> Column:
+    return 100 * F.least(na, nb) >= percent * F.greatest(na, nb)
+
+
+def _verified(pairs: DataFrame, classes: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     """The pairs (u, v) that are links, checked on full sets."""
     side = classes.select("node", "n", "sketch")
     x = (pairs.join(side.toDF("u", "nu", "su"), "u").join(side.toDF("v", "nv", "sv"), "v")
-         .where(_near(F.col("nu"), F.col("nv")) & (estimate(F.col("su"), F.col("sv")) >= LOOSE)).select("u", "v"))
+         .where(_near(F.col("nu"), F.col("nv"), percent) & (estimate(F.col("su"), F.col("sv")) >= loose(percent))).select("u", "v"))
     x = x.join(sets.toDF("u", "su"), "u").join(sets.toDF("v", "sv"), "v")
     both = F.size(F.array_intersect("su", "sv"))
-    return x.where(100 * both >= PERCENT * (F.size("su") + F.size("sv") - both)).select("u", "v")
+    return x.where(100 * both >= percent * (F.size("su") + F.size("sv") - both)).select("u", "v")
 
 
-def _blocks(table: pa.Table) -> pa.Table:
+def _blocks(percent: int) -> Callable:
     """Links between different components of two blocks of one bucket: at most a spanning forest."""
-    node, comp, n = (table[c].to_numpy() for c in ("node", "comp", "n"))
-    bucket, left, right = table["bucket"][0].as_py(), table["i"][0].as_py(), table["j"][0].as_py()
-    chunk = table["chunk"].to_numpy()
-    sketch = np.array(table["sketch"].to_pylist(), np.int64).view(np.uint64)
-    bands = np.array(table["bands"].to_pylist(), np.int64)
-    sets = [None] * len(node)
-    a, b = np.flatnonzero(chunk == left), np.flatnonzero(chunk == right)
-    band = int(np.argmax(bands[0] == bucket))
-    parent: dict[int, int] = {}
-
-    def root(x: int) -> int:
-        while parent.get(x, x) != x:
-            parent[x] = x = parent.get(parent[x], parent[x])
-        return x
-
-    bits = SKETCH_LONGS * 64
-    most = bits / 2 * (1 - np.exp(-2 * (1 - LOOSE) * 2 * SAMPLES / bits))
-    us, vs = [], []
-    for i in a:
-        flips = np.bitwise_count(sketch[b] ^ sketch[i]).sum(1)
-        ok = (flips <= most) & (comp[b] != comp[i]) & (100 * np.minimum(n[b], n[i]) >= PERCENT * np.maximum(n[b], n[i]))
-        if left == right:
-            ok &= b > i
-        ok[ok] = ~(bands[b[ok], :band] == bands[i, :band]).any(1)
-        near = b[ok]
-        for j in near[np.argsort(flips[ok], kind="stable")]:
-            x, y = root(int(comp[i])), root(int(comp[j]))
-            if x == y:
-                continue
-            for k in (i, j):
-                if sets[k] is None:
-                    sets[k] = table["set"][int(k)].values.to_numpy()
-            both = len(np.intersect1d(sets[i], sets[j], assume_unique=True))
-            if 100 * both >= PERCENT * (n[i] + n[j] - both):
-                parent[x] = y
-                us.append(node[i])
-                vs.append(node[j])
-    return pa.table({"u": pa.array(us, pa.int64()), "v": pa.array(vs, pa.int64())})
-
-
-def links(docs: DataFrame, found: DataFrame) -> tuple[DataFrame, DataFrame]:
+    def run(table: pa.Table) -> pa.Table:
+        node, comp, n = (table[c].to_numpy() for c in ("node", "comp", "n"))
+        bucket, left, right = table["bucket"][0].as_py(), table["i"][0].as_py(), table["j"][0].as_py()
+        chunk = table["chunk"].to_numpy()
+        sketch = np.array(table["sketch"].to_pylist(), np.int64).view(np.uint64)
+        bands = np.array(table["bands"].to_pylist(), np.int64)
+        sets = [None] * len(node)
+        a, b = np.flatnonzero(chunk == left), np.flatnonzero(chunk == right)
+        band = int(np.argmax(bands[0] == bucket))
+        parent: dict[int, int] = {}
+
+        def root(x: int) -> int:
+            while parent.get(x, x) != x:
+                parent[x] = x = parent.get(parent[x], parent[x])
+            return x
+
+        bits = SKETCH_LONGS * 64
+        most = bits / 2 * (1 - np.exp(-2 * (1 - loose(percent)) * 2 * SAMPLES / bits))
+        us, vs = [], []
+        for i in a:
+            flips = np.bitwise_count(sketch[b] ^ sketch[i]).sum(1)
+            ok = (flips <= most) & (comp[b] != comp[i]) & (100 * np.minimum(n[b], n[i]) >= percent * np.maximum(n[b], n[i]))
+            if left == right:
+                ok &= b > i
+            ok[ok] = ~(bands[b[ok], :band] == bands[i, :band]).any(1)
+            near = b[ok]
+            for j in near[np.argsort(flips[ok], kind="stable")]:
+                x, y = root(int(comp[i])), root(int(comp[j]))
+                if x == y:
+                    continue
+                for k in (i, j):
+                    if sets[k] is None:
+                        sets[k] = table["set"][int(k)].values.to_numpy()
+                both = len(np.intersect1d(sets[i], sets[j], assume_unique=True))
+                if 100 * both >= percent * (n[i] + n[j] - both):
+                    parent[x] = y
+                    us.append(node[i])
+                    vs.append(node[j])
+        return pa.table({"u": pa.array(us, pa.int64()), "v": pa.array(vs, pa.int64())})
+    return run
+
+
+def links(docs: DataFrame, found: DataFrame, percent: int = PERCENT) -> tuple[DataFrame, DataFrame]:
     """(classes, components): classes (node, rep: smallest id) and, for linked classes, (node, comp)."""
     have = found.where("node is not null")
     classes = materialize(have.groupBy("node").agg(
@@ -217,7 +225,7 @@ def links(docs: DataFrame, found: DataFrame) -> tuple[DataFrame, DataFrame]:
     texts = repeats.keyed(docs).join(wanted, ["id", "key"], "left_semi").select("__text")
     sets = materialize(_sets(texts).groupBy("node").agg(F.first("set").alias("set")), "near-sets")
     star = members.where("node <> pivot").select(F.col("node").alias("u"), F.col("pivot").alias("v")).distinct()
-    first = materialize(_verified(star, classes, sets), "near-links")
+    first = materialize(_verified(star, classes, sets, percent), "near-links")
     comps = components(first)
     open_rows = members.join(comps, "node", "left").withColumn("comp", F.coalesce("comp", "node"))
     mixed = open_rows.groupBy("bucket").agg(F.min("comp").alias("a"), F.max("comp").alias("b")).where("a <> b").select("bucket")
@@ -227,16 +235,16 @@ def links(docs: DataFrame, found: DataFrame) -> tuple[DataFrame, DataFrame]:
     todo = todo.join(classes.select("node", "n", "bands", "sketch"), "node").join(sets, "node").select(
         "bucket", F.least("chunk", "x").alias("i"), F.greatest("chunk", "x").alias("j"), "chunk", "node", "comp", "n",
         "bands", "sketch", "set")
-    second = materialize(todo.groupBy("bucket", "i", "j").applyInArrow(_blocks, "u long, v long"), "near-more-links")
+    second = materialize(todo.groupBy("bucket", "i", "j").applyInArrow(_blocks(percent), "u long, v long"), "near-more-links")
     if not second.isEmpty():
         comps = components(first.unionByName(second))
     return classes.select("node", "rep", "rep_key"), comps
 
 
-def near_duplicates(docs: DataFrame) -> DataFrame:
+def near_duplicates(docs: DataFrame, percent: int = PERCENT) -> DataFrame:
     """(id, key, n_shingles, component_id, first: whether the row's (id, key) is its component's smallest) of every row."""
     found = materialize(features(docs), "near-features")
-    classes, comps = links(docs, found)
+    classes, comps = links(docs, found, percent)
     named = classes.join(comps, "node", "left").withColumn("comp", F.coalesce("comp", "node"))
     least = named.groupBy("comp").agg(F.min(F.struct("rep", "rep_key")).alias("least"))
     by_node = named.select("node", "comp").join(least, "comp").select("node", "least")
@@ -246,10 +254,10 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
                         ).alias("first"))
 
 
-def keep_one(docs: DataFrame) -> DataFrame:
+def keep_one(docs: DataFrame, percent: int = PERCENT) -> DataFrame:
     """The documents with one row left of each group: the smallest doc_id's. All columns are kept."""
     cols = docs.columns
-    stay = near_duplicates(docs).where("first").select("id", "key").distinct()
+    stay = near_duplicates(docs, percent).where("first").select("id", "key").distinct()
     rows = repeats.keyed(docs, tuple(cols)).join(stay, ["id", "key"], "left_semi")
     # repeated rows share id and key; those with an empty set are linked with nothing and all stay
     has_words = F.col("__text").rlike("[^\\x20\\x09-\\x0D]")

@@ -417,6 +417,24 @@ def test_pipeline_stages(spark):
     assert out.agg({"length": "sum"}).first()[0] > 0
 
 
+def test_near_stage_takes_pairs_from_80_percent(spark):
+    """Planted pairs with 5-word shingle sets of similarity 0.79 to 0.86: the stage links from 0.80 on, op6 from 0.85 on."""
+    pipe = importlib.import_module("corpus_pipeline")
+    rows, share = [], {}
+    for i in range(120):
+        n = 200 + i
+        a = [f"d{i}w{k}" for k in range(n)]
+        cut = 10 + (i * 7) % 30  # words changed at the end: cut shingles of n - 4 differ on either side
+        rows += [(2 * i, " ".join(a)), (2 * i + 1, " ".join(a[:n - cut] + [f"x{i}w{k}" for k in range(cut)]))]
+        share[2 * i + 1] = (n - 4 - cut, n - 4 + cut)
+    docs = spark.createDataFrame([(d, t, "en", "a", len(t)) for d, t in rows], "doc_id long, text string, lang string, source string, n_chars long")
+    gone = lambda percent: {d for d, (both, all_) in share.items() if 100 * both >= percent * all_}
+    assert len(gone(80) - gone(85)) > 20 and len(share) > len(gone(80))
+    everyone = {d for d, _ in rows}
+    assert everyone - {r.doc_id for r in pipe.near_duplicates(spark, docs, SF).collect()} == gone(80)
+    assert {r.doc_id for r in near_dup.op6_near_dup(docs).where("not kept").collect()} == gone(85)
+
+
 def test_every_query_is_registered():
     entry = importlib.import_module("__spark_entry__")
     names = set(entry.queries())
