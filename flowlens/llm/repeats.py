@@ -13,7 +13,10 @@ whatever surrounds them; nothing is sampled away. Then
 
 Rows travel as packed arrays, one row for a slice of documents and a hash range. Equal runs of a slice are settled before the
 shuffle, so a passage that a third of all documents share arrives once a slice, not once a document. Range and part numbers
-follow the corpus size; hash ranges spread any content evenly.
+follow the corpus size. Hash ranges spread grams, not the runs of one gram, so the runs of each gram are counted first: a gram
+with more than ``HOT_ROWS`` of them (a frequent line shorter than a window, in different surroundings) is dealt by (gram,
+content) instead. Equal runs still meet there; as no task sees such a gram whole, all that stays of it is compared window by
+window, which needs no digits. No task holds a hot gram, and which grams are hot changes the dealing, never the result.
 
 A document is known by (doc_id, hash of doc_id and text): rows that share a doc_id don't remove each other's windows, and a
 null doc_id counts as larger than all others.
@@ -22,6 +25,7 @@ null doc_id counts as larger than all others.
 from __future__ import annotations
 
 from collections.abc import Callable, Iterator
+from operator import itemgetter
 
 import numpy as np
 import pyarrow as pa
@@ -37,7 +41,10 @@ _POS = U((1 << 22) - 1)
 NULL_ID = np.iinfo(np.int64).max
 #: Text bytes of a slice (packed together) and of a hash range.
 SLICE = 16 << 20
-#: Rows of packed arrays: kind 0 removed intervals, 1 runs to compare window by window, 2 runs to settle.
+#: Runs of one gram from which it is dealt by content, and runs in a slice from which a slice reports the gram. What no slice
+#: reports has fewer than LEAST runs a slice.
+HOT_ROWS, LEAST = 1 << 18, 4
+#: Rows of packed arrays: kind 0 removed intervals, 1 runs to compare window by window, 2 runs to settle, 3 those of hot grams.
 _PACKED = "kind int, part int, blob binary"
 
 
@@ -126,6 +133,8 @@ def _by_doc(ids: np.ndarray, keys: np.ndarray, *cols: np.ndarray) -> bytes:
 
 def _split(kind: int, part: np.ndarray, parts: int, ids: np.ndarray, keys: np.ndarray, *cols: np.ndarray) -> list[tuple]:
     """Rows to one packed value for each part."""
+    if not len(part):
+        return []
     order = np.argsort(part, kind="stable")
     at = np.searchsorted(part[order], np.arange(parts + 1)) if parts < len(part) else None
     if at is None:
@@ -187,15 +196,48 @@ def _settle(ids: np.ndarray, key: np.ndarray) -> np.ndarray:
     return later
 
 
-def _scan(unit, length: int, gram: int, parts: int) -> Callable:
+def _runs(unit, length: int, gram: int, data: np.ndarray, off: np.ndarray, ids: np.ndarray) -> tuple[np.ndarray, ...]:
+    """(document of each run, whether the run is settled within its slice, the runs with windows counted in their document)."""
+    codes, uoff, table = unit.codes(data, off)
+    lo, n, sync, g, content, left, right = sync_runs(codes, uoff, length, gram, table)
+    own = np.searchsorted(uoff, lo, "right") - 1
+    return own, _settle(ids[own], _whole(g, content)), lo - uoff[own], n, sync, g, content, left, right
+
+
+def _whole(g: np.ndarray, content: np.ndarray) -> np.ndarray:
+    """One key of a run's gram and content."""
+    return g + content * U(0x9FB21C651E98DF25)
+
+
+def _counts(unit, length: int, gram: int, least: int) -> Callable:
+    """(g, n) of the grams with at least ``least`` runs to send in a slice."""
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for rows, data, off in tc.slices(batches, "__text", SLICE):
+            later, g = itemgetter(1, 5)(_runs(unit, length, gram, data, off, tc.ints(rows.column(0), NULL_ID)))
+            names, n = np.unique(g[~later], return_counts=True)
+            many = n >= least
+            yield pa.RecordBatch.from_arrays([pa.array(names[many].view(np.int64)), pa.array(n[many].astype(np.int64))], ["g", "n"])
+    return run
+
+
+def hot_grams(rows: DataFrame, unit, length: int, gram: int) -> np.ndarray:
+    """The sorted hashes of grams with more than ``HOT_ROWS`` runs: at most one for each ``HOT_ROWS`` runs of the corpus."""
+    counts = rows.mapInArrow(_counts(unit, length, gram, LEAST), "g long, n long").groupBy("g").agg(F.sum("n").alias("n"))
+    found = [r.g for r in counts.where(F.col("n") > HOT_ROWS).select("g").collect()]
+    return np.sort(np.array(found, np.int64).view(U))
+
+
+def _in(x: np.ndarray, among: np.ndarray) -> np.ndarray:
+    if not len(among):
+        return np.zeros(len(x), bool)
+    return among[np.minimum(np.searchsorted(among, x), len(among) - 1)] == x
+
+
+def _scan(unit, length: int, gram: int, parts: int, hot: np.ndarray) -> Callable:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for rows, data, off in tc.slices(batches, "__text", SLICE):
             ids, keys = tc.ints(rows.column(0), NULL_ID), tc.ints(rows.column(1), 0)
-            codes, uoff, table = unit.codes(data, off)
-            lo, n, sync, g, content, left, right = sync_runs(codes, uoff, length, gram, table)
-            own = np.searchsorted(uoff, lo, "right") - 1
-            lo = lo - uoff[own]
-            later = _settle(ids[own], g + content * U(0x9FB21C651E98DF25))
+            own, later, lo, n, sync, g, content, left, right = _runs(unit, length, gram, data, off, ids)
             out = []
             if later.any():  # settled here: consecutive runs become one interval
                 o, a, b = own[later], lo[later], lo[later] + n[later] + length
@@ -203,7 +245,12 @@ def _scan(unit, length: int, gram: int, parts: int) -> Callable:
                 a, b = union(o * wide + a, o * wide + b)
                 o = a // wide
                 out = _spans_out(ids[o], keys[o], a - o * wide, b - o * wide, parts)
-            keep = ~later
+            dealt = ~later & _in(g, hot)
+            if dealt.any():
+                o, whole = own[dealt], _whole(g[dealt], content[dealt])
+                out += _split(3, _part_of(tc.mix(whole, 16), parts), parts, ids[o], keys[o], whole, lo[dealt].astype(np.int32),
+                              n[dealt].astype(_small(length)))
+            keep = ~later & ~dealt
             own, lo, n, sync, g, content, left, right = (x[keep] for x in (own, lo, n, sync, g, content, left, right))
             out += _split(2, _part_of(g, parts), parts, ids[own], keys[own], g, content, lo.astype(np.int32),
                           n.astype(_small(length)), sync.astype(_small(length)), left, right)
@@ -220,10 +267,12 @@ def _meet(length: int, gram: int, parts: int) -> Callable:
     small, side = _small(length), -(-(length - gram) // 2)
 
     def run(table: pa.Table) -> pa.Table:
-        rows, got = [], []
+        rows, got, dealt = [], [], []
         for kind, part, blob in zip(table["kind"].to_pylist(), table["part"].to_pylist(), table["blob"], strict=True):
             if kind == 2:
                 got.append(unpack(blob.as_buffer(), U, U, np.int32, small, small, np.uint16, np.uint16))
+            elif kind == 3:
+                dealt.append(unpack(blob.as_buffer(), U, np.int32, small))
             else:
                 rows.append((kind, part, blob.as_py()))
         if got:
@@ -231,7 +280,7 @@ def _meet(length: int, gram: int, parts: int) -> Callable:
             del got
             keep = _several(cols[2], cols[0])
             ids, keys, g, content, lo, n, sync, left, right = (x[keep] for x in cols)
-            later = _settle(ids, g + content * U(0x9FB21C651E98DF25))
+            later = _settle(ids, _whole(g, content))
             lo, n, sync = (x.astype(np.int64) for x in (lo, n, sync))
             rows += _spans_out(ids[later], keys[later], lo[later], (lo + n + length)[later], parts)
             ids, keys, g, content, lo, n, sync, left, right = (x[~later] for x in (ids, keys, g, content, lo, n, sync, left, right))
@@ -242,6 +291,12 @@ def _meet(length: int, gram: int, parts: int) -> Callable:
                                (after, np.maximum(lo, lo + sync - (length - gram - side)), lo + n + 1)):
                 pick = pick & (a < b)
                 rows += _spans_out(ids[pick], keys[pick], a[pick], b[pick], parts, kind=1)
+        if dealt:
+            ids, keys, whole, lo, n = (np.concatenate(x) for x in zip(*dealt, strict=True))
+            later = _settle(ids, whole)
+            lo, n = lo.astype(np.int64), n.astype(np.int64)
+            rows += _spans_out(ids[later], keys[later], lo[later], (lo + n + length)[later], parts)
+            rows += _spans_out(ids[~later], keys[~later], lo[~later], (lo + n + 1)[~later], parts, kind=1)
         return pa.Table.from_batches([_record(rows)])
     return run
 
@@ -344,7 +399,9 @@ def find(docs: DataFrame, unit, length: int, gram: int) -> DataFrame:
     size = docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     parts = max(48, -(-size // unit.range_bytes))
     rows = keyed(docs).select("id", "key", "__text")
-    runs = rows.mapInArrow(_scan(unit, length, gram, parts), _PACKED)
+    # a gram has at most as many runs as the texts have bytes
+    hot = hot_grams(rows, unit, length, gram) if size > HOT_ROWS else np.zeros(0, U)
+    runs = rows.mapInArrow(_scan(unit, length, gram, parts, hot), _PACKED)
     settled = materialize(runs.groupBy("part").applyInArrow(_meet(length, gram, parts), _PACKED), "repeats-settled")
     first = materialize(settled.groupBy("part").applyInArrow(_gather, _GATHERED), "repeats-open")
     # one join strategy at every size: texts are never broadcast, nor is what grows with them
