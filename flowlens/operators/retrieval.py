@@ -1,43 +1,82 @@
 """Hashed bag-of-words embeddings and top-N retrieval.
 
-The embedding is a sparse long table ``(id, dim, weight)``: words are exploded, bucketed by MD5
-mod 512 and counted with map-side partial aggregation (a document never ships more than 512
-rows), then L2-normalised per id. A zero vector (no words) has no rows.
-
-Retrieval joins the index to the query vectors on ``dim``. The query side is broadcast only
-after its row count is checked; beyond the limit the queries are processed in hash batches that
-each fit, so nothing grows without bound. Scores are summed per (query, id) and the top N per
-query kept with a window whose literal bound lets Spark pre-limit each task's rows before the
-shuffle.
+A text's embedding is made within its row: words, MD5 buckets mod 512, counts, L2 norm. ``embed_rows`` keeps it as two arrays,
+``embed`` as the long table ``(id, dim, weight)``. A zero vector (no words) has no entries.
+
+Retrieval multiplies blocks of queries with blocks of texts (``topn_join``); n rows a query leave a block, and a window whose
+literal bound Spark applies in each task before the shuffle keeps the best n of all blocks.
 """
 
 from __future__ import annotations
 
+import hashlib
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
-from pyspark.errors import AnalysisException
 
-from flowlens.functions.scalar import EMBED_DIMS, word_bucket, words
+from flowlens.functions.scalar import EMBED_DIMS
+from flowlens.operators.topn_join import topn_join
 
-# Parts of the ids that each dim is joined in.
-SALTS = 16
 _RANK_DIGITS = 9
 
 
-def embed(df: DataFrame, id_col: str, text_col: str, dims: int = EMBED_DIMS) -> DataFrame:
-    """``(id_col, dim, weight)``: lower-case whitespace tokens, MD5 bucket, count, L2 norm.
+#: White space that separates words (Unicode's White_Space property), as a pattern of Arrow's regular expressions.
+_SPACE = r"[\t-\r \x{85}\x{a0}\x{1680}\x{2000}-\x{200a}\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}]+"
+#: Text bytes counted at once (a longer text still comes whole).
+_SLICE_BYTES = 4 << 20
+
 
-    One row is one text, so buckets, counts and norm are array functions of the row: nothing is shuffled.
+def _bucket_counts(texts: pa.Array, dims: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(text number, bucket, count) of every bucket that a text has words in, ordered; each distinct word is hashed once."""
+    lists = pc.split_pattern_regex(texts, pattern=_SPACE)
+    n = pc.fill_null(pc.list_value_length(lists), 0).to_numpy(zero_copy_only=False)
+    coded = lists.flatten().dictionary_encode()
+    words_ = coded.dictionary.to_pylist()
+    # the last three hex digits decide the remainder (``word_bucket``); no word, no bucket
+    bucket = np.array([int(hashlib.md5(w.encode()).hexdigest()[-3:], 16) % dims if w else -1 for w in words_], np.int64)
+    at = bucket[coded.indices.to_numpy()] if len(words_) else np.zeros(0, np.int64)
+    key = (np.repeat(np.arange(len(n)), n) * dims + at)[at >= 0]
+    key, count = np.unique(key, return_counts=True)
+    return key // dims, key % dims, count
+
+
+def embed_rows(df: DataFrame, id_col: str, text_col: str, dims: int = EMBED_DIMS) -> DataFrame:
+    """``(id_col, dims, counts, norm)``: the buckets of each text's words with their counts, by bucket, and the length of the
+    count vector; empty arrays without words.
+
+    One row is one text, so nothing is shuffled. Counting runs over Arrow batches (array functions of the row took three times as
+    long, see README); words are lower-cased in the JVM.
     """
-    x = df.select(id_col, F.array_sort(F.transform(words(text_col), lambda w: word_bucket(w, dims))).alias("b"))
-    x = x.select(id_col, "b", F.array_distinct("b").alias("d"))
-    # in the sorted buckets, a count is the way from one distinct bucket's first place to the next one's
-    first = F.transform("d", lambda v: F.array_position("b", v))
-    x = x.select(id_col, "d", F.concat(first, F.array((F.size("b") + 1).cast("long"))).alias("p"))
-    x = x.select(id_col, "d", F.transform("d", lambda v, i: (F.get("p", i + 1) - F.get("p", i)).cast("long")).alias("n"))
-    norm = F.sqrt(F.aggregate("n", F.lit(0).cast("long"), lambda s, n: s + n * n))
-    x = x.select(id_col, norm.alias("norm"), F.explode(F.arrays_zip("d", "n")).alias("e"))
-    return x.select(id_col, F.col("e.d").alias("dim"), (F.col("e.n") / F.col("norm")).alias("weight"))
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            size = np.cumsum(pc.fill_null(pc.binary_length(b.column(1)), 0).to_numpy(zero_copy_only=False))
+            lo = 0
+            while lo < b.num_rows:
+                hi = max(lo + 1, int(np.searchsorted(size, (size[lo - 1] if lo else 0) + _SLICE_BYTES, "right")))
+                part = b.slice(lo, hi - lo)
+                own, bucket, count = _bucket_counts(part.column(1), dims)
+                off = pa.array(np.searchsorted(own, np.arange(part.num_rows + 1)).astype(np.int32))
+                norm = np.sqrt(np.bincount(own, count * count, part.num_rows))
+                yield pa.RecordBatch.from_arrays(
+                    [part.column(0), pa.ListArray.from_arrays(off, pa.array(bucket.astype(np.int32))),
+                     pa.ListArray.from_arrays(off, pa.array(count.astype(np.int64))), pa.array(norm)],
+                    [id_col, "dims", "counts", "norm"])
+                lo = hi
+
+    x = df.select(id_col, F.lower(text_col).alias("t"))
+    return x.mapInArrow(run, f"{id_col} {dict(df.dtypes)[id_col]}, dims array<int>, counts array<long>, norm double")
+
+
+def embed(df: DataFrame, id_col: str, text_col: str, dims: int = EMBED_DIMS) -> DataFrame:
+    """``(id_col, dim, weight)``: lower-case whitespace tokens, MD5 bucket, count, L2 norm."""
+    x = embed_rows(df, id_col, text_col, dims)
+    x = x.select(id_col, F.explode(F.arrays_zip("dims", "counts")).alias("e"), "norm")
+    return x.select(id_col, F.col("e.dims").alias("dim"), (F.col("e.counts") / F.col("norm")).alias("weight"))
 
 
 def embed_dense(sparse: DataFrame, id_col: str, dims: int = EMBED_DIMS) -> DataFrame:
@@ -47,25 +86,24 @@ def embed_dense(sparse: DataFrame, id_col: str, dims: int = EMBED_DIMS) -> DataF
                                         lambda i: F.coalesce(F.col("m")[i], F.lit(0.0))).alias("vector")))
 
 
-def _score(index: DataFrame, qv: DataFrame, id_col: str) -> DataFrame:
-    """Dot products by a join on (dim, salt): the few dims are spread over ``SALTS`` parts of the ids, so the join is the same at
-    any number of queries; Spark broadcasts the query side by itself where it is small."""
-    salted = index.withColumn("salt", F.pmod(F.xxhash64(id_col), F.lit(SALTS)).cast("int"))
-    every = qv.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
-    j = salted.join(every, ["dim", "salt"])
-    return j.groupBy("qid", id_col).agg(F.sum(F.col("weight") * F.col("qweight")).alias("score"))
+def _packed(vectors: DataFrame, id_col: str) -> DataFrame:
+    """``(id_col, dims, counts, norm)`` of a long embedding; rows that are packed already pass as they are."""
+    if "dims" in vectors.columns:
+        return vectors
+    return (vectors.groupBy(id_col).agg(F.sort_array(F.collect_list(F.struct("dim", "weight"))).alias("e"))
+            .select(id_col, F.col("e.dim").alias("dims"), F.col("e.weight").alias("counts"), F.lit(1.0).alias("norm")))
 
 
 def retrieve(queries: DataFrame, index: DataFrame, n: int = 4, id_col: str = "id",
-             ids: DataFrame | None = None) -> DataFrame:
+             ids: DataFrame | None = None, dims: int = EMBED_DIMS) -> DataFrame:
     """Top-n ids per query by dot product: ``qid, rank, id_col, score``.
 
-    ``queries`` is a sparse embedding ``(qid, dim, weight)``; ``index`` is ``(id_col, dim, weight)``.
-    With ``ids`` (all candidate ids), queries with fewer than n positive scores are filled with
-    zero-score ids in id order, as a full ranking would.
+    ``queries`` (key ``qid``) and ``index`` (key ``id_col``) are embeddings, long (``embed``) or packed (``embed_rows``); keys
+    are unique. With ``ids`` (all candidate ids), queries with fewer than n positive scores are filled with zero-score ids in id
+    order, as a full ranking would.
     """
-    qv = queries.select("qid", "dim", F.col("weight").alias("qweight"))
-    scores = _score(index, qv, id_col)
+    queries = _packed(queries, "qid").where(F.size("dims") > 0)
+    scores = topn_join(queries, _packed(index, id_col), n, id_col, dims, n_texts=None if ids is None else ids.count())
     w = Window.partitionBy("qid").orderBy(F.round("score", _RANK_DIGITS).desc(), F.col(id_col))
     top = (scores.withColumn("rank", F.row_number().over(w)).filter(F.col("rank") <= F.lit(n))
            .select("qid", "rank", id_col, "score"))
@@ -75,7 +113,7 @@ def retrieve(queries: DataFrame, index: DataFrame, n: int = 4, id_col: str = "id
     # it touches at most queries x n rows (never the full score table).
     first = ids.select(id_col).distinct().orderBy(id_col).limit(n)
     first_ids = first.agg(F.sort_array(F.collect_list(id_col))).scalar()
-    fill = (queries.select("qid").distinct()
+    fill = (queries.select("qid")
             .select("qid", F.explode(first_ids).alias(id_col), F.lit(0.0).alias("score")))
     both = (top.drop("rank").unionByName(fill).groupBy("qid", id_col).agg(F.max("score").alias("score")))
     return (both.withColumn("rank", F.row_number().over(w)).filter(F.col("rank") <= F.lit(n))
@@ -181,8 +219,8 @@ def report_context(chunks: DataFrame, per_query: int = 3, cap: int = 12, cut: in
     at most ``cap`` chunks, each cut to ``cut`` characters: ``first_pos, chunk_id, kind, piece``."""
     spark = chunks.sparkSession
     qdf = spark.createDataFrame(list(enumerate(questions)), "qid int, text string")
-    index = embed(chunks, "chunk_id", "text")
-    hits = retrieve(embed(qdf, "qid", "text"), index, per_query, id_col="chunk_id", ids=chunks)
+    index = embed_rows(chunks, "chunk_id", "text")
+    hits = retrieve(embed_rows(qdf, "qid", "text"), index, per_query, id_col="chunk_id", ids=chunks)
     first = hits.groupBy("chunk_id").agg(F.min(F.col("qid").cast("long") * (per_query + 1) + F.col("rank")).alias("first_pos"))
     top = first.orderBy("first_pos", "chunk_id").limit(cap)
     return (chunks.join(F.broadcast(top), "chunk_id")

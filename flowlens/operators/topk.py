@@ -73,22 +73,28 @@ def first_rows(df: DataFrame, n: int, order=("date", "flow_id")) -> DataFrame:
 def _at_ranks(df: DataFrame, col: str, ranks) -> list:
     """The exact values of a column at the 1-based ranks that ``ranks(n)`` asks for.
 
-    The column is range-partitioned once; the counts of the partitions (one number each) name the ones that hold the ranks,
-    and only those are ordered.
+    Equal values are counted first, so ties are one row. The counted values are range-partitioned once; the sums of the
+    partitions (one number each) name the partitions that hold the ranks, and running counts inside those pick the values. One row
+    comes back for all ranks.
     """
     from flowlens.session import materialize
     parts = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    x = df.where(F.col(col).isNotNull()).select(F.col(col).alias("v"))
+    x = df.where(F.col(col).isNotNull()).groupBy(F.col(col).alias("v")).agg(F.count(F.lit(1)).alias("c"))
     x = materialize(x.repartitionByRange(parts, "v").withColumn("pid", F.spark_partition_id()), "ranked")
-    sizes = sorted((r.pid, r.n) for r in x.groupBy("pid").agg(F.count(F.lit(1)).alias("n")).collect())
-    out = []
+    sizes = sorted((r.pid, r.n) for r in x.groupBy("pid").agg(F.sum("c").alias("n")).collect())
+    places = []
     for rank in ranks(sum(n for _, n in sizes)) if sizes else []:
         for pid, n in sizes:
             if rank <= n:
-                out.append(x.where(F.col("pid") == pid).orderBy("v").offset(rank - 1).limit(1).first()["v"])
+                places.append((pid, rank))
                 break
             rank -= n
-    return out
+    if not places:
+        return []
+    cum = F.sum("c").over(Window.partitionBy("pid").orderBy("v").rowsBetween(Window.unboundedPreceding, 0))
+    run = x.where(F.col("pid").isin(sorted({p for p, _ in places}))).withColumn("cum", cum)
+    hit = [F.min(F.when((F.col("pid") == p) & (F.col("cum") >= r), F.col("v"))).alias(f"r{i}") for i, (p, r) in enumerate(places)]
+    return list(run.agg(*hit).first())
 
 
 def order_statistic(df: DataFrame, col: str, q: float) -> float | None:

@@ -34,8 +34,8 @@ def q_chunk_embedding(spark, sf):
 
 def _doc_hits(spark, sf, n=4):
     docs = load(spark, sf, "documents")
-    index = RT.embed(docs, "doc_id", "text")
-    qs = RT.embed(load(spark, sf, "benchmark").withColumnRenamed("item_id", "qid"), "qid", "text")
+    index = RT.embed_rows(docs, "doc_id", "text")
+    qs = RT.embed_rows(load(spark, sf, "benchmark").withColumnRenamed("item_id", "qid"), "qid", "text")
     return RT.retrieve(qs, index, n, id_col="doc_id", ids=docs), docs
 
 

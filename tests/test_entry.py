@@ -1,4 +1,4 @@
-from conftest import SF001
+from paths import SF001
 
 
 def test_entry_runs(spark):

@@ -2,7 +2,7 @@ import datetime as dt
 
 from pyspark.sql import functions as F
 
-from conftest import SF01
+from paths import SF01
 from flowlens.operators import kpi, topk
 from flowlens.operators.filters import FilterSpec, apply_filter, predicate, selectivity
 from flowlens.sources.tables import flows

@@ -3,7 +3,7 @@ import datetime as dt
 import numpy as np
 from pyspark.sql import functions as F
 
-from conftest import SF01
+from paths import SF01
 from flowlens.operators import classify as C
 from flowlens.operators import detect as D
 from flowlens.operators import report as RP

@@ -1,6 +1,6 @@
 from pyspark.sql import functions as F
 
-from conftest import SF001
+from paths import SF001
 from flowlens.operators import normalize as N
 from flowlens.sources.tables import flows, raw_lines
 

@@ -2,7 +2,7 @@
 
 import pytest
 
-from conftest import SF001
+from paths import SF001
 
 FAST = ["kpis", "exec_summary", "protocol_action", "rule_ranking", "top_ports_by_protocol", "suspect_ips",
         "privileged_ports", "range_presets", "peak_hours", "rule_replay", "rate_cap", "unused_rules",

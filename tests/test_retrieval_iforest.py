@@ -3,7 +3,7 @@ import hashlib
 import numpy as np
 from pyspark.sql import functions as F
 
-from conftest import SF001
+from paths import SF001
 from flowlens.operators import retrieval as RT
 from flowlens.operators.iforest import isolation_forest
 from flowlens.sources.tables import load
@@ -46,6 +46,46 @@ def test_retrieve_matches_brute_force(spark):
         assert [d for _, d in sorted(got[r.qid])] == [ids[j] for j in order]
 
 
+def test_topn_join_sends_n_rows_a_query_and_part(spark):
+    from flowlens.operators import topn_join as TJ
+    docs = load(spark, SF001, "documents")
+    bench = load(spark, SF001, "benchmark").withColumnRenamed("item_id", "qid")
+    index, qs = RT.embed_rows(docs, "doc_id", "text"), RT.embed_rows(bench, "qid", "text")
+    want = {(r.qid, r.rank): r.doc_id for r in RT.retrieve(qs, index, 3, id_col="doc_id").collect()}
+    found = TJ.topn_join(qs, index, 3, "doc_id", 512, text_rows=20, query_rows=7)
+    assert found.count() <= bench.count() * 3 * -(-docs.count() // 20)   # never a row for each pair
+    best = {}
+    for r in found.collect():
+        best.setdefault(r.qid, []).append((-round(r.score, 9), r.doc_id))
+    assert {(q, i + 1): d for q, v in best.items() for i, (_, d) in enumerate(sorted(v)[:3])} == want
+    # a third of the texts are equal: ties go to the smaller id whatever the blocks are
+    tied = spark.range(300).selectExpr("id AS doc_id", "if(id % 3 = 0, 'alpha beta', concat('w', id)) AS text")
+    q = spark.createDataFrame([(1, "alpha beta"), (2, "")], "qid long, text string")
+    hits = RT.retrieve(RT.embed(q, "qid", "text"), RT.embed(tied, "doc_id", "text"), 4, id_col="doc_id")
+    assert sorted((r.rank, r.doc_id) for r in hits.collect()) == [(1, 0), (2, 3), (3, 6), (4, 9)]
+
+
+def test_words_split_on_every_unicode_space(spark):
+    rows = [(1, "A\u00a0b\u2003a\tB\u3000"), (2, None), (3, " \n"), (4, "\u001cx")]
+    df = spark.createDataFrame(rows, "id int, text string")
+    from flowlens.functions.scalar import word_bucket, words
+    want = {r.id: sorted(r.b) for r in df.select("id", F.transform(words("text"), lambda w: word_bucket(w)).alias("b")).collect()
+            if r.b}
+    got = {r.id: sorted(b for b, n in zip(r.dims, r.counts) for _ in range(n)) for r in RT.embed_rows(df, "id", "text").collect()}
+    assert {i: b for i, b in got.items() if b} == want and got[2] == [] and got[3] == []
+
+
+def test_order_statistic_with_ties_and_nulls(spark):
+    from flowlens.operators.topk import linear_quantiles, order_statistic
+    rows = [(5.0,)] * 400 + [(float(i),) for i in range(800)] + [(None,)]
+    df = spark.createDataFrame(rows, "x double")
+    v = np.sort([r[0] for r in rows if r[0] is not None])
+    assert order_statistic(df, "x", 0.3) == v[int(np.ceil(0.3 * len(v))) - 1]
+    got = linear_quantiles(df, "x", [0.0, 0.2, 0.5, 0.95, 1.0])
+    assert np.allclose(got, np.quantile(v, [0.0, 0.2, 0.5, 0.95, 1.0]))
+    assert linear_quantiles(df.where("x < 0"), "x", [0.5]) == [None] and order_statistic(df.where("x < 0"), "x", 0.5) is None
+
+
 def test_fingerprint_is_order_insensitive(spark):
     df = spark.range(200).withColumn("s", F.col("id").cast("string"))
     a = RT.fingerprint(df).first()

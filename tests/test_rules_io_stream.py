@@ -4,7 +4,7 @@ import tempfile
 
 from pyspark.sql import functions as F
 
-from conftest import SF001, SF01
+from paths import SF001, SF01
 from flowlens.operators import rules as R
 from flowlens.sources import io
 from flowlens.sources.tables import flows
