@@ -9,8 +9,8 @@ from pyspark.sql import DataFrame, SparkSession
 import public_tokenizers
 
 from flowlens.llm import (
-    byte_cnn, mixing, near_dup, neighbours, packing, quality_rules, substring_dedup, suffix_dedup, toxicity,
-    warc_revisit,
+    byte_cnn, lexical, mixing, near_dup, neighbours, packing, quality_rules, simhash, substring_dedup, suffix_dedup, toxicity,
+    value_codes, warc_revisit,
 )
 from flowlens.session import work_dir
 
@@ -80,3 +80,18 @@ def op9(spark: SparkSession, sf_dir: str) -> DataFrame:
 @_query("op10_neighbours")
 def op10(spark: SparkSession, sf_dir: str) -> DataFrame:
     return neighbours.op10_neighbours(_table(spark, sf_dir, "embeddings"))
+
+
+@_query("op11_value_codes", value_codes.oracle())
+def op11(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return value_codes.op11_value_codes(_table(spark, sf_dir, "embeddings"))
+
+
+@_query("op12_simhash")
+def op12(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return simhash.op12_simhash(_table(spark, sf_dir, "documents"))
+
+
+@_query("op13_lexical", lexical.oracle())
+def op13(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lexical.op13_lexical(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark"))
