@@ -9,12 +9,13 @@ none of those bits.
 Equal fingerprints are one class from the start. Work on pairs never expands a bucket:
 
 1. each class is held against the smallest class of each of its buckets;
-2. the links found give components; buckets in which two components still meet go on. A bucket of at most ``BLOCK`` classes is one
-   group, which returns at most a spanning forest. A larger one is split by the tables of the next, independently drawn code, under
+2. a class takes the smallest class it is linked with as its label; buckets in which two labels still meet go on. A bucket of at
+   most ``BLOCK`` classes is one group, which tests pairs of different labels and returns at most a spanning forest. A larger one is split by the tables of the next, independently drawn code, under
    which every pair within the radius collides again;
 3. what is larger than ``BLOCK`` after ``LEVELS`` codes is cut into blocks, and every two blocks meet in one group.
 
-So every pair within the radius is in one component already or tested, whatever the sizes of the buckets.
+So every pair within the radius has one label already or is tested, whatever the sizes of the buckets. All links together give the
+components.
 
 Defined cases: null and empty texts and texts without words have fingerprint zero and are linked like any other; with fewer than
 three words the whole sequence is the one shingle; repeated rows are one class; a null doc_id counts as the largest and is returned
@@ -209,9 +210,9 @@ def near_links(classes: DataFrame, radius: int = RADIUS, block: int = BLOCK, lev
     rows = materialize(salted(rows, pivots.drop("other"), "bucket", "fp"), "simhash-shared")
     star = rows.where((F.col("fp") != F.col("pivot")) & _near(F.col("fp"), F.col("pivot"), radius))
     found = materialize(star.select(F.col("fp").alias("u"), F.col("pivot").alias("v")).distinct(), "simhash-links")
-    comps = components(found)
-    rows = rows.select("fp", "bucket").join(comps, rows["fp"] == comps["node"], "left")
-    rows = rows.select("fp", "bucket", F.coalesce("comp", "fp").alias("comp"))
+    # linked with the same class means one component; whole components wait until all links are known
+    label = found.groupBy(F.col("u").alias("fp")).agg(F.min("v").alias("comp"))
+    rows = rows.select("fp", "bucket").join(label, "fp", "left").select("fp", "bucket", F.coalesce("comp", "fp").alias("comp"))
     for level in range(1, levels + 1):
         mixed = rows.groupBy("bucket").agg(F.min("comp").alias("a"), F.max("comp").alias("b"), F.count(F.lit(1)).alias("size"))
         rows = materialize(salted(rows, mixed.where("a <> b").select("bucket", "size"), "bucket", "fp"), "simhash-mixed")
