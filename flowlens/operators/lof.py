@@ -1,33 +1,19 @@
 """Local Outlier Factor over per-IP profiles (E5, G4, G6, J4), without an all-pairs join.
 
-Exact k-nearest neighbours by a multi-resolution grid:
-
-1. identical feature vectors are collapsed to one row with a multiplicity, so a hot group of
-   identical profiles (say a third of all sources) never produces pairs;
-2. the starting cell width is shrunk until no cell holds more than ``max_cell`` distinct vectors,
-   so a dense cluster of near-identical profiles is split before any pairs are formed;
-3. each query vector carries a level L (cell width w = w0 * 2^L) and is matched with the data
-   vectors in its 3^d neighbouring cells at that level (an equi-join on (level, cell));
-4. a query is resolved once its k nearest candidates lie within distance w: every point within
-   distance w is guaranteed to sit in those cells, so its k-NN is exact. An unresolved query
-   with k candidates jumps straight to the level whose width covers its k-th candidate distance
-   (an upper bound of its true k-distance), so it resolves in the next round; one with fewer
-   candidates moves to the density-heuristic level or widens by 4x. Resolved queries never return.
-
-Distances are rounded to 9 decimals before ranking (ties then break on the neighbour key), which
-keeps Spark and a SQL engine in agreement. LOF follows the usual definition: k-distance,
-reach-distance max(k-dist(o), d(p, o)), lrd = 1 / (mean reach + 1e-10), LOF = mean lrd(o) / lrd(p);
-outliers are those above the (1 - contamination) quantile of LOF.
+Identical feature vectors are one row with a multiplicity, so a hot group of identical profiles (say a third of all sources) never
+produces pairs; the k nearest neighbours of the distinct vectors come from ``nearest.knn`` and are exact.
+
+Distances are rounded to 9 decimals before ranking (ties then break on the neighbour key), which keeps Spark and a SQL engine in
+agreement. LOF follows the usual definition: k-distance, reach-distance max(k-dist(o), d(p, o)), lrd = 1 / (mean reach + 1e-10),
+LOF = mean lrd(o) / lrd(p); outliers are those above the (1 - contamination) quantile of LOF.
 """
 
 from __future__ import annotations
 
-import itertools
-import math
-
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from flowlens.operators import nearest
 from flowlens.operators.profiles import LOF_FEATURES, ip_profiles, standardize
 from flowlens.operators.topk import linear_quantiles
 from flowlens.session import materialize
@@ -41,107 +27,22 @@ def scaled_features(profiles: DataFrame, cols=LOF_FEATURES, key: str = "ip_sourc
     return z.select(key, *[F.round(F.col(c + "_z"), _DIGITS).alias(f"z{i}") for i, c in enumerate(cols)])
 
 
-def _dist(d: int, a: str, b: str):
-    s = None
-    for i in range(d):
-        t = (F.col(f"{a}z{i}") - F.col(f"{b}z{i}")) * (F.col(f"{a}z{i}") - F.col(f"{b}z{i}"))
-        s = t if s is None else s + t
-    return F.round(F.sqrt(s), _DIGITS)
-
-
-def knn(points: DataFrame, k: int, key: str = "ip_source", d: int | None = None,
-        w0: float | None = None, max_levels: int = 40, growth: float = 2.0,
-        stats: list | None = None, max_cell: int = 256) -> tuple[DataFrame, DataFrame]:
+def knn(points: DataFrame, k: int, key: str = "ip_source", cell: int = nearest.CELL,
+        stats: list | None = None) -> tuple[DataFrame, DataFrame]:
     """Exact multiplicity-aware k-NN over distinct vectors.
 
     Returns ``(vectors, neighbours)``: vectors ``vid, z*, mult, tie`` and neighbour rows
     ``vid, nid, dist, take`` (``take`` copies of neighbour vector ``nid``; takes sum to k).
     """
-    spark = points.sparkSession
     zc = [c for c in points.columns if c.startswith("z") and c[1:].isdigit()]
-    d = d or len(zc)
     vec = (points.groupBy(*zc).agg(F.count(F.lit(1)).alias("mult"), F.min(key).alias("tie"))
            .withColumn("vid", F.xxhash64(*zc)))
-    vec = materialize(vec, "lof-vectors")  # cut lineage: reused by every level
-    ranges = vec.agg(F.sum("mult").alias("_n"), *[(F.max(c) - F.min(c)).alias(c) for c in zc]).first()
-    n = ranges["_n"] or 0
-    k = min(k, max(n - 1, 0))
+    vec = materialize(vec, "lof-vectors")  # cut lineage: reused by every round
+    rows, n = vec.agg(F.count(F.lit(1)), F.sum("mult")).first()
+    k = min(k, max((n or 0) - 1, 0))
     if k == 0:
-        return vec, spark.createDataFrame([], "vid long, nid long, dist double, take long")
-    span = max([ranges[c] or 0.0 for c in zc] + [1e-9])
-    if w0 is None:
-        # Start at the density heuristic (about k neighbours per cell on average); the occupancy
-        # check below shrinks it where a dense region would put too many vectors in one cell.
-        w0 = max(4.0 * (k / max(n, 1)) ** (1.0 / d), 1e-6)
-    w_heur = w0
-    # A dense cluster of distinct-but-close vectors must not land in one starting cell (its
-    # queries would each see the whole cluster): shrink the first width until no cell holds more
-    # than ``max_cell`` distinct vectors. Each probe is one count per occupied cell.
-    for _ in range(60):
-        cells = vec.groupBy(*[F.floor(F.col(c) / F.lit(w0)) for c in zc]).agg(F.count(F.lit(1)).alias("m"))
-        if (cells.agg(F.max("m")).first()[0] or 0) <= max_cell or w0 < 1e-9:
-            break
-        w0 /= 4.0
-    max_levels = max(max_levels, int(math.ceil(math.log(span / w0, growth))) + 2)
-    offsets = [list(o) for o in itertools.product((-1, 0, 1), repeat=d)]
-    off_col = F.array(*[F.array(*[F.lit(x) for x in o]) for o in offsets])
-    final_lvl = max(0, int(math.ceil(math.log(span / w0, growth))))
-    # level of the density heuristic: where a point has about k neighbours on average
-    heur_lvl = min(final_lvl, max(0, int(math.ceil(math.log(w_heur / w0, growth)))))
-
-    def width(lvl):
-        return F.lit(w0) * F.pow(F.lit(growth), lvl.cast("double"))
-
-    def cell(pref, lvl):
-        return F.array(*[F.floor(F.col(pref + c) / width(lvl)).cast("long") for c in zc])
-
-    q = vec.select("vid", *zc, "mult", F.lit(0).alias("lvl"))
-    data = vec.select(F.col("vid").alias("nid"), *[F.col(c).alias("n" + c) for c in zc],
-                      F.col("mult").alias("nmult"), F.col("tie").alias("ntie"))
-    done = None
-    for it in range(max_levels):
-        levels = sorted(r[0] for r in q.select("lvl").distinct().collect())  # a few small ints
-        if not levels:
-            break
-        lv = F.array(*[F.lit(x) for x in levels])
-        dd = data.withColumn("lvl", F.explode(lv)).withColumn("ncell", cell("n", F.col("lvl")))
-        qd = (q.withColumn("cell", cell("", F.col("lvl"))).withColumn("off", F.explode(off_col))
-              .withColumn("ncell", F.transform(F.arrays_zip("cell", "off"), lambda s: s["cell"] + s["off"]))
-              .drop("cell", "off"))
-        cand = (qd.join(dd, ["lvl", "ncell"]).withColumn("dist", _dist(d, "", "n"))
-                .withColumn("avail", F.when(F.col("vid") == F.col("nid"), F.col("nmult") - 1).otherwise(F.col("nmult")))
-                .filter(F.col("avail") > 0))
-        w_ord = Window.partitionBy("vid").orderBy("dist", "ntie")
-        # Materialise this round's candidates once; both the resolution test and the result read it.
-        cand = (cand.withColumn("cum", F.sum("avail").over(w_ord.rowsBetween(Window.unboundedPreceding, 0)))
-                .withColumn("before", F.col("cum") - F.col("avail"))
-                .filter(F.col("before") < k)
-                .withColumn("take", F.least(F.col("avail"), F.lit(k) - F.col("before")))
-                .select("vid", "lvl", "nid", "dist", "take", "cum"))
-        cand = materialize(cand, f"lof-round{it}")
-        summ = (q.select("vid", "lvl").join(cand.groupBy("vid").agg(F.max("cum").alias("got"), F.max("dist").alias("kd")),
-                                            "vid", "left")
-                .withColumn("got", F.coalesce("got", F.lit(0))))
-        # resolved: k candidates all within this level's width (every point that close is in the
-        # 3^d neighbouring cells), or the width already spans the data
-        ok_cond = (F.col("got") >= k) & ((F.col("kd") <= width(F.col("lvl"))) | (F.col("lvl") >= final_lvl))
-        res = cand.join(summ.filter(ok_cond).select("vid"), "vid", "left_semi").select("vid", "nid", "dist", "take")
-        done = res if done is None else done.unionByName(res)
-        # unresolved: with k candidates, their k-th distance bounds the true k-distance, so the
-        # level whose width covers it resolves them next round; with fewer, go at least to the
-        # density-heuristic level, else widen by growth^2
-        need = F.ceil(F.log(float(growth), F.col("kd") / F.lit(w0))).cast("int")
-        nxt = (summ.filter(~ok_cond)
-               .withColumn("lvl", F.least(F.lit(final_lvl), F.when(F.col("got") >= k, F.greatest(need, F.col("lvl") + 1))
-                                          .otherwise(F.greatest(F.col("lvl") + 2, F.lit(heur_lvl)))))
-               .select("vid", "lvl"))
-        q = vec.select("vid", *zc, "mult").join(materialize(nxt, f"lof-next{it}"), "vid")
-        if stats is not None:
-            stats.append((it, levels))
-    else:
-        if not q.isEmpty():
-            raise RuntimeError(f"k nearest neighbours unresolved after {max_levels} rounds")
-    return vec, done
+        return vec, points.sparkSession.createDataFrame([], "vid long, nid long, dist double, take long")
+    return vec, nearest.knn(vec, zc, rows, k, cell, stats)
 
 
 def lof(profiles: DataFrame, cols=LOF_FEATURES, k: int = 20, contamination: float = 0.05,

@@ -45,6 +45,51 @@ def test_lof_matches_brute_force_and_handles_duplicates(spark):
     assert all(abs(got[f"dup{i:02d}"] - 1.0) < 1e-9 for i in range(25))
 
 
+def _knn_of(spark, x, k, cell, stats=None):
+    rows = [(f"ip{i:05d}", *map(float, r)) for i, r in enumerate(x)]
+    df = spark.createDataFrame(rows, "ip_source string, " + ", ".join(f"z{i} double" for i in range(x.shape[1])))
+    vec, nb = L.knn(df, k, "ip_source", cell, stats)
+    name = {r.vid: (r.tie, r.mult) for r in vec.collect()}
+    out = {}
+    for r in nb.collect():
+        out.setdefault(name[r.vid][0], []).append((r.dist, name[r.nid][0], r["take"]))
+    return {i: sorted(v) for i, v in out.items()}
+
+
+def _profiles(n, seed=0):
+    rng = np.random.default_rng(seed)
+    x = rng.lognormal(0, 1.5, (n, 4))
+    x[:, 3] = rng.integers(0, 20, n) / 20  # a ratio with few values
+    x[n // 2:n // 2 + n // 4] = x[n // 2:n // 2 + n // 4] * 1e-3  # a dense core
+    return np.round((x - x.mean(0)) / x.std(0), 9)
+
+
+def test_nearest_in_small_cells_equals_brute_force(spark):
+    x = _profiles(700)
+    x[::3] = x[0]  # a third equal
+    got = _knn_of(spark, x, 7, cell=40)
+    ids = [f"ip{i:05d}" for i in range(len(x))]
+    for i in range(1, 700, 23):
+        d = np.round(np.sqrt(((x - x[i]) ** 2).sum(1)), 9)
+        near = sorted((d[j], ids[min(np.flatnonzero((x == x[j]).all(1)))], ids[j]) for j in range(len(x)) if j != i)[:7]
+        first = ids[min(np.flatnonzero((x == x[i]).all(1)))]
+        mine = [(dist, tie) for dist, tie, take in got[first] for _ in range(take)]
+        assert [a for a, _ in mine] == [a for a, _, _ in near]
+        assert sorted(t for a, t in mine if a < near[-1][0]) == sorted(t for a, t, _ in near if a < near[-1][0])
+
+
+def test_pairs_for_each_point_stay_bounded(spark):
+    per = []
+    for n in (1500, 6000, 18000):
+        stats = []
+        x = _profiles(n, n)
+        _, nb = L.knn(spark.createDataFrame([(f"ip{i}", *map(float, r)) for i, r in enumerate(x)],
+                                            "ip_source string, z0 double, z1 double, z2 double, z3 double"), 20, stats=stats)
+        assert nb.agg(F.sum("take")).first()[0] == 20 * len(np.unique(x, axis=0))
+        per.append(sum(stats) / n)
+    assert max(per) < 1500 and per[2] < 1.5 * per[0], per  # compared pairs don't grow with the table
+
+
 def test_lof_row_order_invariant(spark):
     rows = [(f"ip{i}", float(i % 7), float((i * 3) % 11)) for i in range(40)]
     a = spark.createDataFrame(rows, "ip_source string, x double, y double")
