@@ -26,6 +26,7 @@ T_SUSPECTS = "IP SUSPECTES"
 T_OUT_OF_PLAN = "IP HORS PLAN"
 T_SENSITIVE = "CONNEXIONS SUSPECTES PORTS SENSIBLES"
 T_SAMPLE = "ECHANTILLON LOGS"
+T_BLOCKED = " blocages"
 SENSITIVE_PORTS = (21, 22, 23, 3306, 3389, 445, 137)
 UNKNOWN_SERVICE = "?"
 # ---------------------------------------------------------------------------------------------
@@ -132,7 +133,7 @@ def build_chunks(df: DataFrame, sample_n: int = 300, seed: int = 42,
     dcounts = source.filter(deny).groupBy("ip_source").agg(F.sum(n).alias("n"))
     cut = dcounts.select(F.percentile(F.col("n").cast("double"), F.lit(0.95))).scalar()
     sus = dcounts.filter(F.col("n") > cut).orderBy(F.col("n").desc(), "ip_source").limit(20)
-    sus_lines = _joined(sus, F.concat(F.col("ip_source"), F.lit(": "), F.col("n").cast("string"), F.lit(" blocages")),
+    sus_lines = _joined(sus, F.concat(F.col("ip_source"), F.lit(": "), F.col("n").cast("string"), F.lit(T_BLOCKED)),
                         [-F.col("n"), F.col("ip_source")], "\n")
     ext = (source.filter(out_of_plan("ip_source")).groupBy("ip_source").agg(F.min("first_seen").alias("first"))
            .orderBy("first", "ip_source").limit(20))
@@ -173,9 +174,38 @@ def _day_items(df: DataFrame, key: str, k: int | None, item_fn, where: Column |
         F.array_sort(F.collect_list(F.struct(F.col("rk"), item_fn().alias("item")))), lambda s: s["item"]), sep).alias("t"))
 
 
+def _day_lines(rows: DataFrame, order: list[Column], k: int, item: Column) -> DataFrame:
+    """Per day: the first ``k`` rows in ``order``, rendered and joined; the bound is applied in each task before the shuffle."""
+    from pyspark.sql import Window
+    top = rows.withColumn("rk", F.row_number().over(Window.partitionBy("day").orderBy(*order))).where(F.col("rk") <= F.lit(k))
+    return top.groupBy("day").agg(F.array_join(F.transform(
+        F.array_sort(F.collect_list(F.struct("rk", item.alias("item")))), lambda s: s["item"]), "\n").alias("t"))
+
+
+def _daily_lines(df: DataFrame, sample_n: int = 300, seed: int = 42) -> dict[str, DataFrame]:
+    """Per day: sources denied more often than 95 percent of the day's denied sources, sources outside the plan by first sight,
+    denied lines on sensitive ports, and a hash sample of lines."""
+    n = F.col("n")
+    rows = df.withColumn("day", F.to_date("date"))
+    denied = rows.where(F.col("action") == "Deny").groupBy("day", "ip_source").agg(F.count(F.lit(1)).alias("n"))
+    # as in ``topk.quantile_outliers``, a day's percentile keeps one entry per distinct count
+    cut = denied.groupBy("day").agg(F.percentile(n.cast("double"), F.lit(0.95)).alias("cut"))
+    suspects = denied.join(cut, "day").where(n > F.col("cut"))
+    outside = rows.where(out_of_plan("ip_source")).groupBy("day", "ip_source").agg(F.min("date").alias("first"))
+    sensitive = rows.where((F.col("action") == "Deny") & F.col("dest_port").isin(*SENSITIVE_PORTS))
+    hashed = rows.withColumn("_h", F.md5(F.concat_ws("|", F.col("flow_id").cast("string"), F.lit(str(seed)))))
+    return {
+        "suspects": _day_lines(suspects, [n.desc(), F.col("ip_source")], 20,
+                               F.concat("ip_source", F.lit(": "), n.cast("string"), F.lit(T_BLOCKED))),
+        "outside": _day_lines(outside, [F.col("first"), F.col("ip_source")], 20, F.col("ip_source")),
+        "sensitive": _day_lines(sensitive, [F.col("date"), F.col("flow_id")], 50, render_row()),
+        "sample": _day_lines(hashed, [F.col("_h"), F.col("flow_id")], sample_n, render_row()),
+    }
+
+
 def build_daily_chunks(df: DataFrame) -> DataFrame:
-    """One chunk set per event day (summary, sources, ports, rules, time profile):
-    ``day, chunk_id, kind, text``. Every piece is its own narrow count per (day, key)."""
+    """The eight chunk kinds per event day: ``day, chunk_id, kind, text``; a day without denied lines on sensitive ports has no
+    such chunk. Every piece is its own narrow count, or bounded list of lines, per day; no step holds a day in one task."""
     a, n = F.col("action"), F.col("n")
     deny = a == "Deny"
     c = df.groupBy(F.to_date("date").alias("day"), F.hour("date").alias("hour"), "action").agg(
@@ -203,6 +233,7 @@ def build_daily_chunks(df: DataFrame) -> DataFrame:
         F.array_join(F.transform(F.array_sort(F.collect_list(F.struct(F.col("hour"), F.concat(
             F.lit("  "), F.col("hour").cast("string"), F.lit("h: "), F.col("n").cast("string")).alias("item")))),
             lambda s: s["item"]), "\n").alias("hour_lines"))
+    pieces |= _daily_lines(df)
     t = head
     for name, p in pieces.items():
         t = t.join(p.withColumnRenamed("t", name), "day", "left")
@@ -225,7 +256,11 @@ def build_daily_chunks(df: DataFrame) -> DataFrame:
                              ts(F.col("dmax")), F.lit("\nPic total: "), F.col("peak").cast("string"),
                              F.lit("h | Pic deny: "), F.coalesce(F.col("peak_d").cast("string"), F.lit("N/A")),
                              F.lit("h\n"), g("hour_lines"))),
+        (5, "suspects", F.concat(F.lit(T_SUSPECTS + " "), day, F.lit("\n"), g("suspects"), F.lit("\n" + T_OUT_OF_PLAN + "\n"),
+                                 g("outside"))),
+        (6, "sensitive", F.concat(F.lit(T_SENSITIVE + " "), day, F.lit("\n"), F.col("sensitive"))),
+        (7, "sample", F.concat(F.lit(T_SAMPLE + " "), day, F.lit(":\n"), g("sample"))),
     ]
     arr = F.array(*[F.struct(F.lit(i).alias("chunk_id"), F.lit(kind).alias("kind"), txt.alias("text"))
                     for i, kind, txt in texts])
-    return t.select("day", F.explode(arr).alias("c")).select("day", "c.chunk_id", "c.kind", "c.text")
+    return t.select("day", F.explode(arr).alias("c")).where("c.text is not null").select("day", "c.chunk_id", "c.kind", "c.text")

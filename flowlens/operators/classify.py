@@ -81,12 +81,25 @@ def roc_points(scored: DataFrame, score: str = "p1", label: str = "label", parts
                      F.coalesce(F.sum("pfp").over(wo), F.lit(0)).alias("ofp"))  # one row per partition
     P = per.agg(F.sum("tp")).scalar()
     N = per.agg(F.sum("fp")).scalar()
-    wi = Window.partitionBy("pid").orderBy(F.col("score").desc()).rowsBetween(Window.unboundedPreceding, 0)
-    cum = (per.join(F.broadcast(off), "pid")
+    by_score = Window.partitionBy("pid").orderBy(F.col("score").desc())
+    wi = by_score.rowsBetween(Window.unboundedPreceding, 0)
+    # the point after a partition's last one is the first of the next partition: one row per partition is exchanged
+    heads = per.groupBy("pid").agg(F.max_by(F.struct("tp", "fp"), "score").alias("head"))
+    heads = heads.select("pid", F.lead("head").over(Window.orderBy("pid")).alias("after"))
+    cum = (per.join(F.broadcast(off.join(heads, "pid")), "pid")
            .withColumn("ctp", F.sum("tp").over(wi) + F.col("otp"))
-           .withColumn("cfp", F.sum("fp").over(wi) + F.col("ofp")))
+           .withColumn("cfp", F.sum("fp").over(wi) + F.col("ofp"))
+           .withColumn("next", F.coalesce(F.lead(F.struct("tp", "fp")).over(by_score), F.col("after"))))
+    # on a straight line: the step to the next point equals the step to this one; both ends of the curve are corners
+    corner = (F.col("next").isNull() | (F.col("next.tp") != F.col("tp")) | (F.col("next.fp") != F.col("fp"))
+              | ((F.col("ctp") == F.col("tp")) & (F.col("cfp") == F.col("fp"))))
     return cum.select("score", "tp", "fp", (F.col("ctp") / F.nullif(P.cast("double"), F.lit(0.0))).alias("tpr"),
-                      (F.col("cfp") / F.nullif(N.cast("double"), F.lit(0.0))).alias("fpr"), "ctp", "cfp")
+                      (F.col("cfp") / F.nullif(N.cast("double"), F.lit(0.0))).alias("fpr"), "ctp", "cfp", corner.alias("corner"))
+
+
+def drop_intermediate(points: DataFrame) -> DataFrame:
+    """The points of ``roc_points`` without those that continue the step before them in a straight line; the area is the same."""
+    return points.where("corner")
 
 
 def auc_from_points(points: DataFrame) -> DataFrame:
@@ -152,7 +165,7 @@ def fold_summary(per_fold: DataFrame) -> DataFrame:
 
 
 def model_roc(feats: DataFrame, seed: int = 42) -> DataFrame:
-    """Per model: ROC points on the 30% hold-out after fitting on the 70% split."""
+    """Per model: the corners of the ROC curve on the 30% hold-out after fitting on the 70% split, and its area."""
     require_two_classes(feats)
     data = materialize(split_label(_vectors(feats), "flow_id", 70, seed).select("features", "label", "split"),
                        "roc-input")
@@ -161,9 +174,9 @@ def model_roc(feats: DataFrame, seed: int = 42) -> DataFrame:
 
     def task(name, est):
         def run():
-            pts = roc_points(_p1(est.fit(train).transform(test))).cache()
+            pts = materialize(roc_points(_p1(est.fit(train).transform(test))), "roc-points")
             auc = auc_from_points(pts).first()[0]
-            return pts.select(F.lit(name).alias("model"), "score", "fpr", "tpr", F.lit(auc).cast("double").alias("auc"))
+            return drop_intermediate(pts).select(F.lit(name).alias("model"), "score", "fpr", "tpr", F.lit(auc).cast("double").alias("auc"))
         return run
 
     parts = _parallel([task(n, e) for n, e in models(n_train).items()])

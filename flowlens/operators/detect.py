@@ -51,6 +51,24 @@ def decoy_scan(df: DataFrame, width: str = "1 hour", min_sources: int = 3) -> Da
             .filter(F.col("n_sources") >= min_sources))
 
 
+def decoy_sequences(df: DataFrame, width: str = "1 minute", min_sources: int = 3, min_ports: int = 2) -> DataFrame:
+    """Port sequences that at least ``min_sources`` sources probed in the same order within one bucket.
+
+    A source's sequence in a bucket is its distinct ports in the order of first contact (time, then flow_id); lines without a port
+    or time are left out. First contacts are aggregated before the sequence is built, so it holds each port once, however many
+    lines there are; sources are grouped by the sequence's hash, and the sequence itself tells hash-equal ones apart.
+    """
+    first = (df.where("dest_port is not null and date is not null")
+             .groupBy("ip_source", _bucket(width).alias("window_start"), "dest_port")
+             .agg(F.min(F.struct("date", "flow_id")).alias("first")))
+    seq = first.groupBy("ip_source", "window_start").agg(
+        F.transform(F.array_sort(F.collect_list(F.struct("first", "dest_port"))), lambda s: s["dest_port"]).alias("ports"))
+    seq = seq.where(F.size("ports") >= min_ports).select(
+        "window_start", F.size("ports").alias("n_ports"), F.array_join(F.transform("ports", lambda x: x.cast("string")), ">").alias("ports"))
+    return (seq.groupBy("window_start", F.md5("ports").alias("signature"), "ports", "n_ports")
+            .agg(F.count(F.lit(1)).alias("n_sources")).where(F.col("n_sources") >= min_sources))
+
+
 def tcp_udp_risk(df: DataFrame) -> DataFrame:
     """Per protocol: lines, denies, deny rate, sources, ports, sensitive-port share and its deny rate."""
     deny = F.col("action") == "Deny"

@@ -176,6 +176,20 @@ def q_roc_curve(spark, sf):
                       F.round("fpr", 9).alias("fpr"), F.round(auc, 9).alias("auc"))
 
 
+@query("roc_curve_reduced", with_flows("""SELECT round(score, 9) AS score, round(ctp / P, 9) AS tpr, round(cfp / N, 9) AS fpr FROM
+ (SELECT *, lead(tp) OVER w AS ntp, lead(fp) OVER w AS nfp, row_number() OVER w AS r FROM cum WINDOW w AS (ORDER BY score DESC)), tot
+WHERE r = 1 OR ntp IS NULL OR ntp <> tp OR nfp <> fp""", extra="""per AS (SELECT CAST(dest_port AS DOUBLE) / 65535.0 AS score,
+ count(*) FILTER (WHERE action = 'Deny') AS tp, count(*) FILTER (WHERE action <> 'Deny') AS fp FROM flows GROUP BY 1),
+cum AS (SELECT score, tp, fp, sum(tp) OVER (ORDER BY score DESC ROWS UNBOUNDED PRECEDING) AS ctp,
+ sum(fp) OVER (ORDER BY score DESC ROWS UNBOUNDED PRECEDING) AS cfp FROM per),
+tot AS (SELECT sum(tp) AS P, sum(fp) AS N FROM per)"""))
+def q_roc_curve_reduced(spark, sf):
+    from flowlens.operators.classify import drop_intermediate, roc_points
+    scored = flows(spark, sf).select((F.col("dest_port").cast("double") / F.lit(65535.0)).alias("p1"),
+                                     (F.col("action") == "Deny").cast("int").alias("label"))
+    return drop_intermediate(roc_points(scored)).select(*[F.round(c, 9).alias(c) for c in ("score", "tpr", "fpr")])
+
+
 @query("confusion_matrix")
 def q_confusion_matrix(spark, sf):
     from flowlens.operators.classify import cart, confusion

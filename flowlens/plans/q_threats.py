@@ -24,6 +24,37 @@ def q_brute_force(spark, sf):
     return D.brute_force(flows(spark, sf), (21, 22), "1 hour", 2)
 
 
+@query("port_scan_fast", with_flows("""SELECT ip_source, time_bucket(INTERVAL 5 MINUTE, date) AS window_start,
+ count(DISTINCT dest_port) AS n_ports, count(*) AS n FROM flows GROUP BY 1, 2 HAVING count(DISTINCT dest_port) >= 2"""))
+def q_port_scan_fast(spark, sf):
+    return D.port_scan(flows(spark, sf), "5 minutes", 2)
+
+
+@query("brute_force_minute", with_flows("""SELECT ip_source, time_bucket(INTERVAL 1 MINUTE, date) AS window_start,
+ count(*) AS n_hits, count(*) FILTER (WHERE action = 'Deny') AS n_denied FROM flows WHERE dest_port IN (21, 22)
+ GROUP BY 1, 2 HAVING count(*) >= 1 OR count(*) FILTER (WHERE action = 'Deny') >= 1"""))
+def q_brute_force_minute(spark, sf):
+    return D.brute_force(flows(spark, sf), (21, 22), "1 minute", 1)
+
+
+def _sequences_sql(width: str, sources: int, ports: int) -> str:
+    return with_flows(f"""SELECT window_start, md5(ports) AS signature, ports, n_ports, count(*) AS n_sources FROM (
+ SELECT ip_source, window_start, string_agg(CAST(dest_port AS VARCHAR), '>' ORDER BY d, f) AS ports, CAST(count(*) AS INTEGER) AS n_ports
+ FROM (SELECT ip_source, time_bucket(INTERVAL {width}, date) AS window_start, dest_port, min(date) AS d,
+   arg_min(flow_id, (date, flow_id)) AS f FROM flows WHERE dest_port IS NOT NULL GROUP BY 1, 2, 3) GROUP BY 1, 2)
+WHERE n_ports >= {ports} GROUP BY 1, 2, 3, 4 HAVING count(*) >= {sources}""")
+
+
+@query("decoy_sequences", _sequences_sql("1 DAY", 2, 2))
+def q_decoy_sequences(spark, sf):
+    return D.decoy_sequences(flows(spark, sf), "1 day", 2, 2)
+
+
+@query("decoy_sequences_minute", _sequences_sql("1 MINUTE", 1, 2))
+def q_decoy_sequences_minute(spark, sf):
+    return D.decoy_sequences(flows(spark, sf), "1 minute", 1, 2)
+
+
 @query("ddos_spike", with_flows("""SELECT bucket, n, round(mean, 6) AS mean, round(std, 6) AS std FROM (
  SELECT bucket, n, avg(n) OVER w AS mean, stddev_pop(n) OVER w AS std, count(n) OVER w AS k FROM (
   SELECT bucket, coalesce(n, 0) AS n FROM (SELECT unnest(generate_series(min(b), max(b), INTERVAL 1 HOUR)) AS bucket

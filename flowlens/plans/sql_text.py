@@ -128,6 +128,20 @@ def daily_kb_sql() -> str:
         "rules": _day_items_sql("rule_id", 15, p("rule_id")),
         "rules_d": _day_items_sql("rule_id", 10, p("rule_id"), deny),
     }
+    day_flows = "(SELECT *, CAST(date AS DATE) AS day FROM flows)"
+    dcounts = f"(SELECT day, ip_source, count(*) AS n FROM {day_flows} WHERE {deny} GROUP BY 1, 2)"
+
+    def lines(rows, order, k, item):
+        return (f"(SELECT day, string_agg({item}, chr(10) ORDER BY rk) AS t FROM (SELECT *, row_number() OVER (PARTITION BY day"
+                f" ORDER BY {order}) AS rk FROM {rows}) WHERE rk <= {k} GROUP BY day)")
+    ports = ", ".join(str(x) for x in C.SENSITIVE_PORTS)
+    pieces["suspects"] = lines(f"(SELECT c.* FROM {dcounts} c JOIN (SELECT day, quantile_cont(n, 0.95) AS cut FROM {dcounts}"
+                               " GROUP BY 1) q ON c.day = q.day WHERE n > cut)", "n DESC, ip_source", 20,
+                               f"ip_source || ': ' || CAST(n AS VARCHAR) || {s(C.T_BLOCKED)}")
+    pieces["outside"] = lines(f"(SELECT day, ip_source, min(date) AS first FROM {day_flows} WHERE NOT starts_with(ip_source, '159.84')"
+                              " GROUP BY 1, 2)", "first, ip_source", 20, "ip_source")
+    pieces["sensitive"] = lines(f"(SELECT * FROM {day_flows} WHERE {deny} AND dest_port IN ({ports}))", "date, flow_id", 50, ROW_SQL)
+    pieces["sample"] = lines(f"(SELECT *, md5(CAST(flow_id AS VARCHAR) || '|42') AS _h FROM {day_flows})", "_h, flow_id", 300, ROW_SQL)
     head = ("(SELECT CAST(date AS DATE) AS day, count(*) AS total, count(*) FILTER (WHERE action = 'Permit') AS p,"
             " count(*) FILTER (WHERE action = 'Deny') AS d, min(date) AS dmin, max(date) AS dmax FROM flows GROUP BY 1)")
     hours = ("(SELECT CAST(date AS DATE) AS day, hour(date) AS h, count(*) AS n,"
@@ -159,7 +173,11 @@ def daily_kb_sql() -> str:
         (4, "time", f"{s(C.T_TIME + ' ')} || {day} || chr(10) || 'Periode: ' || {ts('dmin')} || ' -> ' || {ts('dmax')}"
                     f" || chr(10) || 'Pic total: ' || CAST(peak AS VARCHAR) || 'h | Pic deny: '"
                     f" || coalesce(CAST(peak_d AS VARCHAR), 'N/A') || 'h' || chr(10) || coalesce(hour_lines, '')"),
+        (5, "suspects", f"{s(C.T_SUSPECTS + ' ')} || {day} || chr(10) || {g('suspects')} || chr(10) || {s(C.T_OUT_OF_PLAN)} || chr(10)"
+                        f" || {g('outside')}"),
+        (6, "sensitive", f"{s(C.T_SENSITIVE + ' ')} || {day} || chr(10) || sensitive.t"),
+        (7, "sample", f"{s(C.T_SAMPLE + ' ')} || {day} || ':' || chr(10) || {g('sample')}"),
     ]
     base = f"FROM {head} h {joins} LEFT JOIN {hp} hp ON hp.day = h.day"
     return "\nUNION ALL ".join(f"SELECT h.day AS day, {i} AS chunk_id, '{kind}' AS kind, {txt} AS text {base}"
-                              for i, kind, txt in texts)
+                              + (" WHERE sensitive.t IS NOT NULL" if kind == "sensitive" else "") for i, kind, txt in texts)

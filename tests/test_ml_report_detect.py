@@ -97,3 +97,36 @@ def test_detectors_on_fixtures(spark):
     spike = [(t + dt.timedelta(hours=24, seconds=i), "1.1.1.1", 80, "Permit", "TCP") for i in range(50)]
     sp = D.ddos_spike(_fl(spark, base + spike), "1 hour", 24, 3.0).collect()
     assert len(sp) == 1 and sp[0].n == 50
+
+
+def test_reduced_roc_keeps_the_area(spark):
+    rng = np.random.default_rng(4)
+    rows = [(float(s), int(y)) for s, y in zip(rng.integers(0, 60, 900), rng.integers(0, 2, 900))] + [(float(100 + i), 1) for i in range(50)]
+    rows += [(-1.0 - i, 0) for i in range(40)]
+    df = spark.createDataFrame(rows, "p1 double, label int")
+    pts = C.roc_points(df, parts=7)
+    full, few = (sorted(((r.cfp, r.ctp) for r in x.collect())) for x in (pts, C.drop_intermediate(pts)))
+
+    def area(p):
+        p = np.array([(0, 0)] + p, float)
+        return np.sum(np.diff(p[:, 0]) * (p[1:, 1] + p[:-1, 1]) / 2)
+
+    # by definition: an inner point goes when the step after it equals the step to it
+    steps = np.diff(np.array([(0, 0)] + full), axis=0)
+    want = [p for i, p in enumerate(full) if i in (0, len(full) - 1) or (steps[i] != steps[i + 1]).any()]
+    assert few == want and len(few) < len(full) and area(few) == area(full)
+    one = spark.createDataFrame([(0.5, 1), (0.5, 0)], "p1 double, label int")
+    assert C.drop_intermediate(C.roc_points(one)).count() == 1
+
+
+def test_decoy_sequences_need_the_same_order(spark):
+    import datetime as dt
+    at = lambda m, s: dt.datetime(2026, 1, 1, 10, m, s)
+    rows = []
+    for src, ports in (("a", (22, 80, 443)), ("b", (22, 80, 443)), ("c", (80, 22, 443)), ("d", (22, 80))):
+        rows += [(at(0, 10 + i), src, p) for i, p in enumerate(ports)]
+    rows += [(at(0, 30), "a", 22), (at(0, 40), "a", None), (at(1, 5), "c", 22), (at(1, 6), "c", 80), (at(1, 7), "c", 443)]
+    rows += [(at(2, 0), s, p) for s in ("a", "b") for p in (1, 2)]  # one instant: the flow_id decides
+    df = spark.createDataFrame([(i, *r) for i, r in enumerate(rows)], "flow_id long, date timestamp_ntz, ip_source string, dest_port int")
+    got = {(r.window_start, r.ports): (r.n_sources, r.n_ports) for r in D.decoy_sequences(df, "1 minute", 2, 2).collect()}
+    assert got == {(at(0, 0), "22>80>443"): (2, 3), (at(2, 0), "1>2"): (2, 2)}
