@@ -1,14 +1,12 @@
 """PCA and K-Means over standardised profiles (J5, J6, F21, G3) with ``pyspark.ml``.
 
-MLlib computes the covariance / centroid updates as distributed tree-aggregates; only model
-parameters (k x d numbers) reach the driver.
+MLlib computes the covariance as a distributed tree-aggregate. All K-Means starts of a scan are iterated together: one pass over
+the vectors adds up every start's clusters. Only model parameters (k x d numbers) and their sums reach the driver.
 """
 
 from __future__ import annotations
 
 import numpy as np
-from pyspark.ml.clustering import KMeans
-from pyspark.ml.evaluation import ClusteringEvaluator
 from pyspark.ml.feature import PCA, VectorAssembler
 from pyspark.ml.functions import vector_to_array
 from pyspark.sql import DataFrame
@@ -52,56 +50,177 @@ def pca(df: DataFrame, cols, k: int = 4, key: str = "ip_source"):
     return scores, variance, loadings
 
 
-def _fit(vec: DataFrame, k: int, seed: int):
-    m = KMeans(k=k, seed=seed, featuresCol="features", predictionCol="cluster", maxIter=300).fit(vec)
-    return m, m.summary.trainingCost
-
-
-def _best_kmeans(vec: DataFrame, k: int, n_init: int, seed: int, workers: int = 8):
-    """Best of ``n_init`` seeded fits by inertia; the fits are independent and run concurrently."""
-    from concurrent.futures import ThreadPoolExecutor
-    with ThreadPoolExecutor(max_workers=workers) as ex:
-        fits = list(ex.map(lambda r: _fit(vec, k, seed + r), range(n_init)))
-    return min(fits, key=lambda mc: mc[1])
+#: Rows that starting centres are drawn from at most: those with the smallest hash.
+START_ROWS = 8192
+MAX_ITER = 300
+
+
+def _matrix(batches) -> np.ndarray:
+    """The vectors (first column) of Arrow batches."""
+    import pyarrow as pa
+    x = pa.Table.from_batches(batches).column(0).combine_chunks()
+    return x.flatten().to_numpy().reshape(len(x), -1)
+
+
+def start_centres(points: np.ndarray, k: int, seed: int) -> np.ndarray:
+    """k-means++: every next centre is drawn with a chance in proportion to the squared distance from the nearest one so far."""
+    rng = np.random.default_rng(seed)
+    centres = points[[rng.integers(len(points))]]
+    far = ((points - centres[0]) ** 2).sum(1)
+    for _ in range(1, k):
+        at = rng.choice(len(points), p=far / far.sum()) if far.sum() > 0 else rng.integers(len(points))
+        centres = np.vstack([centres, points[at]])
+        far = np.minimum(far, ((points - points[at]) ** 2).sum(1))
+    return centres
+
+
+def _nearest(x: np.ndarray, centres: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    far = ((x[:, None, :] - centres[None, :, :]) ** 2).sum(2)
+    own = far.argmin(1)
+    return own, far[np.arange(len(x)), own]
+
+
+def _sums(runs: dict[int, np.ndarray]):
+    """For every run and cluster: rows, sum of vectors, sum of their squared lengths and of squared distances, over a task."""
+    def run(batches):
+        import pyarrow as pa
+        acc: dict = {}
+        for b in batches:
+            every = _matrix([b])
+            for lo in range(0, len(every), 4096):
+                x = every[lo:lo + 4096]
+                for i, centres in runs.items():
+                    own, far = _nearest(x, centres)
+                    k, d = centres.shape
+                    got = acc.setdefault(i, np.zeros((k, d + 3)))
+                    got[:, 0] += np.bincount(own, minlength=k)
+                    got[:, 1] += np.bincount(own, (x * x).sum(1), k)
+                    got[:, 2] += np.bincount(own, far, k)
+                    for j in range(d):
+                        got[:, 3 + j] += np.bincount(own, x[:, j], k)
+        at = [(i, c, j) for i, g in acc.items() for c in range(g.shape[0]) for j in range(g.shape[1])]
+        yield pa.RecordBatch.from_arrays(
+            [pa.array([a[n] for a in at], pa.int32()) for n in range(3)] + [pa.array([acc[i][c, j] for i, c, j in at], pa.float64())],
+            ["run", "cluster", "j", "v"])
+    return run
+
+
+def _totals(vec: DataFrame, runs: dict[int, np.ndarray]) -> dict[int, np.ndarray]:
+    """One scan: the sums of all runs' clusters (a few thousand numbers)."""
+    got = vec.select("x").mapInArrow(_sums(runs), "run int, cluster int, j int, v double")
+    out = {i: np.zeros((len(c), c.shape[1] + 3)) for i, c in runs.items()}
+    for r in got.groupBy("run", "cluster", "j").agg(F.sum("v").alias("v")).collect():
+        out[r.run][r.cluster, r.j] = r.v
+    return out
+
+
+def lloyd(vec: DataFrame, starts: dict[int, np.ndarray], max_iter: int = MAX_ITER, tol: float = 1e-4,
+          jobs: list | None = None) -> dict[int, tuple[np.ndarray, float]]:
+    """(centres, cost) of every run. All runs move together, one scan of the vectors (``x``) for an iteration; a run stops when
+    no centre moves by more than ``tol``. An empty cluster keeps its centre. With ``jobs``, an entry is added for each scan."""
+    centres = {i: c.copy() for i, c in starts.items()}
+    moving = set(centres)
+    for _ in range(max_iter):
+        if not moving:
+            break
+        got = _totals(vec, {i: centres[i] for i in sorted(moving)})
+        if jobs is not None:
+            jobs.append(len(moving))
+        for i in list(moving):
+            n = got[i][:, :1]
+            new = np.where(n > 0, got[i][:, 3:] / np.maximum(n, 1), centres[i])
+            if (((new - centres[i]) ** 2).sum(1) <= tol * tol).all():
+                moving.discard(i)
+            centres[i] = new
+    if jobs is not None:
+        jobs.append(len(centres))
+    return {i: (centres[i], float(g[:, 2].sum())) for i, g in _totals(vec, centres).items()}
+
+
+def silhouettes(vec: DataFrame, runs: dict[int, np.ndarray]) -> dict[int, float]:
+    """Mean silhouette of every run under squared Euclidean distance, from cluster sums: two scans for all runs."""
+    sums = _totals(vec, runs)
+
+    def run(batches):
+        import pyarrow as pa
+        acc = {i: [0, 0.0] for i in runs}
+        for b in batches:
+            every = _matrix([b])
+            for lo in range(0, len(every), 4096):
+                x = every[lo:lo + 4096]
+                for i, centres in runs.items():
+                    n, sq, s = sums[i][:, 0], sums[i][:, 1], sums[i][:, 3:]
+                    own, _ = _nearest(x, centres)
+                    # sum of squared distances from each row to all rows of a cluster
+                    total = (x * x).sum(1)[:, None] * n + sq - 2 * x @ s.T
+                    rows = np.arange(len(x))
+                    alone = n[own] <= 1
+                    a = total[rows, own] / np.maximum(n[own] - 1, 1)
+                    mean = np.where(n > 0, total / np.maximum(n, 1), np.inf)
+                    mean[rows, own] = np.inf
+                    near = mean.min(1)
+                    top = np.maximum(a, near)
+                    score = np.where(alone | (top <= 0) | ~np.isfinite(near), 0.0, (near - a) / np.where(top > 0, top, 1))
+                    acc[i][0] += len(x)
+                    acc[i][1] += score.sum()
+        yield pa.RecordBatch.from_arrays([pa.array(list(acc), pa.int32()), pa.array([v[0] for v in acc.values()], pa.int64()),
+                                          pa.array([v[1] for v in acc.values()], pa.float64())], ["run", "n", "s"])
+
+    got = vec.select("x").mapInArrow(run, "run int, n long, s double").groupBy("run").agg((F.sum("s") / F.sum("n")).alias("m"))
+    return {r.run: r.m for r in got.collect()}
+
+
+def kmeans_input(df: DataFrame, cols, key: str = "ip_source") -> DataFrame:
+    """``key, x``: the standardised features as an array, written once for all scans."""
+    z = standardize(df, list(cols))
+    return materialize(z.select(key, F.array(*[F.col(c + "_z").cast("double") for c in cols]).alias("x")), "kmeans-input")
+
+
+def _starts(vec: DataFrame, ks, n_init: int, seed: int, key: str) -> dict[tuple[int, int], np.ndarray]:
+    points = np.array([r.x for r in vec.orderBy(F.xxhash64(key), key).limit(START_ROWS).select("x").collect()])
+    return {(k, r): start_centres(points, k, seed + r) for k in ks for r in range(n_init)} if len(points) else {}
+
+
+def _best(vec: DataFrame, ks, n_init: int, seed: int, key: str, jobs: list | None = None) -> dict[int, tuple[np.ndarray, float]]:
+    """Per k the run of least cost among ``n_init`` starts."""
+    starts = _starts(vec, ks, n_init, seed, key)
+    number = {i: k for i, (k, _) in enumerate(starts)}
+    done = lloyd(vec, dict(enumerate(starts.values())), jobs=jobs)
+    return {k: min((done[i] for i, kk in number.items() if kk == k), key=lambda cc: cc[1]) for k in ks if starts}
+
+
+def assigned(vec: DataFrame, centres: np.ndarray, key: str) -> DataFrame:
+    """Cluster id per key, in the row."""
+    far = [sum(((F.get("x", F.lit(j)) - F.lit(float(v))) ** 2 for j, v in enumerate(c)), F.lit(0.0)) for c in centres]
+    return vec.select(key, (F.array_position(F.array(*far), F.array_min(F.array(*far))) - 1).cast("int").alias("cluster"))
 
 
 def kmeans_fit_scan(df: DataFrame, cols, kmax: int = 8, n_init: int = 10, seed: int = 42, key: str = "ip_source",
-                    workers: int = 8):
-    """Scan k = 2..kmax (best of ``n_init`` seeded fits each, run concurrently) and keep the models.
+                    jobs: list | None = None):
+    """Scan k = 2..kmax, ``n_init`` starts each, all iterated together.
 
-    Returns ``(scan, k_best, models, vectors)``: inertia / silhouette per k, the k with the best
-    silhouette, the best model per k and the (materialised) feature vectors.
+    Returns ``(scan, k_best, models, vectors)``: inertia / silhouette per k, the k with the best silhouette, the best centres per k
+    and the written feature vectors. The scans of the vectors are as many as the longest run has iterations, and three more.
     """
-    from concurrent.futures import ThreadPoolExecutor
-    # Iterative fits re-plan their input on every pass: cut the lineage once (a written table in
-    # the shared folder named by spark.checkpoint.dir).
-    vec = materialize(assemble(df, cols).select(key, "features"), "kmeans-input")
-    ev = ClusteringEvaluator(featuresCol="features", predictionCol="cluster", distanceMeasure="squaredEuclidean")
-    tasks = [(k, r) for k in range(2, kmax + 1) for r in range(n_init)]
-    with ThreadPoolExecutor(max_workers=workers) as ex:
-        fits = list(ex.map(lambda t: (t[0],) + _fit(vec, t[0], seed + t[1]), tasks))
-    rows, models = [], {}
-    for k in range(2, kmax + 1):
-        m, cost = min(((m, c) for kk, m, c in fits if kk == k), key=lambda mc: mc[1])
-        models[k] = m
-        rows.append((k, float(cost), float(ev.evaluate(m.transform(vec)))))
+    vec = kmeans_input(df, cols, key)
+    best = _best(vec, range(2, kmax + 1), n_init, seed, key, jobs)
+    sil = silhouettes(vec, {k: c for k, (c, _) in best.items()}) if best else {}
+    rows = [(k, cost, sil[k]) for k, (_, cost) in best.items()]
     scan = df.sparkSession.createDataFrame(rows, "k int, inertia double, silhouette double")
-    k_best = max(rows, key=lambda r: (r[2], -r[0]))[0]
-    return scan, k_best, models, vec
+    k_best = max(rows, key=lambda r: (r[2], -r[0]))[0] if rows else 2
+    return scan, k_best, {k: c for k, (c, _) in best.items()}, vec
 
 
-def kmeans_scan(df: DataFrame, cols, kmax: int = 8, n_init: int = 10, seed: int = 42, key: str = "ip_source",
-                workers: int = 8):
+def kmeans_scan(df: DataFrame, cols, kmax: int = 8, n_init: int = 10, seed: int = 42, key: str = "ip_source"):
     """Inertia and silhouette (squared Euclidean) for k = 2..kmax; ``(scan, k_best)``."""
-    scan, k_best, _, _ = kmeans_fit_scan(df, cols, kmax, n_init, seed, key, workers)
+    scan, k_best, _, _ = kmeans_fit_scan(df, cols, kmax, n_init, seed, key)
     return scan, k_best
 
 
 def kmeans_assign(df: DataFrame, cols, k: int, n_init: int = 10, seed: int = 42, key: str = "ip_source") -> DataFrame:
-    """Cluster id per key from the best of ``n_init`` fits."""
-    vec = materialize(assemble(df, cols).select(key, "features"), "kmeans-input")
-    m, _ = _best_kmeans(vec, k, n_init, seed)
-    return m.transform(vec).select(key, "cluster")
+    """Cluster id per key from the best of ``n_init`` starts."""
+    vec = kmeans_input(df, cols, key)
+    return assigned(vec, _best(vec, [k], n_init, seed, key)[k][0], key)
 
 
 def cluster_profiles(df: DataFrame, assign: DataFrame, cols, key: str = "ip_source") -> DataFrame:

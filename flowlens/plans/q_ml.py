@@ -103,12 +103,11 @@ def q_kmeans_scan(spark, sf):
 
 
 def _kmeans(spark, sf):
-    # The scan already holds the best of the 10 seeded fits for every k, so the chosen k's model is
-    # reused instead of refitted (same seeds, same model).
-    from flowlens.operators.clusters import kmeans_fit_scan
+    # The scan already holds the best of the 10 starts for every k, so the chosen k's centres are reused.
+    from flowlens.operators.clusters import assigned, kmeans_fit_scan
     prof = ip_profiles(flows(spark, sf))
     _, k, models, vec = kmeans_fit_scan(prof, _KM_FEATURES, 8, 10)
-    return prof, models[k].transform(vec).select("ip_source", "cluster")
+    return prof, assigned(vec, models[k], "ip_source")
 
 
 @query("kmeans_assign")

@@ -130,3 +130,34 @@ def test_decoy_sequences_need_the_same_order(spark):
     df = spark.createDataFrame([(i, *r) for i, r in enumerate(rows)], "flow_id long, date timestamp_ntz, ip_source string, dest_port int")
     got = {(r.window_start, r.ports): (r.n_sources, r.n_ports) for r in D.decoy_sequences(df, "1 minute", 2, 2).collect()}
     assert got == {(at(0, 0), "22>80>443"): (2, 3), (at(2, 0), "1>2"): (2, 2)}
+
+
+def test_kmeans_starts_together_equal_single_fits(spark):
+    from flowlens.operators import clusters as K
+    from pyspark.ml.evaluation import ClusteringEvaluator
+    from pyspark.ml.functions import array_to_vector
+    rng = np.random.default_rng(1)
+    x = np.concatenate([rng.normal(c, 0.4, (120, 3)) for c in ((0, 0, 0), (4, 0, 1), (0, 5, 2))] + [np.zeros((100, 3))])
+    df = spark.createDataFrame([(f"ip{i}", *map(float, r)) for i, r in enumerate(x)], "ip_source string, a double, b double, c double")
+    jobs: list = []
+    scan, k_best, models, vec = K.kmeans_fit_scan(df, ["a", "b", "c"], 4, 3, 42, jobs=jobs)
+    points = np.array([r.x for r in vec.collect()])
+    starts = K._starts(vec, range(2, 5), 3, 42, "ip_source")
+    assert jobs[0] == jobs[-1] == len(starts) == 9 and len(jobs) <= K.MAX_ITER  # one scan moves all of them
+    cost = {}
+    for (k, r), c in starts.items():  # each start by itself, in numpy
+        for it in range(300):
+            own = ((points[:, None] - c) ** 2).sum(2).argmin(1)
+            new = np.array([points[own == j].mean(0) if (own == j).any() else c[j] for j in range(k)])
+            done = (((new - c) ** 2).sum(1) <= 1e-8).all()
+            c = new
+            if done:
+                break
+        assert it + 2 <= len(jobs)
+        cost[k] = min(cost.get(k, np.inf), ((points[:, None] - c) ** 2).sum(2).min(1).sum())
+    for r in scan.collect():
+        assert abs(r.inertia - cost[r.k]) < 1e-8 * cost[r.k]
+        ml = K.assigned(vec, models[r.k], "ip_source").join(vec, "ip_source").select(array_to_vector("x").alias("features"), "cluster")
+        want = ClusteringEvaluator(featuresCol="features", predictionCol="cluster").evaluate(ml)
+        assert abs(r.silhouette - want) < 1e-9
+    assert k_best == 3
