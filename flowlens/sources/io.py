@@ -88,6 +88,12 @@ def write_flows_json(df: DataFrame, path: str, mode: str = "overwrite") -> None:
      .write.mode(mode).json(path))
 
 
+def read_l1_raw(spark: SparkSession, paths: list[str]) -> DataFrame:
+    """The text columns of L1 files as written, before any cast."""
+    cols = ("date", "ip_source", "ip_destination", "protocol", "dest_port", "rule_id", "action", "interface_in", "interface_out")
+    return spark.read.schema(", ".join(f"{c} string" for c in cols)).option("sep", ";").csv(paths)
+
+
 def write_raw(lines: DataFrame, path: str, mode: str = "overwrite") -> None:
     """Copy of accepted raw lines as a text file."""
     lines.select("value").write.mode(mode).text(path)

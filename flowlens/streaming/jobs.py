@@ -1,18 +1,23 @@
 """Streaming operators.
 
 The same parse / accept / normalise functions as batch run on ``readStream`` input. Aggregations
-carry a watermark so state is dropped once windows close. Sinks are written per micro-batch with
-the batch id in the path, so a replayed batch (after an executor or driver failure) overwrites its
-own output instead of duplicating it: at-least-once input gives exactly-once files.
+carry a watermark so state is dropped once windows close. Aggregate sinks are written per micro-batch
+with the batch id in the path, so a replayed batch overwrites its own output; the fan-out keeps a commit
+record per batch and sink (``Delivery``): at-least-once input gives exactly-once rows.
 """
 
 from __future__ import annotations
 
+import uuid
+from functools import reduce
+
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from flowlens.operators.normalize import accept, parse_raw
 from flowlens.schema import L45_SCHEMA
+from flowlens.sources import io
 
 
 def stream_lines(spark: SparkSession, path: str, max_files: int | None = None) -> DataFrame:
@@ -103,28 +108,126 @@ def latest(spark: SparkSession, out: str, keys) -> DataFrame:
     return best.select(*keys, *[F.col("v." + c).alias(c) for c in vals])
 
 
-def fan_out(stream: DataFrame, out_dir: str, checkpoint: str) -> None:
-    """Same accepted lines to four sinks per micro-batch: raw text, L1 firewall log, table, day index.
+class Delivery:
+    """Where the sinks of a fan-out write, and which of their writes count.
 
-    The batch is persisted once and written n times; every path carries the batch id, so a replay
-    after failure overwrites instead of duplicating.
+    A batch goes to each sink in turn. After a sink's write a commit record ``commits/<sink>/<batch>`` says where the rows lie
+    (first and last batch, place, rows); readers follow the records and nothing else. So a write that failed half-way is never
+    seen, a batch that is replayed skips the sinks that have its record, and ``compact`` swaps many small writes for one by a
+    single new record.
     """
-    from flowlens.sources.io import _l1_frame
 
-    def write(df: DataFrame, batch_id: int) -> None:
-        df.persist()
+    def __init__(self, spark: SparkSession, out: str, table: str):
+        self.spark, self.out, self.table = spark, out.rstrip("/"), table
+
+    def records(self, sink: str) -> DataFrame | None:
+        """(first, last, place, rows) of the sink's records in force; none if there are none."""
         try:
-            b = f"batch={batch_id}"
-            df.select("value").write.mode("overwrite").text(f"{out_dir}/raw/{b}")
-            _l1_frame(df).write.mode("overwrite").option("sep", ";").csv(f"{out_dir}/firewall_log/{b}")
-            df.drop("value").write.mode("overwrite").parquet(f"{out_dir}/fw_table/{b}")
-            (df.drop("value").withColumn("day", F.to_date("date")).write.mode("overwrite")
-             .partitionBy("day").parquet(f"{out_dir}/daily_index/{b}"))
-        finally:
-            df.unpersist()
+            every = self.spark.read.schema("first long, last long, place string, rows long").parquet(f"{self.out}/commits/{sink}/*")
+        except AnalysisException as e:
+            if e.getCondition() != "PATH_NOT_FOUND":
+                raise
+            return None
+        wider = every.select(F.col("first").alias("f"), F.col("last").alias("l"))
+        # a record whose batches a wider one covers has been compacted
+        return every.join(wider, (F.col("f") <= F.col("first")) & (F.col("l") >= F.col("last"))
+                          & (F.col("l") - F.col("f") > F.col("last") - F.col("first")), "left_anti")
+
+    def has(self, sink: str, batch: int) -> bool:
+        got = self.records(sink)
+        return got is not None and not got.where((F.col("first") <= batch) & (F.col("last") >= batch)).isEmpty()
+
+    def commit(self, sink: str, first: int, last: int, place: str, rows: int) -> None:
+        df = self.spark.createDataFrame([(first, last, place, rows)], "first long, last long, place string, rows long")
+        df.coalesce(1).write.mode("overwrite").parquet(f"{self.out}/commits/{sink}/{first}-{last}")
+
+    def _place(self, sink: str, first: int, last: int) -> str:
+        return f"{self.out}/{sink}/{first}-{last}-{uuid.uuid4().hex[:8]}"
+
+    def write(self, sink: str, df: DataFrame, first: int, last: int) -> str:
+        """Write rows of the batches first..last to a place of their own; the table takes them as a partition."""
+        if sink == "fw_table":
+            io.append_fw_table(df, self.table, last)
+            return str(last)
+        place = self._place(sink, first, last)
+        if sink == "raw":
+            io.write_raw(df, place)
+        elif sink == "firewall_log":
+            io.write_firewall_log(df, place)
+        elif sink == "daily_index":
+            io.write_daily_index(df.drop("value"), place)
+        else:
+            raise ValueError(f"unknown sink {sink!r}")
+        return place
+
+    def deliver(self, sink: str, df: DataFrame, batch: int) -> None:
+        if not self.has(sink, batch):
+            rows = df.count()
+            self.commit(sink, batch, batch, self.write(sink, df, batch, batch), rows)
+
+    def read(self, sink: str) -> DataFrame:
+        """The committed rows of a sink."""
+        got = self.records(sink)
+        places = [r.place for r in got.select("place", "first").orderBy("first").collect()] if got is not None else []
+        if not places:
+            raise ValueError(f"nothing committed to {sink!r}")
+        if sink == "fw_table":
+            return self.spark.read.table(self.table).where(F.col("batch_id").isin([int(p) for p in places])).drop("batch_id")
+        if sink == "raw":
+            return self.spark.read.text(places)
+        if sink == "firewall_log":
+            return io.read_l1_raw(self.spark, places)
+        frames = [self.spark.read.parquet(p) for p in places]  # each place has its own day folders
+        return reduce(DataFrame.unionByName, frames)
+
+    def compact(self, sink: str) -> None:
+        """Write all committed batches of a sink as one, with its files as large as Spark's shuffle makes them; the new record
+        takes over from the old ones when it stands. The table is left to its own maintenance."""
+        got = self.records(sink)
+        span = got.agg(F.min("first"), F.max("last"), F.sum("rows"), F.count(F.lit(1))).first() if got is not None else None
+        if span is None or span[3] < 2 or sink == "fw_table":
+            return
+        rows = self.read(sink)
+        place = self._place(sink, span[0], span[1])
+        if sink == "raw":
+            io.write_raw(rows.hint("rebalance"), place)
+        elif sink == "firewall_log":
+            rows.hint("rebalance").write.option("sep", ";").option("header", False).csv(place)
+        else:
+            rows.hint("rebalance", "day").write.partitionBy("day").parquet(place)
+        self.commit(sink, span[0], span[1], place, span[2])
+
+
+SINKS = ("raw", "firewall_log", "fw_table", "daily_index")
+
+
+def fan_out(stream: DataFrame, delivery: Delivery, checkpoint: str, sinks=SINKS, max_batches: int | None = None) -> None:
+    """Same accepted lines to every sink per micro-batch: raw text, L1 firewall log, table, day index.
+
+    The parsed batch is written once and read by each sink, so an arrival time filled in for a missing one is the same everywhere;
+    a replay takes the batch as first written. Delivery to a sink that has the batch's commit record is skipped.
+    ``max_batches`` stops after so many batches (a planned restart).
+    """
+    spark = delivery.spark
+
+    def write(df: DataFrame, batch_id: int) -> None:
+        if not delivery.has("parsed", batch_id):
+            place = f"{delivery.out}/parsed/{batch_id}-{uuid.uuid4().hex[:8]}"
+            df.write.parquet(place)
+            delivery.commit("parsed", batch_id, batch_id, place, 0)
+        place = delivery.records("parsed").where(F.col("first") == batch_id).first().place
+        batch = spark.read.schema(df.schema).parquet(place)
+        for sink in sinks:
+            delivery.deliver(sink, batch, batch_id)
+        if max_batches is not None and batch_id + 1 >= max_batches:
+            raise Stopped(f"after batch {batch_id}")
 
     parsed = parse_raw(accept(stream).withColumn("_ingest", F.current_timestamp()), ingest_col="_ingest",
                        keep=("value",))
     q = (parsed.writeStream.foreachBatch(write).option("checkpointLocation", checkpoint)
          .trigger(availableNow=True).start())
     q.awaitTermination()
+
+
+class Stopped(RuntimeError):
+    """A fan-out was stopped by ``max_batches``; its last batch counts as not finished and is replayed."""
