@@ -2,8 +2,8 @@
 
 Bytes are embedded; learned filters of ``WIDTH`` bytes slide over the text every ``STEP`` bytes; activations are max-pooled
 over overlapping chunks of two blocks, which together cover the whole document; a hidden layer reads each chunk, is max-pooled
-over the chunks and combined into one probability. Fitted on at most ``TRAIN_ROWS`` labelled documents with at most
-``TRAIN_BLOCKS`` consecutive blocks each; scores use every byte of every document.
+over the chunks and combined into one probability. Fitted on at most ``TRAIN_ROWS`` labelled documents: a step
+sees ``TRAIN_BLOCKS`` consecutive blocks, drawn from the whole text anew for each epoch; scores use every byte of every document.
 
 Defined cases: a null or empty text is one chunk of padding and gets its score; without labels of both classes the score is
 0.5; repeated rows get equal scores; a null doc_id is not held out and never fitted on; an empty table gives no rows; only
@@ -12,6 +12,7 @@ doc_id and text are read.
 
 from __future__ import annotations
 
+import zlib
 from collections.abc import Iterator
 
 import numpy as np
@@ -99,8 +100,19 @@ def _gradient(codes: np.ndarray, first: np.ndarray, y: np.ndarray, weight: np.nd
     return g
 
 
-def fit(texts: list[bytes], labels: list[int], epochs: int = EPOCHS, seed: int = 1) -> dict[str, np.ndarray] | None:
-    """Adam over small batches; both classes weigh the same."""
+def parts(text: bytes, epochs: int = EPOCHS) -> list[bytes]:
+    """What each epoch sees of a text: the whole of a short one, otherwise a run of blocks. The epochs share the text out evenly,
+    each draws its place in its share."""
+    room = -(-len(text) // BLOCK) - TRAIN_BLOCKS
+    if room <= 0:
+        return [text]
+    draw = np.random.default_rng(zlib.crc32(text)).random(epochs)
+    starts = ((np.arange(epochs) + draw) * (room + 1) / epochs).astype(int) * BLOCK
+    return [text[a:a + TRAIN_BLOCKS * BLOCK] for a in starts.tolist()]
+
+
+def fit(texts: list[list[bytes]], labels: list[int], epochs: int = EPOCHS, seed: int = 1) -> dict[str, np.ndarray] | None:
+    """Adam over small batches; both classes weigh the same. ``texts``: the ``parts`` of each document."""
     y = np.array(labels, np.float32)
     if len(set(labels)) < 2:
         return None
@@ -111,11 +123,7 @@ def fit(texts: list[bytes], labels: list[int], epochs: int = EPOCHS, seed: int =
         order = rng.permutation(len(y))
         for at in range(0, len(y), BATCH):
             pick = order[at:at + BATCH]
-            part = []
-            for i in pick:
-                room = max(0, len(texts[i]) // BLOCK - TRAIN_BLOCKS)
-                a = int(rng.integers(0, room + 1)) * BLOCK if room else 0
-                part.append(texts[i][a:a + TRAIN_BLOCKS * BLOCK])
+            part = [texts[i][epoch % len(texts[i])] for i in pick]
             off = np.concatenate([[0], np.cumsum([len(x) for x in part])])
             codes, start = layout(np.frombuffer(b"".join(part), np.uint8), off)
             g = _gradient(codes, start, y[pick], weight[pick], m)
@@ -160,13 +168,20 @@ def score(docs: DataFrame, model: dict[str, np.ndarray] | None) -> DataFrame:
 
 
 def train(docs: DataFrame, labels: DataFrame, rows: int = TRAIN_ROWS) -> dict[str, np.ndarray] | None:
-    """Fit on the bounded sample (a hundred kB of text a row at most reach the driver, cut by its random position)."""
-    most = TRAIN_BLOCKS * BLOCK * 4
-    at = F.pmod(F.xxhash64("doc_id"), F.greatest(F.length("text") - most, F.lit(0)) + 1).cast("int")
-    got = labelled.sample(docs, labels, "quality", labelled.fold(4) == 2, rows).select(
-        "doc_id", "label", F.coalesce(F.substr("text", at + 1, F.lit(most)), F.lit("")).alias("text")).collect()
-    got.sort(key=lambda r: (r.doc_id, r.label, r.text))
-    return fit([r.text.encode() for r in got], [r.label for r in got])
+    """Fit on the bounded sample. Tasks cut the parts out of the whole texts; at most ``EPOCHS * TRAIN_BLOCKS * BLOCK`` bytes a row
+    reach the driver."""
+    kind = docs.schema["doc_id"].dataType.simpleString()
+
+    def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            whole = [(x or "").encode() for x in b.column(2).to_pylist()]
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array([parts(x) for x in whole], pa.list_(pa.binary()))],
+                                             ["doc_id", "label", "parts"])
+
+    chosen = labelled.sample(docs, labels, "quality", labelled.fold(4) == 2, rows)
+    got = chosen.mapInArrow(cut, f"doc_id {kind}, label int, parts array<binary>").collect()
+    got.sort(key=lambda r: (r.doc_id, r.label))
+    return fit([[bytes(x) for x in r.parts] for r in got], [r.label for r in got])
 
 
 def op1_quality(docs: DataFrame, labels: DataFrame) -> DataFrame:

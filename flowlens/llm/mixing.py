@@ -46,9 +46,9 @@ def _before(df: DataFrame, keys: list[str], bucket: str, order: list[Column], am
 
 
 def sizes(docs: DataFrame) -> DataFrame:
-    """(doc_id, source, size, key) of every row; ``key`` hashes doc_id and text."""
+    """(doc_id, source, size, key) of every row; ``key`` hashes doc_id, text and source."""
     return docs.select("doc_id", "source", F.coalesce(F.regexp_count("text", F.lit(WORD)), F.lit(0)).cast("long").alias("size"),
-                       F.xxhash64("doc_id", "text").alias("key"))
+                       F.xxhash64("doc_id", "text", "source").alias("key"))
 
 
 def targets(sized: DataFrame, weights: tuple[int, ...] = WEIGHTS, cap: int = CAP) -> DataFrame:
@@ -150,7 +150,7 @@ def mix(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, cap: int = CAP) ->
         F.sum("words").alias("__taken"), F.max("size").alias("__size"))
     plain = docs.select(*[F.col(f"`{c}`").alias(f"c{i}") for i, c in enumerate(cols)], F.col("text").alias("__text"),
                         F.coalesce(F.col("doc_id").cast("string"), F.lit("")).alias("__id"),
-                        F.xxhash64("doc_id", "text").alias("__key"))
+                        F.xxhash64("doc_id", "text", "source").alias("__key"))
     x = plain.join(took, ["__id", "__key"]).dropDuplicates(["__id", "__key"])
     x = x.withColumn("__left", F.explode(F.expr("transform(sequence(0L, (__taken - 1) div __size), i -> __taken - i * __size)")))
     text = F.when(F.col("__left") >= F.col("__size"), F.col("__text")).otherwise(_first_words(F.col("__text"), F.col("__left")))

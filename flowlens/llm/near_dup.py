@@ -31,6 +31,7 @@ from pyspark.sql import functions as F
 from flowlens.llm import repeats
 from flowlens.llm import textcore as tc
 from flowlens.llm.graph import components
+from flowlens.llm.joins import salted
 from flowlens.llm.stages import materialize
 
 SHINGLE = 5
@@ -245,9 +246,12 @@ def near_duplicates(docs: DataFrame, percent: int = PERCENT) -> DataFrame:
     """(id, key, n_shingles, component_id, first: whether the row's (id, key) is its component's smallest) of every row."""
     found = materialize(features(docs), "near-features")
     classes, comps = links(docs, found, percent)
-    named = classes.join(comps, "node", "left").withColumn("comp", F.coalesce("comp", "node"))
-    least = named.groupBy("comp").agg(F.min(F.struct("rep", "rep_key")).alias("least"))
-    by_node = named.select("node", "comp").join(least, "comp").select("node", "least")
+    named = materialize(classes.join(comps, "node", "left").select("node", "rep", "rep_key", "comp"), "near-named")
+    linked = named.where("comp is not null")
+    least = linked.groupBy("comp").agg(F.min(F.struct("rep", "rep_key")).alias("least"))
+    # a component that holds much of the corpus is many tasks; an unlinked class is its own component
+    by_node = salted(linked.select("node", "comp"), least, "comp", "node").select("node", "least").unionByName(
+        named.where("comp is null").select("node", F.struct("rep", "rep_key").alias("least")))
     rows = found.select("id", "key", "node", "n_shingles").join(by_node, "node", "left")
     return rows.select("id", "key", "n_shingles", F.coalesce(F.col("least.rep"), F.col("id")).alias("component_id"),
                        (F.col("least").isNull() | ((F.col("least.rep") == F.col("id")) & (F.col("least.rep_key") == F.col("key")))

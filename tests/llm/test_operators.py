@@ -199,6 +199,17 @@ def test_mix_repeats_and_cuts_texts(messy):
     assert got == +want
 
 
+def test_mix_of_one_text_in_two_sources(spark):
+    text = " ".join(f"w{i}" for i in range(13))
+    rows = [(1, text, "a"), (1, text, "b"), (2, "x y z " * 4, "a"), (3, "p q", "b")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, source string")
+    want = {r.source: r.target for r in mixing.mixture(docs)[1].select("source", "target").collect()}
+    got = collections.Counter()
+    for r in mixing.mix(docs).collect():
+        got[r.source] += len(words(r.text))
+    assert {s: round(t) for s, t in want.items()} == got
+
+
 def test_mixing_twice_agrees(messy):
     cols = ["doc_id", "size", "taken"]
     assert values(mixing.op4_mixing(messy.repartition(7)), *cols) == values(mixing.op4_mixing(messy.repartition(3)), *cols)
@@ -293,8 +304,56 @@ def test_hot_url_over_many_buckets(spark, monkeypatch):
     assert {r.record_id: r.target_id for r in warc_revisit.resolve(df).collect()} == want
 
 
+def test_urls_without_scheme_stand_for_themselves(spark):
+    rows = [(1, "www.a.org/x", 1, "response", {"ETag": "t"}, "a"), (2, "dns:b.org", 2, "response", {"ETag": "t"}, "b"),
+            (3, "dns:b.org#q", 5, "revisit", {"ETag": "t"}, None), (4, "www.a.org/x", 5, "revisit", {"ETag": "t"}, None),
+            (5, "dns:c.org", 5, "revisit", {"ETag": "t"}, None), (6, "", 1, "response", {"ETag": "t"}, "c"),
+            (7, "", 5, "revisit", {"ETag": "t"}, None), (8, "#f", 5, "revisit", {"ETag": "t"}, None),
+            (9, "http://", 5, "revisit", {"ETag": "t"}, None), (10, "http://www.a.org/x", 5, "revisit", {"ETag": "t"}, None)]
+    df = spark.createDataFrame(rows, "record_id long, url string, time long, kind string, headers map<string,string>, payload string")
+    got = {r.record_id: (r.resolution, r.payload, r.canonical_url) for r in warc_revisit.resolve(df).collect()}
+    none = ("missing", None, None)
+    assert got == {3: ("resolved", "b", "opaque:dns:b.org"), 4: ("resolved", "a", "opaque:www.a.org/x"), 7: none, 8: none, 9: none,
+                   5: ("missing", None, "opaque:dns:c.org"), 10: ("missing", None, "a.org/x")}
+
+
+def test_revisits_of_odd_pages_against_sql(spark):
+    urls = ["http://a.org/1", "dns:b.org", "", None, "https://www.a.org/1/?utm_x=1", "http://c.org/?b=1&a=2", "http://", "a.org/1"]
+    rows = [(i, urls[i * 5 % 8], [None, "", "<p>x</p>"][i % 3]) for i in range(240)] + [(300, urls[0], "<p>x</p>")]
+    pages = spark.createDataFrame(rows, "page_id long, url string, html string")
+    got = warc_revisit.op5_warc_revisit(pages.selectExpr("*", "1 AS time", "'c' AS c", "2 AS bucket", "3 AS record_id"))
+    con = duckdb.connect()
+    con.register("pages", pages.toArrow())
+    want = con.sql(warc_revisit.oracle())
+    assert values(got, *want.columns) == sorted(want.fetchall(), key=repr)
+    seen = {r.resolution for r in got.collect()}
+    assert seen == {"resolved", "mismatch", "unverified", "missing"}
+    assert warc_revisit.op5_warc_revisit(pages.limit(0)).collect() == []
+
+
 # ---- 1 and 9 classifiers
 
+def test_sample_bounds_the_joined_rows(spark):
+    from flowlens.llm import labelled
+    from pyspark.sql import functions as F
+    docs = spark.range(5000).selectExpr("id % 8 AS doc_id", "concat('t', id) AS text")
+    labels = spark.createDataFrame([(i, i % 2) for i in range(8)] + [(0, 0)], "doc_id long, quality int")
+    got = labelled.sample(docs, labels, "quality", F.lit(False), 2)
+    assert got.count() == 2 and got.exceptAll(labelled.sample(docs.repartition(5), labels, "quality", F.lit(False), 2)).isEmpty()
+
+
+def test_training_parts_share_out_the_whole_text():
+    text = bytes(range(256)) * 2000
+    cut = byte_cnn.parts(text)
+    assert len(cut) == byte_cnn.EPOCHS and all(len(c) == byte_cnn.TRAIN_BLOCKS * byte_cnn.BLOCK for c in cut)
+    rng = np.random.default_rng(0)
+    odd = rng.integers(0, 256, 500_000).astype(np.uint8).tobytes()
+    at = [odd.index(c[:64]) for c in byte_cnn.parts(odd)]
+    share = (len(odd) - byte_cnn.TRAIN_BLOCKS * byte_cnn.BLOCK) / byte_cnn.EPOCHS
+    assert all(e * share - byte_cnn.BLOCK <= a <= (e + 1) * share + byte_cnn.BLOCK for e, a in enumerate(at))
+    assert byte_cnn.parts(b"") == [b""] and byte_cnn.parts(b"x" * 6144) == [b"x" * 6144]
+
+
 @pytest.mark.parametrize("op,target,fold", [(byte_cnn.op1_quality, "quality", (4, 2)), (toxicity.op9_toxicity, "toxic", (3, 1))])
 def test_held_out_labels(spark, op, target, fold):
     docs, labels = (spark.read.parquet(f"/root/testdata/sf0.1/{t}.parquet") for t in ("documents", "labels"))
