@@ -5,9 +5,10 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from flowlens.operators import normalize as N
+from flowlens.operators.filters import FilterSpec, apply_filter
 from flowlens.plans.registry import query
 from flowlens.plans.sqlbase import ACCEPT_SQL, RAW_MIXED_SQL, parsed_sql, with_flows
-from flowlens.session import scratch_path
+from flowlens.session import materialize, scratch_path
 from flowlens.sources import io
 from flowlens.sources.tables import flows, raw_lines
 
@@ -54,3 +55,47 @@ def q_export_summary(spark, sf):
     path = scratch_path(spark, "export")
     io.write_export(flows(spark, sf), path)
     return io.export_stats(io.read_flows_export(spark, path, "2024-01-05", "2024-01-20"))
+
+
+@query("fw_table_rows", with_flows("""SELECT date_trunc('second', date) AS date, ip_source, ip_destination, protocol, dest_port, rule_id, action
+FROM flows"""))
+def q_fw_table_rows(spark, sf):
+    # Two batches into the table, the second one replayed, read back in the canonical columns.
+    table = "fw_" + scratch_path(spark, "t").rsplit("-", 1)[1]
+    fl = flows(spark, sf).withColumn("date", F.date_trunc("second", "date").cast("timestamp_ntz"))
+    first = F.col("flow_id") % 2 == 0
+    try:
+        io.append_fw_table(fl.where(first), table, 0)
+        for _ in range(2):
+            io.append_fw_table(fl.where(~first), table, 1)
+        got = io.read_fw_table(spark, table)
+        return materialize(got.select("date", "ip_source", "ip_destination", "protocol", "dest_port", "rule_id", "action"), "fw-rows")
+    finally:
+        spark.sql(f"DROP TABLE IF EXISTS {table}")
+
+
+@query("daily_index_days", with_flows("SELECT CAST(date AS DATE) AS day, count(*) AS n, CAST(sum(flow_id) AS BIGINT) AS id_sum FROM flows GROUP BY 1"))
+def q_daily_index_days(spark, sf):
+    path = scratch_path(spark, "index")
+    io.write_daily_index(flows(spark, sf), path)
+    return io.read_flow_table(spark, path).groupBy("day").agg(F.count(F.lit(1)).alias("n"), F.sum("flow_id").alias("id_sum"))
+
+
+@query("export_csv_rows", with_flows("""SELECT flow_id, date_trunc('second', date) AS date, ip_source, dest_port, action FROM flows
+ WHERE protocol = 'TCP' ORDER BY flows.date, flow_id LIMIT 1000"""))
+def q_export_csv_rows(spark, sf):
+    # The filtered first rows as one CSV file with a header, read back.
+    path = scratch_path(spark, "export-csv")
+    tcp = apply_filter(flows(spark, sf), FilterSpec(protocols=("TCP",)))
+    io.export_csv(tcp, path, 1000)
+    got = spark.read.option("header", True).csv(path)
+    return got.select(F.col("flow_id").cast("long").alias("flow_id"),
+                      F.date_trunc("second", F.to_timestamp_ntz("date")).cast("timestamp_ntz").alias("date"), "ip_source",
+                      F.col("dest_port").cast("int").alias("dest_port"), "action")
+
+
+@query("raw_copy", with_flows(f"SELECT value FROM raw WHERE {ACCEPT_SQL}", extra=_MIXED))
+def q_raw_copy(spark, sf):
+    path = scratch_path(spark, "raw-copy")
+    io.write_raw(N.accept(raw_lines(spark, sf, mixed=True)), path)
+    return spark.read.text(path)

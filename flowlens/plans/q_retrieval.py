@@ -9,6 +9,7 @@ from flowlens.operators.chunks import build_chunks
 from flowlens.plans.registry import query
 from flowlens.plans.sql_text import daily_kb_sql, embed_cte, kb_cte, topn_cte
 from flowlens.plans.sqlbase import with_flows
+from flowlens.session import scratch_path
 from flowlens.sources.tables import flows, load
 
 REPORT_QUERIES = RT.REPORT_QUERIES
@@ -32,6 +33,21 @@ def q_chunk_embedding(spark, sf):
     return e.withColumn("weight", F.round("weight", 9))
 
 
+@query("index_reuse", "WITH " + embed_cte("e", "benchmark", "item_id") + """
+SELECT step, n, dims, weights FROM (SELECT count(*) AS n, count(DISTINCT dim) AS dims, round(sum(weight), 6) AS weights FROM e),
+ (VALUES ('built'), ('reused')) AS t(step)""")
+def q_index_reuse(spark, sf):
+    # The stored index built, then found again by its fingerprint; both reads give the same entries.
+    path = scratch_path(spark, "index")
+    items = load(spark, sf, "benchmark")
+
+    def read(step):
+        return RT.build_index(items, "item_id", "text", path).agg(
+            F.lit(step).alias("step"), F.count(F.lit(1)).alias("n"), F.count_distinct("dim").alias("dims"),
+            F.round(F.sum("weight"), 6).alias("weights"))
+    return read("built").unionByName(read("reused"))
+
+
 def _doc_hits(spark, sf, n=4):
     docs = load(spark, sf, "documents")
     index = RT.embed_rows(docs, "doc_id", "text")
