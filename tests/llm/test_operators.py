@@ -494,6 +494,41 @@ def test_near_stage_takes_pairs_from_80_percent(spark):
     assert {r.doc_id for r in near_dup.op6_near_dup(docs).where("not kept").collect()} == gone(85)
 
 
+def test_pipeline_stages_on_odd_tables(spark, messy, no_docs):
+    import corpus_pipeline as cp
+    for docs in (messy, no_docs, messy.where("text is null or trim(text) = ''")):
+        alone = docs.count()
+        for name, stage in cp.STAGES:  # each by itself on odd input
+            out = stage(spark, docs, SF)
+            n = out.count()
+            if name != "packing":
+                assert out.columns == list(cp.COLUMNS)
+                assert out.where("text is null or not text rlike '[^\\\\x20\\\\x09-\\\\x0D]'").count() == 0 or name in ("near_duplicates", "substring_dedup")
+            assert (n == 0) == (alone == 0) or docs is not messy
+        kept = docs
+        for name, stage in cp.STAGES:  # and one after another
+            kept = stage(spark, kept, SF)
+        assert (kept.count() == 0) == (docs is not messy)
+
+
+def test_long_text_of_megabytes(spark):
+    """One text of 3 MB through the scans: the same results as by brute force."""
+    rnd = random.Random(11)
+    long = " ".join("w%d" % rnd.randrange(50000) for _ in range(450_000))
+    docs = spark.createDataFrame([(1, long, "en", "a", len(long)), (2, long[:1000], "en", "a", 1000), (3, "x", "en", "b", 1)],
+                                 "doc_id long, text string, lang string, source string, n_chars long")
+    got = {r.doc_id: r for r in quality_rules.op8_quality_rules(docs).collect()}
+    assert (got[1].n_words, got[1].word_chars) == (450_000, len(long) - 449_999)
+    near = {r.doc_id: r for r in near_dup.op6_near_dup(docs).collect()}
+    assert near[1].n_shingles == len({tuple(w) for w in zip(*(long.split(" ")[i:] for i in range(5)))})
+    from flowlens.llm import simhash, substring_dedup
+    assert {r.doc_id for r in simhash.op12_simhash(docs).collect()} == {1, 2, 3}
+    sub = {r.doc_id: (r.n_words, r.n_removed) for r in substring_dedup.op7_substring_dedup(docs).collect()}
+    last = long[:1000].count(" ") + 1
+    whole = last if long[1000] == " " else last - 1
+    assert sub[1] == (450_000, 0) and sub[2] == (last, whole)
+
+
 def test_every_query_is_registered():
     entry = importlib.import_module("__spark_entry__")
     names = set(entry.queries())
