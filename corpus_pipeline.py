@@ -2,6 +2,13 @@
 
 Quality rules, MinHash near-duplicates, substring dedup, mixing to target weights, packing. Every stage but the last returns
 the columns of ``documents``; the last returns the packed pieces.
+
+Defined cases, by stage. Input columns beyond those of ``documents`` are not carried, so their names can't clash. Null and empty
+texts and texts without words fail the base rule of the quality stage and go there; given to a later stage, they stay through near
+duplicates (they are like nothing) and substring dedup (nothing of them is removed), go in mixing (nothing to take), and are one
+end id in packing. A null doc_id counts as the largest one. Rows that are equal in doc_id and text leave one copy in near duplicates; of other
+ties the smallest doc_id stays. A long text is read whole by every stage. An empty table gives an empty table of the same columns at
+every stage.
 """
 
 from __future__ import annotations
@@ -29,7 +36,7 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 
 
 def substrings(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Substring dedup: words covered by a window of a smaller document go; documents left without words go."""
+    """Substring dedup: words covered by a window of a smaller document go; documents that this leaves without words go."""
     out = substring_dedup.strip(docs.select(*COLUMNS))
     return out.withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType))
 
