@@ -27,6 +27,10 @@ T_OUT_OF_PLAN = "IP HORS PLAN"
 T_SENSITIVE = "CONNEXIONS SUSPECTES PORTS SENSIBLES"
 T_SAMPLE = "ECHANTILLON LOGS"
 T_BLOCKED = " blocages"
+T_PROTOCOLS = "Protocoles: "
+T_PERIOD = "Periode: "
+T_PEAK = "Pic total: "
+T_DENY_PEAK = "Pic deny: "
 SENSITIVE_PORTS = (21, 22, 23, 3306, 3389, 445, 137)
 UNKNOWN_SERVICE = "?"
 # ---------------------------------------------------------------------------------------------
@@ -59,7 +63,9 @@ def _top(counts: DataFrame, key: str, k: int | None, where: Column | None = None
 
 
 def dict_text(df: DataFrame, key: str, k: int | None, where: Column | None = None, quote: bool = True) -> Column:
-    """``{key: n, ...}`` of the top-k (or all) keys, most frequent first (a Python dict's text form)."""
+    """``{key: n, ...}`` of the top-k (or all) keys, most frequent first (a Python dict's text form).
+
+    With no ``k`` the keys must be few by nature: the protocols, of which IP has 256 numbers."""
     top = _top(df, key, k, where)
     kt = F.concat(F.lit("'"), F.col(key), F.lit("'")) if quote else F.col(key).cast("string")
     item = F.concat(kt, F.lit(": "), F.col("n").cast("string"))
@@ -101,7 +107,7 @@ def build_chunks(df: DataFrame, sample_n: int = 300, seed: int = 42,
     c0 = _chunk(0, "summary", F.concat(
         F.lit(T_SUMMARY + "\nTotal: "), F.format_number("total", 0), F.lit(" | Permit: "), F.format_number("p", 0),
         F.lit(" ("), _pct1("p", "total"), F.lit("%) | Deny: "), F.format_number("d", 0), F.lit(" ("),
-        _pct1("d", "total"), F.lit("%)\nProtocoles: "), dict_text(service, "protocol", None)), head)
+        _pct1("d", "total"), F.lit("%)\n" + T_PROTOCOLS), dict_text(service, "protocol", None)), head)
 
     c1 = _chunk(1, "ips", F.concat(
         F.lit(T_TOP_IPS + "\n"), dict_text(source, "ip_source", 20), F.lit("\n\n" + T_TOP_DENIED_IPS + "\n"),
@@ -126,8 +132,8 @@ def build_chunks(df: DataFrame, sample_n: int = 300, seed: int = 42,
                          [F.col("h")], "\n")
     ts = lambda c: F.date_format(c, "yyyy-MM-dd HH:mm:ss")
     c4 = _chunk(4, "time", F.concat(
-        F.lit(T_TIME + "\nPeriode: "), ts(F.col("dmin")), F.lit(" -> "), ts(F.col("dmax")),
-        F.lit("\nPic total: "), peak.cast("string"), F.lit("h | Pic deny: "),
+        F.lit(T_TIME + "\n" + T_PERIOD), ts(F.col("dmin")), F.lit(" -> "), ts(F.col("dmax")),
+        F.lit("\n" + T_PEAK), peak.cast("string"), F.lit("h | " + T_DENY_PEAK),
         F.coalesce(peak_d.cast("string"), F.lit("N/A")), F.lit("h\n"), hour_lines), head)
 
     dcounts = source.filter(deny).groupBy("ip_source").agg(F.sum(n).alias("n"))
@@ -245,16 +251,16 @@ def build_daily_chunks(df: DataFrame) -> DataFrame:
         (0, "summary", F.concat(F.lit(T_SUMMARY + " "), day, F.lit("\nTotal: "), F.format_number("total", 0),
                                 F.lit(" | Permit: "), F.format_number("p", 0), F.lit(" ("), _pct1("p", "total"),
                                 F.lit("%) | Deny: "), F.format_number("d", 0), F.lit(" ("), _pct1("d", "total"),
-                                F.lit("%)\nProtocoles: {"), g("proto"), F.lit("}"))),
+                                F.lit("%)\n" + T_PROTOCOLS + "{"), g("proto"), F.lit("}"))),
         (1, "ips", F.concat(F.lit(T_TOP_IPS + " "), day, F.lit("\n{"), g("ips"),
                             F.lit("}\n\n" + T_TOP_DENIED_IPS + "\n{"), g("ips_d"), F.lit("}"))),
         (2, "ports", F.concat(F.lit(T_PORTS + " "), day, F.lit("\n"), g("ports"), F.lit("\n" + T_DENIED_PORTS + "\n"),
                               g("ports_d"))),
         (3, "rules", F.concat(F.lit(T_RULES + " "), day, F.lit("\n{"), g("rules"), F.lit("}\n\n" + T_DENY_RULES + "\n{"),
                               g("rules_d"), F.lit("}"))),
-        (4, "time", F.concat(F.lit(T_TIME + " "), day, F.lit("\nPeriode: "), ts(F.col("dmin")), F.lit(" -> "),
-                             ts(F.col("dmax")), F.lit("\nPic total: "), F.col("peak").cast("string"),
-                             F.lit("h | Pic deny: "), F.coalesce(F.col("peak_d").cast("string"), F.lit("N/A")),
+        (4, "time", F.concat(F.lit(T_TIME + " "), day, F.lit("\n" + T_PERIOD), ts(F.col("dmin")), F.lit(" -> "),
+                             ts(F.col("dmax")), F.lit("\n" + T_PEAK), F.col("peak").cast("string"),
+                             F.lit("h | " + T_DENY_PEAK), F.coalesce(F.col("peak_d").cast("string"), F.lit("N/A")),
                              F.lit("h\n"), g("hour_lines"))),
         (5, "suspects", F.concat(F.lit(T_SUSPECTS + " "), day, F.lit("\n"), g("suspects"), F.lit("\n" + T_OUT_OF_PLAN + "\n"),
                                  g("outside"))),

@@ -102,14 +102,16 @@ def peak_hours(df: DataFrame) -> DataFrame:
     )
 
 
+# Days and labels of the timeline's look-back presets.
+PRESETS = ((7, "1 semaine"), (14, "2 semaines"), (30, "1 mois"), (60, "2 mois"))
+
+
 def range_presets(df: DataFrame) -> DataFrame:
     """Whole-day span of the data and which look-back presets (7/14/30/60 days) apply."""
-    # Fixed preset labels of the timeline control.
-    presets = [(7, "1 semaine"), (14, "2 semaines"), (30, "1 mois"), (60, "2 mois")]
     # zone-free: the difference of two timestamp_ntz values in microseconds
     span = df.agg(F.floor(F.timestamp_diff("MICROSECOND", F.min("date"), F.max("date")) / F.lit(86_400_000_000))
                   .alias("span_days"))
-    rows = F.array(*[F.struct(F.lit(d).alias("preset_days"), F.lit(lbl).alias("label")) for d, lbl in presets])
+    rows = F.array(*[F.struct(F.lit(d).alias("preset_days"), F.lit(lbl).alias("label")) for d, lbl in PRESETS])
     return (span.select("span_days", F.explode(rows).alias("p"))
             .select("p.preset_days", "p.label", "span_days",
                     F.coalesce(F.col("span_days") >= F.col("p.preset_days"), F.lit(False)).alias("enabled")))
