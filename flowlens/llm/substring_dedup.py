@@ -1,9 +1,7 @@
 """Operator 7: substring dedup of words by level-wise doubling.
 
-Level 1 looks at half-length windows (25 words) at sync points (see ``repeats``); those found in one document alone end
-there. Only the others are extended to twice that length, 50 words: runs with equal content are settled together, the rest
-window by window, where the hash of 50 words is made of the two hashes of 25. Nothing repeated is left beyond the threshold
-that could remove another word, so no candidate survives.
+The levels are windows of 13, 25 and 50 words (see ``doubling``): those found in one document alone end at their level, only
+the others are extended, and with no candidate left the levels stop. The last length is the threshold.
 
 Defined cases: a null or empty text has no words and the hash of nothing; texts with fewer words than a window are kept
 whole; rows sharing a doc_id don't remove each other's words; a null doc_id counts as the largest; an empty table gives no
@@ -20,37 +18,15 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from flowlens.llm import repeats
+from flowlens.llm import doubling, repeats
 from flowlens.llm import textcore as tc
 
 LENGTH = 50
 
 
-class Words:
-    """Units are words, unchanged, as 64-bit hashes."""
-
-    range_bytes = 128 << 20
-
-    @staticmethod
-    def codes(data: np.ndarray, off: np.ndarray):
-        starts, ends, wo = tc.words(data, off)
-        return tc.span_hash(data, starts, ends), wo, None
-
-    n_digits = 2
-
-    @staticmethod
-    def digits(codes: np.ndarray, table, at: np.ndarray, length: int) -> list[np.ndarray]:
-        """Two hashes of the doubled window, each from its halves' hashes."""
-        half = length // 2
-        a = tc.window_hash(codes, half)
-        b = tc.window_hash(codes, length - half)
-        left, right = a[at], b[at + half]
-        return [tc.mix(tc.mix(left, 7) + right, 8), tc.mix(tc.mix(right, 9) ^ left, 10)]
-
-
 def find(docs: DataFrame, length: int = LENGTH) -> DataFrame:
     """(id, key, removed): word intervals to remove as int32 pairs."""
-    return repeats.find(docs, Words, length, max(1, length // 2))
+    return doubling.find(docs, length)
 
 
 def _intervals(x: pa.Scalar) -> np.ndarray:

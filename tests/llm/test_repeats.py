@@ -6,7 +6,7 @@ from collections import defaultdict
 
 import numpy as np
 import pytest
-from flowlens.llm import repeats, substring_dedup, suffix_dedup
+from flowlens.llm import doubling, repeats, substring_dedup, suffix_dedup
 from flowlens.llm import textcore as tc
 
 BIG = 1 << 62
@@ -137,3 +137,69 @@ def test_all_grams_hot(messy, monkeypatch):
     monkeypatch.setattr(repeats, "LEAST", 1)
     test_bytes_against_brute_force(messy)
     test_words_against_brute_force(messy)
+
+
+def intervals(docs, target, first):
+    got = doubling.find(docs, target, first).collect()
+    assert len({(r.id, r.key) for r in got}) == len(got)
+    return {r.id: sum(b - a for a, b in np.frombuffer(r.removed, np.int32).reshape(-1, 2).tolist()) for r in got}
+
+
+def test_lengths_of_the_levels():
+    assert doubling.lengths(50) == [13, 25, 50]
+    assert doubling.lengths(50, 3) == [2, 4, 7, 13, 25, 50]
+    assert doubling.lengths(50, 50) == [25, 50]
+    assert doubling.lengths(2) == [1, 2] and doubling.lengths(1) == [1]
+    for target in range(1, 70):
+        steps = doubling.lengths(target, 5)
+        assert steps[-1] == target and all(a < b <= 2 * a for a, b in zip(steps, steps[1:]))
+
+
+@pytest.mark.parametrize("target, first, size", [(12, 2, 16 << 20), (12, 2, 60), (9, 3, 200), (2, 1, 60), (1, 1, 60)])
+def test_levels_against_brute_force(spark, monkeypatch, target, first, size):
+    """Few different words, so windows repeat within and across documents; slices of one document and of all."""
+    monkeypatch.setattr(doubling, "SLICE", size)
+    rng = np.random.default_rng(target)
+    raw = [(i, [str(w) for w in rng.integers(0, 3, rng.integers(0, 40))]) for i in range(60)]
+    raw += [(100 + i, raw[i][1] * 2) for i in range(8)]
+    df = spark.createDataFrame([(d, " ".join(x)) for d, x in raw], "doc_id long, text string").repartition(3)
+    want = {d: sum(g) for (d, _), g in zip(raw, covered(raw, target)) if sum(g)}
+    assert intervals(df, target, first) == want
+
+
+def test_no_candidate_survives(spark, monkeypatch):
+    """Documents that share 20 words: the level of 25 has nothing left, the one of 50 is never built."""
+    rng, built, real = np.random.default_rng(2), [], doubling._double
+
+    def double(length, longer, *rest):
+        built.append(longer)
+        return real(length, longer, *rest)
+
+    monkeypatch.setattr(doubling, "_double", double)
+    same = " ".join(map(str, range(20)))
+    df = spark.createDataFrame([(i, " ".join(map(str, rng.integers(100, 1 << 40, 60))) + " " + same) for i in range(30)],
+                               "doc_id long, text string")
+    assert intervals(df, 50, 13) == {} and built == [25]
+
+
+def test_passage_of_every_document_costs_two_rows_a_slice(spark, monkeypatch):
+    rng = np.random.default_rng(3)
+    same = " ".join(map(str, range(60)))
+    raw = [(i, same + " " + " ".join(map(str, rng.integers(100, 1 << 40, 10)))) for i in range(300)]
+    df = spark.createDataFrame(raw, "doc_id long, text string").coalesce(1)
+    scan = repeats.keyed(df).select("id", "key", "__text").mapInArrow(doubling._scan(13, 50, 4, 1 << 30), doubling._PACKED)
+    rows = {}
+    for r in scan.collect():
+        if r.kind != doubling._DOCS:
+            rows[r.kind] = rows.get(r.kind, 0) + int(np.frombuffer(r.blob, np.int64, 2)[1])
+    assert rows[doubling._SHARED] == 2 * 48  # the passage's windows of 13 words
+    assert rows[doubling._KEPT] == 298 * 48
+    assert rows[doubling._OPEN] == 300 * 10
+    assert intervals(df, 50, 13) == {i: 60 for i in range(1, 300)}
+
+
+def test_repeated_rows_and_shared_ids(spark):
+    a, b = " ".join(map(str, range(70))), " ".join(map(str, range(200, 280)))
+    df = spark.createDataFrame([(1, a), (1, a), (1, a + " x"), (2, b + " " + a), (2, b + " " + a), (None, b), (None, b), (3, None)],
+                               "doc_id long, text string")
+    assert intervals(df, 50, 13) == {2: 70, repeats.NULL_ID: 80}
