@@ -2,7 +2,7 @@
 
 The texts are read once, in slices of whole documents; a window is known by its slice and its word position there. A level
 
-1. sends each candidate window's hash to its hash range (12 bytes a window; the first level has a candidate for each word),
+1. sends each candidate window's hash to its hash range (some 9 bytes a window; the first level has a candidate for each word),
 2. keeps the windows whose hash occurs in two or more documents,
 3. joins each kept window with the kept window that starts where it ends, or overlaps it if the last length asks for less than
    twice as much: their two hashes are the longer window's, so no text is read again.
@@ -34,7 +34,7 @@ from flowlens.llm.stages import materialize
 
 U = np.uint64
 #: Text bytes of a slice and of a hash range.
-SLICE, RANGE = 16 << 20, 64 << 20
+SLICE, RANGE = 8 << 20, 64 << 20
 #: Words of the first level's windows at most.
 FIRST = 13
 #: Kinds of packed rows: a slice's documents, windows known to be kept, candidates, candidates that several documents of the
@@ -52,8 +52,16 @@ def lengths(target: int, first: int = FIRST) -> list[int]:
     return out
 
 
+def _planes(x: np.ndarray) -> bytes:
+    """Integers that rise by small steps, as the bytes of the steps, high bytes apart: these are zeros and compress to nothing."""
+    steps = np.diff(x, prepend=x.dtype.type(0))
+    return np.ascontiguousarray(steps.view(np.uint8).reshape(-1, x.itemsize).T).tobytes()
+
+
 def _pack(piece: int, *cols: np.ndarray) -> bytes:
-    return b"".join([np.array([piece, len(cols[0])], np.int64).tobytes(), *(np.ascontiguousarray(c).tobytes() for c in cols)])
+    """A slice's rows: hashes as they are, positions and ids as steps."""
+    return b"".join([np.array([piece, len(cols[0])], np.int64).tobytes(),
+                     *(np.ascontiguousarray(c).tobytes() if c.dtype == U else _planes(c) for c in cols)])
 
 
 def _unpack(blob: pa.Scalar, *kinds: type) -> tuple:
@@ -62,8 +70,13 @@ def _unpack(blob: pa.Scalar, *kinds: type) -> tuple:
     piece, n = (int(x) for x in np.frombuffer(raw, np.int64, 2))
     out, at = [], 16
     for kind in kinds:
-        out.append(np.frombuffer(raw, kind, n, at))
-        at += out[-1].nbytes
+        width = np.dtype(kind).itemsize
+        if kind is U:
+            out.append(np.frombuffer(raw, U, n, at))
+        else:
+            steps = np.ascontiguousarray(np.frombuffer(raw, np.uint8, n * width, at).reshape(width, n).T).view(kind).reshape(-1)
+            out.append(np.cumsum(steps, dtype=kind))
+        at += n * width
     return piece, *out
 
 
@@ -112,7 +125,7 @@ def _decide(piece: np.ndarray, pos: np.ndarray, ids: np.ndarray, left: np.ndarra
         mine = piece == p
         gone, on = mine & later, mine & ~later
         if gone.any():
-            out.append((_KEPT, _home(int(p), parts), _pack(int(p), pos[gone], left[gone])))
+            out.append((_KEPT, _home(int(p), parts), _pack(int(p), pos[gone], np.zeros(int(gone.sum()), U))))
         out += _deal(_OPEN, part[on], parts, int(p), pos[on], ids[on], left[on], right[on])
     return out
 
@@ -181,11 +194,11 @@ def _settled(parts: int) -> Callable:
         if got:
             ids, left, right = (np.concatenate([x[i] for x in got]) for i in (2, 3, 4))
             later, done = _equal_groups(ids, [left, right]), 0
-            for p, pos, _, x, _ in got:
+            for p, pos, *_ in got:
                 mine = later[done:done + len(pos)]
                 done += len(pos)
                 if mine.any():
-                    rows.append((_KEPT, _home(p, parts), _pack(p, pos[mine], x[mine])))
+                    rows.append((_KEPT, _home(p, parts), _pack(p, pos[mine], np.zeros(int(mine.sum()), U))))
         return pa.Table.from_batches([_record(rows)])
     return run
 

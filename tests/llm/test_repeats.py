@@ -5,6 +5,7 @@ import re
 from collections import defaultdict
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from flowlens.llm import doubling, repeats, substring_dedup, suffix_dedup
 from flowlens.llm import textcore as tc
@@ -203,3 +204,11 @@ def test_repeated_rows_and_shared_ids(spark):
     df = spark.createDataFrame([(1, a), (1, a), (1, a + " x"), (2, b + " " + a), (2, b + " " + a), (None, b), (None, b), (3, None)],
                                "doc_id long, text string")
     assert intervals(df, 50, 13) == {2: 70, repeats.NULL_ID: 80}
+
+
+def test_doubling_round_trip():
+    pos, ids, h = np.array([3, 4, 900], np.int32), np.array([-5, 9, repeats.NULL_ID]), np.array([1, 1 << 63, 5], np.uint64)
+    for n in (3, 0):
+        piece, *got = doubling._unpack(pa.scalar(doubling._pack(7 << 32, pos[:n], ids[:n], h[:n])), np.int32, np.int64, np.uint64)
+        assert piece == 7 << 32
+        assert [x.tolist() for x in got] == [x[:n].tolist() for x in (pos, ids, h)]
