@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from flowlens.operators import lof as L
 from flowlens.operators.profiles import IFOREST_FEATURES, LOF_FEATURES, ip_profiles, standardize
 from flowlens.plans.registry import query
-from flowlens.plans.sqlbase import PROFILES_CTE, lof_ctes, scaled_cte, with_flows
+from flowlens.plans.sqlbase import PROFILES_CTE, lof_ctes, principal_ctes, scaled_cte, with_flows
 from flowlens.sources.tables import flows
 
 _R6 = ("duration_min", "mean_port", "tcp_ratio", "rate_per_min", "deny_ratio")
@@ -81,19 +81,32 @@ def _pca(spark, sf):
     return pca(ip_profiles(flows(spark, sf)), IFOREST_FEATURES, 4)
 
 
-@query("pca_scores")
+def _pca_sql(select: str) -> str:
+    """The same components found in SQL by repeated squaring of the covariance matrix."""
+    ctes = ",\n".join([PROFILES_CTE, scaled_cte(IFOREST_FEATURES, "z"), principal_ctes(IFOREST_FEATURES, 4)])
+    return with_flows(select, extra=ctes).replace("WITH ", "WITH RECURSIVE ", 1)
+
+
+_PROJECTED = ", ".join("round(" + " + ".join(f"z.{c}_z * p{j}.v[{i}]" for i, c in enumerate(IFOREST_FEATURES, 1)) + f", 6) AS pc{j}"
+                       for j in range(1, 5))
+
+
+@query("pca_scores", _pca_sql(f"SELECT z.ip_source, {_PROJECTED} FROM z "
+                              + " ".join(f"JOIN pcs p{j} ON p{j}.component = {j}" for j in range(1, 5))))
 def q_pca_scores(spark, sf):
-    return _pca(spark, sf)[0]
+    return _pca(spark, sf)[0].select("ip_source", *[F.round(f"pc{j}", 6).alias(f"pc{j}") for j in range(1, 5)])
 
 
-@query("pca_variance")
+@query("pca_variance", _pca_sql("""SELECT component, round(ratio, 6) AS explained_ratio,
+ round(sum(ratio) OVER (ORDER BY component), 6) AS cumulative FROM pcs"""))
 def q_pca_variance(spark, sf):
-    return _pca(spark, sf)[1]
+    return _pca(spark, sf)[1].select("component", *[F.round(c, 6).alias(c) for c in ("explained_ratio", "cumulative")])
 
 
-@query("pca_loadings")
+@query("pca_loadings", _pca_sql(" UNION ALL ".join(
+    f"SELECT '{c}' AS feature, component, round(v[{i}], 6) AS loading FROM pcs" for i, c in enumerate(IFOREST_FEATURES, 1))))
 def q_pca_loadings(spark, sf):
-    return _pca(spark, sf)[2]
+    return _pca(spark, sf)[2].withColumn("loading", F.round("loading", 6))
 
 
 @query("kmeans_scan")

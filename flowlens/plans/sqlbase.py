@@ -138,3 +138,38 @@ def lof_ctes(cols, k: int = 20, contamination: float = 0.05) -> str:
         f"""lof_flag AS (SELECT ip_source, lof, lof > (SELECT quantile_cont(lof, {1.0 - contamination}) FROM lofs) AS is_outlier
  FROM lofs)""",
     ])
+
+
+def principal_ctes(cols, k: int, squarings: int = 16) -> str:
+    """``pcs`` CTE (component, v: unit vector, ratio) of the z-scores in ``z``; needs WITH RECURSIVE.
+
+    A covariance matrix squared over and over becomes the projector on its first eigenvector, whose column with the largest
+    diagonal is that vector; taking its part out of the matrix leaves the next one. Nothing is fitted.
+    """
+    d = len(cols)
+    at = lambda i, j: i * d + j + 1
+    cells = [(i, j) for i in range(d) for j in range(d)]
+    cov = ", ".join(f"covar_pop({cols[i]}_z, {cols[j]}_z)" for i, j in cells)
+    square = ", ".join("(" + " + ".join(f"m[{at(i, n)}] * m[{at(n, j)}]" for n in range(d)) + ")" for i, j in cells)
+    trace = " + ".join(f"m[{at(i, n)}] * m[{at(n, i)}]" for i in range(d) for n in range(d))
+    diagonal = ", ".join(f"m[{at(i, i)}]" for i in range(d))
+    column = ", ".join(f"m[{i * d} + top]" for i in range(d))
+    norm = "sqrt(" + " + ".join(f"u[{i + 1}] * u[{i + 1}]" for i in range(d)) + ")"
+    unit = ", ".join(f"u[{i + 1}] / {norm}" for i in range(d))
+    weight = " + ".join(f"v[{i + 1}] * c[{at(i, j)}] * v[{j + 1}]" for i, j in cells)
+    rest = ", ".join(f"c[{at(i, j)}] - lam * v[{i + 1}] * v[{j + 1}]" for i, j in cells)
+    total = " + ".join(f"m[{at(i, i)}]" for i in range(d))
+    scaled = ", ".join(f"q[{n + 1}] / t" for n in range(d * d))
+    size = ", ".join(f"abs(v[{i + 1}])" for i in range(d))
+    signed = ", ".join(f"v[{i + 1}] * sgn" for i in range(d))
+    return f"""cov AS (SELECT [{cov}] AS m FROM z),
+powers AS (SELECT 1 AS component, 0 AS n, m AS c, m FROM cov UNION ALL
+ SELECT component + CAST(n = {squarings} AS INTEGER), CASE WHEN n = {squarings} THEN 0 ELSE n + 1 END,
+  CASE WHEN n = {squarings} THEN [{rest}] ELSE c END, CASE WHEN n = {squarings} THEN [{rest}] ELSE [{scaled}] END
+ FROM (SELECT *, {weight} AS lam FROM (SELECT *, [{unit}] AS v FROM (SELECT *, [{column}] AS u
+  FROM (SELECT *, list_position([{diagonal}], list_max([{diagonal}])) AS top, [{square}] AS q, {trace} AS t FROM powers))))
+ WHERE component < {k} OR n < {squarings}),
+pcs AS (SELECT component, [{signed}] AS v, lam / (SELECT {total} FROM cov) AS ratio FROM (SELECT *,
+  CASE WHEN v[list_position([{size}], list_max([{size}]))] < 0 THEN -1.0 ELSE 1.0 END AS sgn, {weight} AS lam
+ FROM (SELECT *, [{unit}] AS v FROM (SELECT *, [{column}] AS u
+  FROM (SELECT *, list_position([{diagonal}], list_max([{diagonal}])) AS top FROM powers WHERE n = {squarings})))))"""
