@@ -5,12 +5,15 @@ A document's set is its distinct shingles of five lower-cased words. ``SAMPLES``
 bitmap, so the XOR of two bitmaps has a set bit count that estimates a high similarity closely. A pair at the threshold is
 missed by all bands with a chance of about (1 - 0.85**6)**40 = 6e-9, at a threshold of 0.80 of (1 - 0.80**6)**40 = 5e-6.
 
-Equal sets are one class from the start (a hot text costs one row). Work on pairs never expands a bucket:
+Equal sets are one class from the start (a hot text costs one row); two hashes of 64 bits over the whole
+set tell classes apart, and where two classes agree in the first, both are named anew by the two together. Work on pairs
+never expands a bucket:
 
 1. each class is held against the smallest class of each of its buckets, sketch first, then the full sets;
-2. the links found give components; only buckets in which two components still meet go on, cut into blocks of bounded size;
-   a block pair tests the pairs of different components by sketch, the likely ones on full sets, and returns at most a
-   spanning forest. A pair is tested in its first common band only.
+2. the links found give components; only buckets in which two components still meet go on. A bucket's largest component needs
+   no test against itself: the other classes, its strays, are cut into blocks of bounded size that meet each other and the
+   blocks of the largest component. A block pair tests the pairs of different components by sketch, the likely ones on full
+   sets, and returns at most a spanning forest. A pair is tested in its first common band only.
 
 So every pair that shares a bucket is either in one component already or tested.
 
@@ -75,13 +78,14 @@ def shingles(data: np.ndarray, off: np.ndarray) -> tuple[np.ndarray, np.ndarray]
     return h[new], np.concatenate([[0], np.cumsum(new)])[so]
 
 
-def _node(h: np.ndarray, so: np.ndarray) -> np.ndarray:
-    """One hash of each set."""
+def _names(h: np.ndarray, so: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Two hashes of each set (node, check)."""
     zero = np.zeros(1, np.uint64)  # typed: joined with a plain 0 the sums would turn into floats
-    a = np.concatenate([zero, np.cumsum(tc.mix(h, 11))])
-    b = np.concatenate([zero, np.cumsum(tc.mix(h, 12))])
-    a, b = a[so[1:]] - a[so[:-1]], b[so[1:]] - b[so[:-1]]
-    return tc.mix(tc.mix(a, 13) ^ tc.mix(b, 14) + np.diff(so).astype(np.uint64), 15).view(np.int64)
+    out = []
+    for seed in (11, 12):
+        total = np.concatenate([zero, np.cumsum(tc.mix(h, seed))])
+        out.append(tc.mix(total[so[1:]] - total[so[:-1]] + np.diff(so).astype(np.uint64), seed + 2).view(np.int64))
+    return out[0], out[1]
 
 
 def signatures(h: np.ndarray, so: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -113,32 +117,45 @@ def _lists(x: np.ndarray, have: np.ndarray) -> pa.Array:
 
 
 def features(docs: DataFrame) -> DataFrame:
-    """(id, key, node, n_shingles, bands, sketch) of every row; node null for empty sets. No shuffle."""
+    """(id, key, node, check, n_shingles, bands, sketch) of every row; node and check null for empty sets. No shuffle."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for rows, data, off in tc.slices(batches, "__text", 1 << 20):
             h, so = shingles(data, off)
             n = np.diff(so)
             have = n > 0
             full = np.concatenate([so[:-1][have], so[-1:]])
+            node, check = _names(h, so)
             bands, sketch = signatures(h, full) if have.any() else (np.zeros((0, BANDS), np.int64), np.zeros((0, SKETCH_LONGS), np.int64))
             yield pa.RecordBatch.from_arrays(
-                [rows.column(0), rows.column(1), pa.array(_node(h, so), mask=~have), pa.array(n.astype(np.int64)),
-                 _lists(bands, have), _lists(sketch, have)], ["id", "key", "node", "n_shingles", "bands", "sketch"])
+                [rows.column(0), rows.column(1), pa.array(node, mask=~have), pa.array(check, mask=~have), pa.array(n.astype(np.int64)),
+                 _lists(bands, have), _lists(sketch, have)], ["id", "key", "node", "check", "n_shingles", "bands", "sketch"])
 
     return repeats.keyed(docs).select("id", "key", "__text").mapInArrow(
-        run, "id long, key long, node long, n_shingles long, bands array<long>, sketch array<long>")
+        run, "id long, key long, node long, check long, n_shingles long, bands array<long>, sketch array<long>")
 
 
 def _sets(rows: DataFrame) -> DataFrame:
-    """(node, set) of texts given as (__text)."""
+    """(node, check, set) of texts given as (__text)."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for _, data, off in tc.slices(batches, "__text", 1 << 20):
             h, so = shingles(data, off)
             yield pa.RecordBatch.from_arrays(
-                [pa.array(_node(h, so)), pa.ListArray.from_arrays(pa.array(so.astype(np.int32)), pa.array(h.view(np.int64)))],
-                ["node", "set"])
+                [*map(pa.array, _names(h, so)),
+                 pa.ListArray.from_arrays(pa.array(so.astype(np.int32)), pa.array(h.view(np.int64)))], ["node", "check", "set"])
 
-    return rows.mapInArrow(run, "node long, set array<long>")
+    return rows.mapInArrow(run, "node long, check long, set array<long>")
+
+
+def clashes(found: DataFrame) -> DataFrame:
+    """(node, clash: true) of the nodes that different sets share."""
+    both = found.groupBy("node").agg(F.min("check").alias("a"), F.max("check").alias("b"))
+    return materialize(both.where("a <> b").select("node", F.lit(True).alias("clash")), "near-clashes")
+
+
+def told_apart(rows: DataFrame, clash: DataFrame) -> DataFrame:
+    """``rows`` (node, check, ...) without ``check``, nodes of different sets named by both hashes."""
+    x = rows.join(clash, "node", "left")
+    return x.withColumn("node", F.when(F.col("clash"), F.xxhash64("node", "check")).otherwise(F.col("node"))).drop("check", "clash")
 
 
 def estimate(a: Column, b: Column) -> Column:
@@ -211,31 +228,46 @@ def _blocks(percent: int) -> Callable:
     return run
 
 
-def links(docs: DataFrame, found: DataFrame, percent: int = PERCENT) -> tuple[DataFrame, DataFrame]:
+def block_rows(rows: DataFrame) -> DataFrame:
+    """(bucket, i, j, chunk, node, comp): the classes of each block pair (i, j) to test, from (bucket, node, comp).
+
+    Buckets of one component give none. The strays of a bucket (all but its largest component) are blocks 0, 1, ..., the largest
+    component's follow; a class of the latter is copied once for each block of strays, not once for each block of the bucket.
+    """
+    counts = rows.groupBy("bucket", "comp").agg(F.count(F.lit(1)).alias("n"))
+    per = counts.groupBy("bucket").agg(F.max(F.struct("n", "comp")).alias("most"), F.sum("n").alias("size"))
+    blocks = lambda n: F.ceil(n / BLOCK).cast("int")
+    per = per.where(F.col("size") > F.col("most.n")).select(
+        "bucket", F.col("most.comp").alias("main"), blocks(F.col("size") - F.col("most.n")).alias("strays"),
+        blocks(F.col("most.n")).alias("mains"))
+    deal = lambda n: F.pmod(F.xxhash64("node", "bucket"), F.col(n)).cast("int")
+    x = rows.join(per, "bucket").withColumn("inside", F.col("comp") == F.col("main"))
+    x = x.withColumn("chunk", F.when(F.col("inside"), F.col("strays") + deal("mains")).otherwise(deal("strays")))
+    last = F.col("strays") - 1 + F.when(F.col("inside"), 0).otherwise(F.col("mains"))
+    x = x.withColumn("x", F.explode(F.sequence(F.lit(0), last)))
+    return x.select("bucket", F.least("chunk", "x").alias("i"), F.greatest("chunk", "x").alias("j"), "chunk", "node", "comp")
+
+
+def links(docs: DataFrame, found: DataFrame, clash: DataFrame, percent: int = PERCENT) -> tuple[DataFrame, DataFrame]:
     """(classes, components): classes (node, rep: smallest id) and, for linked classes, (node, comp)."""
     have = found.where("node is not null")
     classes = materialize(have.groupBy("node").agg(
         F.min("id").alias("rep"), F.min_by("key", "id").alias("rep_key"), F.first("n_shingles").alias("n"),
         F.first("bands").alias("bands"), F.first("sketch").alias("sketch")), "near-classes")
     rows = classes.select("node", F.explode("bands").alias("bucket"))
-    several = rows.groupBy("bucket").agg(F.min("node").alias("pivot"), F.max("node").alias("other"), F.count(F.lit(1)).alias("size"))
-    several = several.where("pivot <> other").select("bucket", "pivot", "size")
+    several = rows.groupBy("bucket").agg(F.min("node").alias("pivot"), F.max("node").alias("other"))
+    several = several.where("pivot <> other").select("bucket", "pivot")
     members = materialize(rows.join(several, "bucket"), "near-members")
     wanted = classes.join(members.select("node").distinct(), "node", "left_semi").select(
         F.col("rep").alias("id"), F.col("rep_key").alias("key"))
     texts = repeats.keyed(docs).join(wanted, ["id", "key"], "left_semi").select("__text")
-    sets = materialize(_sets(texts).groupBy("node").agg(F.first("set").alias("set")), "near-sets")
+    sets = materialize(told_apart(_sets(texts), clash).groupBy("node").agg(F.first("set").alias("set")), "near-sets")
     star = members.where("node <> pivot").select(F.col("node").alias("u"), F.col("pivot").alias("v")).distinct()
     first = materialize(_verified(star, classes, sets, percent), "near-links")
     comps = components(first)
     open_rows = members.join(comps, "node", "left").withColumn("comp", F.coalesce("comp", "node"))
-    mixed = open_rows.groupBy("bucket").agg(F.min("comp").alias("a"), F.max("comp").alias("b")).where("a <> b").select("bucket")
-    todo = open_rows.join(mixed, "bucket").withColumn("g", F.ceil(F.col("size") / BLOCK).cast("int"))
-    todo = todo.withColumn("chunk", F.pmod(F.xxhash64("node", "bucket"), F.col("g")).cast("int"))
-    todo = todo.withColumn("x", F.explode(F.sequence(F.lit(0), F.col("g") - 1)))
-    todo = todo.join(classes.select("node", "n", "bands", "sketch"), "node").join(sets, "node").select(
-        "bucket", F.least("chunk", "x").alias("i"), F.greatest("chunk", "x").alias("j"), "chunk", "node", "comp", "n",
-        "bands", "sketch", "set")
+    todo = block_rows(open_rows.select("bucket", "node", "comp"))
+    todo = todo.join(classes.select("node", "n", "bands", "sketch"), "node").join(sets, "node")
     second = materialize(todo.groupBy("bucket", "i", "j").applyInArrow(_blocks(percent), "u long, v long"), "near-more-links")
     if not second.isEmpty():
         comps = components(first.unionByName(second))
@@ -245,7 +277,9 @@ def links(docs: DataFrame, found: DataFrame, percent: int = PERCENT) -> tuple[Da
 def near_duplicates(docs: DataFrame, percent: int = PERCENT) -> DataFrame:
     """(id, key, n_shingles, component_id, first: whether the row's (id, key) is its component's smallest) of every row."""
     found = materialize(features(docs), "near-features")
-    classes, comps = links(docs, found, percent)
+    clash = clashes(found)
+    found = told_apart(found, clash)
+    classes, comps = links(docs, found, clash, percent)
     named = materialize(classes.join(comps, "node", "left").select("node", "rep", "rep_key", "comp"), "near-named")
     linked = named.where("comp is not null")
     least = linked.groupBy("comp").agg(F.min(F.struct("rep", "rep_key")).alias("least"))

@@ -128,6 +128,30 @@ def test_chains_of_copies(spark, monkeypatch):
     assert near_rows(df) == sorted(slow_components(rows))
 
 
+def test_classes_whose_first_hash_agrees(spark, messy, monkeypatch):
+    """With the first hash of a set cut to two bits, different sets still are different classes."""
+    names = near_dup._names
+    monkeypatch.setattr(near_dup, "_names", lambda h, so: (names(h, so)[0] & 3, names(h, so)[1]))
+    rows = [(BIG if r.doc_id is None else r.doc_id, r.text) for r in messy.collect()]
+    assert near_rows(messy) == sorted(slow_components(rows))
+
+
+def test_a_stray_copies_a_bucket_once(spark, monkeypatch):
+    """One class of another component in a bucket: each class of the large component goes to one block pair."""
+    monkeypatch.setattr(near_dup, "BLOCK", 10)
+    rows = [(7, i, 1 if i else 0) for i in range(1000)] + [(8, i, 1) for i in range(1, 50)] + [(9, i, i % 2) for i in range(24)]
+    got = near_dup.block_rows(spark.createDataFrame(rows, "bucket long, node long, comp long")).collect()
+    one = [r for r in got if r.bucket == 7]
+    assert len(one) == 999 + 1 + 100  # the stray meets itself and 100 blocks
+    assert not [r for r in got if r.bucket == 8]
+    pairs = collections.defaultdict(list)
+    for r in got:
+        pairs[r.bucket, r.i, r.j].append(r)
+    met = {frozenset((x.node, y.node)) for (b, i, j), rs in pairs.items() if b == 9
+           for x in rs for y in rs if x.chunk == i and y.chunk == j and x.node != y.node}
+    assert {frozenset((a, b)) for a in range(0, 24, 2) for b in range(1, 24, 2)} <= met
+
+
 def test_near_dup_of_documents(spark):
     docs = spark.read.parquet(f"{SF}/documents.parquet")
     assert near_rows(docs) == sorted(slow_components([(r.doc_id, r.text) for r in docs.collect()]))
@@ -452,6 +476,22 @@ def test_neighbours_recall_and_cases(spark):
     assert got[got.query_id == 40].sort_values("rank").vec_id.tolist() == list(range(20000, 20020))
 
 
+def test_recall_holds_as_the_table_grows(spark):
+    """Uniform directions, a hard case: the recall at two sizes, each against brute force."""
+    rng = np.random.default_rng(4)
+    for n in (1500, 12000):
+        x = rng.standard_normal((n, 32)).astype(np.float32).astype(np.float64)
+        table = spark.createDataFrame([(i, v) for i, v in enumerate(x.tolist())], "vec_id long, embedding array<float>")
+        hit = 0
+        got = neighbours.nearest(table, every=100).toPandas()
+        for q, g in got.groupby("query_id"):
+            s = x @ x[q]
+            s[q] = -np.inf
+            hit += len(set(np.argsort(-s)[:20].tolist()) & set(g.vec_id))
+        assert hit / 20 / -(-n // 100) >= 0.9
+    assert neighbours.width(10**9) > 2 * neighbours.width(10**6) > 4 * neighbours.width(1000)
+
+
 def test_few_neighbours(spark):
     rows = [(20, [1.0, 0.0]), (21, [0.5, 0.5]), (22, [-1.0, 0.0])]
     got = values(neighbours.op10_neighbours(spark.createDataFrame(rows, "vec_id long, embedding array<float>")), "query_id", "rank", "vec_id", "score")
