@@ -123,8 +123,7 @@ def q_stream_fanout(spark, sf):
             if "Stopped" not in str(e):
                 raise
             S.fan_out(S.stream_lines(spark, src, max_files=3), delivery, ck)
-        for sink in S.SINKS:
-            delivery.compact(sink)
+        S.each_at_once(spark, delivery.compact, S.SINKS)
         return materialize(sink_contents(delivery), "fanout-contents")
     finally:
         spark.sql(f"DROP TABLE IF EXISTS {table}")

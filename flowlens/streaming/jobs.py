@@ -9,8 +9,9 @@ record per batch and sink (``Delivery``): at-least-once input gives exactly-once
 from __future__ import annotations
 
 import uuid
-from functools import reduce
+from concurrent.futures import ThreadPoolExecutor
 
+from pyspark import inheritable_thread_target
 from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -111,14 +112,16 @@ def latest(spark: SparkSession, out: str, keys) -> DataFrame:
 class Delivery:
     """Where the sinks of a fan-out write, and which of their writes count.
 
-    A batch goes to each sink in turn. After a sink's write a commit record ``commits/<sink>/<batch>`` says where the rows lie
+    A batch goes to every sink. After a sink's write a commit record ``commits/<sink>/<first>-<last>`` says where the rows lie
     (first and last batch, place, rows); readers follow the records and nothing else. So a write that failed half-way is never
     seen, a batch that is replayed skips the sinks that have its record, and ``compact`` swaps many small writes for one by a
-    single new record.
+    single new record. A running fan-out is the only writer: it takes the records up when it starts (``resume``) and adds its
+    own, so a batch costs the same however many came before it.
     """
 
     def __init__(self, spark: SparkSession, out: str, table: str):
         self.spark, self.out, self.table = spark, out.rstrip("/"), table
+        self._known: dict[str, dict] = {}
 
     def records(self, sink: str) -> DataFrame | None:
         """(first, last, place, rows) of the sink's records in force; none if there are none."""
@@ -133,16 +136,33 @@ class Delivery:
         return every.join(wider, (F.col("f") <= F.col("first")) & (F.col("l") >= F.col("last"))
                           & (F.col("l") - F.col("f") > F.col("last") - F.col("first")), "left_anti")
 
+    def resume(self, sinks) -> None:
+        """Take up the records that stand; later ones of this writer are added as they are committed."""
+        for sink in sinks:
+            got = self.records(sink)
+            self._known[sink] = {(r.first, r.last): (r.place, r.rows) for r in got.collect()} if got is not None else {}
+
+    def record(self, sink: str, batch: int):
+        """(place, rows) of the record that holds a batch; none if the sink does not have it."""
+        if sink not in self._known:
+            self.resume([sink])
+        known = self._known[sink]
+        if (batch, batch) in known:
+            return known[batch, batch]
+        return next((v for (first, last), v in known.items() if first < last and first <= batch <= last), None)
+
     def has(self, sink: str, batch: int) -> bool:
-        got = self.records(sink)
-        return got is not None and not got.where((F.col("first") <= batch) & (F.col("last") >= batch)).isEmpty()
+        return self.record(sink, batch) is not None
 
     def commit(self, sink: str, first: int, last: int, place: str, rows: int) -> None:
-        df = self.spark.createDataFrame([(first, last, place, rows)], "first long, last long, place string, rows long")
-        df.coalesce(1).write.mode("overwrite").parquet(f"{self.out}/commits/{sink}/{first}-{last}")
+        one = self.spark.range(0, 1, 1, 1).select(F.lit(first).cast("long").alias("first"), F.lit(last).cast("long").alias("last"),
+                                                  F.lit(place).alias("place"), F.lit(rows).cast("long").alias("rows"))
+        one.write.mode("overwrite").parquet(f"{self.out}/commits/{sink}/{first}-{last}")
+        if sink in self._known:
+            self._known[sink][first, last] = (place, rows)
 
     def _place(self, sink: str, first: int, last: int) -> str:
-        return f"{self.out}/{sink}/{first}-{last}-{uuid.uuid4().hex[:8]}"
+        return f"{self.out}/{sink}/write={first}-{last}-{uuid.uuid4().hex[:8]}"
 
     def write(self, sink: str, df: DataFrame, first: int, last: int) -> str:
         """Write rows of the batches first..last to a place of their own; the table takes them as a partition."""
@@ -150,7 +170,9 @@ class Delivery:
             io.append_fw_table(df, self.table, last)
             return str(last)
         place = self._place(sink, first, last)
-        if sink == "raw":
+        if sink == "parsed":
+            df.write.parquet(place)
+        elif sink == "raw":
             io.write_raw(df, place)
         elif sink == "firewall_log":
             io.write_firewall_log(df, place)
@@ -160,9 +182,8 @@ class Delivery:
             raise ValueError(f"unknown sink {sink!r}")
         return place
 
-    def deliver(self, sink: str, df: DataFrame, batch: int) -> None:
+    def deliver(self, sink: str, df: DataFrame, batch: int, rows: int) -> None:
         if not self.has(sink, batch):
-            rows = df.count()
             self.commit(sink, batch, batch, self.write(sink, df, batch, batch), rows)
 
     def read(self, sink: str) -> DataFrame:
@@ -177,8 +198,8 @@ class Delivery:
             return self.spark.read.text(places)
         if sink == "firewall_log":
             return io.read_l1_raw(self.spark, places)
-        frames = [self.spark.read.parquet(p) for p in places]  # each place has its own day folders
-        return reduce(DataFrame.unionByName, frames)
+        # one table of all places, each with its own day folders
+        return self.spark.read.option("basePath", f"{self.out}/{sink}").parquet(*places).drop("write")
 
     def compact(self, sink: str) -> None:
         """Write all committed batches of a sink as one, with its files as large as Spark's shuffle makes them; the new record
@@ -204,21 +225,20 @@ SINKS = ("raw", "firewall_log", "fw_table", "daily_index")
 def fan_out(stream: DataFrame, delivery: Delivery, checkpoint: str, sinks=SINKS, max_batches: int | None = None) -> None:
     """Same accepted lines to every sink per micro-batch: raw text, L1 firewall log, table, day index.
 
-    The parsed batch is written once and read by each sink, so an arrival time filled in for a missing one is the same everywhere;
+    The parsed batch is written once and read by all sinks at the same time, so an arrival time filled in for a missing one is the same everywhere;
     a replay takes the batch as first written. Delivery to a sink that has the batch's commit record is skipped.
     ``max_batches`` stops after so many batches (a planned restart).
     """
     spark = delivery.spark
+    delivery.resume(["parsed", *sinks])
 
     def write(df: DataFrame, batch_id: int) -> None:
         if not delivery.has("parsed", batch_id):
-            place = f"{delivery.out}/parsed/{batch_id}-{uuid.uuid4().hex[:8]}"
-            df.write.parquet(place)
-            delivery.commit("parsed", batch_id, batch_id, place, 0)
-        place = delivery.records("parsed").where(F.col("first") == batch_id).first().place
+            place = delivery.write("parsed", df, batch_id, batch_id)
+            delivery.commit("parsed", batch_id, batch_id, place, spark.read.schema(df.schema).parquet(place).count())
+        place, rows = delivery.record("parsed", batch_id)
         batch = spark.read.schema(df.schema).parquet(place)
-        for sink in sinks:
-            delivery.deliver(sink, batch, batch_id)
+        each_at_once(spark, lambda sink: delivery.deliver(sink, batch, batch_id, rows), sinks)
         if max_batches is not None and batch_id + 1 >= max_batches:
             raise Stopped(f"after batch {batch_id}")
 
@@ -229,5 +249,12 @@ def fan_out(stream: DataFrame, delivery: Delivery, checkpoint: str, sinks=SINKS,
     q.awaitTermination()
 
 
+def each_at_once(spark: SparkSession, run, sinks) -> None:
+    """``run(sink)`` for all sinks side by side. All are waited for; then the first error, if any, is raised."""
+    with ThreadPoolExecutor(max_workers=max(1, len(sinks))) as ex:
+        for done in [ex.submit(inheritable_thread_target(spark)(run), sink) for sink in sinks]:
+            done.result()
+
+
 class Stopped(RuntimeError):
     """A fan-out was stopped by ``max_batches``; its last batch counts as not finished and is replayed."""

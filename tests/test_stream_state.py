@@ -113,3 +113,22 @@ def test_arrival_time_is_the_same_in_every_sink(spark):
     with pytest.raises(ValueError, match="nothing committed"):
         S.Delivery(spark, scratch_path(spark, "out"), table).read("raw")
     spark.sql(f"DROP TABLE {table}")
+
+
+def test_records_are_read_once_however_many_batches(spark, monkeypatch):
+    src, table = _lines(spark, 20), "fw_once"
+    spark.sql(f"DROP TABLE IF EXISTS {table}")
+    out, ck, reads = scratch_path(spark, "out"), scratch_path(spark, "ck"), []
+    plain = S.Delivery.records
+    monkeypatch.setattr(S.Delivery, "records", lambda self, sink: reads.append(sink) or plain(self, sink))
+    S.fan_out(S.stream_lines(spark, src, max_files=1), S.Delivery(spark, out, table), ck)
+    assert sorted(reads) == sorted(("parsed", *S.SINKS))
+    again = S.Delivery(spark, out, table)  # another writer finds what the first one committed, compacted or not
+    again.compact("raw")
+    again.resume(["raw", "daily_index"])
+    assert all(again.has(s, b) for s in ("raw", "daily_index") for b in range(3)) and not again.has("raw", 3)
+    assert again.record("raw", 1)[1] == 60 and again.record("daily_index", 1)[1] == 20
+    days = again.read("daily_index")
+    assert days.count() == 60 and dict(days.dtypes)["day"] == "date" and "write" not in days.columns
+    assert len(days.inputFiles()) >= 3
+    spark.sql(f"DROP TABLE {table}")
