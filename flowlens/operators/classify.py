@@ -61,15 +61,18 @@ def roc(scored: DataFrame, score: str = "p1", label: str = "label"):
     return pts, auc_from_points(pts)
 
 
-def roc_points(scored: DataFrame, score: str = "p1", label: str = "label", parts: int | None = None) -> DataFrame:
-    """ROC points (one per distinct score, descending) with cumulative TP/FP rates.
+def roc_points(scored: DataFrame, score: str = "p1", label: str = "label", parts: int | None = None,
+               weight: str | None = None) -> DataFrame:
+    """ROC points (one per distinct score, descending) with cumulative TP/FP rates. ``weight`` names the column that says how
+    many rows a row stands for.
 
     Exact distributed prefix sums: counts per distinct score, range-partitioned by score; each
     partition's totals (one row per partition) give its offset, and a window within each
     partition does the rest — no single-partition window over all scores.
     """
-    per = scored.groupBy(F.col(score).alias("score")).agg(
-        F.count_if(F.col(label) == 1).alias("tp"), F.count_if(F.col(label) != 1).alias("fp"))
+    rows = F.col(weight) if weight else F.lit(1)
+    of = lambda c: F.coalesce(F.sum(F.when(c, rows)), F.lit(0)).cast("long")
+    per = scored.groupBy(F.col(score).alias("score")).agg(of(F.col(label) == 1).alias("tp"), of(F.col(label) != 1).alias("fp"))
     # Partition ids must be the same in every subtree below, so the partitioned table is
     # materialised once (a written table) instead of re-running the range shuffle per use.
     parts = parts or int(scored.sparkSession.conf.get("spark.sql.shuffle.partitions"))
@@ -125,11 +128,24 @@ def require_two_classes(feats: DataFrame, label: str = "label") -> None:
         raise ValueError("the target has fewer than two classes; no model can be trained")
 
 
+def scored_counts(model, cells: DataFrame) -> DataFrame:
+    """``p1, prediction, label, n`` of a model on rows that stand for ``n`` each."""
+    pred = _p1(model.transform(cells))
+    return pred.groupBy("p1", "prediction", "label").agg(F.sum("n").alias("n"))
+
+
+def accuracy(counts: DataFrame) -> float | None:
+    """Share of right predictions among the labelled rows of ``scored_counts``."""
+    right = F.coalesce(F.sum(F.when(F.col("prediction") == F.col("label"), F.col("n"))), F.lit(0))
+    labelled = F.sum(F.when(F.col("label").isNotNull(), F.col("n")))
+    return counts.agg((right.cast("double") / labelled).alias("a")).first()[0]
+
+
 def compare_models(feats: DataFrame, k: int = 5, seed: int = 42, parallelism: int = 8) -> DataFrame:
     """k-fold CV (folds stratified by label) of the four models: mean/std of accuracy and AUC.
 
     One fit per (model, fold) gives both metrics; the 4 x k fits are independent and run
-    concurrently.
+    concurrently. A fold is scored once per distinct feature vector and label, with its number of rows.
     """
     require_two_classes(feats)
     data = materialize(folds(_vectors(feats), "flow_id", k, seed).select("flow_id", "features", "label", "fold"),
@@ -137,17 +153,15 @@ def compare_models(feats: DataFrame, k: int = 5, seed: int = 42, parallelism: in
     spark = feats.sparkSession
     sizes = {r["fold"]: r["n"] for r in data.groupBy("fold").agg(F.count(F.lit(1)).alias("n")).collect()}
     total = sum(sizes.values())
+    cells = materialize(data.groupBy("fold", "features", "label").agg(F.count(F.lit(1)).alias("n")), "cv-cells")
 
     def task(name, f):
         def run():
             train = data.filter(F.col("fold") != f)
-            test = data.filter(F.col("fold") == f)
             est = models(total - sizes.get(f, 0))[name]
-            pred = _p1(est.fit(train).transform(test)).cache()
-            acc = pred.agg(F.avg((F.col("prediction") == F.col("label")).cast("double"))).first()[0]
-            auc = auc_from_points(roc_points(pred)).first()[0]
-            pred.unpersist()
-            return (name, f, acc, auc)  # a fold with one class has no AUC; it stays null
+            counts = materialize(scored_counts(est.fit(train), cells.filter(F.col("fold") == f)), "cv-scored")
+            auc = auc_from_points(roc_points(counts, weight="n")).first()[0]
+            return (name, f, accuracy(counts), auc)  # a fold with one class has no AUC; it stays null
         return run
 
     rows = _parallel([task(name, f) for f in range(k) for name in models(1)], parallelism)

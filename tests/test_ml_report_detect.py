@@ -161,3 +161,26 @@ def test_kmeans_starts_together_equal_single_fits(spark):
         want = ClusteringEvaluator(featuresCol="features", predictionCol="cluster").evaluate(ml)
         assert abs(r.silhouette - want) < 1e-9
     assert k_best == 3
+
+
+def test_scoring_counts_stand_for_their_rows(spark):
+    from pyspark.sql import functions as F
+
+    from flowlens.operators.classify import accuracy, auc_from_points, roc_points, scored_counts
+
+    class Half:  # a model whose score is its first feature
+        def transform(self, df):
+            from pyspark.ml.functions import array_to_vector
+            return df.withColumn("probability", array_to_vector(F.array(1 - F.col("x"), F.col("x")))).withColumn(
+                "prediction", (F.col("x") >= 0.5).cast("double"))
+
+    rows = spark.createDataFrame([(x, y) for x, y, n in [(0.25, 0, 5), (0.25, 1, 2), (0.5, 1, 4), (0.5, 0, 3), (0.75, 1, 6)]
+                                  for _ in range(n)], "x double, label int")
+    counts = scored_counts(Half(), rows.groupBy("x", "label").agg(F.count(F.lit(1)).alias("n")))
+    assert counts.count() == 5 and accuracy(counts) == 15 / 20
+    cols = ("score", "tp", "fp", "tpr", "fpr", "ctp", "cfp")
+    plain, weighted = roc_points(rows, score="x"), roc_points(counts, weight="n")
+    assert sorted(plain.select(*cols).collect()) == sorted(weighted.select(*cols).collect())
+    assert dict(plain.dtypes) == dict(weighted.dtypes)
+    assert auc_from_points(plain).first() == auc_from_points(weighted).first()
+    assert accuracy(counts.limit(0)) is None
