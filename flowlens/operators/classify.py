@@ -2,8 +2,11 @@
 
 from __future__ import annotations
 
+import math
 import re
+from functools import reduce
 
+import numpy as np
 from pyspark.ml.classification import (DecisionTreeClassifier, LogisticRegression,
                                        RandomForestClassifier)
 from pyspark.ml.feature import VectorAssembler
@@ -12,6 +15,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from flowlens.functions.scalar import port_bucket
+from flowlens.operators.counted_fits import logistic_fits, logistic_scores, tree_scores
 from flowlens.operators.profiles import standardize
 from flowlens.operators.retrieval import folds, split_label
 from flowlens.session import materialize
@@ -130,7 +134,11 @@ def require_two_classes(feats: DataFrame, label: str = "label") -> None:
 
 def scored_counts(model, cells: DataFrame) -> DataFrame:
     """``p1, prediction, label, n`` of a model on rows that stand for ``n`` each."""
-    pred = _p1(model.transform(cells))
+    return counted_scores(_p1(model.transform(cells)))
+
+
+def counted_scores(pred: DataFrame) -> DataFrame:
+    """``p1, prediction, label, n`` of scored rows that stand for ``n`` each."""
     return pred.groupBy("p1", "prediction", "label").agg(F.sum("n").alias("n"))
 
 
@@ -141,34 +149,65 @@ def accuracy(counts: DataFrame) -> float | None:
     return counts.agg((right.cast("double") / labelled).alias("a")).first()[0]
 
 
+def fold_cells(feats: DataFrame, k: int = 5, seed: int = 42) -> DataFrame:
+    """``fold, <feature>_z..., label, n``: the distinct rows of the stratified folds, standardised, with their counts."""
+    z = [c + "_z" for c in CLF_FEATURES]
+    data = folds(standardize(feats, CLF_FEATURES).select("flow_id", *z, "label"), "flow_id", k, seed)
+    cells = materialize(data.groupBy("fold", *z, "label").agg(F.count(F.lit(1)).alias("n")), "cv-cells")
+    known = F.col("label").isin(0, 1) & reduce(lambda a, b: a & b, [F.col(c).isNotNull() for c in z])
+    if not cells.where(~F.coalesce(known, F.lit(False))).isEmpty():
+        raise ValueError("a feature is null, or a label is not 0 or 1; no model can be trained")
+    return cells.withColumn("label", F.col("label").cast("int"))
+
+
 def compare_models(feats: DataFrame, k: int = 5, seed: int = 42, parallelism: int = 8) -> DataFrame:
     """k-fold CV (folds stratified by label) of the four models: mean/std of accuracy and AUC.
 
-    One fit per (model, fold) gives both metrics; the 4 x k fits are independent and run
-    concurrently. A fold is scored once per distinct feature vector and label, with its number of rows.
+    One fit per (model, fold) gives both metrics. Fits and scores work on distinct feature vectors with their counts
+    (``counted_fits``): the logistic fits of all folds move together, a scan of the vectors for a step; trees see binned vectors only.
     """
     require_two_classes(feats)
-    data = materialize(folds(_vectors(feats), "flow_id", k, seed).select("flow_id", "features", "label", "fold"),
-                       "cv-input")
-    spark = feats.sparkSession
-    sizes = {r["fold"]: r["n"] for r in data.groupBy("fold").agg(F.count(F.lit(1)).alias("n")).collect()}
-    total = sum(sizes.values())
-    cells = materialize(data.groupBy("fold", "features", "label").agg(F.count(F.lit(1)).alias("n")), "cv-cells")
-
-    def task(name, f):
+    z = [c + "_z" for c in CLF_FEATURES]
+    cells = fold_cells(feats, k, seed)
+    rows = np.zeros((k, 2), dtype=int)
+    for r in cells.groupBy("fold", "label").agg(F.sum("n").alias("n")).collect():
+        rows[r["fold"], r["label"]] = r["n"]
+    train = rows.sum(0) - rows
+    if not train.sum(1).all():
+        raise ValueError("a fold holds all rows; no model can be trained")
+
+    ests = [models(int(n)) for n in train.sum(1)]
+    linear = [(name, f) for name, e in ests[0].items() if isinstance(e, LogisticRegression) for f in range(k)]
+    theta = logistic_fits(cells, z, [_penalties(ests[f][name]) | {"out": f, "rows": train[f].tolist()} for name, f in linear])
+    trees = {name: _tree_settings(e, len(z)) for name, e in ests[0].items() if not isinstance(e, LogisticRegression)}
+    grown = tree_scores(cells, z, k, ests[0]["cart"].getMaxBins(), trees)
+
+    def task(name, f, scores, parts=None):
         def run():
-            train = data.filter(F.col("fold") != f)
-            est = models(total - sizes.get(f, 0))[name]
-            counts = materialize(scored_counts(est.fit(train), cells.filter(F.col("fold") == f)), "cv-scored")
-            auc = auc_from_points(roc_points(counts, weight="n")).first()[0]
+            counts = materialize(counted_scores(scores), "cv-scored")
+            auc = auc_from_points(roc_points(counts, parts=parts, weight="n")).first()[0]
             return (name, f, accuracy(counts), auc)  # a fold with one class has no AUC; it stays null
         return run
 
-    rows = _parallel([task(name, f) for f in range(k) for name in models(1)], parallelism)
-    per_fold = spark.createDataFrame(rows, "model string, fold int, accuracy double, auc double")
+    tasks = [task(name, f, logistic_scores(cells.filter(F.col("fold") == f), z, t)) for (name, f), t in zip(linear, theta, strict=True)]
+    # trees give at most a score for each combination of bins: one partition
+    tasks += [task(name, f, grown.filter((F.col("fold") == f) & (F.col("model") == name)), 1) for name in trees for f in range(k)]
+    per_fold = feats.sparkSession.createDataFrame(_parallel(tasks, parallelism), "model string, fold int, accuracy double, auc double")
     return fold_summary(per_fold)
 
 
+def _penalties(est: LogisticRegression) -> dict:
+    lam, mix = est.getRegParam(), est.getElasticNetParam()
+    return {"l1": lam * mix, "l2": lam * (1.0 - mix), "max_iter": est.getMaxIter()}
+
+
+def _tree_settings(est, width: int) -> dict:
+    """Settings of ``counted_fits.tree_scores``; a forest's nodes choose among the square root of the features, as in MLlib."""
+    forest = isinstance(est, RandomForestClassifier)
+    return {"trees": est.getNumTrees() if forest else 1, "depth": est.getMaxDepth(), "seed": est.getSeed(), "bootstrap": forest,
+            "features": math.ceil(math.sqrt(width)) if forest else width}
+
+
 def fold_summary(per_fold: DataFrame) -> DataFrame:
     """Mean and population std of ``accuracy`` and ``auc`` over each model's folds (nulls left out), best mean AUC first."""
     return (per_fold.groupBy("model").agg(F.round(F.avg("accuracy"), 6).alias("acc_mean"),

@@ -184,3 +184,85 @@ def test_scoring_counts_stand_for_their_rows(spark):
     assert dict(plain.dtypes) == dict(weighted.dtypes)
     assert auc_from_points(plain).first() == auc_from_points(weighted).first()
     assert accuracy(counts.limit(0)) is None
+
+
+def _labelled_flows(spark, n=900, seed=5):
+    """Feature rows with repeats, more ports than bins and both classes in every leaf."""
+    rng = np.random.default_rng(seed)
+    port = np.where(rng.random(n) < 0.5, rng.choice([22, 80, 443, 3306], n), rng.integers(0, 65536, n))
+    tcp, hour, day = rng.integers(0, 2, n), rng.integers(0, 24, n), rng.integers(0, 7, n)
+    deny = rng.random(n) < 1 / (1 + np.exp(1.5 - port / 15000 + 0.8 * tcp - 0.05 * hour))
+    rows = [(int(p), int(t), 0 if p <= 1023 else 1 if p <= 49151 else 2, int(h), int(d), int(y))
+            for p, t, h, d, y in zip(port, tcp, hour, day, deny)] * 2
+    return spark.createDataFrame([(i, *r) for i, r in enumerate(rows)],
+                                 "flow_id long, " + ", ".join(f"{c} int" for c in C.CLF_FEATURES) + ", label int")
+
+
+def _cells_and_rows(spark, k=3):
+    from flowlens.session import materialize
+    from pyspark.ml.feature import VectorAssembler
+    cells = C.fold_cells(_labelled_flows(spark), k)
+    z = [c + "_z" for c in C.CLF_FEATURES]
+    rows = cells.withColumn("_", F.explode(F.sequence(F.lit(1), F.col("n").cast("int")))).drop("_", "n")
+    return cells, z, VectorAssembler(inputCols=z, outputCol="features").transform(materialize(rows, "rows"))
+
+
+def test_model_comparison_takes_few_jobs(spark):
+    feats = _labelled_flows(spark)
+    jobs = spark.sparkContext._jsc.sc().dagScheduler().numTotalJobs
+    before = jobs()
+    rows = C.compare_models(feats, k=3).collect()
+    assert {r.model for r in rows} == {"logistic_l1", "logistic_l2", "cart", "random_forest"}
+    assert all(0.6 < r.auc_mean < 1 for r in rows)
+    assert jobs() - before < 320  # with a job for every iteration of every fit it took 402
+
+
+def test_logistic_fits_reach_the_minimum_in_few_scans(spark):
+    from flowlens.operators.counted_fits import logistic_fits
+    from pyspark.ml.classification import LogisticRegression
+    cells, z, rows = _cells_and_rows(spark)
+    want, fits = [], []
+    for f in range(3):
+        train = rows.filter(F.col("fold") != f).cache()
+        n = {r.label: r["count"] for r in train.groupBy("label").count().collect()}
+        for lam, l1 in ((10 / sum(n.values()), 1.0), (40 / sum(n.values()), 1.0), (1 / sum(n.values()), 0.0)):
+            fits.append({"out": f, "rows": [n[0], n[1]], "l1": lam * l1, "l2": lam * (1 - l1), "max_iter": 1000})
+            m = LogisticRegression(regParam=lam, elasticNetParam=l1, standardization=False, maxIter=5000, tol=1e-13).fit(train)
+            want.append([*m.coefficients, m.intercept])
+    scans: list = []
+    assert np.abs(np.array(logistic_fits(cells, z, fits, scans)) - want).max() < 2e-5
+    assert len(scans) <= 20 and scans[0] == 9  # one scan moves all of them
+
+
+def test_single_tree_equals_mllib(spark):
+    from flowlens.operators.counted_fits import tree_scores
+    from pyspark.ml.classification import DecisionTreeClassifier, RandomForestClassifier
+    cells, z, rows = _cells_and_rows(spark)
+    forest = {"trees": 60, "depth": 5, "features": 3, "bootstrap": True, "seed": 1}
+    trees = {f"cart{d}": {"trees": 1, "depth": d, "features": 5, "bootstrap": False, "seed": 1} for d in (2, 4, 6)} | {"forest": forest}
+    got = tree_scores(cells, z, 3, 16, trees)
+    for f in range(3):
+        train, test = rows.filter(F.col("fold") != f).cache(), rows.filter(F.col("fold") == f).cache()
+        ests = {f"cart{d}": DecisionTreeClassifier(maxDepth=d, maxBins=16, seed=1) for d in (2, 4, 6)}
+        for name, est in (ests | {"forest": RandomForestClassifier(numTrees=60, maxDepth=5, maxBins=16, seed=1)}).items():
+            counts = C.scored_counts(est.fit(train), test.withColumn("n", F.lit(1)))
+            mine = C.counted_scores(got.filter((F.col("fold") == f) & (F.col("model") == name)))
+            key = lambda r: (round(r.p1, 9), r.prediction, r.label, r.n)
+            if name != "forest":
+                assert sorted(map(key, mine.collect())) == sorted(map(key, counts.collect()))
+            else:  # other draws of the same bootstrap
+                one, two = (C.auc_from_points(C.roc_points(x, weight="n")).first()[0] for x in (mine, counts))
+                assert abs(one - two) < 0.02 and abs(C.accuracy(mine) - C.accuracy(counts)) < 0.03
+
+
+def test_models_of_odd_folds(spark):
+    import pytest
+    feats = _labelled_flows(spark, 40)
+    with pytest.raises(ValueError, match="null"):
+        C.compare_models(feats.withColumn("hour", F.when(F.col("flow_id") != 3, F.col("hour"))), k=3)
+    # a class of one row: the folds without it have no AUC, the fit without it knows one class only
+    rare = feats.withColumn("label", (F.col("flow_id") == 7).cast("int")).withColumn("is_tcp", F.lit(1))
+    for r in C.compare_models(rare, k=4).collect():
+        assert 0.9 < r.acc_mean < 1 and r.auc_std == 0 and r.auc_mean == 0.5
+    with pytest.raises(ValueError):
+        C.compare_models(rare, k=1)
