@@ -66,9 +66,9 @@ def roc(scored: DataFrame, score: str = "p1", label: str = "label"):
 
 
 def roc_points(scored: DataFrame, score: str = "p1", label: str = "label", parts: int | None = None,
-               weight: str | None = None) -> DataFrame:
+               weight: str | None = None, by=()) -> DataFrame:
     """ROC points (one per distinct score, descending) with cumulative TP/FP rates. ``weight`` names the column that says how
-    many rows a row stands for.
+    many rows a row stands for; ``by`` names columns whose values have a curve each.
 
     Exact distributed prefix sums: counts per distinct score, range-partitioned by score; each
     partition's totals (one row per partition) give its offset, and a window within each
@@ -76,32 +76,32 @@ def roc_points(scored: DataFrame, score: str = "p1", label: str = "label", parts
     """
     rows = F.col(weight) if weight else F.lit(1)
     of = lambda c: F.coalesce(F.sum(F.when(c, rows)), F.lit(0)).cast("long")
-    per = scored.groupBy(F.col(score).alias("score")).agg(of(F.col(label) == 1).alias("tp"), of(F.col(label) != 1).alias("fp"))
+    per = scored.groupBy(*by, F.col(score).alias("score")).agg(of(F.col(label) == 1).alias("tp"), of(F.col(label) != 1).alias("fp"))
     # Partition ids must be the same in every subtree below, so the partitioned table is
     # materialised once (a written table) instead of re-running the range shuffle per use.
     parts = parts or int(scored.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    per = materialize(per.repartitionByRange(parts, F.col("score").desc()).withColumn("pid", F.spark_partition_id()),
+    per = materialize(per.repartitionByRange(parts, *by, F.col("score").desc()).withColumn("pid", F.spark_partition_id()),
                       "roc-per-score")
-    tot = per.groupBy("pid").agg(F.sum("tp").alias("ptp"), F.sum("fp").alias("pfp"))
-    wo = Window.orderBy("pid").rowsBetween(Window.unboundedPreceding, -1)
-    off = tot.select("pid", F.coalesce(F.sum("ptp").over(wo), F.lit(0)).alias("otp"),
-                     F.coalesce(F.sum("pfp").over(wo), F.lit(0)).alias("ofp"))  # one row per partition
-    P = per.agg(F.sum("tp")).scalar()
-    N = per.agg(F.sum("fp")).scalar()
-    by_score = Window.partitionBy("pid").orderBy(F.col("score").desc())
+    tot = per.groupBy(*by, "pid").agg(F.sum("tp").alias("ptp"), F.sum("fp").alias("pfp"))
+    curve = Window.partitionBy(*by)
+    wo = curve.orderBy("pid").rowsBetween(Window.unboundedPreceding, -1)
+    off = tot.select(*by, "pid", F.coalesce(F.sum("ptp").over(wo), F.lit(0)).alias("otp"),
+                     F.coalesce(F.sum("pfp").over(wo), F.lit(0)).alias("ofp"),  # one row per curve and partition
+                     F.sum("ptp").over(curve).alias("P"), F.sum("pfp").over(curve).alias("N"))
+    by_score = Window.partitionBy(*by, "pid").orderBy(F.col("score").desc())
     wi = by_score.rowsBetween(Window.unboundedPreceding, 0)
     # the point after a partition's last one is the first of the next partition: one row per partition is exchanged
-    heads = per.groupBy("pid").agg(F.max_by(F.struct("tp", "fp"), "score").alias("head"))
-    heads = heads.select("pid", F.lead("head").over(Window.orderBy("pid")).alias("after"))
-    cum = (per.join(F.broadcast(off.join(heads, "pid")), "pid")
+    heads = per.groupBy(*by, "pid").agg(F.max_by(F.struct("tp", "fp"), "score").alias("head"))
+    heads = heads.select(*by, "pid", F.lead("head").over(curve.orderBy("pid")).alias("after"))
+    cum = (per.join(F.broadcast(off.join(heads, [*by, "pid"])), [*by, "pid"])
            .withColumn("ctp", F.sum("tp").over(wi) + F.col("otp"))
            .withColumn("cfp", F.sum("fp").over(wi) + F.col("ofp"))
            .withColumn("next", F.coalesce(F.lead(F.struct("tp", "fp")).over(by_score), F.col("after"))))
     # on a straight line: the step to the next point equals the step to this one; both ends of the curve are corners
     corner = (F.col("next").isNull() | (F.col("next.tp") != F.col("tp")) | (F.col("next.fp") != F.col("fp"))
               | ((F.col("ctp") == F.col("tp")) & (F.col("cfp") == F.col("fp"))))
-    return cum.select("score", "tp", "fp", (F.col("ctp") / F.nullif(P.cast("double"), F.lit(0.0))).alias("tpr"),
-                      (F.col("cfp") / F.nullif(N.cast("double"), F.lit(0.0))).alias("fpr"), "ctp", "cfp", corner.alias("corner"))
+    return cum.select(*by, "score", "tp", "fp", (F.col("ctp") / F.nullif(F.col("P").cast("double"), F.lit(0.0))).alias("tpr"),
+                      (F.col("cfp") / F.nullif(F.col("N").cast("double"), F.lit(0.0))).alias("fpr"), "ctp", "cfp", corner.alias("corner"))
 
 
 def drop_intermediate(points: DataFrame) -> DataFrame:
@@ -109,14 +109,14 @@ def drop_intermediate(points: DataFrame) -> DataFrame:
     return points.where("corner")
 
 
-def auc_from_points(points: DataFrame) -> DataFrame:
-    """Trapezoid AUC: sum of dFPR * (TPR + TPR_prev) / 2, with the previous point from cum - own.
+def auc_from_points(points: DataFrame, by=()) -> DataFrame:
+    """Trapezoid AUC (of every curve ``by``): sum of dFPR * (TPR + TPR_prev) / 2, with the previous point from cum - own.
 
     One aggregate: sum(fp * (2 ctp - tp)) / (2 P N).
     """
-    agg = points.agg(F.sum("tp").cast("double").alias("P"), F.sum("fp").cast("double").alias("N"),
-                     F.sum(F.col("fp").cast("double") * (F.lit(2.0) * F.col("ctp") - F.col("tp"))).alias("S"))
-    return agg.select((F.col("S") / (F.lit(2.0) * F.nullif(F.col("P") * F.col("N"), F.lit(0.0)))).alias("auc"))
+    agg = points.groupBy(*by).agg(F.sum("tp").cast("double").alias("P"), F.sum("fp").cast("double").alias("N"),
+                                  F.sum(F.col("fp").cast("double") * (F.lit(2.0) * F.col("ctp") - F.col("tp"))).alias("S"))
+    return agg.select(*by, (F.col("S") / (F.lit(2.0) * F.nullif(F.col("P") * F.col("N"), F.lit(0.0)))).alias("auc"))
 
 
 def _parallel(tasks, workers: int = 8):
@@ -137,16 +137,20 @@ def scored_counts(model, cells: DataFrame) -> DataFrame:
     return counted_scores(_p1(model.transform(cells)))
 
 
-def counted_scores(pred: DataFrame) -> DataFrame:
-    """``p1, prediction, label, n`` of scored rows that stand for ``n`` each."""
-    return pred.groupBy("p1", "prediction", "label").agg(F.sum("n").alias("n"))
+def counted_scores(pred: DataFrame, by=()) -> DataFrame:
+    """``p1, prediction, label, n`` (after ``by``) of scored rows that stand for ``n`` each."""
+    return pred.groupBy(*by, "p1", "prediction", "label").agg(F.sum("n").alias("n"))
 
 
-def accuracy(counts: DataFrame) -> float | None:
-    """Share of right predictions among the labelled rows of ``scored_counts``."""
+def accuracies(counts: DataFrame, by=()) -> DataFrame:
+    """Share of right predictions among the labelled rows of ``scored_counts``, for every ``by``."""
     right = F.coalesce(F.sum(F.when(F.col("prediction") == F.col("label"), F.col("n"))), F.lit(0))
     labelled = F.sum(F.when(F.col("label").isNotNull(), F.col("n")))
-    return counts.agg((right.cast("double") / labelled).alias("a")).first()[0]
+    return counts.groupBy(*by).agg((right.cast("double") / labelled).alias("accuracy"))
+
+
+def accuracy(counts: DataFrame) -> float | None:
+    return accuracies(counts).first()[0]
 
 
 def fold_cells(feats: DataFrame, k: int = 5, seed: int = 42) -> DataFrame:
@@ -169,31 +173,28 @@ def compare_models(feats: DataFrame, k: int = 5, seed: int = 42, parallelism: in
     require_two_classes(feats)
     z = [c + "_z" for c in CLF_FEATURES]
     cells = fold_cells(feats, k, seed)
-    rows = np.zeros((k, 2), dtype=int)
+    sizes = np.zeros((k, 2), dtype=int)
     for r in cells.groupBy("fold", "label").agg(F.sum("n").alias("n")).collect():
-        rows[r["fold"], r["label"]] = r["n"]
-    train = rows.sum(0) - rows
+        sizes[r["fold"], r["label"]] = r["n"]
+    train = sizes.sum(0) - sizes
     if not train.sum(1).all():
         raise ValueError("a fold holds all rows; no model can be trained")
 
     ests = [models(int(n)) for n in train.sum(1)]
     linear = [(name, f) for name, e in ests[0].items() if isinstance(e, LogisticRegression) for f in range(k)]
-    theta = logistic_fits(cells, z, [_penalties(ests[f][name]) | {"out": f, "rows": train[f].tolist()} for name, f in linear])
     trees = {name: _tree_settings(e, len(z)) for name, e in ests[0].items() if not isinstance(e, LogisticRegression)}
-    grown = tree_scores(cells, z, k, ests[0]["cart"].getMaxBins(), trees)
-
-    def task(name, f, scores, parts=None):
-        def run():
-            counts = materialize(counted_scores(scores), "cv-scored")
-            auc = auc_from_points(roc_points(counts, parts=parts, weight="n")).first()[0]
-            return (name, f, accuracy(counts), auc)  # a fold with one class has no AUC; it stays null
-        return run
-
-    tasks = [task(name, f, logistic_scores(cells.filter(F.col("fold") == f), z, t)) for (name, f), t in zip(linear, theta, strict=True)]
-    # trees give at most a score for each combination of bins: one partition
-    tasks += [task(name, f, grown.filter((F.col("fold") == f) & (F.col("model") == name)), 1) for name in trees for f in range(k)]
-    per_fold = feats.sparkSession.createDataFrame(_parallel(tasks, parallelism), "model string, fold int, accuracy double, auc double")
-    return fold_summary(per_fold)
+    theta, grown = _parallel([
+        lambda: logistic_fits(cells, z, [_penalties(ests[f][name]) | {"out": f, "rows": train[f].tolist()} for name, f in linear]),
+        lambda: tree_scores(cells, z, k, ests[0]["cart"].getMaxBins(), trees)], parallelism)
+
+    each = ["model", "fold"]
+    scores = logistic_scores(cells, z, dict(zip(linear, theta, strict=True))).unionByName(grown)
+    scores = materialize(counted_scores(scores, each), "cv-scored")
+    acc = {(r["model"], r["fold"]): r["accuracy"] for r in accuracies(scores, each).collect()}
+    auc = {(r["model"], r["fold"]): r["auc"] for r in auc_from_points(roc_points(scores, weight="n", by=each), each).collect()}
+    # a fold with one class has no AUC, one without rows no figure; they stay null
+    rows = [(name, f, acc.get((name, f)), auc.get((name, f))) for f in range(k) for name in ests[0]]
+    return fold_summary(feats.sparkSession.createDataFrame(rows, "model string, fold int, accuracy double, auc double"))
 
 
 def _penalties(est: LogisticRegression) -> dict:
